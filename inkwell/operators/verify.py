@@ -40,7 +40,10 @@ def fact_check(claims: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> Da
 
     claims: keys + claim, value, digits. metrics: keys + computed."""
     j = claims.join(metrics, list(keys), "left")
-    rounded = F.expr("bround(computed, digits)")
+    rounded = None
+    for d in range(0, 7):       # bround needs a constant scale
+        r = F.bround(F.col("computed"), d)
+        rounded = F.when(F.col("digits") == d, r) if rounded is None else rounded.when(F.col("digits") == d, r)
     return j.select(*keys, "claim", "value", "digits", "computed",
                     rounded.alias("computed_rounded"),
                     F.coalesce(rounded == F.col("value"), F.lit(False)).alias("pass"))
