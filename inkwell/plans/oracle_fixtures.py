@@ -168,7 +168,7 @@ f4 AS (
 def f5() -> str:
     return """
 f5_votes AS (
-  SELECT p_partkey, count_if(l_returnflag = 'A') AS a, count_if(l_returnflag = 'R') AS r
+  SELECT p_partkey, coalesce(count_if(l_returnflag = 'A'), 0) AS a, coalesce(count_if(l_returnflag = 'R'), 0) AS r
   FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY p_partkey),
 f5_runoff AS (
   SELECT p_partkey AS precinct_geo,
@@ -177,7 +177,7 @@ f5_runoff AS (
          CAST(a + r AS VARCHAR) AS precinct_total
   FROM f5_votes),
 f5_first_votes AS (
-  SELECT p_partkey, count_if(l_returnflag = 'A') AS a, count_if(l_returnflag = 'R') AS r
+  SELECT p_partkey, coalesce(count_if(l_returnflag = 'A'), 0) AS a, coalesce(count_if(l_returnflag = 'R'), 0) AS r
   FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linestatus = 'F' GROUP BY p_partkey),
 f5_first AS (
   SELECT p_partkey AS precinct_geo,
@@ -194,9 +194,9 @@ f5 AS (
   LEFT JOIN f5_demo d ON r.precinct_geo = d.precinct_geo),
 f5_norm AS (
   SELECT precinct_geo,
-         coalesce(TRY_CAST(gonzalez AS DOUBLE), 0.0) AS gonzalez,
-         coalesce(TRY_CAST(higgins AS DOUBLE), 0.0) AS higgins,
-         coalesce(TRY_CAST(precinct_total AS DOUBLE), 0.0) AS total_votes,
+         coalesce(CASE WHEN isnan(TRY_CAST(gonzalez AS DOUBLE)) THEN 0.0 ELSE TRY_CAST(gonzalez AS DOUBLE) END, 0.0) AS gonzalez,
+         coalesce(CASE WHEN isnan(TRY_CAST(higgins AS DOUBLE)) THEN 0.0 ELSE TRY_CAST(higgins AS DOUBLE) END, 0.0) AS higgins,
+         coalesce(CASE WHEN isnan(TRY_CAST(precinct_total AS DOUBLE)) THEN 0.0 ELSE TRY_CAST(precinct_total AS DOUBLE) END, 0.0) AS total_votes,
          winner AS first_round_winner,
          CASE WHEN race = '?' THEN '' ELSE upper(substr(race, 1, 1)) || substr(race, 2) END AS race,
          CASE WHEN immigrant_prop = '?' THEN '' ELSE immigrant_prop || '%' END AS immigrant_label,

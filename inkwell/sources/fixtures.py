@@ -318,3 +318,12 @@ def f8_rectangles(spark) -> DataFrame:
 def f8_l_ring(spark) -> DataFrame:
     ring = [{"x": x, "y": y} for x, y in F8_L_RING]
     return spark.createDataFrame([(100000, ring)], "area_id long, ring array<struct<x:double,y:double>>")
+
+
+def f5_vote_counts(t: Tables) -> DataFrame:
+    """Runoff vote counts per precinct: precinct_geo, votes_a, votes_total (A + R)."""
+    li = t.lineitem.where(F.col("l_quantity") > 45).select("l_partkey", "l_returnflag")
+    v = t.part.select("p_partkey").join(_votes(li, ""), F.col("p_partkey") == F.col("l_partkey"), "left")
+    a, r = F.coalesce(F.col("a"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
+    return v.select(F.col("p_partkey").alias("precinct_geo"), a.cast("bigint").alias("votes_a"),
+                    (a + r).cast("bigint").alias("votes_total"))
