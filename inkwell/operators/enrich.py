@@ -55,9 +55,9 @@ MAX_ATTEMPTS = 3
 RESULT_TYPE = T.StructType([T.StructField(a, T.StringType()) for a in ATTRIBUTES])
 
 
-def output_schema(key: str, key_type: T.DataType) -> T.StructType:
+def output_schema(key: str, key_type: T.DataType, extra: Sequence[T.StructField] = ()) -> T.StructType:
     return T.StructType([
-        T.StructField(key, key_type), T.StructField("model", T.StringType()),
+        T.StructField(key, key_type), *extra, T.StructField("model", T.StringType()),
         T.StructField("result", RESULT_TYPE), T.StructField("error", T.StringType()),
         T.StructField("attempts", T.IntegerType()), T.StructField("cost", T.DoubleType())])
 
@@ -151,18 +151,20 @@ def _attempt_row(client: Classifier | None, model: str, known: Sequence[str], ro
 
 def classify_rows(df: DataFrame, models: Sequence[str], classifiers: Mapping[str, Classifier],
                   key: str = "doc_id", text: str = "text", fields: Sequence[str] = ("doc_id", "text", "lang", "n_chars"),
-                  max_attempts: int = MAX_ATTEMPTS, backoff_base: float = 2.0) -> DataFrame:
+                  max_attempts: int = MAX_ATTEMPTS, backoff_base: float = 2.0,
+                  passthrough: Sequence[str] = ()) -> DataFrame:
     """One structured result per (row, model): key, model, result, error, attempts, cost.
 
     Unknown model or empty input -> error row with 0 attempts. Up to
     ``max_attempts`` tries with ``backoff_base ** n`` seconds between them.
     Cost is per row (attempts x price per call). Only ``fields`` travel to
-    Python; the text is passed whole.
+    Python; the text is passed whole. ``passthrough`` columns are carried to
+    the output, so callers never join the result back to its input.
     """
     known = sorted(classifiers)
     clients = dict(classifiers)
-    cols = list(dict.fromkeys([key, text, *fields]))
-    schema = output_schema(key, df.schema[key].dataType)
+    cols = list(dict.fromkeys([key, text, *fields, *passthrough]))
+    schema = output_schema(key, df.schema[key].dataType, [df.schema[c] for c in passthrough])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = {}
@@ -174,11 +176,14 @@ def classify_rows(df: DataFrame, models: Sequence[str], classifiers: Mapping[str
         backoff = (lambda n: backoff_base ** n) if backoff_base else (lambda n: 0.0)
         sleep = time.sleep if backoff_base else (lambda s: None)
         for pdf in batches:
-            out = {key: [], "model": [], "result": [], "error": [], "attempts": [], "cost": []}
+            out = {key: [], **{c: [] for c in passthrough},
+                   "model": [], "result": [], "error": [], "attempts": [], "cost": []}
             for row in pdf.to_dict("records"):
                 for m in models:
                     res, err, att, cost = _attempt_row(opened[m], m, known, row, text, max_attempts, backoff, sleep)
                     out[key].append(row[key])
+                    for c in passthrough:
+                        out[c].append(row[c])
                     out["model"].append(m)
                     out["result"].append(res)
                     out["error"].append(err)
@@ -195,20 +200,21 @@ def results_long(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     return classified.where(F.col("result").isNotNull()).select(key, "model", F.inline(rows))
 
 
-def validate_enums(classified: DataFrame, spark, key: str = "doc_id") -> DataFrame:
+def validate_enums(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per successful (row, model): values outside the enum, and the sub-genre
-    dependency rules (secondary != primary; tertiary not in {primary, secondary})."""
-    allowed = allowed_values(spark).select("attribute", "value", F.lit(True).alias("_ok"))
-    long_df = results_long(classified, key).join(F.broadcast(allowed), ["attribute", "value"], "left")
-    bad = long_df.groupBy(key, "model").agg(F.count_if(F.col("_ok").isNull()).cast("int").alias("n_invalid_values"))
+    dependency rules (secondary != primary; tertiary not in {primary, secondary}).
+
+    The enum set is a fixed literal, so membership is an ``array_contains``
+    in one projection: no join, no shuffle, the classifier output is read once."""
     r = F.col("result")
+    bad = sum((~F.coalesce(F.array_contains(F.array(*[F.lit(v) for v in vals]), r[a]), F.lit(False))).cast("int")
+              for a, vals in ENUMS.items())
     p, s, t = r["primary_sub_genre"], r["secondary_sub_genre"], r["tertiary_sub_genre"]
-    deps = classified.where(r.isNotNull()).select(
-        key, "model", (s == p).alias("secondary_repeats_primary"),
-        ((t == p) | (t == s)).alias("tertiary_repeats"))
-    j = bad.join(deps, [key, "model"])
-    return j.withColumn("valid", (F.col("n_invalid_values") == 0) & ~F.col("secondary_repeats_primary")
-                        & ~F.col("tertiary_repeats"))
+    out = classified.where(r.isNotNull()).select(
+        key, "model", bad.cast("int").alias("n_invalid_values"),
+        (s == p).alias("secondary_repeats_primary"), ((t == p) | (t == s)).alias("tertiary_repeats"))
+    return out.withColumn("valid", (F.col("n_invalid_values") == 0) & ~F.col("secondary_repeats_primary")
+                          & ~F.col("tertiary_repeats"))
 
 
 def summary(result: Column) -> Column:
@@ -234,9 +240,9 @@ def compare_models(classified: DataFrame, models: Sequence[str], key: str = "doc
 
 
 def gold_labels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Gold record for rows with labels: the A rule, except protagonist gender
-    is 'unknown' for low-quality rows and the setting time is 'future' for
-    toxic rows. Built from column expressions (no Python)."""
+    """Gold record for rows with labels, as one struct ``gold`` per row: the A
+    rule, except protagonist gender is 'unknown' for low-quality rows and the
+    setting time is 'future' for toxic rows. Column expressions only."""
     k, n = F.col(key), F.col("n_chars")
 
     def pick(values, idx):
@@ -257,27 +263,29 @@ def gold_labels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         "setting_time": F.when(F.col("toxic") == 1, F.lit("future")).otherwise(pick(SETTING_TIMES, n % 3)),
         "setting_location": pick(SETTING_LOCATIONS, k % 7),
     }
-    labelled = rows.where(F.col("quality").isNotNull())
-    return labelled.select(key, F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), v.alias("gold"))
-                                                 for a, v in gold.items()])))
+    return (rows.where(F.col("quality").isNotNull())
+            .select(key, F.struct(*[v.alias(a) for a, v in gold.items()]).alias("gold")))
 
 
 def model_scorecard(classified: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Correct attributes per row and model, accuracy per model, the winner and total cost.
-
-    Every gold-labelled row counts; a failed classification scores 0 of 11."""
-    answers = results_long(classified, key)
-    rows = classified.select(key, "model", "cost").join(gold.select(key).distinct(), key, "left_semi")
-    per_row = (gold.join(rows.select(key, "model"), key)
-               .join(answers, [key, "model", "attribute"], "left")
-               .groupBy(key, "model").agg(F.count_if(F.col("value") == F.col("gold")).alias("n_correct")))
-    cost = classified.groupBy("model").agg(F.sum("cost").alias("total_cost"))
-    per_model = per_row.groupBy("model").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_rows"),
-        F.sum("n_correct").cast("bigint").alias("n_correct"),
-        F.count_if(F.col("n_correct") == len(ATTRIBUTES)).cast("bigint").alias("n_perfect"))
+    """Correct attributes per row and model, accuracy per model, the winner and
+    total cost. Every gold-labelled row counts (a failed classification scores
+    0 of 11); the cost covers every classified row.
+
+    One pass over the classifier output: a left join to the gold struct, a
+    per-row score expression, one aggregation by model."""
+    j = classified.join(gold, key, "left")
+    r, g = F.col("result"), F.col("gold")
+    score = sum(F.coalesce(r[a] == g[a], F.lit(False)).cast("int") for a in ATTRIBUTES)
+    has_gold = g.isNotNull()
+    per_model = (j.select("model", "cost", has_gold.alias("has_gold"), score.alias("n_correct"))
+                 .groupBy("model").agg(
+                     F.count_if("has_gold").cast("bigint").alias("n_rows"),
+                     F.sum(F.when(F.col("has_gold"), F.col("n_correct"))).cast("bigint").alias("n_correct"),
+                     F.count_if(F.col("has_gold") & (F.col("n_correct") == len(ATTRIBUTES))).cast("bigint")
+                      .alias("n_perfect"),
+                     F.sum("cost").alias("total_cost")))
     per_model = per_model.withColumn("accuracy", F.col("n_correct") / (F.col("n_rows") * len(ATTRIBUTES)))
     from pyspark.sql import Window
     w = Window.orderBy(F.col("accuracy").desc(), F.col("model"))   # one row per model
-    return (per_model.join(cost, "model", "left")
-            .withColumn("is_winner", F.row_number().over(w) == 1))
+    return per_model.withColumn("is_winner", F.row_number().over(w) == 1)

@@ -112,7 +112,7 @@ SELECT doc_id, model, CAST({_invalid_sql()} AS INTEGER) AS n_invalid_values,
          AND NOT (tertiary_sub_genre = primary_sub_genre OR tertiary_sub_genre = secondary_sub_genre) AS valid
 FROM cls WHERE ok""")
 def validate_enums(spark, sf_dir):
-    return enrich.validate_enums(_classified(spark, sf_dir), spark)
+    return enrich.validate_enums(_classified(spark, sf_dir))
 
 
 @query("compare_models", sql=CLS + f"""
@@ -177,9 +177,8 @@ def classify_batches(spark, sf_dir):
     batch key), so a batch holding a third of the rows still uses every task."""
     rows = _rows(spark, sf_dir)
     rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
-    cls = enrich.classify_rows(rows, ["A"], enrich.rule_models(), backoff_base=0)
-    j = cls.join(_rows(spark, sf_dir).select("doc_id", "lang"), "doc_id")
-    return finish(j.groupBy("lang").agg(
+    cls = enrich.classify_rows(rows, ["A"], enrich.rule_models(), backoff_base=0, passthrough=["lang"])
+    return finish(cls.groupBy("lang").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"),
         F.count_if(F.col("result").isNotNull()).cast("bigint").alias("n_ok"),
         F.count_if(F.col("result").isNull()).cast("bigint").alias("n_failed"),
@@ -189,11 +188,9 @@ def classify_batches(spark, sf_dir):
 @query("union_batches", sql=CLS + "SELECT doc_id, lang, model, CAST(attempts AS INTEGER) AS attempts, ok FROM cls WHERE model = 'A'")
 def union_batches(spark, sf_dir):
     """The stacked per-batch results: one DataFrame for every batch at once."""
-    rows = _rows(spark, sf_dir)
-    cls = enrich.classify_rows(rows, ["A"], enrich.rule_models(), fields=("doc_id", "text", "lang", "n_chars"),
-                               backoff_base=0)
-    return (cls.join(rows.select("doc_id", "lang"), "doc_id")
-            .select("doc_id", "lang", "model", "attempts", F.col("result").isNotNull().alias("ok")))
+    cls = enrich.classify_rows(_rows(spark, sf_dir), ["A"], enrich.rule_models(), backoff_base=0,
+                               passthrough=["lang"])
+    return cls.select("doc_id", "lang", "model", "attempts", F.col("result").isNotNull().alias("ok"))
 
 
 @query("incremental_enrich", sql=CLS + """

@@ -13,6 +13,7 @@ from inkwell.functions.numeric import percent_round as pct_round, safe_div
 from inkwell.operators import reshape, shares, verify
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
+from inkwell.session import materialize
 from inkwell.sources import io
 from inkwell.sources.fixtures import COMMON_NAMES, F1_YEARS, VINTAGES, f1_catalogue, f1_long, f1_variable, f1_wide
 from inkwell.sources.tables import Tables
@@ -25,7 +26,10 @@ r6 = O.r6
 
 
 def _long(spark, sf_dir) -> DataFrame:
-    return f1_long(Tables(spark, sf_dir))
+    """F1 long, materialized once per job: the trend jobs read it in several
+    branches with different year filters, and each filter would otherwise be
+    pushed down into its own scan of ``orders``."""
+    return materialize(f1_long(Tables(spark, sf_dir)))
 
 
 def _harm(spark, sf_dir) -> DataFrame:

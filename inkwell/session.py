@@ -65,3 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for staged files, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/inkwell-stage/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the shared checkpoint folder and read
+    it back. Used for small aggregates that several branches of one job reuse
+    with different filters (which would otherwise each rescan the source).
+    Reliable checkpoint files survive the loss of any executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

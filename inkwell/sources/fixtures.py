@@ -233,10 +233,20 @@ def f4_scores(t: Tables) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F5
-def _votes(li: DataFrame, prefix: str) -> DataFrame:
-    return (li.groupBy("l_partkey")
-            .agg(F.count_if(F.col("l_returnflag") == "A").alias(prefix + "a"),
-                 F.count_if(F.col("l_returnflag") == "R").alias(prefix + "r")))
+def _precinct_votes(t: Tables) -> DataFrame:
+    """Per precinct (part): runoff votes (quantity > 45) and first-round votes
+    (status F) for both candidates, from ONE partial aggregation of lineitem.
+    Every F5 view projects this same subtree, so Spark shuffles lineitem once
+    and reuses that exchange."""
+    flag, qty, status = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_linestatus")
+    votes = (t.lineitem.groupBy("l_partkey").agg(
+        F.count_if((qty > 45) & (flag == "A")).alias("a"),
+        F.count_if((qty > 45) & (flag == "R")).alias("r"),
+        F.count_if((status == "F") & (flag == "A")).alias("fa"),
+        F.count_if((status == "F") & (flag == "R")).alias("fr")))
+    v = t.part.select("p_partkey").join(votes, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return v.select(F.col("p_partkey").alias("precinct_geo"),
+                    *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("a", "r", "fa", "fr")])
 
 
 def f5_runoff(t: Tables) -> DataFrame:
@@ -244,25 +254,21 @@ def f5_runoff(t: Tables) -> DataFrame:
 
     Shares are percents with one decimal; a precinct without votes carries the
     text ``NaN``, as a failed number parse would."""
-    li = t.lineitem.where(F.col("l_quantity") > 45).select("l_partkey", "l_returnflag")
-    v = t.part.select("p_partkey").join(_votes(li, ""), F.col("p_partkey") == F.col("l_partkey"), "left")
-    a, r = F.coalesce(F.col("a"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
+    a, r = F.col("a"), F.col("r")
     total = a + r
 
     def share(x):
         return F.when(total > 0, F.bround(x * 100.0 / total, 1).cast("string")).otherwise(F.lit("NaN"))
 
-    return v.select(F.col("p_partkey").alias("precinct_geo"), share(a).alias("gonzalez"),
-                    share(r).alias("higgins"), total.cast("string").alias("precinct_total"))
+    return _precinct_votes(t).select("precinct_geo", share(a).alias("gonzalez"),
+                                     share(r).alias("higgins"), total.cast("string").alias("precinct_total"))
 
 
 def f5_first_round(t: Tables) -> DataFrame:
     """First-round leader per precinct (status F lines, no quantity filter); '?' if none."""
-    li = t.lineitem.where(F.col("l_linestatus") == "F").select("l_partkey", "l_returnflag")
-    v = t.part.select("p_partkey").join(_votes(li, "f"), F.col("p_partkey") == F.col("l_partkey"), "left")
-    a, r = F.coalesce(F.col("fa"), F.lit(0)), F.coalesce(F.col("fr"), F.lit(0))
-    return v.select(F.col("p_partkey").alias("precinct_geo"),
-                    F.when(a > r, CANDIDATES[0]).when(r > a, CANDIDATES[1]).otherwise("?").alias("winner"))
+    a, r = F.col("fa"), F.col("fr")
+    return _precinct_votes(t).select(
+        "precinct_geo", F.when(a > r, CANDIDATES[0]).when(r > a, CANDIDATES[1]).otherwise("?").alias("winner"))
 
 
 def f5_demographics(t: Tables) -> DataFrame:
@@ -322,8 +328,5 @@ def f8_l_ring(spark) -> DataFrame:
 
 def f5_vote_counts(t: Tables) -> DataFrame:
     """Runoff vote counts per precinct: precinct_geo, votes_a, votes_total (A + R)."""
-    li = t.lineitem.where(F.col("l_quantity") > 45).select("l_partkey", "l_returnflag")
-    v = t.part.select("p_partkey").join(_votes(li, ""), F.col("p_partkey") == F.col("l_partkey"), "left")
-    a, r = F.coalesce(F.col("a"), F.lit(0)), F.coalesce(F.col("r"), F.lit(0))
-    return v.select(F.col("p_partkey").alias("precinct_geo"), a.cast("bigint").alias("votes_a"),
-                    (a + r).cast("bigint").alias("votes_total"))
+    return _precinct_votes(t).select("precinct_geo", F.col("a").cast("bigint").alias("votes_a"),
+                                     (F.col("a") + F.col("r")).cast("bigint").alias("votes_total"))
