@@ -23,14 +23,57 @@ def slice_positions(df: DataFrame, positions: Sequence[int], ordinal: str = "ord
     return df.where(F.col(ordinal).isin(list(positions)))
 
 
+def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), ascending: bool = False,
+                     buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+    """Exact SQL ``rank()`` by ``value`` (nulls last) plus the group size,
+    without putting a whole group into one task.
+
+    1. Collapse to distinct (group, value) with multiplicities: a value held
+       by a third of all rows becomes one row.
+    2. Cut the values into ``buckets`` ranges at approximate quantiles (one
+       bounded sketch, read back as a scalar subquery). Equal values always
+       share a bucket, and every value in an earlier bucket ranks strictly
+       before every value in a later one.
+    3. Rows before each bucket come from per-(group, bucket) totals (at most
+       groups x buckets rows); rows before a value inside its bucket come
+       from a running sum over the bucket's distinct values.
+    4. rank = 1 + both; join back to the rows on (group, value), null-safe.
+    """
+    spark = df.sparkSession
+    n_b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(partition)
+    v = F.col(value)
+    vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    if n_b > 1:
+        qs = [i / n_b for i in range(1, n_b)]
+        bounds = vc.select(F.percentile_approx(value, qs, accuracy).alias("_bounds")).scalar()
+        ahead = (lambda b: b > F.col(value)) if not ascending else (lambda b: b < F.col(value))
+        bucket = F.size(F.filter("_bounds", ahead))
+        vb = (vc.withColumn("_bounds", bounds)
+              .withColumn("_bucket", F.when(v.isNull(), F.lit(n_b)).otherwise(bucket)).drop("_bounds"))
+    else:
+        vb = vc.withColumn("_bucket", F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
+    per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
+    before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*keys, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
+                     F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
+    order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    ranked = (vb.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+              .join(per, [*keys, "_bucket"])
+              .select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"),
+                      (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
+                      F.col("_total").cast("bigint").alias("n_total")))
+    cond = [df[k] == ranked["_k_" + k] for k in keys] + [df[value].eqNullSafe(ranked["_v"])]
+    return df.join(ranked, cond).drop(*["_k_" + k for k in keys], "_v")
+
+
 def rank_with_total(df: DataFrame, value: str, partition: Sequence[str] = (),
                     ascending: bool = False) -> DataFrame:
-    """rank() by value plus the population size ("15th of 841")."""
-    order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    w = Window.partitionBy(*partition).orderBy(order)
-    wall = Window.partitionBy(*partition)
-    return (df.withColumn("rank", F.rank().over(w).cast("bigint"))
-            .withColumn("n_total", F.count(F.lit(1)).over(wall).cast("bigint")))
+    """rank() by value plus the population size ("15th of 841"), distributed."""
+    return distributed_rank(df, value, partition, ascending)
 
 
 def sort_desc_share(df: DataFrame, partition: Sequence[str], value: str, tie: str) -> DataFrame:

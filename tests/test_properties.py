@@ -37,3 +37,21 @@ def test_union_of_batches_equals_whole(spark):
 
 def test_subtotals_consistent(spark):
     assert QUERIES["subtotal_consistency"](spark, SF_SMALL).where(~F.col("consistent")).count() == 0
+
+
+def test_distributed_rank_equals_window_rank(spark):
+    from pyspark.sql import Window
+    from inkwell.operators.ranking import distributed_rank
+    rows = [(g, float(v) if v is not None else None) for g in ("a", "b") for v in
+            [5, 5, 5, 3, None, 7, 7, 1, 2, 9] + [4] * 30 + list(range(20, 60))]
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g string, v double")
+    for asc in (False, True):
+        order = F.col("v").asc_nulls_last() if asc else F.col("v").desc_nulls_last()
+        want = df.select("id", F.rank().over(Window.partitionBy("g").orderBy(order)).cast("bigint").alias("r"),
+                         F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
+        got = distributed_rank(df, "v", ["g"], ascending=asc, buckets=5).select("id", F.col("rank").alias("r"),
+                                                                                F.col("n_total").alias("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        g1 = distributed_rank(df.where("g = 'a'"), "v", ascending=asc, buckets=1).select("id", "rank")
+        w1 = df.where("g = 'a'").select("id", F.rank().over(Window.orderBy(order)).cast("bigint").alias("rank"))
+        assert sorted(map(tuple, g1.collect())) == sorted(map(tuple, w1.collect()))
