@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.numeric import safe_div
+from inkwell.session import materialize
 
 
 def slice_positions(df: DataFrame, positions: Sequence[int], ordinal: str = "ordinal") -> DataFrame:
@@ -24,7 +25,7 @@ def slice_positions(df: DataFrame, positions: Sequence[int], ordinal: str = "ord
 
 
 def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), ascending: bool = False,
-                     buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+                     buckets: int | None = None, accuracy: int = 10000, materialize_input: bool = True) -> DataFrame:
     """Exact SQL ``rank()`` by ``value`` (nulls last) plus the group size,
     without putting a whole group into one task.
 
@@ -38,8 +39,14 @@ def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), a
        groups x buckets rows); rows before a value inside its bucket come
        from a running sum over the bucket's distinct values.
     4. rank = 1 + both; join back to the rows on (group, value), null-safe.
+
+    The input (a per-unit aggregate) is read three times - by the quantile
+    subquery, the distinct-value aggregate and the join back - so it is
+    materialized once in the shared checkpoint folder first.
     """
     spark = df.sparkSession
+    if materialize_input:
+        df = materialize(df)
     n_b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition)
     v = F.col(value)

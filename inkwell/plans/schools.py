@@ -95,13 +95,13 @@ SELECT school, year, {r6('rate', 'rate')}, {r6('change', 'change')},
        CAST(rank() OVER (PARTITION BY year ORDER BY rate ASC NULLS LAST) AS BIGINT) AS rank_level_low
 FROM sc""")
 def rank_improvement(spark, sf_dir):
-    df = _school_change(spark, sf_dir)
-    w = Window.partitionBy("year")
-    return finish(df.select(
-        "school", "year", "rate", "change",
-        F.rank().over(w.orderBy(F.col("change").desc_nulls_last())).cast("bigint").alias("rank_change"),
-        F.rank().over(w.orderBy(F.col("rate").desc_nulls_last())).cast("bigint").alias("rank_level_high"),
-        F.rank().over(w.orderBy(F.col("rate").asc_nulls_last())).cast("bigint").alias("rank_level_low")))
+    """Rank by change and by level (both directions) among each year's units,
+    with the distributed rank (no year-sized window group)."""
+    df = _school_change(spark, sf_dir).select("school", "year", "rate", "change")
+    df = ranking.distributed_rank(df, "change", ["year"]).withColumnRenamed("rank", "rank_change").drop("n_total")
+    df = ranking.distributed_rank(df, "rate", ["year"]).withColumnRenamed("rank", "rank_level_high").drop("n_total")
+    df = ranking.distributed_rank(df, "rate", ["year"], ascending=True).withColumnRenamed("rank", "rank_level_low")
+    return finish(df.select("school", "year", "rate", "change", "rank_change", "rank_level_high", "rank_level_low"))
 
 
 @query("rank_within_cohort", sql=SGY + f"""
@@ -110,13 +110,12 @@ SELECT school, grade, year, {r6('change', 'change')},
        CAST(rank() OVER (PARTITION BY year ORDER BY change DESC NULLS LAST) AS BIGINT) AS rank_any_grade
 FROM sgc""")
 def rank_within_cohort(spark, sf_dir):
+    """Rank by change among the same grade, and among all grades, per year."""
     sg = ranking.yoy_point_change(_rollup(_scores(spark, sf_dir), ["district", "school", "grade", "year"]),
-                                  ["school", "grade"], "rate")
-    order = F.col("change").desc_nulls_last()
-    return finish(sg.select(
-        "school", "grade", "year", "change",
-        F.rank().over(Window.partitionBy("year", "grade").orderBy(order)).cast("bigint").alias("rank_in_grade"),
-        F.rank().over(Window.partitionBy("year").orderBy(order)).cast("bigint").alias("rank_any_grade")))
+                                  ["school", "grade"], "rate").select("school", "grade", "year", "change")
+    df = ranking.distributed_rank(sg, "change", ["year", "grade"]).withColumnRenamed("rank", "rank_in_grade")
+    df = ranking.distributed_rank(df.drop("n_total"), "change", ["year"]).withColumnRenamed("rank", "rank_any_grade")
+    return finish(df.select("school", "grade", "year", "change", "rank_in_grade", "rank_any_grade"))
 
 
 @query("gap_to_next", sql=SY + f"""
