@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Ray casting with the half-open rule: for each edge (j -> i) count a crossing
@@ -80,12 +80,19 @@ def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0,
                        point_key: str = "point_id", area_key: str = "area_id",
                        x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
     """Each point with every area containing it; a point in none gets one row
-    with a null area. Output: point columns + ``area_key``."""
+    with a null area. Output: point columns + ``area_key``.
+
+    Points are read once: one row per (point, grid level) is left-joined on
+    the cell key with the ray-cast as the join condition, and a window over
+    each point's few rows (levels + matches) keeps either its hits or a
+    single null row."""
     cells = area_cells(areas.select(area_key, ring), cell, levels, max_cells, ring)
     pts = point_cells(points, cell, levels, x, y)
-    cond = ((pts["_level"] == cells["_level"]) & (pts["_cx"] == cells["_cx"]) & (pts["_cy"] == cells["_cy"]))
-    cand = pts.join(cells, cond, "inner").where(ray_cast(ring, x, y))
-    hits = cand.select(*[pts[c] for c in points.columns], cells[area_key])
-    misses = (points.join(hits.select(point_key).distinct(), point_key, "left_anti")
-              .withColumn(area_key, F.lit(None).cast(areas.schema[area_key].dataType)))
-    return hits.unionByName(misses)
+    cond = ((pts["_level"] == cells["_level"]) & (pts["_cx"] == cells["_cx"]) & (pts["_cy"] == cells["_cy"])
+            & ray_cast(ring, x, y))
+    cand = pts.join(cells, cond, "left").select(*[pts[c] for c in points.columns], cells[area_key])
+    w = Window.partitionBy(point_key)
+    keep = F.col(area_key).isNotNull() | (
+        (F.count(area_key).over(w) == 0)
+        & (F.row_number().over(w.orderBy(F.lit(0))) == 1))
+    return cand.withColumn("_keep", keep).where("_keep").drop("_keep")

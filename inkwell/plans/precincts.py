@@ -10,9 +10,9 @@ from inkwell.functions.bins import legend_class
 from inkwell.operators import elections, ranking, shares
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
-from inkwell.session import scratch_path
+from inkwell.session import materialize, scratch_path
 from inkwell.sources.fixtures import (
-    f5_demographics, f5_first_round, f5_runoff, f5_vote_counts, f6_readings,
+    f5_demographics, f5_first_round, f5_runoff, f5_vote_counts, f6_readings, precinct_votes,
 )
 from inkwell.sources.tables import Tables
 
@@ -21,9 +21,18 @@ P = O.with_(O.f5())
 LIMIT_DB = 70.0
 
 
-def _features(spark, sf_dir) -> DataFrame:
+def _sources(spark, sf_dir):
+    """Runoff, first-round and demographic views. The runoff and first-round
+    views come from one per-precinct vote aggregate of lineitem, materialized
+    once: each view prunes that aggregate differently, so without it every
+    view would rescan lineitem."""
     t = Tables(spark, sf_dir)
-    return elections.precinct_enrich_join(f5_runoff(t), f5_first_round(t), f5_demographics(t))
+    votes = materialize(precinct_votes(t))
+    return f5_runoff(t, votes), f5_first_round(t, votes), f5_demographics(t)
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    return elections.precinct_enrich_join(*_sources(spark, sf_dir))
 
 
 def _normalized(spark, sf_dir) -> DataFrame:
@@ -85,8 +94,10 @@ SELECT win.precinct_geo, win.winner AS runoff_winner, f.winner AS first_round_wi
        coalesce(f.winner <> '?' AND win.winner IS NOT NULL AND f.winner <> win.winner, false) AS flipped
 FROM win LEFT JOIN f5_first f ON f.precinct_geo = win.precinct_geo""")
 def winner_flip(spark, sf_dir):
-    winners = elections.precinct_winner(_normalized(spark, sf_dir))
-    return elections.winner_flip(winners, f5_first_round(Tables(spark, sf_dir)))
+    runoff, first, demo = _sources(spark, sf_dir)
+    winners = elections.precinct_winner(elections.normalize_precinct_attrs(
+        elections.precinct_enrich_join(runoff, first, demo)))
+    return elections.winner_flip(winners, first)
 
 
 @query("precinct_shares", sql=P + f"""

@@ -249,7 +249,11 @@ def _precinct_votes(t: Tables) -> DataFrame:
                     *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("a", "r", "fa", "fr")])
 
 
-def f5_runoff(t: Tables) -> DataFrame:
+def precinct_votes(t: Tables) -> DataFrame:
+    return _precinct_votes(t)
+
+
+def f5_runoff(t: Tables, votes: DataFrame | None = None) -> DataFrame:
     """Runoff results as delivered (strings): precinct_geo, gonzalez, higgins, precinct_total.
 
     Shares are percents with one decimal; a precinct without votes carries the
@@ -260,14 +264,16 @@ def f5_runoff(t: Tables) -> DataFrame:
     def share(x):
         return F.when(total > 0, F.bround(x * 100.0 / total, 1).cast("string")).otherwise(F.lit("NaN"))
 
-    return _precinct_votes(t).select("precinct_geo", share(a).alias("gonzalez"),
+    votes = _precinct_votes(t) if votes is None else votes
+    return votes.select("precinct_geo", share(a).alias("gonzalez"),
                                      share(r).alias("higgins"), total.cast("string").alias("precinct_total"))
 
 
-def f5_first_round(t: Tables) -> DataFrame:
+def f5_first_round(t: Tables, votes: DataFrame | None = None) -> DataFrame:
     """First-round leader per precinct (status F lines, no quantity filter); '?' if none."""
     a, r = F.col("fa"), F.col("fr")
-    return _precinct_votes(t).select(
+    votes = _precinct_votes(t) if votes is None else votes
+    return votes.select(
         "precinct_geo", F.when(a > r, CANDIDATES[0]).when(r > a, CANDIDATES[1]).otherwise("?").alias("winner"))
 
 
