@@ -50,7 +50,15 @@ ENUMS: dict[str, list[str]] = {
     "setting_location": SETTING_LOCATIONS,
 }
 ATTRIBUTES = list(ENUMS)
+
+# Attempts per row, and the texts that stand in place of a
+# record when a call is refused or fails ({models}, {model}, {attempts},
+# {last} are filled in).
 MAX_ATTEMPTS = 3
+ERR_UNKNOWN_MODEL = "ERROR: chat must be one of: {models}"
+ERR_EMPTY_INPUT = "ERROR: ai_info must be provided and cannot be empty"
+ERR_FAILED = "ERROR: Failed to get valid response from {model} API after {attempts} attempts. Last error: {last}"
+ERR_EMPTY_RESULT = "Empty result received from API"
 
 RESULT_TYPE = T.StructType([T.StructField(a, T.StringType()) for a in ATTRIBUTES])
 
@@ -130,23 +138,23 @@ def _attempt_row(client: Classifier | None, model: str, known: Sequence[str], ro
                  max_attempts: int, backoff: Callable[[int], float], sleep: Callable[[float], None]):
     """(result, error, attempts, cost) for one row; never raises."""
     if client is None:
-        return None, f"ERROR: chat must be one of: {', '.join(known)}", 0, 0.0
+        return None, ERR_UNKNOWN_MODEL.format(models=", ".join(known)), 0, 0.0
     value = row.get(text)
     if value is None or (isinstance(value, str) and value.strip() == ""):
-        return None, "ERROR: ai_info must be provided and cannot be empty", 0, 0.0
+        return None, ERR_EMPTY_INPUT, 0, 0.0
     last = None
     for attempt in range(1, max_attempts + 1):
         try:
             result = client.classify(row, attempt)
             if result:                       # an empty result counts as a failed attempt
                 return result, None, attempt, attempt * client.cost_per_call
-            last = "Empty result received from API"
+            last = ERR_EMPTY_RESULT
         except Exception as e:  # noqa: BLE001 - any model failure becomes data
             last = str(e)
         if attempt < max_attempts:
             sleep(backoff(attempt))
-    return (None, f"ERROR: Failed to get valid response from {model} API after {max_attempts} attempts. "
-                  f"Last error: {last}", max_attempts, max_attempts * client.cost_per_call)
+    return (None, ERR_FAILED.format(model=model, attempts=max_attempts, last=last),
+            max_attempts, max_attempts * client.cost_per_call)
 
 
 def classify_rows(df: DataFrame, models: Sequence[str], classifiers: Mapping[str, Classifier],
