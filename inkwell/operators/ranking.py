@@ -24,6 +24,33 @@ def slice_positions(df: DataFrame, positions: Sequence[int], ordinal: str = "ord
     return df.where(F.col(ordinal).isin(list(positions)))
 
 
+def _value_buckets(vc: DataFrame, value: str, n_b: int, ascending: bool, accuracy: int) -> DataFrame:
+    """Add ``_bucket``: value ranges cut at approximate quantiles of ``value``
+    (one bounded sketch, read back as a scalar subquery). Equal values share a
+    bucket; every value in an earlier bucket comes strictly before every value
+    in a later one in the requested order; nulls get the last bucket."""
+    v = F.col(value)
+    if n_b <= 1:
+        return vc.withColumn("_bucket", F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
+    qs = [i / n_b for i in range(1, n_b)]
+    bounds = vc.select(F.percentile_approx(value, qs, accuracy).alias("_bounds")).scalar()
+    ahead = (lambda b: b > F.col(value)) if not ascending else (lambda b: b < F.col(value))
+    return (vc.withColumn("_bounds", bounds)
+            .withColumn("_bucket", F.when(v.isNull(), F.lit(n_b)).otherwise(F.size(F.filter("_bounds", ahead))))
+            .drop("_bounds"))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` where null keys match (a null group is a group)."""
+    r = right.select(*[F.col(c).alias("_r_" + c) if c in on else F.col(c) for c in right.columns])
+    cond = [left[c].eqNullSafe(r["_r_" + c]) for c in on]
+    return left.join(r, cond, how).drop(*["_r_" + c for c in on])
+
+
+def _n_buckets(spark, buckets: int | None) -> int:
+    return buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), ascending: bool = False,
                      buckets: int | None = None, accuracy: int = 10000, materialize_input: bool = True) -> DataFrame:
     """Exact SQL ``rank()`` by ``value`` (nulls last) plus the group size,
@@ -31,10 +58,7 @@ def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), a
 
     1. Collapse to distinct (group, value) with multiplicities: a value held
        by a third of all rows becomes one row.
-    2. Cut the values into ``buckets`` ranges at approximate quantiles (one
-       bounded sketch, read back as a scalar subquery). Equal values always
-       share a bucket, and every value in an earlier bucket ranks strictly
-       before every value in a later one.
+    2. Cut the values into buckets at approximate quantiles (``_value_buckets``).
     3. Rows before each bucket come from per-(group, bucket) totals (at most
        groups x buckets rows); rows before a value inside its bucket come
        from a running sum over the bucket's distinct values.
@@ -47,19 +71,10 @@ def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), a
     spark = df.sparkSession
     if materialize_input:
         df = materialize(df)
-    n_b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition)
     v = F.col(value)
     vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    if n_b > 1:
-        qs = [i / n_b for i in range(1, n_b)]
-        bounds = vc.select(F.percentile_approx(value, qs, accuracy).alias("_bounds")).scalar()
-        ahead = (lambda b: b > F.col(value)) if not ascending else (lambda b: b < F.col(value))
-        bucket = F.size(F.filter("_bounds", ahead))
-        vb = (vc.withColumn("_bounds", bounds)
-              .withColumn("_bucket", F.when(v.isNull(), F.lit(n_b)).otherwise(bucket)).drop("_bounds"))
-    else:
-        vb = vc.withColumn("_bucket", F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
+    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), ascending, accuracy)
     per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
     before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
                                  .rowsBetween(Window.unboundedPreceding, -1))
@@ -68,15 +83,85 @@ def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), a
     order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
     inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
                               .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (vb.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-              .join(per, [*keys, "_bucket"])
+    ranked = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*keys, "_bucket"])
               .select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"),
                       (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
                       F.col("_total").cast("bigint").alias("n_total")))
-    cond = [df[k] == ranked["_k_" + k] for k in keys] + [df[value].eqNullSafe(ranked["_v"])]
+    cond = [df[k].eqNullSafe(ranked["_k_" + k]) for k in keys] + [df[value].eqNullSafe(ranked["_v"])]
     return df.join(ranked, cond).drop(*["_k_" + k for k in keys], "_v")
 
 
+def distributed_gap_to_next(df: DataFrame, partition: Sequence[str], value: str, tie: str,
+                            buckets: int | None = None, accuracy: int = 10000,
+                            materialize_input: bool = True) -> DataFrame:
+    """``value - lead(value) over (partition order by value desc nulls last, tie)``
+    without a partition-sized window.
+
+    Inside a group of equal values the next row has the same value (gap 0),
+    except the group's last row by ``tie``, whose next row carries the next
+    lower distinct value. So the lead is only needed over distinct values:
+    within a quantile bucket by a window over the bucket's distinct values,
+    and across buckets from the next non-empty bucket's highest value."""
+    spark = df.sparkSession
+    if materialize_input:
+        df = materialize(df)
+    keys = list(partition)
+    v = F.col(value)
+    vc = df.groupBy(*keys, value).agg(F.max(tie).alias("_last_tie"))
+    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), False, accuracy)
+    firsts = vb.groupBy(*keys, "_bucket").agg(F.max(value).alias("_first"))
+    firsts = firsts.withColumn("_next_first", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")))
+    in_bucket = F.lead(value).over(Window.partitionBy(*keys, "_bucket").orderBy(v.desc_nulls_last()))
+    nxt = (join_null_safe(vb.withColumn("_in", in_bucket), firsts, [*keys, "_bucket"])
+           .select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"), "_last_tie",
+                   F.when(F.col("_in").isNotNull() | F.col(value).isNull(), F.col("_in"))
+                    .otherwise(F.col("_next_first")).alias("_next")))
+    cond = [df[k].eqNullSafe(nxt["_k_" + k]) for k in keys] + [df[value].eqNullSafe(nxt["_v"])]
+    j = df.join(nxt, cond)
+    gap = F.when(F.col(tie) == F.col("_last_tie"), v - F.col("_next")).otherwise(v - v)
+    return j.withColumn("gap_to_next", gap).drop(*["_k_" + k for k in keys], "_v", "_last_tie", "_next")
+
+
+def distributed_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
+                       buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+    """Exact median per group (nulls skipped; mean of the two middle values
+    when the count is even), without holding a group's values in one task.
+    Output: one row per group with at least one non-null value."""
+    vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return median_from_counts(vc, keys, value, name, buckets, accuracy)
+
+
+def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str, name: str = "median",
+                       buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+    """``distributed_median`` on distinct (group, value) counts ``_n``.
+
+    The counts are cut into quantile buckets; prefix counts (per-bucket
+    totals, then a running sum inside each bucket) give each distinct value's
+    position range, and the values covering the middle position(s) are
+    averaged."""
+    spark = vc.sparkSession
+    k = list(keys)
+    vc = vc.where(F.col(value).isNotNull())
+    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), True, accuracy)
+    per = vb.groupBy(*k, "_bucket").agg(F.sum("_n").alias("_bn"))
+    before_b = F.sum("_bn").over(Window.partitionBy(*k).orderBy("_bucket")
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*k, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
+                     F.sum("_bn").over(Window.partitionBy(*k)).alias("_total"))
+    inside = F.sum("_n").over(Window.partitionBy(*k, "_bucket").orderBy(F.col(value))
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    pos = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*k, "_bucket"])
+           .withColumn("_lo", F.col("_before") + F.col("_inside") + 1)
+           .withColumn("_hi", F.col("_lo") + F.col("_n") - 1))
+    m1 = F.floor((F.col("_total") + 1) / 2)       # lower middle position (1-based)
+    m2 = F.ceil((F.col("_total") + 1) / 2)        # upper middle position
+    hit1 = (F.col("_lo") <= m1) & (m1 <= F.col("_hi"))
+    hit2 = (F.col("_lo") <= m2) & (m2 <= F.col("_hi"))
+    mids = pos.where(hit1 | hit2).select(*k, F.when(hit1, F.col(value)).alias("_a"),
+                                         F.when(hit2, F.col(value)).alias("_b"))
+    return mids.groupBy(*k).agg(((F.max("_a") + F.max("_b")) / 2.0).alias(name))
+
+
 def rank_with_total(df: DataFrame, value: str, partition: Sequence[str] = (),
                     ascending: bool = False) -> DataFrame:
     """rank() by value plus the population size ("15th of 841"), distributed."""
@@ -125,9 +210,8 @@ def change_since_base(df: DataFrame, unit: Sequence[str], value: str, base_year:
 
 
 def gap_to_next(df: DataFrame, partition: Sequence[str], value: str, tie: str) -> DataFrame:
-    """Lead over the next-highest row."""
-    w = Window.partitionBy(*partition).orderBy(F.col(value).desc_nulls_last(), F.col(tie))
-    return df.withColumn("gap_to_next", F.col(value) - F.lead(value).over(w))
+    """Lead over the next-highest row (distributed; see ``distributed_gap_to_next``)."""
+    return distributed_gap_to_next(df, partition, value, tie)
 
 
 def gain_streak(df: DataFrame, unit: Sequence[str], change: str, year: str = "year") -> DataFrame:

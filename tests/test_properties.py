@@ -55,3 +55,29 @@ def test_distributed_rank_equals_window_rank(spark):
         g1 = distributed_rank(df.where("g = 'a'"), "v", ascending=asc, buckets=1).select("id", "rank")
         w1 = df.where("g = 'a'").select("id", F.rank().over(Window.orderBy(order)).cast("bigint").alias("rank"))
         assert sorted(map(tuple, g1.collect())) == sorted(map(tuple, w1.collect()))
+
+
+def _gap_median_frame(spark):
+    rows = [(g, i, float(v) if v is not None else None) for g in ("a", "b") for i, v in enumerate(
+        [5, 5, 5, 3, None, 7, 7, 1, 2, 9, None] + [4] * 30 + list(range(20, 60)) + ([8] if g == "b" else []))]
+    return spark.createDataFrame(rows, "g string, unit long, v double")
+
+
+def test_distributed_gap_to_next_equals_lead(spark):
+    from pyspark.sql import Window
+    from inkwell.operators.ranking import distributed_gap_to_next
+    df = _gap_median_frame(spark)
+    w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last(), F.col("unit"))
+    want = df.select("g", "unit", (F.col("v") - F.lead("v").over(w)).alias("gap"))
+    for b in (1, 3, 7):
+        got = distributed_gap_to_next(df, ["g"], "v", "unit", buckets=b).select("g", "unit", F.col("gap_to_next").alias("gap"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_distributed_median_equals_median(spark):
+    from inkwell.operators.ranking import distributed_median
+    df = _gap_median_frame(spark)
+    want = df.groupBy("g").agg(F.median("v").alias("m"))
+    for b in (1, 4, 9):
+        got = distributed_median(df, ["g"], "v", "m", buckets=b)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
