@@ -1,8 +1,10 @@
 """Windows, ranks, changes, streaks, top-k and sampling.
 
 Windows are partitioned by the unit of analysis wherever the question allows.
-The few unpartitioned ("global") windows run on aggregated frames with one
-row per unit (ranks among all units), never on raw rows.
+Questions over all units of a group (rank, gap to the next, median) use the
+quantile-bucket helpers below instead of a group-sized window; the only
+unpartitioned windows left run on at most (groups x buckets) rows or are
+bounded top-k limits.
 """
 
 from __future__ import annotations

@@ -51,9 +51,8 @@ SPLIT = "regexp_extract(var, '^(.*)_([em])([0-9]+)$', {})"
 def flagship(spark, sf_dir, var: str = FLAGSHIP_VAR) -> DataFrame:
     """Which nation has the largest share of a segment, and its rank among all.
 
-    wide table -> nation level -> decode -> share of the universe row ->
-    rank with population size. The rank window is global but runs on one row
-    per geography (after all aggregation)."""
+    wide table -> nation level -> decode (only the two variables needed) ->
+    share of the universe row -> distributed rank with population size."""
     wide = _wide(spark, sf_dir).where(F.col("geo_id").startswith(NATION))
     t = Tables(spark, sf_dir)
     long_df = reshape.decode_variables(wide, f2_dictionary(t), variables=[UNIVERSE_VAR, var])
@@ -109,6 +108,7 @@ def sink_csv(spark, sf_dir):
 # ------------------------------------------------------------- projections, filters
 @query("project_columns", sql=F2 + f"SELECT geo_id, {E[0]}, {E[1]}, {M[1]} FROM f2")
 def project_columns(spark, sf_dir):
+    """Three columns of the wide table."""
     return finish(_wide(spark, sf_dir).select("geo_id", E[0], E[1], M[1]))
 
 
@@ -117,16 +117,19 @@ GEO_ONE = "0500000us7"
 
 @query("filter_geo_equals", sql=F2 + f"SELECT * FROM f2 WHERE geo_id = '{GEO_ONE}'")
 def filter_geo_equals(spark, sf_dir):
+    """The wide row of one geography."""
     return finish(_wide(spark, sf_dir).where(F.col("geo_id") == GEO_ONE))
 
 
 @query("filter_geo_level", sql=F2 + f"SELECT geo_id, {E[0]}, {E[2]} FROM f2 WHERE starts_with(geo_id, '{NATION}')")
 def filter_geo_level(spark, sf_dir):
+    """Nation-level rows (code prefix 050) of the wide table."""
     return finish(_wide(spark, sf_dir).where(F.col("geo_id").startswith(NATION)).select("geo_id", E[0], E[2]))
 
 
 @query("rowwise_component_sum", sql=F2 + f"SELECT geo_id, {O.r6(f'{E[1]} + {E[2]} + {E[3]}', 'total')} FROM f2")
 def rowwise_component_sum(spark, sf_dir):
+    """Sum of three segment columns per geography (null if any is null)."""
     df = shares.rowwise_component_sum(_wide(spark, sf_dir), [E[1], E[2], E[3]])
     return finish(df.select("geo_id", "total"))
 
@@ -136,6 +139,7 @@ SELECT geo_id, {O.r6(f'({E[1]} + {E[2]}) / nullif({E[0]}, 0)', 'prop')},
        {O.r6(f'{E[1]} / nullif({E[0]}, 0)', 'prop_single')}
 FROM f2 WHERE starts_with(geo_id, '{NATION}')""")
 def share_of_universe(spark, sf_dir):
+    """Share of two segments, and of one, in each nation's customers."""
     df = _wide(spark, sf_dir).where(F.col("geo_id").startswith(NATION))
     df = shares.share_of_universe(df, [E[1], E[2]], E[0], "prop")
     df = shares.share_of_universe(df, [E[1]], E[0], "prop_single")
@@ -144,18 +148,21 @@ def share_of_universe(spark, sf_dir):
 
 @query("difference_column", sql=F2 + f"SELECT geo_id, {O.r6(f'{E[0]} - {M[0]}', 'diff')} FROM f2")
 def difference_column(spark, sf_dir):
+    """Total customers minus negative-balance customers per geography."""
     return finish(shares.difference_column(_wide(spark, sf_dir), E[0], M[0]).select("geo_id", "diff"))
 
 
 # ------------------------------------------------------------- reshaping
 @query("unpivot_wide", sql=F2U + f"SELECT geo_id, var, ordinal, {O.r6('value', 'value')} FROM f2_unpivot")
 def unpivot_wide(spark, sf_dir):
+    """Every value column of the wide table as (var, ordinal, value)."""
     return finish(reshape.unpivot_wide(_wide(spark, sf_dir)))
 
 
 @query("split_code", sql=F2U + f"""
 SELECT geo_id, var, {SPLIT.format(1)} AS base, {SPLIT.format(2)} AS type, {SPLIT.format(3)} AS num FROM f2_unpivot""")
 def split_code(spark, sf_dir):
+    """Unpivoted codes split into base, type and number with an anchored pattern."""
     df = reshape.split_code(reshape.unpivot_wide(_wide(spark, sf_dir)))
     return df.select("geo_id", "var", "base", "type", "num")
 
@@ -168,18 +175,21 @@ SELECT geo_id, base, num, min(ordinal) AS ordinal,
        {O.r6("max(CASE WHEN type = 'm' THEN value END)", 'm')}
 FROM s GROUP BY geo_id, base, num""")
 def pivot_estimate_margin(spark, sf_dir):
+    """Unpivoted, code-split cells pivoted back to estimate and margin columns."""
     long_df = reshape.split_code(reshape.unpivot_wide(_wide(spark, sf_dir)))
     return finish(reshape.pivot_estimate_margin(long_df))
 
 
 @query("decode_variables", sql=DECODED_SQL)
 def decode_variables(spark, sf_dir):
+    """Wide survey table decoded to (geo, var, ordinal, estimate, margin, label) for every geography."""
     return finish(_decoded(spark, sf_dir))
 
 
 @query("left_join_dictionary", sql=F2D + """
 SELECT l.geo_id, l.var, d.stub FROM f2_long l LEFT JOIN f2_dict d ON l.var = d.unique_id""")
 def left_join_dictionary(spark, sf_dir):
+    """Decoded variables labelled from the dictionary."""
     t = Tables(spark, sf_dir)
     long_df = reshape.decode_variables(f2_wide(t))
     return reshape.left_join_dictionary(long_df.drop("stub"), f2_dictionary(t)).select("geo_id", "var", "stub")
@@ -192,6 +202,7 @@ SLICE = [2, 3, 4, 6]   # a list with a gap
 @query("slice_positions", sql=F2D + f"""
 SELECT geo_id, var, ordinal, {O.r6('e', 'e')} FROM f2_long WHERE ordinal IN ({', '.join(map(str, SLICE))})""")
 def slice_positions(spark, sf_dir):
+    """Decoded rows at positions 2-4 and 6 (a list with a gap)."""
     return finish(ranking.slice_positions(_decoded(spark, sf_dir), SLICE).select("geo_id", "var", "ordinal", "e"))
 
 
@@ -204,6 +215,7 @@ SELECT geo_id, CASE WHEN var IN ('{GROUPS['first_two'][0]}', '{GROUPS['first_two
 FROM f2_long WHERE var IN ('{"', '".join(GROUPS['first_two'] + GROUPS['last_two'])}')
 GROUP BY ALL""")
 def group_total_of_selected(spark, sf_dir):
+    """Sums of two hand-picked pairs of variables per geography."""
     return finish(shares.group_total_of_selected(_decoded(spark, sf_dir), GROUPS))
 
 
@@ -213,6 +225,7 @@ SELECT l.geo_id, l.var, {O.r6('l.e', 'e')}, {O.r6('u.e', 'universe')}, {O.r6('l.
 FROM f2_long l LEFT JOIN f2_long u ON u.geo_id = l.geo_id AND u.var = '{UNIVERSE_VAR}'
 WHERE starts_with(l.geo_id, '{NATION}')""")
 def fixed_denominator_share(spark, sf_dir):
+    """Each variable's estimate divided by its geography's universe row, also in percent."""
     dec = _decoded(spark, sf_dir).where(F.col("geo_id").startswith(NATION))
     df = shares.fixed_denominator_share(dec, UNIVERSE_VAR)
     df = df.withColumn("share_pct", F.try_divide(F.col("e") * 100.0, F.col("universe")))
@@ -228,6 +241,7 @@ SELECT geo_id, var, stub, {O.r6('e', 'e')}, {O.r6('share', 'share')},
        CAST(row_number() OVER (PARTITION BY geo_id ORDER BY e DESC NULLS LAST, var) AS INTEGER) AS pos
 FROM s""")
 def sort_desc_share(spark, sf_dir):
+    """Leaf variables per geography by estimate descending, with share and position."""
     t = Tables(spark, sf_dir)
     dic = f2_dictionary(t)
     dec = reshape.decode_variables(f2_wide(t), dic)
@@ -242,6 +256,7 @@ def sort_desc_share(spark, sf_dir):
           FROM f2 JOIN nation ON geo_id = '0500000us' || CAST(n_nationkey AS VARCHAR))
 SELECT geo_id, region, {O.r6('e', 'e')}, {O.r6('e / nullif(sum(e) OVER (PARTITION BY region), 0)', 'share')} FROM nat""")
 def share_of_group_total(spark, sf_dir):
+    """Each nation's share of its region's customers."""
     t = Tables(spark, sf_dir)
     nat = (f2_wide(t).where(F.col("geo_id").startswith(NATION))
            .join(t.nation.select(F.concat(F.lit("0500000us"), F.col("n_nationkey").cast("string")).alias("geo_id"),
@@ -257,6 +272,7 @@ def share_of_group_total(spark, sf_dir):
 SELECT CAST(count(*) AS BIGINT) AS n_keys, CAST(count_if(n > 1) AS BIGINT) AS n_duplicate_keys,
        CAST(max(n) AS BIGINT) AS max_rows_per_key FROM k""")
 def one_row_guard(spark, sf_dir):
+    """Uniqueness of (geography, base, type, number) before the estimate/margin pivot."""
     long_df = reshape.split_code(reshape.unpivot_wide(_wide(spark, sf_dir)))
     return verify.one_row_guard(long_df, ["geo_id", "base", "type", "num"])
 
@@ -265,4 +281,5 @@ def one_row_guard(spark, sf_dir):
 SELECT geo_id, {O.r6(' + '.join(E[1:]), 'parts')}, {O.r6(E[0], 'whole')},
        abs(({' + '.join(E[1:])}) - {E[0]}) < 1e-9 AS consistent FROM f2""")
 def subtotal_consistency(spark, sf_dir):
+    """Whether the segment counts add up to the total in every geography."""
     return finish(verify.subtotal_consistency(_wide(spark, sf_dir), ["geo_id"], E[1:], E[0]))

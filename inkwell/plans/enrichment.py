@@ -88,6 +88,7 @@ def _summary_sql(prefix: str = "") -> str:
 SELECT doc_id, model, ok, CAST(attempts AS INTEGER) AS attempts, {r6('cost', 'cost')}, error, primary_sub_genre
 FROM cls""")
 def classify_rows(spark, sf_dir):
+    """Every document through both rule models: ok flag, attempts, per-row cost, error text, one attribute."""
     df = _classified(spark, sf_dir)
     return finish(df.select("doc_id", "model", F.col("result").isNotNull().alias("ok"), "attempts", "cost", "error",
                             F.col("result.primary_sub_genre").alias("primary_sub_genre")))
@@ -96,6 +97,7 @@ def classify_rows(spark, sf_dir):
 @query("flatten_struct", sql=CLS + "SELECT doc_id, error, " + ", ".join(f"{a} AS a_{a}" for a in ATTRIBUTES)
        + " FROM cls WHERE model = 'A'")
 def flatten_struct(spark, sf_dir):
+    """Model A's structured result flattened to prefixed columns."""
     df = _classified(spark, sf_dir, ["A"]).select("doc_id", "error", "result")
     return reshape.flatten_struct(df, "result", "a")
 
@@ -112,6 +114,7 @@ SELECT doc_id, model, CAST({_invalid_sql()} AS INTEGER) AS n_invalid_values,
          AND NOT (tertiary_sub_genre = primary_sub_genre OR tertiary_sub_genre = secondary_sub_genre) AS valid
 FROM cls WHERE ok""")
 def validate_enums(spark, sf_dir):
+    """Per successful classification: values outside the enum and sub-genre dependency breaks."""
     return enrich.validate_enums(_classified(spark, sf_dir))
 
 
@@ -146,6 +149,7 @@ j AS (SELECT pm.*, CAST(n_correct AS DOUBLE) / (n_rows * {len(ATTRIBUTES)}) AS a
 SELECT model, n_rows, n_correct, n_perfect, {r6('accuracy', 'accuracy')}, {r6('total_cost', 'total_cost')},
        row_number() OVER (ORDER BY accuracy DESC, model) = 1 AS is_winner FROM j""")
 def model_scorecard(spark, sf_dir):
+    """Correct attributes against gold labels per model: rows, correct, perfect rows, accuracy, cost, winner."""
     rows = _rows(spark, sf_dir)
     return finish(enrich.model_scorecard(_classified(spark, sf_dir), enrich.gold_labels(rows)))
 

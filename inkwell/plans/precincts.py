@@ -41,6 +41,7 @@ def _normalized(spark, sf_dir) -> DataFrame:
 
 @query("precinct_enrich_join", sql=P + "SELECT * FROM f5")
 def precinct_enrich_join(spark, sf_dir):
+    """Runoff results joined with the first-round leader and demographics per precinct."""
     return _features(spark, sf_dir)
 
 
@@ -62,6 +63,7 @@ def scan_precincts(spark, sf_dir):
 SELECT precinct_geo, {r6('gonzalez', 'gonzalez')}, {r6('higgins', 'higgins')}, {r6('total_votes', 'total_votes')},
        first_round_winner, race, immigrant_label, {r6('immigrant_pct', 'immigrant_pct')} FROM f5_norm""")
 def normalize_precinct_attrs(spark, sf_dir):
+    """Precinct properties normalized: numbers parsed (bad text -> 0), '?' -> empty, capitalised group, percent label."""
     return finish(_normalized(spark, sf_dir))
 
 
@@ -79,6 +81,7 @@ win AS (SELECT precinct_geo, total_votes, g AS gonzalez_rounded, h AS higgins_ro
 SELECT precinct_geo, {r6('total_votes', 'total_votes')}, gonzalez_rounded, higgins_rounded, winner, margin, winner_share
 FROM win""")
 def precinct_winner(spark, sf_dir):
+    """Winner, margin and winner's share on shares rounded half-up (ties to the second-listed)."""
     return finish(elections.precinct_winner(_normalized(spark, sf_dir)))
 
 
@@ -86,6 +89,7 @@ def precinct_winner(spark, sf_dir):
 SELECT precinct_geo, {r6('total_votes', 'total_votes')},
        CASE WHEN total_votes = 0 THEN 'no voters' ELSE 'voters' END AS state FROM f5_norm""")
 def no_vote_flag(spark, sf_dir):
+    """Precincts without any vote flagged as 'no voters'."""
     return finish(elections.no_vote_flag(_normalized(spark, sf_dir)))
 
 
@@ -94,6 +98,7 @@ SELECT win.precinct_geo, win.winner AS runoff_winner, f.winner AS first_round_wi
        coalesce(f.winner <> '?' AND win.winner IS NOT NULL AND f.winner <> win.winner, false) AS flipped
 FROM win LEFT JOIN f5_first f ON f.precinct_geo = win.precinct_geo""")
 def winner_flip(spark, sf_dir):
+    """First-round leader beside the runoff winner, flagged when they differ."""
     runoff, first, demo = _sources(spark, sf_dir)
     winners = elections.precinct_winner(elections.normalize_precinct_attrs(
         elections.precinct_enrich_join(runoff, first, demo)))
@@ -107,6 +112,7 @@ UNION ALL
 SELECT 'city', NULL, CAST(sum(votes) AS BIGINT), CAST(sum(total_votes) AS BIGINT),
        {r6('sum(votes) * 100.0 / nullif(sum(total_votes), 0)', 'share')} FROM v""")
 def precinct_shares(spark, sf_dir):
+    """First candidate's vote share per precinct plus one citywide row from summed counts."""
     votes = f5_vote_counts(Tables(spark, sf_dir))
     return finish(elections.precinct_shares(votes, "precinct_geo", "votes_a", "votes_total"))
 
@@ -118,6 +124,7 @@ SELECT precinct_geo, {r6('gonzalez', 'gonzalez')},
             WHEN gonzalez >= 75 AND gonzalez <= 100 THEN '75-100' END AS class
 FROM f5_norm WHERE total_votes > 0""")
 def legend_classes(spark, sf_dir):
+    """First candidate's share per voting precinct and its legend class."""
     df = _normalized(spark, sf_dir).where(F.col("total_votes") > 0)
     return finish(df.select("precinct_geo", "gonzalez", legend_class("gonzalez").alias("class")))
 
@@ -143,5 +150,6 @@ SELECT site, CAST(count_if(reading >= {LIMIT_DB}) AS BIGINT) AS n_over, CAST(cou
        {r6(f'avg(CASE WHEN reading >= {LIMIT_DB} THEN 1.0 ELSE 0.0 END)', 'share_over')}
 FROM f6 GROUP BY site""")
 def threshold_exceedance(spark, sf_dir):
+    """Readings at or above 70 per site: count and share."""
     df = shares.threshold_exceedance(f6_readings(Tables(spark, sf_dir)), "site", "reading", LIMIT_DB)
     return finish(df.select("site", F.col("n_over").cast("bigint"), F.col("n_readings").cast("bigint"), "share_over"))

@@ -54,6 +54,7 @@ sgc AS (SELECT *, lag(year) OVER (PARTITION BY school, grade ORDER BY year) AS p
 @query("yoy_point_change", sql=SGY + f"""
 SELECT district, school, grade, year, {r6('rate', 'rate')}, prev_year, {r6('change', 'change')} FROM sgc""")
 def yoy_point_change(spark, sf_dir):
+    """Pass-rate change in points to the previous available year per school and grade."""
     sg = _rollup(_scores(spark, sf_dir), ["district", "school", "grade", "year"])
     df = ranking.yoy_point_change(sg, ["school", "grade"], "rate")
     return finish(df.select("district", "school", "grade", "year", "rate", "prev_year", "change"))
@@ -64,6 +65,7 @@ SELECT school, year, {r6('rate', 'rate')}, {r6(f'max(CASE WHEN year = {BASE_YEAR
        {r6(f'rate - max(CASE WHEN year = {BASE_YEAR} THEN rate END) OVER (PARTITION BY school)', 'change_since_base')}
 FROM sy""")
 def change_since_base(spark, sf_dir):
+    """Each school's pass rate beside its base-year rate and the change since then."""
     df = ranking.change_since_base(_school_year(spark, sf_dir), ["school"], "rate", BASE_YEAR)
     return finish(df.select("school", "year", "rate", "base_value", "change_since_base"))
 
@@ -123,6 +125,7 @@ SELECT school, year, {r6('rate', 'rate')},
        {r6('rate - lead(rate) OVER (PARTITION BY year ORDER BY rate DESC NULLS LAST, school)', 'gap_to_next')}
 FROM sy""")
 def gap_to_next(spark, sf_dir):
+    """Each school's lead over the next-highest school in the same year."""
     df = ranking.gap_to_next(_school_year(spark, sf_dir), ["year"], "rate", "school")
     return finish(df.select("school", "year", "rate", "gap_to_next"))
 
@@ -133,6 +136,7 @@ SELECT year, CAST(coalesce(count_if(change < 0), 0) AS BIGINT) AS n_decliners,
        CAST(count(change) AS BIGINT) AS n_units
 FROM sc GROUP BY year""")
 def count_decliners(spark, sf_dir):
+    """Per year, how many schools fell, rose, and had a change at all."""
     df = _school_change(spark, sf_dir)
     return df.groupBy("year").agg(F.count_if(F.col("change") < 0).cast("bigint").alias("n_decliners"),
                                   F.count_if(F.col("change") > 0).cast("bigint").alias("n_gainers"),
@@ -148,6 +152,7 @@ SELECT school, year, {r6('change', 'change')},
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE 0 END AS INTEGER) AS streak
 FROM g""")
 def gain_streak(spark, sf_dir):
+    """Consecutive years of pass-rate gains per school."""
     df = ranking.gain_streak(_school_change(spark, sf_dir), ["school"], "change")
     return finish(df.select("school", "year", "change", "streak"))
 

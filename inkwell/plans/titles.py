@@ -44,21 +44,25 @@ def _staged_raw(spark, sf_dir) -> DataFrame:
 @query("scan_headerless_csv", sql=T3 + f"""
 SELECT title_id, title, state, {r6('rating', 'rating')}, multiple_locations, description FROM f3_raw""")
 def scan_headerless_csv(spark, sf_dir):
+    """Title list written as a headerless CSV (whitespace kept) and read back by position."""
     return finish(_staged_raw(spark, sf_dir))
 
 
 @query("trim_recode_category", sql=T3 + "SELECT title_id, state FROM f3")
 def trim_recode_category(spark, sf_dir):
+    """State names trimmed of all edge whitespace and misspellings recoded."""
     return clean_titles(_staged_raw(spark, sf_dir)).select("title_id", "state")
 
 
 @query("title_year_split", sql=T3 + "SELECT title_id, title, year FROM f3")
 def title_year_split(spark, sf_dir):
+    """Title without its trailing year, and the first year in parentheses."""
     return _titles(spark, sf_dir).select("title_id", "title", "year")
 
 
 @query("decade_bin", sql=T3 + "SELECT title_id, year, year_bin FROM f3")
 def decade_bin(spark, sf_dir):
+    """Title year and its decade (null stays null)."""
     return _titles(spark, sf_dir).select("title_id", "year", "year_bin")
 
 
@@ -68,11 +72,13 @@ STATS_SQL = "CAST(count(*) AS BIGINT) AS count, {}, {}".format(r6("avg(rating)",
 
 @query("stats_by_category", sql=T3 + f"SELECT state, {STATS_SQL} FROM f3 GROUP BY state")
 def stats_by_category(spark, sf_dir):
+    """Title count, mean and exact median rating per state."""
     return finish(shares.stats_by_category(_titles(spark, sf_dir), ["state"], "rating"))
 
 
 @query("stats_by_category_decade", sql=T3 + f"SELECT state, year_bin, {STATS_SQL} FROM f3 GROUP BY state, year_bin")
 def stats_by_category_decade(spark, sf_dir):
+    """Title count, mean and exact median rating per state and decade."""
     return finish(shares.stats_by_category(_titles(spark, sf_dir), ["state", "year_bin"], "rating"))
 
 
@@ -88,12 +94,14 @@ def _ranked(spark, sf_dir) -> DataFrame:
 
 @query("rank_range", sql=T3.rstrip() + RANKED_SQL + f"SELECT * FROM rr WHERE pos BETWEEN {LO} AND {HI}")
 def rank_range(spark, sf_dir):
+    """States ranked 20 to 54 by number of titles."""
     return _ranked(spark, sf_dir)
 
 
 @query("semi_join_ranked", sql=T3.rstrip() + RANKED_SQL + f"""
 SELECT title_id, title, state FROM f3 WHERE state IN (SELECT state FROM rr WHERE pos BETWEEN {LO} AND {HI})""")
 def semi_join_ranked(spark, sf_dir):
+    """Titles whose state is in the rank 20-54 tail."""
     tail = _ranked(spark, sf_dir).select("state")
     return _titles(spark, sf_dir).join(tail, "state", "left_semi").select("title_id", "title", "state")
 
@@ -103,6 +111,7 @@ SELECT * FROM (SELECT state, title_id, title, {r6('rating', 'rating')},
   CAST(row_number() OVER (PARTITION BY state ORDER BY rating DESC NULLS LAST, title_id) AS INTEGER) AS pos FROM f3)
 WHERE pos <= {TOPK}""")
 def topk_per_group(spark, sf_dir):
+    """Top 15 titles by rating per state."""
     df = _titles(spark, sf_dir).select("state", "title_id", "title", "rating")
     return finish(ranking.topk_per_group(df, ["state"], [F.col("rating").desc_nulls_last(), F.col("title_id")], TOPK))
 
@@ -117,6 +126,7 @@ def sample_n(spark, sf_dir):
 SELECT state, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS rank
 FROM (SELECT state, CAST(count_if(genre = '{GENRE}') AS BIGINT) AS n FROM f3 GROUP BY state)""")
 def leaderboard_count(spark, sf_dir):
+    """Titles of one genre per state, ranked."""
     counts = (_titles(spark, sf_dir).groupBy("state")
               .agg(F.count_if(F.col("genre") == GENRE).cast("bigint").alias("n")))
     return ranking.rank_with_total(counts, "n").drop("n_total")

@@ -66,6 +66,7 @@ SCAN_YEARS = [y for y in F1_YEARS if y != 1998]      # one year skipped, as the
 SELECT geo, parent, year, variable, {_cols(['estimate', 'moe'])} FROM f1_long
 WHERE year IN ({', '.join(map(str, SCAN_YEARS))}) AND variable IN ('{"', '".join(SCAN_VARS)}')""")
 def scan_vintages_long(spark, sf_dir):
+    """Yearly extract restricted to listed years (one skipped) and variables."""
     df = _long(spark, sf_dir).where(F.col("year").isin(SCAN_YEARS) & F.col("variable").isin(SCAN_VARS))
     return finish(df)
 
@@ -77,6 +78,7 @@ V3_COLS = [c + s for c in V3_CODES for s in ("E", "M")]
 @query("scan_vintages_wide", sql=H + "SELECT geo, parent, year, " +
        ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in V3_COLS) + " FROM f1_v3")
 def scan_vintages_wide(spark, sf_dir):
+    """The last vintage of the yearly extract in wide code form."""
     return finish(f1_wide(_long(spark, sf_dir), "v3"))
 
 
@@ -97,6 +99,7 @@ def _pivot_sql(years, prefix="x", src="f1_long", keys="geo, variable"):
 
 @query("pivot_years", sql=L + _pivot_sql(F1_YEARS))
 def pivot_years(spark, sf_dir):
+    """Yearly estimates pivoted to one column per year."""
     return finish(reshape.pivot_years(_long(spark, sf_dir), ["geo", "variable"], F1_YEARS))
 
 
@@ -114,6 +117,7 @@ def normalize_names_values(spark, sf_dir):
 SELECT l.geo, l.year, l.variable, {r6('l.estimate', 'estimate')}, c.label
 FROM f1_long l LEFT JOIN f1_catalogue c ON c.name = l.variable AND c.year = {CAT_YEAR}""")
 def left_join_catalogue(spark, sf_dir):
+    """Yearly extract labelled from one catalogue year."""
     long_df = _long(spark, sf_dir)
     df = reshape.left_join_catalogue(long_df.select("geo", "year", "variable", "estimate"),
                                      f1_catalogue(long_df), CAT_YEAR)
@@ -128,6 +132,7 @@ OLD_YEARS = F1_YEARS[:-1]
 SELECT w.*, {r6('n.estimate', f'x{LAST}')} FROM w
 LEFT JOIN f1_long n ON n.geo = w.geo AND n.variable = w.variable AND n.year = {LAST}""")
 def left_join_new_vintage(spark, sf_dir):
+    """Year pivot of the older years with the newest year joined from a separate extract."""
     long_df = _long(spark, sf_dir)
     wide = reshape.pivot_years(long_df.where(F.col("year") < LAST), ["geo", "variable"], OLD_YEARS)
     newest = long_df.where(F.col("year") == LAST)
@@ -148,6 +153,7 @@ SELECT geo, variable, label, {_cols(_TREND_X)},
        {', '.join(r6(f'{x} / nullif(first_value({x}) OVER (PARTITION BY geo ORDER BY variable ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0)', x + '_scaled') for x in _TREND_X)}
 FROM t""")
 def trend_table(spark, sf_dir):
+    """Labelled year pivot with the newest year joined in and every year indexed to the universe row."""
     long_df = _long(spark, sf_dir)
     old = long_df.where(F.col("year") < LAST)
     newest = long_df.where(F.col("year") == LAST).select("geo", "variable", "estimate")
@@ -159,6 +165,7 @@ SELECT geo, year, variable, {r6('estimate', 'estimate')},
        {r6('estimate / nullif(first_value(estimate) OVER (PARTITION BY geo, year ORDER BY variable ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0)', 'estimate_scaled')}
 FROM f1_long""")
 def index_to_first(spark, sf_dir):
+    """Each variable's estimate divided by the universe row of its geography and year."""
     df = _long(spark, sf_dir).select("geo", "year", "variable", "estimate")
     return finish(reshape.index_to_first(df, ["geo", "year"], ["variable"], ["estimate"]))
 
@@ -177,6 +184,7 @@ b(variable, band) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in BANDS.item
 SELECT geo, year, band, {r6('sum(estimate)', 'estimate')}, {r6('sum(estimate_scaled)', 'estimate_scaled')}
 FROM s JOIN b USING (variable) GROUP BY geo, year, band""")
 def band_totals(spark, sf_dir):
+    """Segments folded into named bands (one band non-contiguous), estimates and indexed shares summed per geography and year."""
     long_df = _long(spark, sf_dir).select("geo", "year", "variable", "estimate")
     scaled = reshape.index_to_first(long_df, ["geo", "year"], ["variable"], ["estimate"])
     band_map = spark.createDataFrame(list(BANDS.items()), "variable string, band string")
@@ -189,12 +197,14 @@ HARM_COLS = [c for n in COMMON_NAMES for c in (n, n + "_margin")]
 
 @query("vintage_harmonize", sql=H + f"SELECT geo, parent, year, {_cols(HARM_COLS)} FROM f1_harm")
 def vintage_harmonize(spark, sf_dir):
+    """Three code vintages renamed to common group names and stacked."""
     return finish(_harm(spark, sf_dir))
 
 
 @query("union_vintages", sql=H + """
 SELECT * FROM (SELECT * FROM f1_v1 UNION ALL BY NAME SELECT * FROM f1_v2 UNION ALL BY NAME SELECT * FROM f1_v3)""")
 def union_vintages(spark, sf_dir):
+    """The three vintage frames stacked by name; missing code columns become null."""
     long_df = _long(spark, sf_dir)
     return finish(reshape.union_vintages([f1_wide(long_df, v) for v, *_ in VINTAGES]))
 
@@ -203,6 +213,7 @@ def union_vintages(spark, sf_dir):
     f"SELECT geo, year, {r6(chr(34) + 'B01003_001E' + chr(34), 'total')}, '{v}' AS vintage FROM f1_{v}"
     for v, *_ in VINTAGES))
 def add_partition_literal(spark, sf_dir):
+    """Each vintage frame with its vintage name as a literal column, stacked."""
     long_df = _long(spark, sf_dir)
     frames = [reshape.add_partition_literal(
         f1_wide(long_df, v).select("geo", "year", F.col("B01003_001E").alias("total")), "vintage", v)
@@ -214,6 +225,7 @@ def add_partition_literal(spark, sf_dir):
 SELECT geo, year, variable, {r6('estimate', 'value')}, 'estimate' AS source FROM f1_long
 UNION ALL SELECT geo, year, variable, {r6('moe', 'value')}, 'margin' AS source FROM f1_long""")
 def union_tagged(spark, sf_dir):
+    """Estimates and margins stacked with a source-name column."""
     long_df = _long(spark, sf_dir)
     frames = {"estimate": long_df.select("geo", "year", "variable", F.col("estimate").alias("value")),
               "margin": long_df.select("geo", "year", "variable", F.col("moe").alias("value"))}
@@ -226,12 +238,14 @@ YT_OUT = COMMON_NAMES + [g + "_percent" for g in GROUPS]
 
 @query("yearly_totals", sql=YT + f", p AS (SELECT *, {YT_PCT} FROM yt) SELECT parent, year, {_cols(YT_OUT)} FROM p")
 def yearly_totals(spark, sf_dir):
+    """Nations summed to regions per year (strict sum) with group shares."""
     return finish(_yearly(spark, sf_dir))
 
 
 @query("percent_columns", sql=H + f"""
 SELECT geo, year, {_cols([g + '_percent' for g in GROUPS])} FROM (SELECT geo, year, {YT_PCT} FROM f1_harm)""")
 def percent_columns(spark, sf_dir):
+    """Group shares of the total per nation and year."""
     df = shares.percent_columns(_harm(spark, sf_dir), GROUPS, "total")
     return finish(df.select("geo", "year", *[g + "_percent" for g in GROUPS]))
 
@@ -239,6 +253,7 @@ def percent_columns(spark, sf_dir):
 @query("percent_round", sql=YT + f"""
 SELECT parent, year, {', '.join(f'round_even({g} / nullif(total, 0) * 100, 1) + 0.0 AS {g}_pct' for g in GROUPS)} FROM yt""")
 def percent_round(spark, sf_dir):
+    """Region group shares as percents rounded half-even to one digit."""
     df = _yearly(spark, sf_dir)
     return finish(df.select("parent", "year", *[pct_round(g + "_percent", 1).alias(g + "_pct") for g in GROUPS]))
 
@@ -250,6 +265,7 @@ BAND_GROUPS = ["automobile", "building", "furniture"]
     f"{r6(f'{g} - {g}_margin', g + '_lower')}, {r6(f'{g} + {g}_margin', g + '_upper')}" for g in BAND_GROUPS)
     + " FROM f1_harm")
 def margin_bounds(spark, sf_dir):
+    """Estimate minus and plus margin for three groups per nation and year."""
     df = shares.margin_bounds(_harm(spark, sf_dir), BAND_GROUPS)
     return finish(df.select("geo", "year", *[c for g in BAND_GROUPS for c in (g + "_lower", g + "_upper")]))
 
@@ -258,6 +274,7 @@ def margin_bounds(spark, sf_dir):
     f"SELECT geo, year, '{g}' AS series, {r6(g, 'estimate')}, {r6(f'{g} - {g}_margin', 'lower')}, "
     f"{r6(f'{g} + {g}_margin', 'upper')} FROM f1_harm" for g in BAND_GROUPS))
 def ribbon_series(spark, sf_dir):
+    """Estimate with lower and upper bound per nation, year and group (error-band table)."""
     return finish(reshape.ribbon_series(_harm(spark, sf_dir), ["geo", "year"], BAND_GROUPS))
 
 
@@ -266,6 +283,7 @@ def ribbon_series(spark, sf_dir):
 SELECT parent, series, {r6('count', 'count')},
        CAST(row_number() OVER (PARTITION BY parent ORDER BY count DESC NULLS LAST, series) AS INTEGER) AS pos FROM u""")
 def unpivot_named(spark, sf_dir):
+    """Last-year region totals of three groups as (series, count), ordered descending."""
     from inkwell.operators import ranking
     last = _yearly(spark, sf_dir).where(F.col("year") == LAST)
     long_df = reshape.unpivot_named(last, ["parent"], BAND_GROUPS, "series", "count")
@@ -276,6 +294,7 @@ def unpivot_named(spark, sf_dir):
 SELECT parent, {', '.join(r6(f'max(CASE WHEN year = {LAST} THEN {g} END) / nullif(max(CASE WHEN year = {FIRST} THEN {g} END), 0)', g + '_growth') for g in GROUPS)}
 FROM yt GROUP BY parent""")
 def growth_ratio(spark, sf_dir):
+    """Last-year over first-year totals per region and group."""
     df = _yearly(spark, sf_dir)
     aggs = [safe_div(F.max(F.when(F.col("year") == LAST, F.col(g))),
                      F.max(F.when(F.col("year") == FIRST, F.col(g)))).alias(g + "_growth") for g in GROUPS]
@@ -317,6 +336,7 @@ def _bin_sql(p):
         FROM f1_harm WHERE year = {LAST})
 SELECT geo, {', '.join(f'{g}_pct + 0.0 AS {g}_pct, {_bin_sql(g + "_pct")} AS {g}_bin' for g in BIN_GROUPS)} FROM p""")
 def choropleth_bins(spark, sf_dir):
+    """Two-digit percent of two groups per nation in the last year and its map class."""
     harm = _harm(spark, sf_dir).where(F.col("year") == LAST)
     cols = []
     for g in BIN_GROUPS:
@@ -328,11 +348,13 @@ def choropleth_bins(spark, sf_dir):
 # ------------------------------------------------------------- filters and joins
 @query("filter_compound", sql=H + f"SELECT geo, parent, year, {_cols(HARM_COLS)} FROM f1_harm WHERE geo = 7 AND year = 1999")
 def filter_compound(spark, sf_dir):
+    """Harmonized rows of one nation in one year."""
     return finish(_harm(spark, sf_dir).where((F.col("geo") == 7) & (F.col("year") == 1999)))
 
 
 @query("filter_in_list", sql=YT + f"SELECT parent, year, {_cols(COMMON_NAMES)} FROM yt WHERE year IN ({FIRST}, {LAST})")
 def filter_in_list(spark, sf_dir):
+    """Region totals for the first and last year only."""
     return finish(_yearly(spark, sf_dir).where(F.col("year").isin([FIRST, LAST])).select("parent", "year", *COMMON_NAMES))
 
 
@@ -340,6 +362,7 @@ def filter_in_list(spark, sf_dir):
 SELECT geo, year, variable, {r6('estimate', 'estimate')} FROM f1_long
 WHERE variable IN (SELECT name FROM f1_catalogue WHERE year = {CAT_YEAR} AND (label LIKE '%Automobile' OR label LIKE '%Building'))""")
 def semi_join_variables(spark, sf_dir):
+    """Yearly extract rows whose code is in a catalogue selection (a DataFrame, not a list)."""
     long_df = _long(spark, sf_dir)
     cat = f1_catalogue(long_df)
     wanted = cat.where((F.col("year") == CAT_YEAR) &
@@ -372,6 +395,7 @@ j AS (SELECT c.claim, c.metric, CAST(c.parent AS INTEGER) AS parent, CAST(c.year
 SELECT claim, metric, parent, year, value + 0.0 AS value, digits, {r6('computed', 'computed')},
        computed_rounded + 0.0 AS computed_rounded, coalesce(computed_rounded = value, false) AS pass FROM j""")
 def fact_check(spark, sf_dir):
+    """Published-style claims about region shares joined to the computed shares; pass on rounded equality."""
     yt = _yearly(spark, sf_dir)
     metrics = yt.select("parent", "year", F.inline(F.array(*[
         F.struct(F.lit(g + "_percent").alias("metric"), (F.col(g + "_percent") * 100.0).alias("computed"))
