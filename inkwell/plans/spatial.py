@@ -34,7 +34,7 @@ def _ring_parity_sql(px: str = "x", py: str = "y") -> str:
 
 
 @query("point_in_area_join_ring", sql=S + f"""
-SELECT point_id, {r6('x', 'x')}, {r6('y', 'y')}, CASE WHEN {_ring_parity_sql()} THEN {L_RING_ID} END AS area_id
+SELECT point_id, {r6('x', 'x')}, {r6('y', 'y')}, CASE WHEN {_ring_parity_sql()} THEN CAST({L_RING_ID} AS BIGINT) END AS area_id
 FROM f8_points""")
 def point_in_ring(spark, sf_dir):
     """Every event point tested against a concave (L-shaped) ring."""
