@@ -45,3 +45,22 @@ def test_filter_reaches_the_scan(spark):
     from pyspark.sql import functions as F
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").where(F.col("value") >= 70).select("user_id")
     assert "PushedFilters: [IsNotNull(value), GreaterThanOrEqual(value,70.0)]" in _plan(ev)
+
+
+def test_decode_pushes_key_and_prunes_columns_on_staged_table(spark):
+    """A staged wide table: the geography predicate reaches the parquet scan
+    and only the requested variables' columns are read, before the unpivot."""
+    from pyspark.sql import functions as F
+    from inkwell.operators import reshape
+    from inkwell.session import scratch_path
+    from inkwell.sources.fixtures import f2_wide
+    from inkwell.sources.tables import Tables
+    path = scratch_path(spark, "wide")
+    f2_wide(Tables(spark, SF_SMALL)).write.parquet(path)
+    wide = spark.read.parquet(path).where(F.col("geo_id") == "0500000us7")
+    df = reshape.decode_variables(wide, variables=["b90001_001", "b90001_002"])
+    plan = _plan(df)
+    assert "EqualTo(geo_id,0500000us7)" in plan
+    assert ("ReadSchema: struct<geo_id:string,b90001_e001:double,b90001_m001:double,"
+            "b90001_e002:double,b90001_m002:double>") in plan
+    assert {r.var for r in df.collect()} == {"b90001_001", "b90001_002"}
