@@ -47,3 +47,40 @@ def test_incremental_enrich_second_run_adds_nothing(spark):
     # a fresh checkpoint re-reads every file, and the anti-join still adds nothing
     assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt2"), job) == 0
     assert spark.read.parquet(tgt).select("doc_id").distinct().count() == first
+
+
+class _Flaky(enrich.Classifier):
+    name = "F"
+    cost_per_call = 1.0
+
+    def __init__(self, outcomes):
+        self.outcomes = list(outcomes)
+
+    def classify(self, row, attempt):
+        out = self.outcomes[attempt - 1]
+        if isinstance(out, Exception):
+            raise out
+        return out
+
+
+def test_backoff_is_two_to_the_n_between_attempts():
+    slept = []
+    res, err, att, cost = enrich._attempt_row(
+        _Flaky([RuntimeError("a"), RuntimeError("b"), RuntimeError("c")]), "F", ["F"], {"text": "x"}, "text",
+        3, lambda n: 2.0 ** n, slept.append)
+    assert res is None and att == 3 and cost == 3.0 and slept == [2.0, 4.0]
+    assert err.endswith("after 3 attempts. Last error: c")
+
+
+def test_empty_result_counts_as_an_attempt():
+    slept = []
+    res, err, att, _ = enrich._attempt_row(_Flaky([{}, {}, {}]), "F", ["F"], {"text": "x"}, "text",
+                                           3, lambda n: 0.0, slept.append)
+    assert res is None and att == 3 and err.endswith("Last error: " + enrich.ERR_EMPTY_RESULT)
+
+
+def test_success_after_retry_reports_attempts_and_cost():
+    good = {a: enrich.ENUMS[a][0] for a in enrich.ATTRIBUTES}
+    res, err, att, cost = enrich._attempt_row(_Flaky([RuntimeError("x"), good]), "F", ["F"], {"text": "x"}, "text",
+                                              3, lambda n: 0.0, lambda s: None)
+    assert res == good and err is None and att == 2 and cost == 2.0
