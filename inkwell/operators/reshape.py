@@ -91,8 +91,8 @@ def decode_variables(wide: DataFrame, dictionary: DataFrame | None = None,
     scan + Generate). ``variables`` restricts the output and, since only
     those columns are selected, the parquet read.
 
-    The dictionary holds one row per survey variable (its size does not grow
-    with the data), so it is broadcast for the left join.
+    The dictionary holds one row per survey variable; the left join is left
+    to Spark's size check (see ``left_join_dictionary``).
     """
     pairs = code_pairs(value_columns(wide, key))
     if variables is not None:
@@ -112,9 +112,13 @@ def decode_variables(wide: DataFrame, dictionary: DataFrame | None = None,
 
 
 def left_join_dictionary(long_df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Label by variable code (dictionary: unique_id, stub)."""
+    """Label by variable code (dictionary: unique_id, stub).
+
+    No broadcast hint: Spark broadcasts the dictionary when its estimated
+    size is under ``autoBroadcastJoinThreshold``, and AQE re-checks the
+    actual size at runtime; a dictionary beyond it gets a shuffle join."""
     dim = dictionary.select(F.col("unique_id").alias("var"), "stub")
-    return long_df.join(F.broadcast(dim), "var", "left").select(*long_df.columns, "stub")
+    return long_df.join(dim, "var", "left").select(*long_df.columns, "stub")
 
 
 def pivot_years(long_df: DataFrame, keys: Sequence[str], years: Sequence[int],

@@ -68,10 +68,11 @@ def band_totals(long_df: DataFrame, band_map: DataFrame, keys: Sequence[str],
                 values: Sequence[str], on: str = "variable") -> DataFrame:
     """Fold detailed rows into named bands and sum: one ``groupBy(band)``.
 
-    ``band_map`` (variable -> band) may map non-contiguous rows to one band; it
-    lists survey variables, so it is small by construction and broadcast.
+    ``band_map`` (variable -> band) may map non-contiguous rows to one band.
+    It lists survey variables; Spark broadcasts it after its own size check
+    (plan-time estimate, then AQE on the actual size), else shuffles.
     """
-    joined = long_df.join(F.broadcast(band_map), on)
+    joined = long_df.join(band_map, on)
     return joined.groupBy(*keys, "band").agg(*[F.sum(v).alias(v) for v in values])
 
 

@@ -247,7 +247,7 @@ def sort_desc_share(spark, sf_dir):
     dec = reshape.decode_variables(f2_wide(t), dic)
     shared = shares.fixed_denominator_share(dec, UNIVERSE_VAR)
     leaf = dic.where("is_leaf").select(F.col("unique_id").alias("var"))
-    df = shared.join(F.broadcast(leaf), "var", "left_semi").where(F.col("var").startswith(F2_BASE + "_"))
+    df = shared.join(leaf, "var", "left_semi").where(F.col("var").startswith(F2_BASE + "_"))
     return finish(ranking.sort_desc_share(df, ["geo_id"], "e", "var").select("geo_id", "var", "stub", "e", "share", "pos"))
 
 

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -32,14 +33,15 @@ def incremental_enrich(spark: SparkSession, source_dir: str, source_schema: T.St
     added = {"rows": 0}
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark_ = batch.sparkSession
-        done = _target_or_none(spark_, target_dir, key)
-        before = 0 if done is None else done.count()
+        done = _target_or_none(batch.sparkSession, target_dir, key)
         todo = batch if done is None else batch.join(done, key, "left_anti")
-        # Written straight to the target (the classifier runs once per row);
-        # counts come from the written table, not from re-running the job.
-        enrich(todo).write.mode("append").parquet(target_dir)
-        added["rows"] += spark_.read.parquet(target_dir).count() - before
+        # Written straight to the target (the classifier runs once per row).
+        # The appended row count is observed while the write runs, so neither
+        # the job nor the (growing) target is read again to count it.
+        obs = Observation(f"enrich_batch_{batch_id}")
+        out = enrich(todo).observe(obs, F.count(F.lit(1)).alias("rows"))
+        out.write.mode("append").parquet(target_dir)
+        added["rows"] += int(obs.get["rows"])
 
     reader = spark.readStream.schema(source_schema)
     if max_files_per_trigger:
