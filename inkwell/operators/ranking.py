@@ -1,10 +1,12 @@
 """Windows, ranks, changes, streaks, top-k and sampling.
 
 Windows are partitioned by the unit of analysis wherever the question allows.
-Questions over all units of a group (rank, gap to the next, median) use the
-quantile-bucket helpers below instead of a group-sized window; the only
-unpartitioned windows left run on at most (groups x buckets) rows or are
-bounded top-k limits.
+Questions over all units of a group (rank, gap to the next, median) first
+collapse rows to distinct values with multiplicities, then check the largest
+group's size: under ``WINDOW_LIMIT`` distinct values one ordered window over
+them is cheapest; beyond it, quantile buckets split every group over many
+tasks. The only other unpartitioned windows run on at most (groups x
+buckets) rows or are bounded top-k limits.
 """
 
 from __future__ import annotations
@@ -53,71 +55,109 @@ def _n_buckets(spark, buckets: int | None) -> int:
     return buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Most distinct values one group may have for its ordered window to run in a
+# single task (a sort of at most this many short rows). Checked on the data
+# before the plan is chosen; larger groups take the quantile-bucket path.
+WINDOW_LIMIT = 1_000_000
+
+
+def _largest_group(vc: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of ``vc`` in its largest group: one partial aggregation, read
+    back as a single number (a size check, like a broadcast threshold)."""
+    sizes = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return int(sizes.agg(F.max("_rows")).first()[0] or 0)
+
+
+def _use_window(vc: DataFrame, keys: Sequence[str], buckets: int | None, window_limit: int) -> bool:
+    """Window over distinct values when no bucket count is forced and the
+    largest group passes the size check."""
+    return buckets is None and _largest_group(vc, keys) <= window_limit
+
+
 def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), ascending: bool = False,
-                     buckets: int | None = None, accuracy: int = 10000, materialize_input: bool = True) -> DataFrame:
+                     buckets: int | None = None, accuracy: int = 10000, materialize_input: bool = True,
+                     window_limit: int = WINDOW_LIMIT) -> DataFrame:
     """Exact SQL ``rank()`` by ``value`` (nulls last) plus the group size,
-    without putting a whole group into one task.
+    without putting a whole group's rows into one task.
 
     1. Collapse to distinct (group, value) with multiplicities: a value held
        by a third of all rows becomes one row.
-    2. Cut the values into buckets at approximate quantiles (``_value_buckets``).
-    3. Rows before each bucket come from per-(group, bucket) totals (at most
-       groups x buckets rows); rows before a value inside its bucket come
-       from a running sum over the bucket's distinct values.
-    4. rank = 1 + both; join back to the rows on (group, value), null-safe.
-
-    The input (a per-unit aggregate) is read three times - by the quantile
-    subquery, the distinct-value aggregate and the join back - so it is
-    materialized once in the shared checkpoint folder first.
+    2. Size check: if no group has more than ``window_limit`` distinct
+       values, rank = 1 + a running sum of multiplicities over the group's
+       distinct values (one window; its task sorts distinct values only).
+    3. Otherwise cut the values into buckets at approximate quantiles
+       (``_value_buckets``); rows before each bucket come from per-(group,
+       bucket) totals (at most groups x buckets rows), rows before a value
+       inside its bucket from a running sum over the bucket's distinct values.
+    4. Join back to the rows on (group, value), null-safe.
+
+    The input (a per-unit aggregate) is read more than once - by the check,
+    the distinct-value aggregate and the join back - so it is materialized
+    once in the shared checkpoint folder first. ``buckets`` forces step 3.
     """
     spark = df.sparkSession
     if materialize_input:
         df = materialize(df)
     keys = list(partition)
     v = F.col(value)
-    vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), ascending, accuracy)
-    per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
-    before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
-                                 .rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(*keys, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
-                     F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
     order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
-    inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
-                              .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*keys, "_bucket"])
-              .select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"),
-                      (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
-                      F.col("_total").cast("bigint").alias("n_total")))
+    vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    out_cols = [*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v")]
+    if _use_window(vc, keys, buckets, window_limit):
+        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order)
+                                  .rowsBetween(Window.unboundedPreceding, -1))
+        ranked = vc.select(*out_cols, (F.lit(1) + F.coalesce(before, F.lit(0))).cast("bigint").alias("rank"),
+                           F.sum("_n").over(Window.partitionBy(*keys)).cast("bigint").alias("n_total"))
+    else:
+        vb = _value_buckets(vc, value, _n_buckets(spark, buckets), ascending, accuracy)
+        per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
+        before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
+                                     .rowsBetween(Window.unboundedPreceding, -1))
+        per = per.select(*keys, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
+                         F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
+        inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
+                                  .rowsBetween(Window.unboundedPreceding, -1))
+        ranked = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*keys, "_bucket"])
+                  .select(*out_cols,
+                          (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
+                          F.col("_total").cast("bigint").alias("n_total")))
     cond = [df[k].eqNullSafe(ranked["_k_" + k]) for k in keys] + [df[value].eqNullSafe(ranked["_v"])]
     return df.join(ranked, cond).drop(*["_k_" + k for k in keys], "_v")
 
 
 def distributed_gap_to_next(df: DataFrame, partition: Sequence[str], value: str, tie: str,
                             buckets: int | None = None, accuracy: int = 10000,
-                            materialize_input: bool = True) -> DataFrame:
+                            materialize_input: bool = True, window_limit: int = WINDOW_LIMIT) -> DataFrame:
     """``value - lead(value) over (partition order by value desc nulls last, tie)``
     without a partition-sized window.
 
     Inside a group of equal values the next row has the same value (gap 0),
     except the group's last row by ``tie``, whose next row carries the next
     lower distinct value. So the lead is only needed over distinct values:
-    within a quantile bucket by a window over the bucket's distinct values,
-    and across buckets from the next non-empty bucket's highest value."""
+    one window over them when the largest group passes the size check (see
+    ``distributed_rank``); else within a quantile bucket by a window over the
+    bucket's distinct values, and across buckets from the next non-empty
+    bucket's highest value."""
     spark = df.sparkSession
     if materialize_input:
         df = materialize(df)
     keys = list(partition)
     v = F.col(value)
     vc = df.groupBy(*keys, value).agg(F.max(tie).alias("_last_tie"))
-    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), False, accuracy)
-    firsts = vb.groupBy(*keys, "_bucket").agg(F.max(value).alias("_first"))
-    firsts = firsts.withColumn("_next_first", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")))
-    in_bucket = F.lead(value).over(Window.partitionBy(*keys, "_bucket").orderBy(v.desc_nulls_last()))
-    nxt = (join_null_safe(vb.withColumn("_in", in_bucket), firsts, [*keys, "_bucket"])
-           .select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"), "_last_tie",
-                   F.when(F.col("_in").isNotNull() | F.col(value).isNull(), F.col("_in"))
-                    .otherwise(F.col("_next_first")).alias("_next")))
+    out_cols = [*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"), "_last_tie"]
+    if _use_window(vc, keys, buckets, window_limit):
+        nxt = vc.select(*out_cols, F.lead(value).over(Window.partitionBy(*keys).orderBy(v.desc_nulls_last()))
+                        .alias("_next"))
+    else:
+        vb = _value_buckets(vc, value, _n_buckets(spark, buckets), False, accuracy)
+        firsts = vb.groupBy(*keys, "_bucket").agg(F.max(value).alias("_first"))
+        firsts = firsts.withColumn("_next_first",
+                                   F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")))
+        in_bucket = F.lead(value).over(Window.partitionBy(*keys, "_bucket").orderBy(v.desc_nulls_last()))
+        nxt = (join_null_safe(vb.withColumn("_in", in_bucket), firsts, [*keys, "_bucket"])
+               .select(*out_cols,
+                       F.when(F.col("_in").isNotNull() | F.col(value).isNull(), F.col("_in"))
+                        .otherwise(F.col("_next_first")).alias("_next")))
     cond = [df[k].eqNullSafe(nxt["_k_" + k]) for k in keys] + [df[value].eqNullSafe(nxt["_v"])]
     j = df.join(nxt, cond)
     gap = F.when(F.col(tie) == F.col("_last_tie"), v - F.col("_next")).otherwise(v - v)
@@ -134,27 +174,36 @@ def distributed_median(df: DataFrame, keys: Sequence[str], value: str, name: str
 
 
 def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-                       buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+                       buckets: int | None = None, accuracy: int = 10000,
+                       window_limit: int = WINDOW_LIMIT) -> DataFrame:
     """``distributed_median`` on distinct (group, value) counts ``_n``.
 
-    The counts are cut into quantile buckets; prefix counts (per-bucket
-    totals, then a running sum inside each bucket) give each distinct value's
-    position range, and the values covering the middle position(s) are
-    averaged."""
+    Prefix counts give each distinct value's position range, and the values
+    covering the middle position(s) are averaged. The prefix counts come from
+    one running sum over each group's distinct values when the largest group
+    passes the size check (see ``distributed_rank``); otherwise from
+    quantile buckets (per-bucket totals, then a running sum inside each
+    bucket)."""
     spark = vc.sparkSession
     k = list(keys)
     vc = vc.where(F.col(value).isNotNull())
-    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), True, accuracy)
-    per = vb.groupBy(*k, "_bucket").agg(F.sum("_n").alias("_bn"))
-    before_b = F.sum("_bn").over(Window.partitionBy(*k).orderBy("_bucket")
-                                 .rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(*k, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
-                     F.sum("_bn").over(Window.partitionBy(*k)).alias("_total"))
-    inside = F.sum("_n").over(Window.partitionBy(*k, "_bucket").orderBy(F.col(value))
-                              .rowsBetween(Window.unboundedPreceding, -1))
-    pos = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*k, "_bucket"])
-           .withColumn("_lo", F.col("_before") + F.col("_inside") + 1)
-           .withColumn("_hi", F.col("_lo") + F.col("_n") - 1))
+    if _use_window(vc, k, buckets, window_limit):
+        before = F.sum("_n").over(Window.partitionBy(*k).orderBy(F.col(value))
+                                  .rowsBetween(Window.unboundedPreceding, -1))
+        pos = vc.select(*k, value, "_n", (F.coalesce(before, F.lit(0)) + 1).alias("_lo"),
+                        F.sum("_n").over(Window.partitionBy(*k)).alias("_total"))
+    else:
+        vb = _value_buckets(vc, value, _n_buckets(spark, buckets), True, accuracy)
+        per = vb.groupBy(*k, "_bucket").agg(F.sum("_n").alias("_bn"))
+        before_b = F.sum("_bn").over(Window.partitionBy(*k).orderBy("_bucket")
+                                     .rowsBetween(Window.unboundedPreceding, -1))
+        per = per.select(*k, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
+                         F.sum("_bn").over(Window.partitionBy(*k)).alias("_total"))
+        inside = F.sum("_n").over(Window.partitionBy(*k, "_bucket").orderBy(F.col(value))
+                                  .rowsBetween(Window.unboundedPreceding, -1))
+        pos = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*k, "_bucket"])
+               .withColumn("_lo", F.col("_before") + F.col("_inside") + 1))
+    pos = pos.withColumn("_hi", F.col("_lo") + F.col("_n") - 1)
     m1 = F.floor((F.col("_total") + 1) / 2)       # lower middle position (1-based)
     m2 = F.ceil((F.col("_total") + 1) / 2)        # upper middle position
     hit1 = (F.col("_lo") <= m1) & (m1 <= F.col("_hi"))

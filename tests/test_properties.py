@@ -52,6 +52,10 @@ def test_distributed_rank_equals_window_rank(spark):
         got = distributed_rank(df, "v", ["g"], ascending=asc, buckets=5).select("id", F.col("rank").alias("r"),
                                                                                 F.col("n_total").alias("n"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        # no forced bucket count: the size check picks one window over distinct values
+        got_w = distributed_rank(df, "v", ["g"], ascending=asc).select("id", F.col("rank").alias("r"),
+                                                                       F.col("n_total").alias("n"))
+        assert sorted(map(tuple, got_w.collect())) == sorted(map(tuple, want.collect()))
         g1 = distributed_rank(df.where("g = 'a'"), "v", ascending=asc, buckets=1).select("id", "rank")
         w1 = df.where("g = 'a'").select("id", F.rank().over(Window.orderBy(order)).cast("bigint").alias("rank"))
         assert sorted(map(tuple, g1.collect())) == sorted(map(tuple, w1.collect()))
@@ -69,7 +73,7 @@ def test_distributed_gap_to_next_equals_lead(spark):
     df = _gap_median_frame(spark)
     w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last(), F.col("unit"))
     want = df.select("g", "unit", (F.col("v") - F.lead("v").over(w)).alias("gap"))
-    for b in (1, 3, 7):
+    for b in (None, 1, 3, 7):
         got = distributed_gap_to_next(df, ["g"], "v", "unit", buckets=b).select("g", "unit", F.col("gap_to_next").alias("gap"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -78,6 +82,16 @@ def test_distributed_median_equals_median(spark):
     from inkwell.operators.ranking import distributed_median
     df = _gap_median_frame(spark)
     want = df.groupBy("g").agg(F.median("v").alias("m"))
-    for b in (1, 4, 9):
+    for b in (None, 1, 4, 9):
         got = distributed_median(df, ["g"], "v", "m", buckets=b)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_size_check_switches_to_buckets(spark):
+    """A group over the window limit takes the bucket path; same ranks."""
+    from inkwell.operators import ranking
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 37).cast("double").alias("v"))
+    small = ranking.distributed_rank(df, "v", window_limit=1_000_000).select("id", "rank")
+    big = ranking.distributed_rank(df, "v", window_limit=10).select("id", "rank")
+    assert ranking._largest_group(df.groupBy("v").count(), []) == 37
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
