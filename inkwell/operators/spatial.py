@@ -1,42 +1,65 @@
 """Point-in-area join.
 
-Every area is cut into grid cells covering its bounding box; every point gets
-the cell it falls in; an equi-join on the cell key pairs each point with the
-few areas that might contain it, and a ray-casting test written as a Spark
-higher-order expression (no UDF) decides. Points in no area keep a null area.
+Every area is cut into grid cells covering its bounding box; each cell key
+carries the list of areas whose box touches it (with the box and the ring's
+edges). Every point looks up its own cell at each grid level with an
+equi-join - at most one candidate row per level, so the point row is never
+multiplied - and keeps the candidates whose ring contains it (ray casting
+written as Spark higher-order expressions, no UDF). Hits of all levels are
+exploded; a point in no area keeps one row with a null area.
 
 Large areas would explode into many cells, so the grid has levels: an area
 uses the finest level at which it needs at most ``max_cells`` cells (the
-coarsest level takes the rest, uncapped). Points get one cell key per level.
-Nothing is dropped or capped; every join is an equi-join, and a hot cell is
-split by AQE's skew handling or avoided when the cell table is broadcast by
-Spark's own size threshold.
+coarsest level takes the rest, uncapped). Nothing is dropped or capped.
+
+The candidate table is broadcast only after a size check (one count over the
+area cells against the session's ``autoBroadcastJoinThreshold``); then the
+points are never shuffled. Beyond the threshold each level is a shuffle join
+on the cell key, and a hot cell is split by AQE's skew-join handling.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Ray casting with the half-open rule: for each edge (j -> i) count a crossing
-# when the edge straddles the point's horizontal line and the crossing lies to
-# the right of the point. Points on a left/bottom edge are in, on a right/top
-# edge out.
-_RAY_CAST = """
-aggregate(sequence(0, size({ring}) - 1), false, (acc, i) ->
-  acc != coalesce(
-    (({ring}[i].y > {py}) != ({ring}[(i + size({ring}) - 1) % size({ring})].y > {py}))
-    AND ({px} < try_divide(({ring}[(i + size({ring}) - 1) % size({ring})].x - {ring}[i].x) * ({py} - {ring}[i].y),
-                           {ring}[(i + size({ring}) - 1) % size({ring})].y - {ring}[i].y) + {ring}[i].x),
-    false))
-"""
+from inkwell.session import broadcast_threshold
+
+# Rough in-memory bytes of one candidate row (key, box) and of one edge, for
+# the broadcast size check.
+_ROW_BYTES = 96
+_EDGE_BYTES = 48
+
+
+def ring_edges(ring: Column) -> Column:
+    """array<struct<x1, y1, y2, dxdy>>: each vertex with its predecessor (the
+    ring closes implicitly, so the first vertex pairs with the last), and
+    the edge's inverse slope (null for a horizontal edge, which no
+    horizontal ray straddles)."""
+    prev = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.size(ring) - 1))
+    return F.transform(F.arrays_zip(ring.alias("a"), prev.alias("b")),
+                       lambda z: F.struct(z["a"]["x"].alias("x1"), z["a"]["y"].alias("y1"),
+                                          z["b"]["y"].alias("y2"),
+                                          F.try_divide(z["b"]["x"] - z["a"]["x"],
+                                                       z["b"]["y"] - z["a"]["y"]).alias("dxdy")))
+
+
+def inside_edges(edges: Column, px: Column, py: Column) -> Column:
+    """Ray casting with the half-open rule: count the edges that straddle the
+    point's horizontal line and cross it to the right of the point; odd means
+    inside. Points on a left/bottom edge are in, on a right/top edge out."""
+    def crosses(e):
+        straddles = (e["y1"] > py) != (e["y2"] > py)
+        return straddles & (px < e["x1"] + e["dxdy"] * (py - e["y1"]))
+    return (F.size(F.filter(edges, crosses)) % 2) == 1
 
 
 def ray_cast(ring: str, px: str, py: str) -> Column:
     """True when (px, py) is inside the ring (array<struct<x, y>>)."""
-    return F.expr(_RAY_CAST.format(ring=ring, px=px, py=py))
+    return inside_edges(ring_edges(F.col(ring)), F.col(px), F.col(py))
 
 
 def _bbox(areas: DataFrame, ring: str) -> DataFrame:
@@ -46,10 +69,8 @@ def _bbox(areas: DataFrame, ring: str) -> DataFrame:
                               "_ymin": F.array_min(ys), "_ymax": F.array_max(ys)})
 
 
-def area_cells(areas: DataFrame, cell: float, levels: Sequence[int], max_cells: int,
-               ring: str = "ring") -> DataFrame:
-    """(area, ring, level, cx, cy) for every grid cell an area's box touches."""
-    b = _bbox(areas, ring)
+def _cells(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int) -> DataFrame:
+    """Add ``_level`` and explode to one row per grid cell ``(_cx, _cy)`` the box touches."""
     level = None
     for i, factor in enumerate(levels):
         size = cell * factor
@@ -61,18 +82,17 @@ def area_cells(areas: DataFrame, cell: float, levels: Sequence[int], max_cells:
             cond = n <= max_cells
             level = F.when(cond, F.lit(i)) if level is None else level.when(cond, F.lit(i))
     sizes = F.element_at(F.array(*[F.lit(float(cell * f)) for f in levels]), F.col("_level") + 1)
-    b = b.withColumn("_level", level).withColumn("_size", sizes)
+    b = boxed.withColumn("_level", level).withColumn("_size", sizes)
     cx = F.explode(F.sequence(F.floor(F.col("_xmin") / F.col("_size")), F.floor(F.col("_xmax") / F.col("_size"))))
     cells = b.select("*", cx.alias("_cx"))
     cy = F.explode(F.sequence(F.floor(F.col("_ymin") / F.col("_size")), F.floor(F.col("_ymax") / F.col("_size"))))
-    return cells.select("*", cy.alias("_cy")).drop("_xmin", "_xmax", "_ymin", "_ymax", "_size")
+    return cells.select("*", cy.alias("_cy")).drop("_size")
 
 
-def point_cells(points: DataFrame, cell: float, levels: Sequence[int], x: str = "x", y: str = "y") -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(i).alias("_level"),
-                              F.floor(F.col(x) / (cell * f)).alias("_cx"),
-                              F.floor(F.col(y) / (cell * f)).alias("_cy")) for i, f in enumerate(levels)])
-    return points.select("*", F.inline(keys))
+def area_cells(areas: DataFrame, cell: float, levels: Sequence[int], max_cells: int,
+               ring: str = "ring") -> DataFrame:
+    """(area columns, level, cx, cy) for every grid cell an area's box touches."""
+    return _cells(_bbox(areas, ring), cell, levels, max_cells).drop("_xmin", "_xmax", "_ymin", "_ymax")
 
 
 def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0,
@@ -82,17 +102,34 @@ def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0,
     """Each point with every area containing it; a point in none gets one row
     with a null area. Output: point columns + ``area_key``.
 
-    Points are read once: one row per (point, grid level) is left-joined on
-    the cell key with the ray-cast as the join condition, and a window over
-    each point's few rows (levels + matches) keeps either its hits or a
-    single null row."""
-    cells = area_cells(areas.select(area_key, ring), cell, levels, max_cells, ring)
-    pts = point_cells(points, cell, levels, x, y)
-    cond = ((pts["_level"] == cells["_level"]) & (pts["_cx"] == cells["_cx"]) & (pts["_cy"] == cells["_cy"])
-            & ray_cast(ring, x, y))
-    cand = pts.join(cells, cond, "left").select(*[pts[c] for c in points.columns], cells[area_key])
-    w = Window.partitionBy(point_key)
-    keep = F.col(area_key).isNotNull() | (
-        (F.count(area_key).over(w) == 0)
-        & (F.row_number().over(w.orderBy(F.lit(0))) == 1))
-    return cand.withColumn("_keep", keep).where("_keep").drop("_keep")
+    An area sits at exactly one level, and a point in exactly one cell per
+    level, so each area is a candidate of a point at most once: no
+    de-duplication (and no shuffle of the points) is needed."""
+    boxed = _bbox(areas.select(area_key, ring), ring).withColumn("_edges", ring_edges(F.col(ring)))
+    cells = _cells(boxed.drop(ring), cell, levels, max_cells)
+    cand = (cells.groupBy("_level", "_cx", "_cy")
+            .agg(F.collect_list(F.struct(area_key, "_xmin", "_xmax", "_ymin", "_ymax", "_edges")).alias("_cands")))
+
+    # Size check of the candidate table before any broadcast.
+    limit = broadcast_threshold(areas.sparkSession)
+    stats = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("_edges")).alias("edges")).first()
+    est = (stats["rows"] or 0) * _ROW_BYTES + (stats["edges"] or 0) * _EDGE_BYTES
+    small = 0 <= est <= limit
+
+    px, py = F.col(x), F.col(y)
+    p = points
+    hits = []
+    for i, factor in enumerate(levels):
+        size = cell * factor
+        ci = cand.where(F.col("_level") == i).select(
+            F.col("_cx").alias(f"_cx{i}"), F.col("_cy").alias(f"_cy{i}"), F.col("_cands").alias(f"_c{i}"))
+        p = (p.withColumns({f"_cx{i}": F.floor(px / size), f"_cy{i}": F.floor(py / size)})
+             .join(F.broadcast(ci) if small else ci, [f"_cx{i}", f"_cy{i}"], "left"))
+
+        def contains(c):
+            in_box = (c["_xmin"] <= px) & (px <= c["_xmax"]) & (c["_ymin"] <= py) & (py <= c["_ymax"])
+            return in_box & inside_edges(c["_edges"], px, py)
+        hits.append(F.transform(F.filter(F.col(f"_c{i}"), contains), lambda c: c[area_key]))
+    none = F.array().cast(T.ArrayType(areas.schema[area_key].dataType))
+    found = F.concat(*[F.coalesce(h, none) for h in hits])
+    return p.select(*points.columns, F.explode_outer(found).alias(area_key))

@@ -75,3 +75,14 @@ def materialize(df):
     Reliable checkpoint files survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def broadcast_threshold(spark: SparkSession) -> int:
+    """The session's ``autoBroadcastJoinThreshold`` in bytes (-1: never)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")).strip().lower()
+    num = raw.rstrip("bkmg")
+    unit = raw[len(num):] or "b"
+    return int(float(num) * _UNITS.get(unit, 1))

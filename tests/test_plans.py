@@ -64,3 +64,11 @@ def test_decode_pushes_key_and_prunes_columns_on_staged_table(spark):
     assert ("ReadSchema: struct<geo_id:string,b90001_e001:double,b90001_m001:double,"
             "b90001_e002:double,b90001_m002:double>") in plan
     assert {r.var for r in df.collect()} == {"b90001_001", "b90001_002"}
+
+
+def test_point_in_area_never_shuffles_points_when_areas_are_small(spark):
+    """Small candidate table (size-checked): broadcast lookups per grid level,
+    no window or shuffle join over the points."""
+    plan = _plan(E.queries()["point_in_area_join"](spark, SF_SMALL))
+    assert plan.count("BroadcastHashJoin") == 2
+    assert "SortMergeJoin" not in plan and "Window" not in plan
