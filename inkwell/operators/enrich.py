@@ -247,10 +247,14 @@ def compare_models(classified: DataFrame, models: Sequence[str], key: str = "doc
     return wide.withColumn("n_agree", agree.cast("int")).drop(*[c for c in wide.columns if c.startswith("_")])
 
 
-def gold_labels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Gold record for rows with labels, as one struct ``gold`` per row: the A
-    rule, except protagonist gender is 'unknown' for low-quality rows and the
-    setting time is 'future' for toxic rows. Column expressions only."""
+GOLD_INPUTS = ("n_chars", "lang", "quality", "toxic")
+
+
+def gold_record(key: str = "doc_id") -> Column:
+    """Gold record as one struct (null for rows without labels): the A rule,
+    except protagonist gender is 'unknown' for low-quality rows and the
+    setting time is 'future' for toxic rows. Reads ``key`` and
+    ``GOLD_INPUTS`` of the same row; column expressions only."""
     k, n = F.col(key), F.col("n_chars")
 
     def pick(values, idx):
@@ -271,18 +275,28 @@ def gold_labels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         "setting_time": F.when(F.col("toxic") == 1, F.lit("future")).otherwise(pick(SETTING_TIMES, n % 3)),
         "setting_location": pick(SETTING_LOCATIONS, k % 7),
     }
-    return (rows.where(F.col("quality").isNotNull())
-            .select(key, F.struct(*[v.alias(a) for a, v in gold.items()]).alias("gold")))
+    return F.when(F.col("quality").isNotNull(), F.struct(*[v.alias(a) for a, v in gold.items()]))
+
+
+def gold_labels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, gold) for the rows that have labels."""
+    return rows.where(F.col("quality").isNotNull()).select(key, gold_record(key).alias("gold"))
 
 
-def model_scorecard(classified: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
+def model_scorecard(classified: DataFrame, gold: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """Correct attributes per row and model, accuracy per model, the winner and
     total cost. Every gold-labelled row counts (a failed classification scores
     0 of 11); the cost covers every classified row.
 
-    One pass over the classifier output: a left join to the gold struct, a
-    per-row score expression, one aggregation by model."""
-    j = classified.join(gold, key, "left")
+    One pass over the classifier output and one aggregation by model. Gold
+    labels either travel with the rows through the classifier (``gold`` is
+    None: the classifier output carries ``GOLD_INPUTS`` as passthrough
+    columns, so no join is needed) or come as a ``(key, gold)`` frame that
+    is left-joined."""
+    if gold is None:
+        j = classified.withColumn("gold", gold_record(key))
+    else:
+        j = classified.join(gold, key, "left")
     r, g = F.col("result"), F.col("gold")
     score = sum(F.coalesce(r[a] == g[a], F.lit(False)).cast("int") for a in ATTRIBUTES)
     has_gold = g.isNotNull()

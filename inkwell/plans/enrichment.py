@@ -150,8 +150,9 @@ SELECT model, n_rows, n_correct, n_perfect, {r6('accuracy', 'accuracy')}, {r6('t
        row_number() OVER (ORDER BY accuracy DESC, model) = 1 AS is_winner FROM j""")
 def model_scorecard(spark, sf_dir):
     """Correct attributes against gold labels per model: rows, correct, perfect rows, accuracy, cost, winner."""
-    rows = _rows(spark, sf_dir)
-    return finish(enrich.model_scorecard(_classified(spark, sf_dir), enrich.gold_labels(rows)))
+    cls = enrich.classify_rows(_rows(spark, sf_dir), MODELS, enrich.rule_models(), backoff_base=0,
+                               passthrough=list(enrich.GOLD_INPUTS))
+    return finish(enrich.model_scorecard(cls))
 
 
 @query("enum_schema", sql=CLS + """
