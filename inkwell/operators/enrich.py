@@ -290,8 +290,8 @@ def model_scorecard(classified: DataFrame, gold: DataFrame | None = None, key: s
 
     One pass over the classifier output and one aggregation by model. Gold
     labels either travel with the rows through the classifier (``gold`` is
-    None: the classifier output carries ``GOLD_INPUTS`` as passthrough
-    columns, so no join is needed) or come as a ``(key, gold)`` frame that
+    None: the classifier output carries ``GOLD_INPUTS``, as passthrough
+    columns or joined to the output) or come as a ``(key, gold)`` frame that
     is left-joined."""
     if gold is None:
         j = classified.withColumn("gold", gold_record(key))

@@ -12,7 +12,7 @@ from inkwell.operators.enrich import ATTRIBUTES, ENUMS
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
 from inkwell.session import scratch_path
-from inkwell.sources.fixtures import f7_rows
+from inkwell.sources.fixtures import f7_labels, f7_rows
 from inkwell.sources.tables import Tables
 from inkwell.streaming.incremental import incremental_enrich as run_incremental
 
@@ -151,7 +151,9 @@ SELECT model, n_rows, n_correct, n_perfect, {r6('accuracy', 'accuracy')}, {r6('t
 def model_scorecard(spark, sf_dir):
     """Correct attributes against gold labels per model: rows, correct, perfect rows, accuracy, cost, winner."""
     cls = enrich.classify_rows(_rows(spark, sf_dir), MODELS, enrich.rule_models(), backoff_base=0,
-                               passthrough=list(enrich.GOLD_INPUTS))
+                               passthrough=["n_chars", "lang"])
+    # Labels meet the classifier output (no texts), never the documents.
+    cls = cls.join(f7_labels(Tables(spark, sf_dir)), "doc_id", "left")
     return finish(enrich.model_scorecard(cls))
 
 
@@ -178,10 +180,11 @@ FROM cls WHERE model = 'A' GROUP BY lang"""
 
 @query("classify_batches", sql=BATCH_SQL)
 def classify_batches(spark, sf_dir):
-    """All batches in one job. Rows are spread by their own key (not by the
-    batch key), so a batch holding a third of the rows still uses every task."""
+    """All batches in one job. Rows are classified in their scan splits
+    (sized by ``spark.sql.files.maxPartitionBytes``), which do not follow the
+    batch key, so a batch holding a third of the rows still uses every task
+    and the texts are never shuffled; only the per-batch partial sums are."""
     rows = _rows(spark, sf_dir)
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "doc_id")
     cls = enrich.classify_rows(rows, ["A"], enrich.rule_models(), backoff_base=0, passthrough=["lang"])
     return finish(cls.groupBy("lang").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"),

@@ -295,9 +295,15 @@ def f6_readings(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- F7
 def f7_rows(t: Tables) -> DataFrame:
-    """Rows to classify with gold labels where present."""
-    return (t.documents.select("doc_id", "text", "lang", "source", "n_chars")
-            .join(t.labels.select("doc_id", "quality", "toxic"), "doc_id", "left"))
+    """Rows to classify. No join here: the whole texts stay in their scan
+    splits; gold labels (``f7_labels``) are joined to the classifier's
+    small output where a job needs them."""
+    return t.documents.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def f7_labels(t: Tables) -> DataFrame:
+    """Gold inputs for some rows: doc_id, quality, toxic."""
+    return t.labels.select("doc_id", "quality", "toxic")
 
 
 # ---------------------------------------------------------------- F8
