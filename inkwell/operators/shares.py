@@ -90,9 +90,16 @@ def group_total_of_selected(long_df: DataFrame, groups: Mapping[str, Sequence[st
 
 def share_of_group_total(df: DataFrame, group: Sequence[str], value: str,
                          name: str = "share") -> DataFrame:
-    """value / sum(value) over the group (run on aggregated rows)."""
-    w = Window.partitionBy(*group)
-    return df.withColumn(name, safe_div(F.col(value), F.sum(value).over(w)))
+    """value / sum(value) over the group (a null group is a group).
+
+    Group totals come from one partial aggregation (a group holding a third
+    of the rows collapses map-side) and are joined back on the group key, so
+    no task ever holds a whole group; the totals side is broadcast when
+    Spark's size check allows, else AQE splits a hot key's partition."""
+    from inkwell.operators.ranking import join_null_safe
+    totals = df.groupBy(*group).agg(F.sum(value).alias("_group_total"))
+    out = join_null_safe(df, totals, list(group))
+    return out.select(*df.columns, safe_div(F.col(value), F.col("_group_total")).alias(name))
 
 
 def stats_by_category(df: DataFrame, keys: Sequence[str], value: str,

@@ -123,3 +123,16 @@ def test_point_in_area_large_area_uses_coarse_level(spark):
     pts = spark.createDataFrame([(1, 999.0, 999.0), (2, 1000.0, 10.0)], "point_id long, x double, y double")
     got = {r.point_id: r.area_id for r in spatial.point_in_area_join(pts, areas, cell=5.0).collect()}
     assert got == {1: 9, 2: None}
+
+
+def test_share_of_group_total_null_group_and_hot_key(spark):
+    rows = [("a", 1.0)] * 30 + [("b", 2.0), ("b", 6.0), (None, 1.0), (None, 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = shares.share_of_group_total(df, ["g"], "v").collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append(None if r.share is None else round(r.share, 9))
+    assert by["a"] == [round(1 / 30, 9)] * 30
+    assert sorted(by["b"]) == [0.25, 0.75] and sorted(by[None]) == [0.25, 0.75]
+    assert by["c"] == [None]
