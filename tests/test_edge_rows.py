@@ -136,3 +136,27 @@ def test_share_of_group_total_null_group_and_hot_key(spark):
     assert by["a"] == [round(1 / 30, 9)] * 30
     assert sorted(by["b"]) == [0.25, 0.75] and sorted(by[None]) == [0.25, 0.75]
     assert by["c"] == [None]
+
+
+def test_point_in_area_without_broadcast_gives_the_same_rows(spark):
+    """Beyond the size check each grid level is a shuffle join; same result."""
+    def square(x0, y0, w):
+        return [{"x": x0, "y": y0}, {"x": x0 + w, "y": y0}, {"x": x0 + w, "y": y0 + w}, {"x": x0, "y": y0 + w}]
+
+    areas = spark.createDataFrame([(1, square(0.0, 0.0, 5.0)), (2, square(0.0, 0.0, 400.0)), (3, square(50.0, 50.0, 5.0))],
+                                  "area_id long, ring array<struct<x:double,y:double>>")
+    pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 51.0, 52.0), (3, 300.0, 10.0), (4, 500.0, 500.0), (5, None, 1.0)],
+                                "point_id long, x double, y double")
+    want = sorted(map(tuple, spatial.point_in_area_join(pts, areas, cell=5.0).collect()), key=repr)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spatial.point_in_area_join(pts, areas, cell=5.0)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, df.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert got == want
+    assert sorted((r[0], r[3]) for r in got if r[0] != 5) == [(1, 1), (1, 2), (2, 2), (2, 3), (3, 2), (4, None)]
+    assert [r[3] for r in got if r[0] == 5] == [None]
