@@ -44,3 +44,28 @@ def strict_sum(x) -> Column:
 def round6(x) -> Column:
     """Final rounding of reported doubles (keeps oracle hashes stable)."""
     return F.round(_c(x), 6)
+
+
+# Odd multiplier and mask of the 32-bit key scramble below.
+MIX_MULTIPLIER = 1540483477
+MASK32 = 0xFFFFFFFF
+
+
+def mix32(key, seed: int) -> Column:
+    """Repeatable scramble of an integer key's low 32 bits: multiply by an odd
+    constant and add the seed (mod 2^32), then three xorshift steps. Each step
+    is a bijection on 32 bits, so distinct keys never tie; only integer
+    arithmetic below 2^63 is used, so any SQL engine gets the same value."""
+    m = F.lit(MASK32)
+    x = (_c(key).bitwiseAND(m) * F.lit(MIX_MULTIPLIER) + F.lit(seed)).bitwiseAND(m)
+    x = x.bitwiseXOR(F.shiftleft(x, 13).bitwiseAND(m))
+    x = x.bitwiseXOR(F.shiftright(x, 17))
+    return x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(m))
+
+
+def mix32_sql(key: str, seed: int) -> str:
+    """``mix32`` as SQL text (for the oracle)."""
+    x = f"(({key} & {MASK32}) * {MIX_MULTIPLIER} + {seed}) & {MASK32}"
+    x = f"xor({x}, (({x}) << 13) & {MASK32})"
+    x = f"xor({x}, ({x}) >> 17)"
+    return f"xor({x}, (({x}) << 5) & {MASK32})"

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.numeric import safe_div
+from inkwell.functions.numeric import mix32, safe_div
 from inkwell.session import materialize
 
 
@@ -240,9 +240,10 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n pseudo-random rows, repeatable: order by a seeded hash of the
-    key and take n (a distributed top-n, no full sort)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Exactly n pseudo-random rows, repeatable: order by a seeded scramble
+    of the key (``mix32``) and take n. Planned as a distributed top-n (each
+    task keeps n rows), no full sort."""
+    return df.orderBy(mix32(F.col(key), seed), F.col(key)).limit(n)
 
 
 def yoy_point_change(df: DataFrame, unit: Sequence[str], value: str, year: str = "year") -> DataFrame:

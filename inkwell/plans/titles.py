@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.functions.numeric import safe_div
+from inkwell.functions.numeric import mix32_sql, safe_div
 from inkwell.operators import ranking, shares
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
@@ -20,6 +20,7 @@ T3 = O.with_(O.f3())
 GENRE = "ECONOMY"
 TOPK = 15
 LO, HI = 20, 54
+SAMPLE_N, SAMPLE_SEED = 10, 42
 
 RAW_SCHEMA = T.StructType([
     T.StructField("title_id", T.LongType()), T.StructField("title", T.StringType()),
@@ -115,10 +116,12 @@ def topk_per_group(spark, sf_dir):
     return finish(ranking.topk_per_group(df, ["state"], [F.col("rating").desc_nulls_last(), F.col("title_id")], TOPK))
 
 
-@query("sample_n")
+@query("sample_n", sql=T3 + f"""
+SELECT title_id, title, state FROM f3 ORDER BY {mix32_sql('title_id', SAMPLE_SEED)}, title_id LIMIT {SAMPLE_N}""")
 def sample_n(spark, sf_dir):
-    """Exactly 10 repeatable pseudo-random titles (rows-only check: the hash is Spark's)."""
-    return ranking.sample_n(_titles(spark, sf_dir).select("title_id", "title", "state"), "title_id", 10)
+    """Exactly 10 repeatable pseudo-random titles (seeded integer scramble of the key)."""
+    return ranking.sample_n(_titles(spark, sf_dir).select("title_id", "title", "state"), "title_id", SAMPLE_N,
+                            SAMPLE_SEED)
 
 
 @query("leaderboard_count", sql=T3 + f"""

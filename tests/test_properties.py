@@ -95,3 +95,12 @@ def test_size_check_switches_to_buckets(spark):
     big = ranking.distributed_rank(df, "v", window_limit=10).select("id", "rank")
     assert ranking._largest_group(df.groupBy("v").count(), []) == 37
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+
+
+def test_mix32_never_ties_and_sample_is_a_top_n(spark):
+    from inkwell.functions.numeric import mix32
+    from inkwell.operators.ranking import sample_n
+    keys = spark.range(0, 200000)
+    assert keys.select(mix32(F.col("id"), 42).alias("h")).distinct().count() == 200000
+    plan = sample_n(keys, "id", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
