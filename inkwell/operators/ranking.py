@@ -95,10 +95,34 @@ def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), a
     the distinct-value aggregate and the join back - so it is materialized
     once in the shared checkpoint folder first. ``buckets`` forces step 3.
     """
-    spark = df.sparkSession
     if materialize_input:
         df = materialize(df)
-    keys = list(partition)
+    ranked = _rank_table(df, value, list(partition), ascending, buckets, accuracy, window_limit)
+    return _join_ranks(df, ranked, value, list(partition))
+
+
+def distributed_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], bool, str]],
+                      buckets: int | None = None, accuracy: int = 10000,
+                      window_limit: int = WINDOW_LIMIT) -> DataFrame:
+    """Several ``distributed_rank`` columns over one input, materialized once.
+
+    ``specs``: (value, partition, ascending, name); adds ``name`` (the rank)
+    for each. Every rank table is built from the same checkpointed input and
+    joined back in turn, so the input is neither recomputed nor
+    re-checkpointed per rank."""
+    df = materialize(df)
+    out = df
+    for value, partition, ascending, name in specs:
+        ranked = (_rank_table(df, value, list(partition), ascending, buckets, accuracy, window_limit)
+                  .drop("n_total").withColumnRenamed("rank", name))
+        out = _join_ranks(out, ranked, value, list(partition))
+    return out
+
+
+def _rank_table(df: DataFrame, value: str, keys: list[str], ascending: bool, buckets: int | None,
+                accuracy: int, window_limit: int) -> DataFrame:
+    """(``_k_<key>``..., ``_v``, rank, n_total): one row per distinct (group, value)."""
+    spark = df.sparkSession
     v = F.col(value)
     order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
     vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -106,21 +130,24 @@ def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), a
     if _use_window(vc, keys, buckets, window_limit):
         before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order)
                                   .rowsBetween(Window.unboundedPreceding, -1))
-        ranked = vc.select(*out_cols, (F.lit(1) + F.coalesce(before, F.lit(0))).cast("bigint").alias("rank"),
-                           F.sum("_n").over(Window.partitionBy(*keys)).cast("bigint").alias("n_total"))
-    else:
-        vb = _value_buckets(vc, value, _n_buckets(spark, buckets), ascending, accuracy)
-        per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
-        before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
-                                     .rowsBetween(Window.unboundedPreceding, -1))
-        per = per.select(*keys, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
-                         F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
-        inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
-                                  .rowsBetween(Window.unboundedPreceding, -1))
-        ranked = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*keys, "_bucket"])
-                  .select(*out_cols,
-                          (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
-                          F.col("_total").cast("bigint").alias("n_total")))
+        return vc.select(*out_cols, (F.lit(1) + F.coalesce(before, F.lit(0))).cast("bigint").alias("rank"),
+                         F.sum("_n").over(Window.partitionBy(*keys)).cast("bigint").alias("n_total"))
+    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), ascending, accuracy)
+    per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
+    before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*keys, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
+                     F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    return (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*keys, "_bucket"])
+            .select(*out_cols,
+                    (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
+                    F.col("_total").cast("bigint").alias("n_total")))
+
+
+def _join_ranks(df: DataFrame, ranked: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Rows joined to their (group, value) rank row, null-safe."""
     cond = [df[k].eqNullSafe(ranked["_k_" + k]) for k in keys] + [df[value].eqNullSafe(ranked["_v"])]
     return df.join(ranked, cond).drop(*["_k_" + k for k in keys], "_v")
 

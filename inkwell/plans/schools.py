@@ -100,9 +100,9 @@ def rank_improvement(spark, sf_dir):
     """Rank by change and by level (both directions) among each year's units,
     with the distributed rank (no year-sized window group)."""
     df = _school_change(spark, sf_dir).select("school", "year", "rate", "change")
-    df = ranking.distributed_rank(df, "change", ["year"]).withColumnRenamed("rank", "rank_change").drop("n_total")
-    df = ranking.distributed_rank(df, "rate", ["year"]).withColumnRenamed("rank", "rank_level_high").drop("n_total")
-    df = ranking.distributed_rank(df, "rate", ["year"], ascending=True).withColumnRenamed("rank", "rank_level_low")
+    df = ranking.distributed_ranks(df, [("change", ["year"], False, "rank_change"),
+                                        ("rate", ["year"], False, "rank_level_high"),
+                                        ("rate", ["year"], True, "rank_level_low")])
     return finish(df.select("school", "year", "rate", "change", "rank_change", "rank_level_high", "rank_level_low"))
 
 
@@ -115,8 +115,8 @@ def rank_within_cohort(spark, sf_dir):
     """Rank by change among the same grade, and among all grades, per year."""
     sg = ranking.yoy_point_change(_rollup(_scores(spark, sf_dir), ["district", "school", "grade", "year"]),
                                   ["school", "grade"], "rate").select("school", "grade", "year", "change")
-    df = ranking.distributed_rank(sg, "change", ["year", "grade"]).withColumnRenamed("rank", "rank_in_grade")
-    df = ranking.distributed_rank(df.drop("n_total"), "change", ["year"]).withColumnRenamed("rank", "rank_any_grade")
+    df = ranking.distributed_ranks(sg, [("change", ["year", "grade"], False, "rank_in_grade"),
+                                        ("change", ["year"], False, "rank_any_grade")])
     return finish(df.select("school", "grade", "year", "change", "rank_in_grade", "rank_any_grade"))
 
 
