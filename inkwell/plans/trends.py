@@ -25,11 +25,13 @@ FIRST, LAST = F1_YEARS[0], F1_YEARS[-1]
 r6 = O.r6
 
 
-def _long(spark, sf_dir) -> DataFrame:
-    """F1 long, materialized once per job: the trend jobs read it in several
-    branches with different year filters, and each filter would otherwise be
-    pushed down into its own scan of ``orders``."""
-    return materialize(f1_long(Tables(spark, sf_dir)))
+def _long(spark, sf_dir, shared: bool = True) -> DataFrame:
+    """F1 long. ``shared``: materialized once per job, for jobs that read it
+    in several branches with different year filters (each filter would
+    otherwise be pushed down into its own scan of ``orders``). Jobs that
+    read it once pass ``shared=False`` and keep one plain pipeline."""
+    long_df = f1_long(Tables(spark, sf_dir))
+    return materialize(long_df) if shared else long_df
 
 
 def _harm(spark, sf_dir) -> DataFrame:
@@ -67,7 +69,7 @@ SELECT geo, parent, year, variable, {_cols(['estimate', 'moe'])} FROM f1_long
 WHERE year IN ({', '.join(map(str, SCAN_YEARS))}) AND variable IN ('{"', '".join(SCAN_VARS)}')""")
 def scan_vintages_long(spark, sf_dir):
     """Yearly extract restricted to listed years (one skipped) and variables."""
-    df = _long(spark, sf_dir).where(F.col("year").isin(SCAN_YEARS) & F.col("variable").isin(SCAN_VARS))
+    df = _long(spark, sf_dir, shared=False).where(F.col("year").isin(SCAN_YEARS) & F.col("variable").isin(SCAN_VARS))
     return finish(df)
 
 
@@ -79,7 +81,7 @@ V3_COLS = [c + s for c in V3_CODES for s in ("E", "M")]
        ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in V3_COLS) + " FROM f1_v3")
 def scan_vintages_wide(spark, sf_dir):
     """The last vintage of the yearly extract in wide code form."""
-    return finish(f1_wide(_long(spark, sf_dir), "v3"))
+    return finish(f1_wide(_long(spark, sf_dir, shared=False), "v3"))
 
 
 @query("scan_catalogue_by_year", sql=LC + "SELECT name, label, year FROM f1_catalogue")
@@ -100,14 +102,14 @@ def _pivot_sql(years, prefix="x", src="f1_long", keys="geo, variable"):
 @query("pivot_years", sql=L + _pivot_sql(F1_YEARS))
 def pivot_years(spark, sf_dir):
     """Yearly estimates pivoted to one column per year."""
-    return finish(reshape.pivot_years(_long(spark, sf_dir), ["geo", "variable"], F1_YEARS))
+    return finish(reshape.pivot_years(_long(spark, sf_dir, shared=False), ["geo", "variable"], F1_YEARS))
 
 
 @query("normalize_names_values", sql=L + _pivot_sql(F1_YEARS, keys="geo, variable").replace(
     "SELECT geo, variable,", "SELECT geo, lower(variable) AS variable,"))
 def normalize_names_values(spark, sf_dir):
     """Raw year names ('1995') and upper-case codes -> x1995 and lower case."""
-    raw = (_long(spark, sf_dir).select(F.col("geo").alias("Geo"), F.upper("variable").alias("VARIABLE"),
+    raw = (_long(spark, sf_dir, shared=False).select(F.col("geo").alias("Geo"), F.upper("variable").alias("VARIABLE"),
                                        "year", "estimate"))
     wide = raw.groupBy("Geo", "VARIABLE").pivot("year", F1_YEARS).agg(F.first("estimate"))
     return finish(io.normalize_names_values(wide))
@@ -166,7 +168,7 @@ SELECT geo, year, variable, {r6('estimate', 'estimate')},
 FROM f1_long""")
 def index_to_first(spark, sf_dir):
     """Each variable's estimate divided by the universe row of its geography and year."""
-    df = _long(spark, sf_dir).select("geo", "year", "variable", "estimate")
+    df = _long(spark, sf_dir, shared=False).select("geo", "year", "variable", "estimate")
     return finish(reshape.index_to_first(df, ["geo", "year"], ["variable"], ["estimate"]))
 
 
@@ -185,7 +187,7 @@ SELECT geo, year, band, {r6('sum(estimate)', 'estimate')}, {r6('sum(estimate_sca
 FROM s JOIN b USING (variable) GROUP BY geo, year, band""")
 def band_totals(spark, sf_dir):
     """Segments folded into named bands (one band non-contiguous), estimates and indexed shares summed per geography and year."""
-    long_df = _long(spark, sf_dir).select("geo", "year", "variable", "estimate")
+    long_df = _long(spark, sf_dir, shared=False).select("geo", "year", "variable", "estimate")
     scaled = reshape.index_to_first(long_df, ["geo", "year"], ["variable"], ["estimate"])
     band_map = spark.createDataFrame(list(BANDS.items()), "variable string, band string")
     return finish(shares.band_totals(scaled, band_map, ["geo", "year"], ["estimate", "estimate_scaled"]))
