@@ -104,3 +104,22 @@ def test_mix32_never_ties_and_sample_is_a_top_n(spark):
     assert keys.select(mix32(F.col("id"), 42).alias("h")).distinct().count() == 200000
     plan = sample_n(keys, "id", 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_distributed_ranks_equal_single_ranks(spark):
+    """Several ranks sharing one checkpoint equal the ranks taken one by one."""
+    from pyspark.sql import Window
+    from inkwell.operators.ranking import distributed_ranks
+    rows = [(i, g, float(v) if v is not None else None, float((7 * i) % 11))
+            for i, (g, v) in enumerate((g, v) for g in ("a", "b") for v in [5, 5, 3, None, 7, 1, 2, 9] * 3)]
+    df = spark.createDataFrame(rows, "id long, g string, v double, w double")
+    got = distributed_ranks(df, [("v", ["g"], False, "r_v"), ("w", [], True, "r_w")]).select("id", "r_v", "r_w")
+    want = df.select("id",
+                     F.rank().over(Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())).cast("bigint").alias("r_v"),
+                     F.rank().over(Window.orderBy(F.col("w").asc_nulls_last())).cast("bigint").alias("r_w"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_session_has_adaptive_skew_handling(spark):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
