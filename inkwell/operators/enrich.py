@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.sources.io import literal_table
+
 # ----------------------------------------------------------------- fixed values
 # The closed label set: 11 attributes; the three sub-genre attributes share one
 # 33-value list. Values and order as published with the classification job.
@@ -73,7 +75,7 @@ def output_schema(key: str, key_type: T.DataType, extra: Sequence[T.StructField]
 def allowed_values(spark) -> DataFrame:
     """The enum set as data: (attribute, value, position). ~100 rows, fixed."""
     rows = [(a, v, i + 1) for a, vals in ENUMS.items() for i, v in enumerate(vals)]
-    return spark.createDataFrame(rows, "attribute string, value string, position int")
+    return literal_table(spark, rows, "attribute string, value string, position int")
 
 
 # ----------------------------------------------------------------- classifiers

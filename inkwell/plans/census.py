@@ -243,11 +243,12 @@ FROM s""")
 def sort_desc_share(spark, sf_dir):
     """Leaf variables per geography by estimate descending, with share and position."""
     t = Tables(spark, sf_dir)
-    dic = f2_dictionary(t)
-    dec = reshape.decode_variables(f2_wide(t), dic)
+    # One dictionary join brings both the label and the leaf flag (the
+    # dictionary is built once, so ``customer`` is not read a third time).
+    dim = f2_dictionary(t).select(F.col("unique_id").alias("var"), "stub", "is_leaf")
+    dec = reshape.decode_variables(f2_wide(t)).drop("stub").join(dim, "var", "left")
     shared = shares.fixed_denominator_share(dec, UNIVERSE_VAR)
-    leaf = dic.where("is_leaf").select(F.col("unique_id").alias("var"))
-    df = shared.join(leaf, "var", "left_semi").where(F.col("var").startswith(F2_BASE + "_"))
+    df = shared.where(F.col("is_leaf") & F.col("var").startswith(F2_BASE + "_"))
     return finish(ranking.sort_desc_share(df, ["geo_id"], "e", "var").select("geo_id", "var", "stub", "e", "share", "pos"))
 
 

@@ -189,7 +189,7 @@ def band_totals(spark, sf_dir):
     """Segments folded into named bands (one band non-contiguous), estimates and indexed shares summed per geography and year."""
     long_df = _long(spark, sf_dir, shared=False).select("geo", "year", "variable", "estimate")
     scaled = reshape.index_to_first(long_df, ["geo", "year"], ["variable"], ["estimate"])
-    band_map = spark.createDataFrame(list(BANDS.items()), "variable string, band string")
+    band_map = io.literal_table(spark, BANDS.items(), "variable string, band string")
     return finish(shares.band_totals(scaled, band_map, ["geo", "year"], ["estimate", "estimate_scaled"]))
 
 
@@ -402,5 +402,5 @@ def fact_check(spark, sf_dir):
     metrics = yt.select("parent", "year", F.inline(F.array(*[
         F.struct(F.lit(g + "_percent").alias("metric"), (F.col(g + "_percent") * 100.0).alias("computed"))
         for g in GROUPS])))
-    claims = spark.createDataFrame(CLAIMS, "claim string, metric string, parent int, year int, value double, digits int")
+    claims = io.literal_table(spark, CLAIMS, "claim string, metric string, parent int, year int, value double, digits int")
     return finish(verify.fact_check(claims, metrics, ["metric", "parent", "year"]))

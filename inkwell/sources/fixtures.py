@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.numeric import decade
 from inkwell.functions.text import recode, title_strip_year, title_year, trim_all
+from inkwell.sources.io import literal_table
 from inkwell.sources.tables import Tables
 
 # The five market segments of the driver tables, in code order.
@@ -170,7 +171,8 @@ def f2_dictionary(t: Tables) -> DataFrame:
                     F.initcap(F.col("c_mktsegment")).alias("stub"),
                     F.lit(True).alias("is_leaf")))
     spark = t.spark
-    fixed = spark.createDataFrame(
+    fixed = literal_table(
+        spark,
         [(f"{F2_BASE}_001", "Total customers", False),
          (f"{F2_TRAP}_001", "Balance of 5000 or more", True),
          (f"{F2_TRAP}_002", "Balance under 5000", True)],
@@ -335,7 +337,7 @@ def f8_rectangles(spark) -> DataFrame:
 
 def f8_l_ring(spark) -> DataFrame:
     ring = [{"x": x, "y": y} for x, y in F8_L_RING]
-    return spark.createDataFrame([(100000, ring)], "area_id long, ring array<struct<x:double,y:double>>")
+    return literal_table(spark, [(100000, ring)], "area_id long, ring array<struct<x:double,y:double>>")
 
 
 def f5_vote_counts(t: Tables) -> DataFrame:

@@ -64,3 +64,27 @@ def sink_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
+
+
+def literal_table(spark: SparkSession, rows, schema: str | T.StructType) -> DataFrame:
+    """A small fixed table (a few hundred rows at most) as literals.
+
+    ``createDataFrame`` on a Python list gives an RDD whose size Spark cannot
+    estimate, so a join with it is planned as a shuffle join. Built as one
+    generated row set over ``range(1)``, the table's size is known when the
+    plan is made and Spark's own broadcast size check applies."""
+    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    rows = list(rows)
+    if not rows:
+        return spark.createDataFrame([], st)
+
+    def lit(v, dt):
+        if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType):
+            return F.array(*[lit(e, dt.elementType) for e in v]).cast(dt)
+        if isinstance(dt, T.StructType):
+            vals = [v.get(f.name) for f in dt.fields] if isinstance(v, dict) else list(v)
+            return F.struct(*[lit(x, f.dataType).alias(f.name) for x, f in zip(vals, dt.fields)])
+        return F.lit(v).cast(dt)
+
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

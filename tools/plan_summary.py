@@ -1,5 +1,11 @@
-"""Per-job plan census: parquet scans, shuffles, reused exchanges, join kinds,
-Python stages. usage: python tools/plan_summary.py [sf_dir] [key ...]"""
+"""Per-job plan census from the final (post-AQE) physical plan: parquet scans
+per table, shuffles, reused exchanges, join kinds, windows, Python stages.
+
+usage: python tools/plan_summary.py [sf_dir] [key ...]
+Each job's own plan is run once (collected: the check sizes are small) so
+that AQE settles it.
+Prints a markdown table (the body of PLANS.md).
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,22 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from inkwell.plans import QUERIES  # noqa: E402
 from inkwell.session import get_spark  # noqa: E402
+from inkwell.sources.tables import TABLES  # noqa: E402
+
+
+def census(plan: str) -> dict[str, str]:
+    def c(p):
+        return len(re.findall(p, plan))
+    scans = {t: c(rf"FileScan parquet [^\n]*/{t}\.parquet") for t in TABLES}
+    return {
+        "scans": " ".join(f"{t}×{n}" if n > 1 else t for t, n in scans.items() if n) or "-",
+        "shuffles": str(c(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobin)")),
+        "reused": str(c(r"ReusedExchange")),
+        "bhj": str(c(r"BroadcastHashJoin")),
+        "smj": str(c(r"SortMergeJoin")),
+        "window": str(c(r"\bWindow \[") + c(r"WindowGroupLimit")),
+        "python": str(c(r"MapInPandas|ArrowEvalPython|BatchEvalPython")),
+    }
 
 
 def main():
@@ -18,13 +40,15 @@ def main():
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     keys = [a for a in args if not a.startswith("/")] or sorted(QUERIES)
     spark = get_spark()
+    cols = ["scans", "shuffles", "reused", "bhj", "smj", "window", "python"]
+    print("| job | " + " | ".join(cols) + " |")
+    print("|---" * (len(cols) + 1) + "|")
     for k in keys:
         df = QUERIES[k](spark, sf_dir)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        c = lambda p: len(re.findall(p, plan))
-        print(f"{k:28s} scans={c(r'FileScan parquet')} shuffles={c(r'Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition|Exchange RoundRobin')} "
-              f"single={c(r'Exchange SinglePartition')} reused={c(r'ReusedExchange')} bhj={c(r'BroadcastHashJoin')} "
-              f"smj={c(r'SortMergeJoin')} bnlj={c(r'BroadcastNestedLoopJoin|CartesianProduct')} py={c(r'MapInPandas|ArrowEvalPython|BatchEvalPython')}")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        row = census(plan)
+        print(f"| `{k}` | " + " | ".join(row[c] for c in cols) + " |", flush=True)
 
 
 if __name__ == "__main__":
