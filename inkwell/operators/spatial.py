@@ -69,8 +69,10 @@ def _bbox(areas: DataFrame, ring: str) -> DataFrame:
                               "_ymin": F.array_min(ys), "_ymax": F.array_max(ys)})
 
 
-def _cells(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int) -> DataFrame:
-    """Add ``_level`` and explode to one row per grid cell ``(_cx, _cy)`` the box touches."""
+def _with_level(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int) -> DataFrame:
+    """Add ``_level`` (the finest level where the box needs at most
+    ``max_cells`` cells; the coarsest takes the rest), its cell ``_size``
+    and the box's cell count ``_ncells`` at that size."""
     level = None
     for i, factor in enumerate(levels):
         size = cell * factor
@@ -83,10 +85,19 @@ def _cells(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int)
             level = F.when(cond, F.lit(i)) if level is None else level.when(cond, F.lit(i))
     sizes = F.element_at(F.array(*[F.lit(float(cell * f)) for f in levels]), F.col("_level") + 1)
     b = boxed.withColumn("_level", level).withColumn("_size", sizes)
-    cx = F.explode(F.sequence(F.floor(F.col("_xmin") / F.col("_size")), F.floor(F.col("_xmax") / F.col("_size"))))
+    z = F.col("_size")
+    return b.withColumn("_ncells", (F.floor(F.col("_xmax") / z) - F.floor(F.col("_xmin") / z) + 1)
+                        * (F.floor(F.col("_ymax") / z) - F.floor(F.col("_ymin") / z) + 1))
+
+
+def _cells(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int) -> DataFrame:
+    """Add ``_level`` and explode to one row per grid cell ``(_cx, _cy)`` the box touches."""
+    b = _with_level(boxed, cell, levels, max_cells)
+    z = F.col("_size")
+    cx = F.explode(F.sequence(F.floor(F.col("_xmin") / z), F.floor(F.col("_xmax") / z)))
     cells = b.select("*", cx.alias("_cx"))
-    cy = F.explode(F.sequence(F.floor(F.col("_ymin") / F.col("_size")), F.floor(F.col("_ymax") / F.col("_size"))))
-    return cells.select("*", cy.alias("_cy")).drop("_size")
+    cy = F.explode(F.sequence(F.floor(F.col("_ymin") / z), F.floor(F.col("_ymax") / z)))
+    return cells.select("*", cy.alias("_cy")).drop("_size", "_ncells")
 
 
 def area_cells(areas: DataFrame, cell: float, levels: Sequence[int], max_cells: int,
@@ -110,9 +121,13 @@ def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0,
     cand = (cells.groupBy("_level", "_cx", "_cy")
             .agg(F.collect_list(F.struct(area_key, "_xmin", "_xmax", "_ymin", "_ymax", "_edges")).alias("_cands")))
 
-    # Size check of the candidate table before any broadcast.
+    # Size check of the candidate table before any broadcast: cell rows and
+    # their edges follow from each area's box, so the areas are counted
+    # without exploding them.
     limit = broadcast_threshold(areas.sparkSession)
-    stats = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("_edges")).alias("edges")).first()
+    leveled = _with_level(boxed, cell, levels, max_cells)
+    stats = leveled.agg(F.sum("_ncells").alias("rows"),
+                        F.sum(F.col("_ncells") * F.size("_edges")).alias("edges")).first()
     est = (stats["rows"] or 0) * _ROW_BYTES + (stats["edges"] or 0) * _EDGE_BYTES
     small = 0 <= est <= limit
 
