@@ -53,8 +53,9 @@ def inside_edges(edges: Column, px: Column, py: Column) -> Column:
     inside. Points on a left/bottom edge are in, on a right/top edge out."""
     def crosses(e):
         straddles = (e["y1"] > py) != (e["y2"] > py)
-        return straddles & (px < e["x1"] + e["dxdy"] * (py - e["y1"]))
-    return (F.size(F.filter(edges, crosses)) % 2) == 1
+        return F.coalesce(straddles & (px < e["x1"] + e["dxdy"] * (py - e["y1"])), F.lit(False))
+    # A running parity (no intermediate array per point).
+    return F.aggregate(edges, F.lit(False), lambda inside, e: inside != crosses(e))
 
 
 def ray_cast(ring: str, px: str, py: str) -> Column:
