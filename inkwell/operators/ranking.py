@@ -40,7 +40,8 @@ def _value_buckets(vc: DataFrame, value: str, n_b: int, ascending: bool, accurac
     bounds = vc.select(F.percentile_approx(value, qs, accuracy).alias("_bounds")).scalar()
     ahead = (lambda b: b > F.col(value)) if not ascending else (lambda b: b < F.col(value))
     return (vc.withColumn("_bounds", bounds)
-            .withColumn("_bucket", F.when(v.isNull(), F.lit(n_b)).otherwise(F.size(F.filter("_bounds", ahead))))
+            .withColumn("_bucket", F.when(v.isNull(), F.lit(n_b)).otherwise(
+                F.aggregate("_bounds", F.lit(0), lambda n, b: n + ahead(b).cast("int"))))
             .drop("_bounds"))
 
 
