@@ -72,3 +72,15 @@ def test_point_in_area_never_shuffles_points_when_areas_are_small(spark):
     plan = _plan(E.queries()["point_in_area_join"](spark, SF_SMALL))
     assert plan.count("BroadcastHashJoin") == 2
     assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_literal_tables_are_sized_at_plan_time(spark):
+    """Small fixed tables (band maps, enum sets, rings) are built so that
+    Spark's plan-time size check broadcasts them; nested types survive."""
+    from inkwell.sources.io import literal_table
+    big = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select("l_returnflag")
+    tags = literal_table(spark, [("A", "x"), ("R", "y")], "l_returnflag string, tag string")
+    assert "BroadcastHashJoin" in _plan(big.join(tags, "l_returnflag", "left"))
+    ring = [{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 3.0}]
+    got = literal_table(spark, [(7, ring)], "area_id long, ring array<struct<x:double,y:double>>").collect()
+    assert got[0].area_id == 7 and [(p.x, p.y) for p in got[0].ring] == [(0.0, 1.0), (2.0, 3.0)]
