@@ -1,7 +1,8 @@
 """Bench: wall time per headline job at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each job is forced with the ``noop`` sink (the full plan runs, nothing is
-collected), one warm-up then the median of ``$BENCH_RUNS`` runs. Prints one
+collected). One warm-up pass runs every job once, then ``$BENCH_RUNS`` timed
+rounds run them all again in turn; each job's time is its median. Prints one
 JSON line.
 """
 
@@ -36,16 +37,18 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     keys = sys.argv[1:] or HEADLINE
     spark = get_spark()
-    times = {}
-    for k in keys:
-        fn = QUERIES[k]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
-        samples = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            samples.append(time.perf_counter() - t0)
-        times[k] = round(statistics.median(samples), 3)
+    def run(k: str) -> float:
+        t0 = time.perf_counter()
+        QUERIES[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    for k in keys:                       # one warm-up pass over every job first
+        run(k)
+    samples: dict[str, list[float]] = {k: [] for k in keys}
+    for _ in range(runs):                # then the timed rounds, interleaved
+        for k in keys:
+            samples[k].append(run(k))
+    times = {k: round(statistics.median(v), 3) for k, v in samples.items()}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_median_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf,

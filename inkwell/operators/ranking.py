@@ -62,17 +62,21 @@ def _n_buckets(spark, buckets: int | None) -> int:
 WINDOW_LIMIT = 1_000_000
 
 
-def _largest_group(vc: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of ``vc`` in its largest group: one partial aggregation, read
-    back as a single number (a size check, like a broadcast threshold)."""
-    sizes = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return int(sizes.agg(F.max("_rows")).first()[0] or 0)
-
-
-def _use_window(vc: DataFrame, keys: Sequence[str], buckets: int | None, window_limit: int) -> bool:
+def _largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
+    """Upper estimate of the most distinct ``value``s in any group: one
+    aggregation of HyperLogLog sketches (partial per task, so no shuffle of
+    the values), read back as a single number - a size check, like a
+    broadcast threshold. Both plans it chooses between are exact; a wrong
+    estimate only picks the slower one."""
+    d = (df.groupBy(*keys).agg(F.approx_count_distinct(value, 0.05).alias("_d"))
+         .agg(F.max("_d")).first()[0])
+    return int((d or 0) * 1.2) + 1          # +20% for the sketch's error, +1 for a null group value
+
+
+def _use_window(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None, window_limit: int) -> bool:
     """Window over distinct values when no bucket count is forced and the
     largest group passes the size check."""
-    return buckets is None and _largest_group(vc, keys) <= window_limit
+    return buckets is None and _largest_group(df, keys, value) <= window_limit
 
 
 def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), ascending: bool = False,
@@ -128,7 +132,7 @@ def _rank_table(df: DataFrame, value: str, keys: list[str], ascending: bool, buc
     order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
     vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     out_cols = [*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v")]
-    if _use_window(vc, keys, buckets, window_limit):
+    if _use_window(df, keys, value, buckets, window_limit):
         before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order)
                                   .rowsBetween(Window.unboundedPreceding, -1))
         return vc.select(*out_cols, (F.lit(1) + F.coalesce(before, F.lit(0))).cast("bigint").alias("rank"),
@@ -173,7 +177,7 @@ def distributed_gap_to_next(df: DataFrame, partition: Sequence[str], value: str,
     v = F.col(value)
     vc = df.groupBy(*keys, value).agg(F.max(tie).alias("_last_tie"))
     out_cols = [*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"), "_last_tie"]
-    if _use_window(vc, keys, buckets, window_limit):
+    if _use_window(df, keys, value, buckets, window_limit):
         nxt = vc.select(*out_cols, F.lead(value).over(Window.partitionBy(*keys).orderBy(v.desc_nulls_last()))
                         .alias("_next"))
     else:
@@ -215,7 +219,7 @@ def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str, name: str
     spark = vc.sparkSession
     k = list(keys)
     vc = vc.where(F.col(value).isNotNull())
-    if _use_window(vc, k, buckets, window_limit):
+    if _use_window(vc, k, value, buckets, window_limit):
         before = F.sum("_n").over(Window.partitionBy(*k).orderBy(F.col(value))
                                   .rowsBetween(Window.unboundedPreceding, -1))
         pos = vc.select(*k, value, "_n", (F.coalesce(before, F.lit(0)) + 1).alias("_lo"),
