@@ -69,7 +69,9 @@ SELECT geo, parent, year, variable, {_cols(['estimate', 'moe'])} FROM f1_long
 WHERE year IN ({', '.join(map(str, SCAN_YEARS))}) AND variable IN ('{"', '".join(SCAN_VARS)}')""")
 def scan_vintages_long(spark, sf_dir):
     """Yearly extract restricted to listed years (one skipped) and variables."""
-    df = _long(spark, sf_dir, shared=False).where(F.col("year").isin(SCAN_YEARS) & F.col("variable").isin(SCAN_VARS))
+    # Shared: the variable filter would be pushed differently into the segment
+    # rows and the universe rows of the cube, reading ``customer`` twice.
+    df = _long(spark, sf_dir).where(F.col("year").isin(SCAN_YEARS) & F.col("variable").isin(SCAN_VARS))
     return finish(df)
 
 
