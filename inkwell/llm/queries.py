@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm.minhash import op2_superminhash
 from inkwell.llm.mixing import op5_mix_sources
+from inkwell.llm.quality import op9_repetition_rules
+from inkwell.llm.secrets import op4_secret_spans
 from inkwell.llm.shards import op6_minimax_shards
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_mix_sources, op6_minimax_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_superminhash,
+    op4_secret_spans,
+    op5_mix_sources,
+    op6_minimax_shards,
+    op9_repetition_rules,
+)}
 ORACLE: dict[str, str] = {}
