@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm.decontaminate import OP10_SQL, op10_spaced_seeds
+from inkwell.llm.lines import OP1_SQL, op1_line_templates
 from inkwell.llm.minhash import op2_superminhash
 from inkwell.llm.mixing import op5_mix_sources
 from inkwell.llm.quality import op9_repetition_rules
@@ -13,10 +15,15 @@ from inkwell.llm.secrets import op4_secret_spans
 from inkwell.llm.shards import op6_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_line_templates,
     op2_superminhash,
     op4_secret_spans,
     op5_mix_sources,
     op6_minimax_shards,
     op9_repetition_rules,
+    op10_spaced_seeds,
 )}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_line_templates": OP1_SQL,
+    "op10_spaced_seeds": OP10_SQL,
+}
