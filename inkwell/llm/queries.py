@@ -13,10 +13,12 @@ from inkwell.llm.mixing import op5_mix_sources
 from inkwell.llm.quality import op9_repetition_rules
 from inkwell.llm.secrets import op4_secret_spans
 from inkwell.llm.shards import op6_minimax_shards
+from inkwell.llm.warc import OP3_SQL, op3_warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_templates,
     op2_superminhash,
+    op3_warc_zstd,
     op4_secret_spans,
     op5_mix_sources,
     op6_minimax_shards,
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op10_spaced_seeds,
 )}
 ORACLE: dict[str, str] = {
+    "op3_warc_zstd": OP3_SQL,
     "op1_line_templates": OP1_SQL,
     "op10_spaced_seeds": OP10_SQL,
 }
