@@ -11,6 +11,7 @@ from inkwell.llm.lines import OP1_SQL, op1_line_templates
 from inkwell.llm.minhash import op2_superminhash
 from inkwell.llm.mixing import op5_mix_sources
 from inkwell.llm.quality import op9_repetition_rules
+from inkwell.llm.repeats import op7_suffix_repeats
 from inkwell.llm.secrets import op4_secret_spans
 from inkwell.llm.shards import op6_minimax_shards
 from inkwell.llm.warc import OP3_SQL, op3_warc_zstd
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op4_secret_spans,
     op5_mix_sources,
     op6_minimax_shards,
+    op7_suffix_repeats,
     op9_repetition_rules,
     op10_spaced_seeds,
 )}
