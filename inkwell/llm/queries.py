@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.decontaminate import OP10_SQL, op10_spaced_seeds
 from inkwell.llm.lines import OP1_SQL, op1_line_templates
+from inkwell.llm.maxent import op8_maxent_scores
 from inkwell.llm.minhash import op2_superminhash
 from inkwell.llm.mixing import op5_mix_sources
 from inkwell.llm.quality import op9_repetition_rules
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op5_mix_sources,
     op6_minimax_shards,
     op7_suffix_repeats,
+    op8_maxent_scores,
     op9_repetition_rules,
     op10_spaced_seeds,
 )}
