@@ -1,7 +1,7 @@
 """Connected components of an edge table: union-find.
 
-Each task first contracts its own edges with union-find, so only a forest leaves it; large-star
-and small-star rounds (alternating, each a grouped minimum and a join) then merge the forests of
+Tasks of at most ``EDGES`` edges contract them with union-find, so only a forest leaves each.
+If there is one such task, that is the answer; else large-star and small-star rounds (alternating, each a grouped minimum and a join) then merge the forests of
 all tasks until every node points at the smallest node of its component. Rounds are written to
 the shared folder. No component is ever gathered in one place: a component that holds a third of
 all nodes is a star whose edges spread over tasks."""
@@ -15,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import drop_staged, stage
+from inkwell.llm.common import stage
+
+
+#: Edges that a task contracts.
+EDGES = 1_000_000
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,10 +43,11 @@ def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        u, v = union_find(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    """The edges of one task as a forest."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        u, v = union_find(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _mark(e: DataFrame):
@@ -53,8 +58,12 @@ def _mark(e: DataFrame):
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of longs to (node, root): every node that isn't the smallest of its component,
     with the smallest. Loops and repeated edges are allowed."""
-    e = edges.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long").distinct()
-    e = stage(e, "forest")
+    edges = edges.select("u", "v").where("u <> v")
+    tasks = -(-edges.count() // EDGES)
+    e = stage(edges.repartition(max(1, tasks)).mapInArrow(_contract, "u long, v long"), "forest")
+    if tasks <= 1:                          # one task's forest is whole
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    e = e.distinct()
     seen = _mark(e)
     while True:
         # Large star: a node sends its larger neighbours to its smallest neighbour.
@@ -69,7 +78,6 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         new = stage(small, "stars")
         now = _mark(new)
-        drop_staged(e.sparkSession, e)
         e = new
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

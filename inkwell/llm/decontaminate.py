@@ -98,6 +98,15 @@ def contaminated(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:
         F.max("equal_words").alias("equal_words"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the contaminated rows. Rows are matched by a hash of id and text, so null
+    and repeated ids are told apart."""
+    key = F.xxhash64(id_col, text_col)
+    hits = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, id_col="key")
+    packed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("doc"))
+    return packed.join(hits.select(F.col("id").alias("key")).distinct(), "key", "left_anti").select("doc.*")
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark passage."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed(

@@ -150,50 +150,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rounds(buckets: DataFrame, sets: DataFrame):
     """Component of every node that isn't the smallest of its own: (node, root), or None.
     ``buckets``: (bucket, id, n, mass)."""
-    spark = buckets.sparkSession
     rest = stage(buckets.withColumn("comp", F.col("id")), "rest")
-    root, tested, hubs_a_bucket = None, None, 1
+    links, root, hubs_a_bucket = None, None, 1
     while not is_empty(rest):
         salt = F.pmod(F.xxhash64("id", F.lit(hubs_a_bucket)), F.lit(hubs_a_bucket))
         hubs = rest.groupBy("bucket", salt.alias("salt")).agg(
             F.min(F.struct((-F.col("mass")).alias("m"), "id", "n", "comp")).alias("h")).select(
                 "bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
-        hubs = stage(hubs, "hubs")
         pairs = rest.join(hubs, "bucket").where(
             (F.col("comp") != F.col("hub_comp")) & (PART * F.least("n", "hub_n") >= LEAST * F.greatest("n", "hub_n")))
         pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
         left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        links = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+        new = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
             _verify, "u long, v long"), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not is_empty(links):
-            if root is not None:
-                old = root
-                at = links.join(old.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(
-                    old.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-                at = at.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-                step = components(at)
-                moved = old.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-                fresh = step.join(old.select("node"), "node", "left_anti")
-                root = stage(moved.select("node", F.coalesce("to", "root").alias("root")).union(fresh), "roots")
-            else:
-                root = components(links)
-        rest_now = rest.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").drop("comp")
+        if not is_empty(new):
+            links = new if links is None else links.union(new)
+            root = components(links)
+        # Go on with the buckets whose members, without the hubs tested, lie in several components.
+        left_over = rest.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         if root is not None:
-            rest_now = rest_now.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select(
-                "bucket", "id", "n", "mass", F.coalesce("root", "id").alias("comp"))
-        else:
-            rest_now = rest_now.withColumn("comp", F.col("id")).select("bucket", "id", "n", "mass", "comp")
-        rest_now = stage(rest_now, "rest")
-        # Done: buckets whose members left and hubs of this round lie in one component.
-        open_ = rest_now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        new = stage(rest_now.join(open_.select("bucket"), "bucket", "left_semi"), "rest")
-        drop_staged(spark, rest, rest_now, hubs, links)
-        rest, hubs_a_bucket = new, hubs_a_bucket * 8
+            left_over = left_over.drop("comp").join(
+                root.select(F.col("node").alias("id"), "root"), "id", "left").select(
+                    "bucket", "id", "n", "mass", F.coalesce("root", "id").alias("comp"))
+        several = left_over.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        old, rest = rest, stage(left_over.join(several.select("bucket"), "bucket", "left_semi"), "rest")
+        drop_staged(old.sparkSession, old)
+        hubs_a_bucket *= 8
     return root
 
 
@@ -224,6 +207,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id. Rows without an id stay, as
+    nothing names them."""
+    rows = stage(near_duplicates(docs, id_col, text_col).select("id", "kept"), "kept")
+    gone = rows.where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct()
+    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = rows.where("kept and id is not null").groupBy("id").count().where("count > 1")
+    return out if is_empty(repeated) else out.dropDuplicates([id_col]).where(F.col(id_col).isNotNull()).union(
+        out.where(F.col(id_col).isNull()))
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

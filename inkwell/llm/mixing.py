@@ -132,6 +132,24 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                        n_words(F.col(text_col)).alias("size"))
 
 
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it is drawn, with all its columns. The
+    part of a document at the end of a quota counts as a copy from half of its words on."""
+    key = F.xxhash64(id_col, text_col, source_col)
+    sizes = docs.select(key.alias("key"), source_col, text_col)
+    rows = stage(sized(sizes, "key", text_col, source_col), "sized")
+    whole = F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))
+    # Rows with equal keys are equal in what matters here: their copies go to one of them.
+    copies = mix(rows, **options).groupBy("id").agg(F.sum(F.size(whole)).alias("copies"), F.count("*").alias("n"))
+    copies = stage(copies.where("copies > 0"), "copies")
+    packed = docs.select(key.alias("id"), F.struct(*docs.columns).alias("doc"))
+    if copies.where("n > 1").limit(1).count():
+        packed = packed.dropDuplicates(["id"])
+    out = packed.join(copies, "id").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return out.select("doc.*")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's size and target and the words the mix takes of it."""
     out = mix(stage(sized(table(spark, sf_dir, "documents")), "sized"))

@@ -106,14 +106,21 @@ def shard_rows(rows: DataFrame, n_shards: int) -> DataFrame:
             .withColumn("slot", F.col("first") + F.col("k") - 1).drop("k", "first", "part"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, crc, cell) of each row; the cell is an ordered range of the text's MD5."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(id, size, crc, cell, ...) of each row; the cell is an ordered range of the text's MD5."""
     key = F.coalesce(F.md5(F.col(text_col)), F.md5(F.lit("no text")))
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"),
-        F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("int") / 2).cast("int").alias("cell"))
+        F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("int") / 2).cast("int").alias("cell"), *more)
+
+
+def place(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all their columns, and the shard and slot of each row."""
+    rows = keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("doc"))
+    return shard_rows(rows, n_shards).select(
+        "doc.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def op6_minimax_shards(spark: SparkSession, sf_dir: str, n_shards: int = 40) -> DataFrame:
