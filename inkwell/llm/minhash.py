@@ -7,11 +7,14 @@ independent hashes), and a document stops after the first round with every slot
 with Jaccard similarity 0.85 share none of 25 bands of 5 with probability 4e-7 at most.
 
 Equal sets are one node. Within a bucket, members are compared with hubs, never all with all:
-each round a bucket names hubs (those sharing most buckets first; 1, then 8, 64, ... of them), and
-only members that are not yet in a hub's component and pass the exact length filter become
-candidate pairs, which full sets confirm. Tested hubs leave the bucket; a bucket is done once its
-members lie in one component. So every pair of a bucket that could change a component is tested,
-while a bucket of copies costs one comparison a member.
+each round a bucket names hubs (first the one sharing most buckets, then ``GROWTH`` times more each time, of the smallest
+sets), and only members that are not yet in a hub's component and pass the exact filters become
+candidate pairs, which full sets confirm. The filters bound the sizes of linked sets: after the
+first round also by the number of items a set shares with any other open set, since items that
+only one set has can't be in an intersection. Tested hubs and rows without a possible partner leave
+the bucket; a bucket is done once its members lie in one component. So every pair of a bucket that
+could change a component is tested, while a bucket of copies costs about one comparison a member,
+also where many of them lie just below the threshold to each other.
 
 Null, empty and wordless texts have the empty set and are linked with nothing. Rows with a null id
 are kept with a null component. Equal rows fall in one component. An empty table gives an empty
@@ -36,6 +39,8 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 #: Links: ``PART * intersection >= LEAST * union``.
 LEAST, PART = 85, 100
+#: A round names so many times more hubs a bucket than the last.
+GROWTH = 32
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -147,19 +152,45 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["u", "v"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, items = batch.column(0).to_numpy(), batch.column(1)
+        for lo in range(0, len(ids), 500):
+            part = [np.frombuffer(x.as_buffer(), np.int64) for x in items[lo:lo + 500]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids[lo:lo + 500], [len(x) for x in part])), pa.array(np.concatenate(part))],
+                names=["id", "item"])
+
+
+def _shared_items(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, r): how many items of a set also occur in another set of ``rest``."""
+    ids = rest.select("id", "n").distinct()
+    items = sets.join(ids, "id", "left_semi").select("id", "items").mapInArrow(_elements, "id long, item long").distinct()
+    alone = items.groupBy("item").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    return ids.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r"))
+
+
+def _most(r: str, n: str):
+    """Size of the largest set that a set of ``n`` items, ``r`` of them shared, can be linked with:
+    the intersection is at most r, so (PART + LEAST) * r >= LEAST * (n + other)."""
+    return F.floor((PART + LEAST) * F.col(r) / LEAST) - F.col(n)
+
+
 def _rounds(buckets: DataFrame, sets: DataFrame):
     """Component of every node that isn't the smallest of its own: (node, root), or None.
-    ``buckets``: (bucket, id, n, mass)."""
-    rest = stage(buckets.withColumn("comp", F.col("id")), "rest")
+    ``buckets``: (bucket, id, n, mass). ``most`` bounds the size of a partner."""
+    cols = ["bucket", "id", "n", "most", "rank", "comp"]
+    rest = stage(buckets.select("bucket", "id", "n", F.floor(PART * F.col("n") / LEAST).alias("most"),
+                                (-F.col("mass")).alias("rank"), F.col("id").alias("comp")), "rest")
     links, root, hubs_a_bucket = None, None, 1
     while not is_empty(rest):
         salt = F.pmod(F.xxhash64("id", F.lit(hubs_a_bucket)), F.lit(hubs_a_bucket))
         hubs = rest.groupBy("bucket", salt.alias("salt")).agg(
-            F.min(F.struct((-F.col("mass")).alias("m"), "id", "n", "comp")).alias("h")).select(
-                "bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
-        pairs = rest.join(hubs, "bucket").where(
-            (F.col("comp") != F.col("hub_comp")) & (PART * F.least("n", "hub_n") >= LEAST * F.greatest("n", "hub_n")))
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            F.min(F.struct("rank", "id", "n", "most", "comp")).alias("h")).select(
+                "bucket", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("id", "n", "most", "comp")])
+        pairs = rest.join(hubs, "bucket").where("comp <> hub_comp and n <= hub_most and hub_n <= most")
+        pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
         left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         new = stage(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
@@ -168,18 +199,33 @@ def _rounds(buckets: DataFrame, sets: DataFrame):
             links = new if links is None else links.union(new)
             root = components(links)
         # Go on with the buckets whose members, without the hubs tested, lie in several components.
-        left_over = rest.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+        left_over = rest.join(hubs.select("bucket", F.col("hub_id").alias("id")), ["bucket", "id"], "left_anti")
         if root is not None:
             left_over = left_over.drop("comp").join(
-                root.select(F.col("node").alias("id"), "root"), "id", "left").select(
-                    "bucket", "id", "n", "mass", F.coalesce("root", "id").alias("comp"))
-        several = left_over.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        old, rest = rest, stage(left_over.join(several.select("bucket"), "bucket", "left_semi"), "rest")
+                root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
+                    "comp", F.coalesce("root", "id")).select(*cols)
+        old, rest = rest, stage(_open(left_over), "rest")
         drop_staged(old.sparkSession, old)
-        hubs_a_bucket *= 8
+        if hubs_a_bucket == 1 and not is_empty(rest):
+            # What is still open is bounded by the items that two open sets share at all. The
+            # smallest sets are hubs first: they are the last that one with few shared items fits.
+            shared = _shared_items(rest, sets)
+            rest = rest.drop("most").join(shared, "id").withColumn("most", _most("r", "n")).withColumn(
+                "rank", F.col("n")).select(*cols)
+            rest = stage(_open(rest), "rest")
+        hubs_a_bucket *= GROWTH
     return root
 
 
+def _open(rest: DataFrame) -> DataFrame:
+    """Rows that may still be linked: some set of the bucket is small enough for them, and the rows
+    of the bucket for which this holds lie in several components."""
+    least = rest.groupBy("bucket").agg(F.min("n").alias("least"))
+    rest = rest.join(least, "bucket").where("least <= most").drop("least")
+    several = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    return rest.join(several.select("bucket"), "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
