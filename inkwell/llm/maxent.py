@@ -195,7 +195,7 @@ def _scorer(weights: np.ndarray, frequent: np.ndarray, logs: np.ndarray, class_l
                 word = cls != END
                 at = np.minimum(np.searchsorted(frequent, key), max(0, len(frequent) - 1))
                 known = word & (frequent[at] == key) if len(frequent) else np.zeros(len(h), bool)
-                common = np.bincount(row[known], logs[at[known]], rows)
+                common = np.bincount(row[known], logs[at[known]], rows).astype(float)
                 rest = np.flatnonzero(word & ~known)
                 order = rest[np.lexsort((key[rest], row[rest]))]
                 new = np.ones(len(order), bool)
@@ -206,7 +206,7 @@ def _scorer(weights: np.ndarray, frequent: np.ndarray, logs: np.ndarray, class_l
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, rows), batch.column(2).slice(lo, rows), pa.array(np.diff(first)),
                      pa.array(np.bincount(row[known], minlength=rows)), pa.array(common),
-                     pa.array(np.bincount(row, model, rows)),
+                     pa.array(np.bincount(row, model, rows).astype(float)),
                      pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(
                          [pa.array(key[order[lead]]), pa.array(times)], names=["h", "times"]))],
                     names=["id", "held_out", "n_tokens", "n_frequent", "common", "model", "rare"])

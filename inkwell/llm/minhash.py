@@ -52,7 +52,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> list
     gram = K.mix(word + K.U(width))
     for i in range(1, width):
         nxt = np.zeros(n, K.U)
-        nxt[:n - i] = word[i:]
+        nxt[:max(0, n - i)] = word[i:]
         gram = K.mix(gram * K.U(K.BASE) + nxt)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
