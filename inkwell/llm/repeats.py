@@ -10,15 +10,16 @@ segment.
    of the segment, id, place) and sorted. A segment whose twin stands before it in that order is
    repeated as a whole. Of the first segments, those that share the gram with another segment, and
    those beside a bucket's boundary, are unsure.
-2. The bytes of unsure segments are range-partitioned by the same leading tokens. Each bucket sorts
-   the windows of bounded blocks by multikey quicksort on 8-byte characters (three-way by the
-   leading word; only ties go on to the next); equal neighbours beyond the first are repeated.
-3. Windows of the grams at a block's ends are compared across boundaries: by two 64-bit hashes, the
-   smallest (id, place) of each window over all blocks.
+2. The bytes of unsure segments are range-partitioned by the same leading tokens, a gram with more
+   than ``HOT`` segments in several parts. Each bucket sorts the windows of bounded blocks by
+   multikey quicksort on 8-byte characters (by the leading word; only ties go on to the next);
+   equal neighbours beyond the first are repeated.
+3. Windows of a gram in several parts are compared across their boundaries: by two 64-bit hashes,
+   the smallest (id, place) of each window over all parts.
 4. The removed spans meet their texts again.
 
-A string that a third of all texts share is split over buckets by (id, place); nothing is grouped
-but the spans of one text. Finished steps are staged in the shared folder and their shuffle files
+A string that a third of all texts share is split over buckets by (id, place) in step 1 and by id
+in step 2; nothing is grouped but the spans of one text. Finished steps are staged in the shared folder and their shuffle files
 released. Null and empty texts have no bytes. Rows with a null id take no part and stay whole. Ids
 identify texts: rows that repeat one must repeat its text, and get the same result. An empty table
 gives an empty result. Columns other than id and text are not read."""
@@ -38,8 +39,10 @@ from inkwell.llm import kernel as K
 from inkwell.llm.common import drop_staged, stage, table
 
 WIDTH, GRAM = 100, 32
-#: Windows sorted at once in a task.
-BLOCK = 150_000
+#: Windows sorted at once in a task, up to the end of a gram's segments.
+BLOCK = 400_000
+#: A gram with more unsure segments is split by id into parts of about so many.
+HOT = 20_000
 FOUND = "kind int, lead long, id long, place long, stop long, k1 long, k2 long"
 REPEATED, UNSURE, BORDER = 0, 1, 2
 
@@ -135,25 +138,23 @@ def _segment_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         raw, off = K.column_bytes(batch.column(1))
         data, held = raw.tobytes(), 0
-        lead, ids, place, item = [], [], [], []
+        rows: list[tuple] = []
 
         def flush():
+            types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(lead, pa.int64()), pa.array(ids, pa.int64()), pa.array(place, pa.int64()),
-                 pa.array(item, pa.binary())], names=["lead", "id", "place", "item"])
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                names=["lead", "part", "split", "id", "place", "item"])
 
         for i, (doc, want) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
-            for x, p in zip(want.values.field(0).to_pylist(), want.values.field(1).to_pylist(), strict=True):
+            for lead, part, split, p in zip(*(want.values.field(k).to_pylist() for k in range(4)), strict=True):
                 start = off[i] + (p >> 8)
-                lead.append(x)
-                ids.append(doc)
-                place.append(p >> 8)
-                item.append(data[start:min(off[i + 1], start + (p & 255) + WIDTH)])
-                held += len(item[-1]) + 24
+                rows.append((lead, part, split, doc, p >> 8, data[start:min(off[i + 1], start + (p & 255) + WIDTH)]))
+                held += len(rows[-1][5]) + 40
             if held > 4 << 20:
                 yield flush()
-                lead, ids, place, item, held = [], [], [], [], 0
-        if ids:
+                rows, held = [], 0
+        if rows:
             yield flush()
 
 
@@ -183,8 +184,8 @@ def multikey_order(raw: np.ndarray, start: np.ndarray, width: int = WIDTH) -> tu
     return order, new
 
 
-def _sort_block(lead, ids, place, items) -> Iterator[pa.RecordBatch]:
-    """``items`` of one block, sorted by (lead, id, place)."""
+def _sort_block(lead, ids, place, items, split: bool) -> Iterator[pa.RecordBatch]:
+    """``items`` of one block, sorted by (lead, id, place); ``split``: they are one part of a gram."""
     raw = np.frombuffer(b"".join(items), np.uint8)
     size = np.array([len(x) for x in items], np.int64)
     base = np.cumsum(size) - size
@@ -203,30 +204,32 @@ def _sort_block(lead, ids, place, items) -> Iterator[pa.RecordBatch]:
         cut = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (seg[hit[1:]] != seg[hit[:-1]])])
         lo, hi = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
         yield _rows(REPEATED, lead[seg[lo]], w_id[lo], w_at[lo], w_at[hi] + WIDTH)
-    edge = order[first]
-    edge = edge[(lead[seg[edge]] == lead[0]) | (lead[seg[edge]] == lead[-1])]
-    if len(edge):
+    if split:
+        edge = order[first]
         s = start[edge]
         k = [K.span_hash(K.prefix(raw, b), s, s + WIDTH, b).astype(np.int64) for b in (K.BASE, K.BASE2)]
         yield _rows(BORDER, lead[seg[edge]], w_id[edge], w_at[edge], w_at[edge] + WIDTH, *k)
 
 
 def _sorted_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams over a bucket sorted by (lead, part, id, place); a part of a split gram is a block of
+    its own, other blocks end between grams."""
     held: list[tuple] = []
     windows = 0
 
     def flush():
         cols = list(zip(*held, strict=True))
-        return _sort_block(*(np.array(c, np.int64) for c in cols[:3]), cols[3])
+        return _sort_block(*(np.array(c, np.int64) for c in (cols[0], cols[3], cols[4])), cols[5], cols[2][0])
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if len(row[3]) >= WIDTH:
-                held.append(row)
-                windows += len(row[3]) - WIDTH + 1
-                if windows >= BLOCK:
-                    yield from flush()
-                    held, windows = [], 0
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if len(row[5]) < WIDTH:
+                continue
+            if held and row[:2] != held[-1][:2] and (windows >= BLOCK or row[2] or held[-1][2]):
+                yield from flush()
+                held, windows = [], 0
+            held.append(row)
+            windows += len(row[5]) - WIDTH + 1
     if held:
         yield from flush()
 
@@ -277,12 +280,16 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                   .sortWithinPartitions("lead", "segment", "id", "place")
                   .mapInArrow(_sorted_anchors, FOUND), "anchors")
     _release(spark)
-    unsure = found.where(F.col("kind") == UNSURE).groupBy("id").agg(
-        F.collect_list(F.struct("lead", "place")).alias("want"))
+    unsure = found.where(F.col("kind") == UNSURE).select("lead", "id", "place")
+    hot = unsure.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    parts = F.coalesce(F.ceil(F.col("n") / HOT), F.lit(1))
+    unsure = unsure.join(hot, "lead", "left").select("id", F.struct(
+        "lead", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), (parts > 1).alias("split"), "place").alias("w"))
+    unsure = unsure.groupBy("id").agg(F.collect_list("w").alias("want"))
     segments = stage(rows.join(unsure, "id").select("id", "text", "want").mapInArrow(
-        _segment_task, "lead long, id long, place long, item binary"), "segments")
+        _segment_task, "lead long, part int, split boolean, id long, place long, item binary"), "segments")
     _release(spark)
-    fine = stage(segments.repartitionByRange(n, "lead", "id", "place").sortWithinPartitions("lead", "id", "place")
+    fine = stage(segments.repartitionByRange(n, "lead", "part").sortWithinPartitions("lead", "part", "id", "place")
                  .mapInArrow(_sorted_segments, FOUND), "windows")
     drop_staged(spark, segments)
     border = fine.where(F.col("kind") == BORDER)

@@ -76,9 +76,10 @@ def test_star_rounds_give_the_components(spark, monkeypatch):
     assert {(x.node, x.root) for x in rows} == set(zip(u.tolist(), v.tolist())) and len(rows) == len(u)
 
 
-@pytest.mark.parametrize("block", [150_000, 150])
-def test_repeats_match_brute_force(spark, edges, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(400_000, 20_000), (150, 4)])
+def test_repeats_match_brute_force(spark, edges, monkeypatch, block, hot):
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "HOT", hot)
     docs = dict(edges)
     docs[9] = prose(1, 800)
     passage = prose(7, 40)
