@@ -69,3 +69,16 @@ def mix32_sql(key: str, seed: int) -> str:
     x = f"xor({x}, (({x}) << 13) & {MASK32})"
     x = f"xor({x}, ({x}) >> 17)"
     return f"xor({x}, (({x}) << 5) & {MASK32})"
+
+
+def mix64(key, seed: int) -> list[Column]:
+    """Scramble of a whole 64-bit key as two order keys. The pair is a
+    bijection of the key, so distinct keys never tie."""
+    high = F.shiftrightunsigned(_c(key), 32)
+    return [mix32(_c(key).bitwiseXOR(mix32(high, seed)), seed), high]
+
+
+def mix64_sql(key: str, seed: int) -> str:
+    """``mix64`` as SQL text (for the oracle; keys of 0 or more)."""
+    high = f"(({key}) >> 32)"
+    return f"{mix32_sql(f'xor({key}, {mix32_sql(high, seed)})', seed)}, {high}"

@@ -1,12 +1,11 @@
 """Windows, ranks, changes, streaks, top-k and sampling.
 
 Windows are partitioned by the unit of analysis wherever the question allows.
-Questions over all units of a group (rank, gap to the next, median) first
-collapse rows to distinct values with multiplicities, then check the largest
-group's size: under ``WINDOW_LIMIT`` distinct values one ordered window over
-them is cheapest; beyond it, quantile buckets split every group over many
-tasks. The only other unpartitioned windows run on at most (groups x
-buckets) rows or are bounded top-k limits.
+Questions over all units of a group (rank, gap to the next, median) collapse
+rows to distinct values with multiplicities and range-partition these by
+(group, value): the same plan at every size and for every orderable type. The
+only other windows run over at most one row per group and range or are bounded
+top-k limits.
 """
 
 from __future__ import annotations
@@ -16,35 +15,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.numeric import mix32, safe_div
+from inkwell.functions.numeric import mix64, safe_div
 from inkwell.session import materialize
 
 
 def slice_positions(df: DataFrame, positions: Sequence[int], ordinal: str = "ordinal") -> DataFrame:
     """Rows at the given positions (single, range or list with gaps).
 
-    Row position is an explicit ``ordinal`` column, so this is a pushed-down
-    predicate, not a window."""
+    Row position is an explicit ``ordinal`` column, so this is a filter on the
+    decoded rows, not a window."""
     return df.where(F.col(ordinal).isin(list(positions)))
 
 
-def _value_buckets(vc: DataFrame, value: str, n_b: int, ascending: bool, accuracy: int) -> DataFrame:
-    """Add ``_bucket``: value ranges cut at approximate quantiles of ``value``
-    (one bounded sketch, read back as a scalar subquery). Equal values share a
-    bucket; every value in an earlier bucket comes strictly before every value
-    in a later one in the requested order; nulls get the last bucket."""
-    v = F.col(value)
-    if n_b <= 1:
-        return vc.withColumn("_bucket", F.when(v.isNull(), F.lit(1)).otherwise(F.lit(0)))
-    qs = [i / n_b for i in range(1, n_b)]
-    bounds = vc.select(F.percentile_approx(value, qs, accuracy).alias("_bounds")).scalar()
-    ahead = (lambda b: b > F.col(value)) if not ascending else (lambda b: b < F.col(value))
-    return (vc.withColumn("_bounds", bounds)
-            .withColumn("_bucket", F.when(v.isNull(), F.lit(n_b)).otherwise(
-                F.aggregate("_bounds", F.lit(0), lambda n, b: n + ahead(b).cast("int"))))
-            .drop("_bounds"))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``on`` where null keys match (a null group is a group)."""
     r = right.select(*[F.col(c).alias("_r_" + c) if c in on else F.col(c) for c in right.columns])
@@ -52,103 +34,78 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(r, cond, how).drop(*["_r_" + c for c in on])
 
 
-def _n_buckets(spark, buckets: int | None) -> int:
-    return buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-# Most distinct values one group may have for its ordered window to run in a
-# single task (a sort of at most this many short rows). Checked on the data
-# before the plan is chosen; larger groups take the quantile-bucket path.
-WINDOW_LIMIT = 1_000_000
-
-
-def _largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    """Upper estimate of the most distinct ``value``s in any group: one
-    aggregation of HyperLogLog sketches (partial per task, so no shuffle of
-    the values), read back as a single number - a size check, like a
-    broadcast threshold. Both plans it chooses between are exact; a wrong
-    estimate only picks the slower one."""
-    d = (df.groupBy(*keys).agg(F.approx_count_distinct(value, 0.05).alias("_d"))
-         .agg(F.max("_d")).first()[0])
-    return int((d or 0) * 1.2) + 1          # +20% for the sketch's error, +1 for a null group value
-
-
-def _use_window(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None, window_limit: int) -> bool:
-    """Window over distinct values when no bucket count is forced and the
-    largest group passes the size check."""
-    return buckets is None and _largest_group(df, keys, value) <= window_limit
+def _ranged(vc: DataFrame, keys: Sequence[str], value: str, ascending: bool) -> DataFrame:
+    """Distinct (group, value) rows cut into ranges: one range partitioning by
+    (group, null flag, value), written once, with ``_p`` numbering the ranges
+    in that order. Works for any orderable type; a group of any size, and
+    values however close together, spread over as many ranges as their rows
+    need. Nulls come last in the requested order."""
+    v = F.col(value)
+    n = int(vc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = vc.repartitionByRange(n, *keys, v.isNull() if ascending else v.isNotNull(), v)
+    return materialize(ranged.withColumn("_p", F.spark_partition_id()))
+
+
+def _prefix_counts(vc: DataFrame, keys: Sequence[str], value: str, ascending: bool) -> DataFrame:
+    """Distinct (group, value) counts ``_n`` with ``_before`` (rows of the
+    group strictly before the value) and ``_total`` (rows of the group).
+
+    Rows before a range come from per-(group, range) totals, at most as many
+    rows per group as there are ranges; rows before a value inside its range
+    from a running sum over that range only."""
+    ranged = _ranged(vc, keys, value, ascending)
+    v, p = F.col(value), F.col("_p")
+    past = Window.unboundedPreceding, -1
+    per = ranged.groupBy(*keys, "_p").agg(F.sum("_n").alias("_pn"))
+    ranges = Window.partitionBy(*keys)
+    per = per.select(*keys, "_p", F.sum("_pn").over(ranges).alias("_total"), F.coalesce(
+        F.sum("_pn").over(ranges.orderBy(p if ascending else p.desc()).rowsBetween(*past)), F.lit(0)).alias("_ahead"))
+    inside = F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*keys, "_p").orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_last())
+        .rowsBetween(*past)), F.lit(0))
+    return (join_null_safe(ranged.withColumn("_inside", inside), per, [*keys, "_p"])
+            .withColumn("_before", F.col("_ahead") + F.col("_inside")).drop("_ahead", "_inside", "_p"))
 
 
 def distributed_rank(df: DataFrame, value: str, partition: Sequence[str] = (), ascending: bool = False,
-                     buckets: int | None = None, accuracy: int = 10000, materialize_input: bool = True,
-                     window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Exact SQL ``rank()`` by ``value`` (nulls last) plus the group size,
-    without putting a whole group's rows into one task.
+                     materialize_input: bool = True) -> DataFrame:
+    """Exact SQL ``rank()`` by ``value`` (any orderable type, nulls last) plus
+    the group size, without putting a whole group's rows into one task.
 
     1. Collapse to distinct (group, value) with multiplicities: a value held
        by a third of all rows becomes one row.
-    2. Size check: if no group has more than ``window_limit`` distinct
-       values, rank = 1 + a running sum of multiplicities over the group's
-       distinct values (one window; its task sorts distinct values only).
-    3. Otherwise cut the values into buckets at approximate quantiles
-       (``_value_buckets``); rows before each bucket come from per-(group,
-       bucket) totals (at most groups x buckets rows), rows before a value
-       inside its bucket from a running sum over the bucket's distinct values.
-    4. Join back to the rows on (group, value), null-safe.
-
-    The input (a per-unit aggregate) is read more than once - by the check,
-    the distinct-value aggregate and the join back - so it is materialized
-    once in the shared checkpoint folder first. ``buckets`` forces step 3.
+    2. Range-partition these by (group, value) and count what lies before each
+       (``_prefix_counts``); rank = 1 + that count.
+    3. Join back to the rows on (group, value), null-safe.
+
+    The input (a per-unit aggregate) is read twice, so it is materialized once
+    in the shared checkpoint folder first.
     """
     if materialize_input:
         df = materialize(df)
-    ranked = _rank_table(df, value, list(partition), ascending, buckets, accuracy, window_limit)
-    return _join_ranks(df, ranked, value, list(partition))
+    return _join_ranks(df, _rank_table(df, value, list(partition), ascending), value, list(partition))
 
 
-def distributed_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], bool, str]],
-                      buckets: int | None = None, accuracy: int = 10000,
-                      window_limit: int = WINDOW_LIMIT) -> DataFrame:
+def distributed_ranks(df: DataFrame, specs: Sequence[tuple[str, Sequence[str], bool, str]]) -> DataFrame:
     """Several ``distributed_rank`` columns over one input, materialized once.
 
     ``specs``: (value, partition, ascending, name); adds ``name`` (the rank)
-    for each. Every rank table is built from the same checkpointed input and
-    joined back in turn, so the input is neither recomputed nor
-    re-checkpointed per rank."""
+    for each. Every rank table is built from the same staged input and
+    joined back in turn, so the input is not recomputed per rank."""
     df = materialize(df)
     out = df
     for value, partition, ascending, name in specs:
-        ranked = (_rank_table(df, value, list(partition), ascending, buckets, accuracy, window_limit)
-                  .drop("n_total").withColumnRenamed("rank", name))
+        ranked = _rank_table(df, value, list(partition), ascending).drop("n_total").withColumnRenamed("rank", name)
         out = _join_ranks(out, ranked, value, list(partition))
     return out
 
 
-def _rank_table(df: DataFrame, value: str, keys: list[str], ascending: bool, buckets: int | None,
-                accuracy: int, window_limit: int) -> DataFrame:
+def _rank_table(df: DataFrame, value: str, keys: list[str], ascending: bool) -> DataFrame:
     """(``_k_<key>``..., ``_v``, rank, n_total): one row per distinct (group, value)."""
-    spark = df.sparkSession
-    v = F.col(value)
-    order = v.asc_nulls_last() if ascending else v.desc_nulls_last()
     vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    out_cols = [*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v")]
-    if _use_window(df, keys, value, buckets, window_limit):
-        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order)
-                                  .rowsBetween(Window.unboundedPreceding, -1))
-        return vc.select(*out_cols, (F.lit(1) + F.coalesce(before, F.lit(0))).cast("bigint").alias("rank"),
-                         F.sum("_n").over(Window.partitionBy(*keys)).cast("bigint").alias("n_total"))
-    vb = _value_buckets(vc, value, _n_buckets(spark, buckets), ascending, accuracy)
-    per = vb.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
-    before_b = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bucket")
-                                 .rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(*keys, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
-                     F.sum("_bn").over(Window.partitionBy(*keys)).alias("_total"))
-    inside = F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy(order)
-                              .rowsBetween(Window.unboundedPreceding, -1))
-    return (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*keys, "_bucket"])
-            .select(*out_cols,
-                    (F.lit(1) + F.col("_before") + F.col("_inside")).cast("bigint").alias("rank"),
-                    F.col("_total").cast("bigint").alias("n_total")))
+    return _prefix_counts(vc, keys, value, ascending).select(
+        *[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"),
+        (F.lit(1) + F.col("_before")).cast("bigint").alias("rank"), F.col("_total").cast("bigint").alias("n_total"))
 
 
 def _join_ranks(df: DataFrame, ranked: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -157,85 +114,49 @@ def _join_ranks(df: DataFrame, ranked: DataFrame, value: str, keys: list[str]) -
     return df.join(ranked, cond).drop(*["_k_" + k for k in keys], "_v")
 
 
-def distributed_gap_to_next(df: DataFrame, partition: Sequence[str], value: str, tie: str,
-                            buckets: int | None = None, accuracy: int = 10000,
-                            materialize_input: bool = True, window_limit: int = WINDOW_LIMIT) -> DataFrame:
+def distributed_gap_to_next(df: DataFrame, partition: Sequence[str], value: str, tie: str) -> DataFrame:
     """``value - lead(value) over (partition order by value desc nulls last, tie)``
     without a partition-sized window.
 
     Inside a group of equal values the next row has the same value (gap 0),
     except the group's last row by ``tie``, whose next row carries the next
-    lower distinct value. So the lead is only needed over distinct values:
-    one window over them when the largest group passes the size check (see
-    ``distributed_rank``); else within a quantile bucket by a window over the
-    bucket's distinct values, and across buckets from the next non-empty
-    bucket's highest value."""
-    spark = df.sparkSession
-    if materialize_input:
-        df = materialize(df)
+    lower distinct value; of rows that also share the tie, one is the last. So
+    the lead is only needed over distinct values: inside a range by a window
+    over the range's distinct values, and across ranges from the next
+    non-empty range's highest value."""
+    df = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
     keys = list(partition)
     v = F.col(value)
-    vc = df.groupBy(*keys, value).agg(F.max(tie).alias("_last_tie"))
-    out_cols = [*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"), "_last_tie"]
-    if _use_window(df, keys, value, buckets, window_limit):
-        nxt = vc.select(*out_cols, F.lead(value).over(Window.partitionBy(*keys).orderBy(v.desc_nulls_last()))
-                        .alias("_next"))
-    else:
-        vb = _value_buckets(vc, value, _n_buckets(spark, buckets), False, accuracy)
-        firsts = vb.groupBy(*keys, "_bucket").agg(F.max(value).alias("_first"))
-        firsts = firsts.withColumn("_next_first",
-                                   F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")))
-        in_bucket = F.lead(value).over(Window.partitionBy(*keys, "_bucket").orderBy(v.desc_nulls_last()))
-        nxt = (join_null_safe(vb.withColumn("_in", in_bucket), firsts, [*keys, "_bucket"])
-               .select(*out_cols,
-                       F.when(F.col("_in").isNotNull() | F.col(value).isNull(), F.col("_in"))
-                        .otherwise(F.col("_next_first")).alias("_next")))
+    vc = df.groupBy(*keys, value).agg(F.max(F.struct(F.col(tie).alias("t"), F.col("_row").alias("r"))).alias("_last"))
+    ranged = _ranged(vc, keys, value, False)
+    firsts = ranged.groupBy(*keys, "_p").agg(F.max(value).alias("_first"))
+    firsts = firsts.withColumn("_next_first", F.lead("_first").over(
+        Window.partitionBy(*keys).orderBy(F.col("_p").desc()))).drop("_first")
+    inside = Window.partitionBy(*keys, "_p").orderBy(v.desc_nulls_last())
+    nxt = join_null_safe(ranged.withColumn("_in", F.lead(value).over(inside))
+                         .withColumn("_end", F.lead(F.lit(True)).over(inside).isNull()), firsts, [*keys, "_p"])
+    nxt = nxt.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col(value).alias("_v"), F.col("_last.r").alias("_r"),
+                     F.when(F.col("_end"), F.col("_next_first")).otherwise(F.col("_in")).alias("_next"))
     cond = [df[k].eqNullSafe(nxt["_k_" + k]) for k in keys] + [df[value].eqNullSafe(nxt["_v"])]
-    j = df.join(nxt, cond)
-    gap = F.when(F.col(tie) == F.col("_last_tie"), v - F.col("_next")).otherwise(v - v)
-    return j.withColumn("gap_to_next", gap).drop(*["_k_" + k for k in keys], "_v", "_last_tie", "_next")
+    gap = F.when(F.col("_row") == F.col("_r"), v - F.col("_next")).otherwise(v - v)
+    return df.join(nxt, cond).withColumn("gap_to_next", gap).drop(*["_k_" + k for k in keys], "_v", "_r", "_next", "_row")
 
 
-def distributed_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-                       buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
+def distributed_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per group (nulls skipped; mean of the two middle values
     when the count is even), without holding a group's values in one task.
     Output: one row per group with at least one non-null value."""
     vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return median_from_counts(vc, keys, value, name, buckets, accuracy)
-
+    return median_from_counts(vc, keys, value, name)
 
-def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-                       buckets: int | None = None, accuracy: int = 10000,
-                       window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """``distributed_median`` on distinct (group, value) counts ``_n``.
 
-    Prefix counts give each distinct value's position range, and the values
-    covering the middle position(s) are averaged. The prefix counts come from
-    one running sum over each group's distinct values when the largest group
-    passes the size check (see ``distributed_rank``); otherwise from
-    quantile buckets (per-bucket totals, then a running sum inside each
-    bucket)."""
-    spark = vc.sparkSession
+def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """``distributed_median`` on distinct (group, value) counts ``_n``: prefix
+    counts give each distinct value's position range, and the values covering
+    the middle position(s) are averaged."""
     k = list(keys)
-    vc = vc.where(F.col(value).isNotNull())
-    if _use_window(vc, k, value, buckets, window_limit):
-        before = F.sum("_n").over(Window.partitionBy(*k).orderBy(F.col(value))
-                                  .rowsBetween(Window.unboundedPreceding, -1))
-        pos = vc.select(*k, value, "_n", (F.coalesce(before, F.lit(0)) + 1).alias("_lo"),
-                        F.sum("_n").over(Window.partitionBy(*k)).alias("_total"))
-    else:
-        vb = _value_buckets(vc, value, _n_buckets(spark, buckets), True, accuracy)
-        per = vb.groupBy(*k, "_bucket").agg(F.sum("_n").alias("_bn"))
-        before_b = F.sum("_bn").over(Window.partitionBy(*k).orderBy("_bucket")
-                                     .rowsBetween(Window.unboundedPreceding, -1))
-        per = per.select(*k, "_bucket", F.coalesce(before_b, F.lit(0)).alias("_before"),
-                         F.sum("_bn").over(Window.partitionBy(*k)).alias("_total"))
-        inside = F.sum("_n").over(Window.partitionBy(*k, "_bucket").orderBy(F.col(value))
-                                  .rowsBetween(Window.unboundedPreceding, -1))
-        pos = (join_null_safe(vb.withColumn("_inside", F.coalesce(inside, F.lit(0))), per, [*k, "_bucket"])
-               .withColumn("_lo", F.col("_before") + F.col("_inside") + 1))
-    pos = pos.withColumn("_hi", F.col("_lo") + F.col("_n") - 1)
+    pos = _prefix_counts(vc.where(F.col(value).isNotNull()), k, value, True)
+    pos = pos.withColumn("_lo", F.col("_before") + 1).withColumn("_hi", F.col("_before") + F.col("_n"))
     m1 = F.floor((F.col("_total") + 1) / 2)       # lower middle position (1-based)
     m2 = F.ceil((F.col("_total") + 1) / 2)        # upper middle position
     hit1 = (F.col("_lo") <= m1) & (m1 <= F.col("_hi"))
@@ -273,9 +194,9 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly n pseudo-random rows, repeatable: order by a seeded scramble
-    of the key (``mix32``) and take n. Planned as a distributed top-n (each
+    of the whole key (``mix64``) and take n. Planned as a distributed top-n (each
     task keeps n rows), no full sort."""
-    return df.orderBy(mix32(F.col(key), seed), F.col(key)).limit(n)
+    return df.orderBy(*mix64(F.col(key), seed), F.col(key)).limit(n)
 
 
 def yoy_point_change(df: DataFrame, unit: Sequence[str], value: str, year: str = "year") -> DataFrame:

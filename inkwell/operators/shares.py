@@ -103,28 +103,26 @@ def share_of_group_total(df: DataFrame, group: Sequence[str], value: str,
 
 
 def stats_by_category(df: DataFrame, keys: Sequence[str], value: str,
-                      accuracy: int | None = None, buckets: int | None = None) -> DataFrame:
+                      accuracy: int | None = None) -> DataFrame:
     """count, mean and median per group; nulls skipped in mean/median, a null
     key is its own group.
 
-    Exact by default, and no group is held in one task: count and mean are
-    one partial aggregation; for the median, rows collapse to distinct
-    (group, value) counts (materialized once) and ``median_from_counts``
-    finds the middle value(s) from quantile-bucketed prefix counts.
-    ``accuracy`` switches the median to ``percentile_approx`` (bounded sketch
-    per group) in the same single aggregation."""
+    Exact by default, and no group is held in one task: rows collapse once to
+    distinct (group, value) counts (materialized, so the input is read once);
+    count and mean follow from the counts, and ``median_from_counts`` finds
+    the middle value(s) from prefix counts over ranges. ``accuracy`` switches
+    the median to ``percentile_approx`` (bounded sketch per group) in a single
+    aggregation."""
     from inkwell.operators.ranking import join_null_safe, median_from_counts
     from inkwell.session import materialize
     if accuracy is not None:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"),
-                                     F.avg(F.col(value).cast("decimal(38,10)")).cast("double").alias("avg_rating"),
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("avg_rating"),
                                      F.percentile_approx(value, 0.5, accuracy).alias("med_rating"))
-    # The mean is summed as a decimal: exact, so it does not depend on the
-    # order in which partial sums meet (a double sum can flip a rounding tie).
-    exact_mean = F.avg(F.col(value).cast("decimal(38,10)")).cast("double")
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), exact_mean.alias("avg_rating"))
     vc = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    med = median_from_counts(vc, keys, value, "med_rating", buckets)
+    v, n = F.col(value), F.col("_n")
+    base = vc.groupBy(*keys).agg(F.sum(n).alias("count"), F.try_divide(
+        F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("avg_rating"))
+    med = median_from_counts(vc, keys, value, "med_rating")
     return join_null_safe(base, med, list(keys), "left")
 
 

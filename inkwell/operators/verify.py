@@ -34,16 +34,23 @@ def subtotal_consistency(df: DataFrame, keys: Sequence[str], parts: Sequence[str
                      (F.abs(p - F.col(whole)) < tol).alias("consistent"))
 
 
+#: A double has no more decimal digits before or after the point that a claim could state.
+MAX_DIGITS = 18
+
+
 def fact_check(claims: DataFrame, metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join published claims to computed metrics; pass when the computed value
-    rounded (half-even) to the claim's digits equals the claimed value.
+    rounded (half-even) to the claim's digits (negative: tens, hundreds, ...)
+    equals the claimed value. Digits beyond +-18 are an error.
 
     claims: keys + claim, value, digits. metrics: keys + computed."""
     j = claims.join(metrics, list(keys), "left")
-    rounded = None
-    for d in range(0, 7):       # bround needs a constant scale
-        r = F.bround(F.col("computed"), d)
-        rounded = F.when(F.col("digits") == d, r) if rounded is None else rounded.when(F.col("digits") == d, r)
-    return j.select(*keys, "claim", "value", "digits", "computed",
-                    rounded.alias("computed_rounded"),
-                    F.coalesce(rounded == F.col("value"), F.lit(False)).alias("pass"))
+    digits = F.col("digits")
+    rounded = F.when(digits.isNull(), F.lit(None).cast("double"))
+    for d in range(-MAX_DIGITS, MAX_DIGITS + 1):       # bround needs a constant scale
+        rounded = rounded.when(digits == d, F.bround(F.col("computed").cast("double"), d))
+    rounded = rounded.otherwise(F.raise_error(F.format_string("digits %s is out of range", digits.cast("string")))
+                                .cast("double"))
+    j = j.withColumn("computed_rounded", rounded)
+    return j.select(*keys, "claim", "value", "digits", "computed", "computed_rounded",
+                    F.coalesce(F.col("computed_rounded") == F.col("value"), F.lit(False)).alias("pass"))

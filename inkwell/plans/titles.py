@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.functions.numeric import mix32_sql, safe_div
+from inkwell.functions.numeric import mix64_sql, safe_div
 from inkwell.operators import ranking, shares
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
@@ -51,7 +51,7 @@ def scan_headerless_csv(spark, sf_dir):
 @query("trim_recode_category", sql=T3 + "SELECT title_id, state FROM f3")
 def trim_recode_category(spark, sf_dir):
     """State names trimmed of all edge whitespace and misspellings recoded."""
-    return clean_titles(_staged_raw(spark, sf_dir)).select("title_id", "state")
+    return _titles(spark, sf_dir).select("title_id", "state")
 
 
 @query("title_year_split", sql=T3 + "SELECT title_id, title, year FROM f3")
@@ -70,16 +70,24 @@ STATS_SQL = "CAST(count(*) AS BIGINT) AS count, {}, {}".format(r6("avg(rating)",
                                                              r6("median(rating)", "med_rating"))
 
 
+def _stats(spark, sf_dir, keys) -> DataFrame:
+    """F3 ratings have four decimals: as decimals their sums don't depend on the order of partial
+    sums, so no reported digit flips."""
+    titles = _titles(spark, sf_dir).withColumn("rating", F.col("rating").cast("decimal(14,4)"))
+    out = shares.stats_by_category(titles, keys, "rating")
+    return finish(out.withColumns({c: F.col(c).cast("double") for c in ("avg_rating", "med_rating")}))
+
+
 @query("stats_by_category", sql=T3 + f"SELECT state, {STATS_SQL} FROM f3 GROUP BY state")
 def stats_by_category(spark, sf_dir):
     """Title count, mean and exact median rating per state."""
-    return finish(shares.stats_by_category(_titles(spark, sf_dir), ["state"], "rating"))
+    return _stats(spark, sf_dir, ["state"])
 
 
 @query("stats_by_category_decade", sql=T3 + f"SELECT state, year_bin, {STATS_SQL} FROM f3 GROUP BY state, year_bin")
 def stats_by_category_decade(spark, sf_dir):
     """Title count, mean and exact median rating per state and decade."""
-    return finish(shares.stats_by_category(_titles(spark, sf_dir), ["state", "year_bin"], "rating"))
+    return _stats(spark, sf_dir, ["state", "year_bin"])
 
 
 RANKED_SQL = f"""
@@ -117,7 +125,7 @@ def topk_per_group(spark, sf_dir):
 
 
 @query("sample_n", sql=T3 + f"""
-SELECT title_id, title, state FROM f3 ORDER BY {mix32_sql('title_id', SAMPLE_SEED)}, title_id LIMIT {SAMPLE_N}""")
+SELECT title_id, title, state FROM f3 ORDER BY {mix64_sql('title_id', SAMPLE_SEED)}, title_id LIMIT {SAMPLE_N}""")
 def sample_n(spark, sf_dir):
     """Exactly 10 repeatable pseudo-random titles (seeded integer scramble of the key)."""
     return ranking.sample_n(_titles(spark, sf_dir).select("title_id", "title", "state"), "title_id", SAMPLE_N,

@@ -6,11 +6,13 @@ comes from the launcher; the jobs only read settings from it.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every job in this package:
 # - AQE re-plans joins and coalesces shuffle partitions at runtime and splits
@@ -31,8 +33,10 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "inkwell", extra: dict | None = None) -> SparkSession:
+    """The given master, else the launcher's (``spark-submit``), else local."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    master = master or SparkConf().get("spark.master", None) or os.environ.get("MASTER") or f"local[{cpus}]"
+    builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
     conf.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
@@ -57,32 +61,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError(f"master {sc.master}: set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="inkwell-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for staged files, inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/inkwell-stage/{name}-{uuid.uuid4().hex[:12]}"
+def _stage_root(spark: SparkSession) -> str:
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/inkwell-stage"
+    if root not in _STAGED:
+        _STAGED[root] = spark
+        atexit.register(clean_staged, root)
+    return root
+
+
+_STAGED: dict[str, SparkSession] = {}
 
 
-def materialize(df):
-    """Cut lineage: write ``df`` once to the shared checkpoint folder and read
-    it back. Used for small aggregates that several branches of one job reuse
-    with different filters (which would otherwise each rescan the source).
-    Reliable checkpoint files survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clean_staged(root: str) -> None:
+    """Delete this application's staged files (also run when the driver ends).
+    Results of jobs that read them must have been written by then."""
+    spark = _STAGED.pop(root, None)
+    if spark is not None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for staged files, inside the shared checkpoint folder."""
+    return f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` once as Parquet to the shared checkpoint
+    folder and read it back. Used for aggregates that several branches of one
+    job reuse; column pruning and pushed filters go on behind it, and the
+    files survive the loss of any executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_threshold(spark: SparkSession) -> int:
     """The session's ``autoBroadcastJoinThreshold`` in bytes (-1: never)."""
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")).strip().lower()
-    num = raw.rstrip("bkmg")
-    unit = raw[len(num):] or "b"
-    return int(float(num) * _UNITS.get(unit, 1))
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
