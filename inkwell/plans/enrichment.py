@@ -14,19 +14,19 @@ from inkwell.plans.registry import finish, query
 from inkwell.session import scratch_path
 from inkwell.sources.fixtures import f7_labels, f7_rows
 from inkwell.sources.tables import Tables
-from inkwell.streaming.incremental import incremental_enrich as run_incremental
+from inkwell.streaming.incremental import current_results, incremental_enrich as run_incremental
 
 r6 = O.r6
 MODELS = ["A", "B"]
-PRICES = {"A": 0.002, "B": 0.0005}
+PRICES = enrich.RULE_PRICES
 
 
 def _rows(spark, sf_dir) -> DataFrame:
     return f7_rows(Tables(spark, sf_dir))
 
 
-def _classified(spark, sf_dir, models=("A", "B")) -> DataFrame:
-    return enrich.classify_rows(_rows(spark, sf_dir), list(models), enrich.rule_models(), backoff_base=0)
+def _classified(spark, sf_dir, models=("A", "B"), passthrough=()) -> DataFrame:
+    return enrich.classify_by_rule(_rows(spark, sf_dir), list(models), passthrough=passthrough)
 
 
 # ----------------------------------------------------------------- oracle SQL
@@ -34,44 +34,33 @@ def _lst(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _attr_sql(model: str) -> dict[str, str]:
-    b = model == "B"
-    lang_idx = "(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 4 END)"
-    return {
-        "primary_sub_genre": f"{_lst(enrich.SUB_GENRES)}[doc_id % 33 + 1]",
-        "secondary_sub_genre": f"{_lst(enrich.SUB_GENRES)}[(7 * doc_id) % 33 + 1]",
-        "tertiary_sub_genre": f"{_lst(enrich.SUB_GENRES)}[(11 * doc_id) % 33 + 1]",
-        "protagonist_type": f"{_lst(enrich.CHARACTER_TYPES)}[n_chars % 5 + 1]",
-        "antagonist_type": f"{_lst(enrich.CHARACTER_TYPES)}[(n_chars // 7) % 5 + 1]",
-        "protagonist_gender": f"{_lst(enrich.PROTAGONIST_GENDERS)}[(doc_id + {1 if b else 0}) % 3 + 1]",
-        "antagonist_gender": f"{_lst(enrich.ANTAGONIST_GENDERS)}[n_chars % 4 + 1]",
-        "protagonist_age": f"{_lst(enrich.AGES)}[{lang_idx} + 1]",
-        "antagonist_age": f"{_lst(enrich.AGES)}[({'n_chars' if b else 'doc_id'} // 3) % 5 + 1]",
-        "setting_time": (f"CASE WHEN lang = 'de' THEN 'unknown' ELSE {_lst(enrich.SETTING_TIMES)}[n_chars % 3 + 1] END"
-                         if b else f"{_lst(enrich.SETTING_TIMES)}[n_chars % 3 + 1]"),
-        "setting_location": f"{_lst(enrich.SETTING_LOCATIONS)}[(doc_id + {3 if b else 0}) % 7 + 1]",
-    }
-
-
 def _cls_cte() -> str:
+    """The rules over DuckDB: the sorted ranks of each attribute, then labels per model."""
+    def count(cue):
+        return f"(length(t) - length(replace(t, '{cue}', '')))"
+
     parts = []
     for m in MODELS:
-        attrs = _attr_sql(m)
-        cols = ", ".join(f"CASE WHEN ok THEN {expr} END AS {a}" for a, expr in attrs.items())
+        ranks, labels = {}, enrich.rule_labels(m)
+        for a, per_label in enrich.rule_scores().items():
+            terms = [f"({' + '.join(map(count, cs))}) * 100 + {enrich.place(m, i, len(per_label))}"
+                     for i, cs in enumerate(per_label)]
+            ranks[a] = f"list_reverse_sort([{', '.join(terms)}])"
+        label = {f"{n}_sub_genre": f"({_lst(labels['sub_genre'])})[r_sub_genre[{k + 1}] % 100]"
+                 for k, n in enumerate(("primary", "secondary", "tertiary"))}
+        none = enrich.NO_CUE_B if m == "B" else enrich.NO_CUE
+        for a in enrich.CUES:
+            label[a] = f"CASE WHEN r_{a}[1] < 100 THEN '{none[a]}' ELSE ({_lst(labels[a])})[r_{a}[1] % 100] END"
+        cols = ", ".join(f"CASE WHEN ok THEN {label[a]} END AS {a}" for a in ATTRIBUTES)
         parts.append(f"""
-  SELECT doc_id, lang, '{m}' AS model, ok, attempts, CAST(attempts AS DOUBLE) * {PRICES[m]} AS cost,
-         CASE WHEN empty THEN 'ERROR: ai_info must be provided and cannot be empty'
-              WHEN NOT ok THEN 'ERROR: Failed to get valid response from {m} API after 3 attempts. Last error: rate limited'
-         END AS error, {cols}
-  FROM s""")
+  SELECT doc_id, lang, '{m}' AS model, ok, CAST(ok AS INTEGER) AS attempts,
+         CASE WHEN ok THEN CAST({PRICES[m]} AS DOUBLE) ELSE 0.0 END AS cost,
+         CASE WHEN NOT ok THEN '{enrich.ERR_EMPTY_INPUT}' END AS error, {cols}
+  FROM (SELECT doc_id, lang, ok, {', '.join(f'{x} AS r_{a}' for a, x in ranks.items())} FROM low)""")
     return f"""
 WITH f7 AS (SELECT d.doc_id, d.text, d.lang, d.n_chars, l.quality, l.toxic
             FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
-s AS (SELECT *, (text IS NULL OR trim(text) = '') AS empty,
-             NOT (text IS NULL OR trim(text) = '') AND doc_id % 97 <> 0 AS ok,
-             CASE WHEN text IS NULL OR trim(text) = '' THEN 0 WHEN doc_id % 97 = 0 OR doc_id % 89 = 0 THEN 3 ELSE 1 END
-               AS attempts
-      FROM f7),
+low AS (SELECT doc_id, lang, lower(text) AS t, NOT (text IS NULL OR trim(text) = '') AS ok FROM f7),
 cls AS ({' UNION ALL '.join(parts)})
 """
 
@@ -126,34 +115,30 @@ SELECT a.doc_id, CASE WHEN a.ok THEN {_summary_sql('a.')} END AS a_result, {r6('
 FROM a JOIN b ON a.doc_id = b.doc_id""")
 def compare_models(spark, sf_dir):
     """The same rows through two models side by side, with per-row cost."""
-    return finish(enrich.compare_models(_classified(spark, sf_dir), MODELS))
+    return finish(enrich.compare_models(_rows(spark, sf_dir), MODELS))
 
 
 def _gold_sql() -> str:
-    g = _attr_sql("A")
-    g["protagonist_gender"] = f"CASE WHEN quality = 0 THEN 'unknown' ELSE {g['protagonist_gender']} END"
-    g["setting_time"] = f"CASE WHEN toxic = 1 THEN 'future' ELSE {g['setting_time']} END"
-    return ", ".join(f"{e} AS g_{a}" for a, e in g.items())
+    return ", ".join(f"CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in values.items()) + f" END AS g_{a}"
+                     for a, (c, values) in enrich.GOLD.items())
 
 
 @query("model_scorecard", sql=CLS + f"""
-, gold AS (SELECT doc_id, {_gold_sql()} FROM f7 WHERE quality IS NOT NULL),
+, gold AS (SELECT doc_id, {_gold_sql()} FROM f7 WHERE quality IS NOT NULL OR toxic IS NOT NULL),
 per_row AS (SELECT c.model, c.doc_id,
-            {' + '.join(f'CASE WHEN c.{a} = g.g_{a} THEN 1 ELSE 0 END' for a in ATTRIBUTES)} AS n_correct
+            {' + '.join(f'CASE WHEN c.{a} = g.g_{a} THEN 1 ELSE 0 END' for a in enrich.GOLD)} AS n_correct
             FROM cls c JOIN gold g ON g.doc_id = c.doc_id),
 pm AS (SELECT model, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(n_correct) AS BIGINT) AS n_correct,
-              CAST(count_if(n_correct = {len(ATTRIBUTES)}) AS BIGINT) AS n_perfect FROM per_row GROUP BY model),
+              CAST(count_if(n_correct = {len(enrich.GOLD)}) AS BIGINT) AS n_perfect FROM per_row GROUP BY model),
 cost AS (SELECT model, sum(cost) AS total_cost FROM cls GROUP BY model),
-j AS (SELECT pm.*, CAST(n_correct AS DOUBLE) / (n_rows * {len(ATTRIBUTES)}) AS accuracy, cost.total_cost
+j AS (SELECT pm.*, CAST(n_correct AS DOUBLE) / (n_rows * {len(enrich.GOLD)}) AS accuracy, cost.total_cost
       FROM pm LEFT JOIN cost ON cost.model = pm.model)
 SELECT model, n_rows, n_correct, n_perfect, {r6('accuracy', 'accuracy')}, {r6('total_cost', 'total_cost')},
        row_number() OVER (ORDER BY accuracy DESC, model) = 1 AS is_winner FROM j""")
 def model_scorecard(spark, sf_dir):
     """Correct attributes against gold labels per model: rows, correct, perfect rows, accuracy, cost, winner."""
-    cls = enrich.classify_rows(_rows(spark, sf_dir), MODELS, enrich.rule_models(), backoff_base=0,
-                               passthrough=["n_chars", "lang"])
     # Labels meet the classifier output (no texts), never the documents.
-    cls = cls.join(f7_labels(Tables(spark, sf_dir)), "doc_id", "left")
+    cls = _classified(spark, sf_dir).join(f7_labels(Tables(spark, sf_dir)), "doc_id", "left")
     return finish(enrich.model_scorecard(cls))
 
 
@@ -184,8 +169,7 @@ def classify_batches(spark, sf_dir):
     (sized by ``spark.sql.files.maxPartitionBytes``), which do not follow the
     batch key, so a batch holding a third of the rows still uses every task
     and the texts are never shuffled; only the per-batch partial sums are."""
-    rows = _rows(spark, sf_dir)
-    cls = enrich.classify_rows(rows, ["A"], enrich.rule_models(), backoff_base=0, passthrough=["lang"])
+    cls = _classified(spark, sf_dir, ["A"], ["lang"])
     return finish(cls.groupBy("lang").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"),
         F.count_if(F.col("result").isNotNull()).cast("bigint").alias("n_ok"),
@@ -196,27 +180,21 @@ def classify_batches(spark, sf_dir):
 @query("union_batches", sql=CLS + "SELECT doc_id, lang, model, CAST(attempts AS INTEGER) AS attempts, ok FROM cls WHERE model = 'A'")
 def union_batches(spark, sf_dir):
     """The stacked per-batch results: one DataFrame for every batch at once."""
-    cls = enrich.classify_rows(_rows(spark, sf_dir), ["A"], enrich.rule_models(), backoff_base=0,
-                               passthrough=["lang"])
+    cls = _classified(spark, sf_dir, ["A"], ["lang"])
     return cls.select("doc_id", "lang", "model", "attempts", F.col("result").isNotNull().alias("ok"))
 
 
 @query("incremental_enrich", sql=CLS + """
-SELECT doc_id, model, CAST(attempts AS INTEGER) AS attempts, ok, error FROM cls WHERE model = 'A'""")
+SELECT doc_id, model, CAST(attempts AS INTEGER) AS attempts, ok, error FROM cls""")
 def incremental_enrich(spark, sf_dir):
-    """Stage the rows as files, run the resumable stream twice (the second run
-    must add nothing) and return the target table."""
-    src, tgt, ckpt = (scratch_path(spark, n) for n in ("enrich-src", "enrich-tgt", "enrich-ckpt"))
-    rows = _rows(spark, sf_dir).select("doc_id", "text", "lang", "n_chars")
-    rows.write.mode("overwrite").parquet(src)
-    schema = spark.read.parquet(src).schema
-
-    def job(df):
-        out = enrich.classify_rows(df, ["A"], enrich.rule_models(), backoff_base=0)
-        return out.select("doc_id", "model", "attempts", F.col("result").isNotNull().alias("ok"), "error")
-
-    run_incremental(spark, src, schema, tgt, ckpt, job)
-    second = run_incremental(spark, src, schema, tgt, ckpt, job)
-    if second != 0:
-        raise AssertionError(f"resumed run added {second} rows")
-    return spark.read.parquet(tgt)
+    """Resumable stream over the documents' files through both rule models; the target's current rows."""
+    target, ckpt = (scratch_path(spark, n) for n in ("enrich-target", "enrich-checkpoint"))
+    run_incremental(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", _rows(spark, sf_dir).schema, target, ckpt,
+                    MODELS, rule_job)
+    return current_results(spark, target).select("doc_id", "model", "attempts", "ok", "error")
+
+
+def rule_job(df: DataFrame) -> DataFrame:
+    """(key, model, ...) rows with texts through the rule model each names."""
+    out = enrich.classify_by_rule(df, MODELS, passthrough=["wanted"]).where(F.col("model") == F.col("wanted"))
+    return out.select("doc_id", "model", "attempts", F.col("result").isNotNull().alias("ok"), "error")

@@ -2,54 +2,82 @@
 
 Rows arrive as files in a source folder; a file-source stream with
 ``trigger(availableNow=True)`` picks up only files it has not seen (tracked in
-the checkpoint), and each micro-batch is classified and appended to the
-target after dropping the keys the target already holds (the batch's keys
-are looked up in the target, then anti-joined). So a re-run with the same
-checkpoint adds nothing, and a re-run with a fresh checkpoint adds nothing
-either. A lost executor only replays
-the micro-batch; the sink is idempotent by key.
+the checkpoint). Each micro-batch is asked for every (key, model) pair it
+holds; pairs whose last word in the target is a success are dropped, the rest
+are classified and appended. So a re-run adds nothing, a new model is run over
+all rows once its files are read again with a fresh checkpoint, and a replayed
+micro-batch adds nothing either. ``retry_failed`` runs the failed pairs again
+from the source. Null keys match each other; of rows that repeat a key inside a
+batch one is classified.
+
+The target is partitioned by ranges of the key (``part``), so the lookup of a
+batch joins, and with dynamic pruning reads, only the parts its keys fall in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keys to a part of the target.
+PART_KEYS = 1_000_000
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the target has any committed data; other errors of the file system rise."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
+
+
+def _part(key: str, dtype: T.DataType) -> Column:
+    k = F.col(key)
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType)):
+        return F.coalesce(F.floor(k / PART_KEYS), F.lit(-1)).cast("long")
+    return F.coalesce(F.pmod(F.xxhash64(k), F.lit(1000)), F.lit(-1)).cast("long")
+
 
-def _target_or_none(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001 - no target written yet
-        return None
+def current_results(spark: SparkSession, target_dir: str, key: str = "doc_id") -> DataFrame:
+    """One row of each (key, model): a success if there is one, else the last failure."""
+    df = spark.read.parquet(target_dir)
+    w = Window.partitionBy("part", key, "model").orderBy(F.col("ok").desc(), F.col("run").desc())
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "part", "run")
+
+
+def _append(rows: DataFrame, target_dir: str, models: Sequence[str], enrich: Callable[[DataFrame], DataFrame],
+            key: str, run: int) -> int:
+    """Classify the pairs of ``rows`` that have no success yet; returns how many were written."""
+    spark, dtype = rows.sparkSession, rows.schema[key].dataType
+    todo = (rows.dropDuplicates([key]).withColumn("part", _part(key, dtype))
+            .withColumn("wanted", F.explode(F.array(*[F.lit(m) for m in models]))))
+    if _exists(spark, target_dir):
+        done = spark.read.parquet(target_dir).where("ok").select(
+            F.col("part").cast("long").alias("_p"), F.col(key).alias("_k"), F.col("model").alias("_m"))
+        todo = todo.join(done, (F.col("part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))
+                         & (F.col("wanted") == F.col("_m")), "left_anti")
+    # Counted while the write runs, so the growing target is never read again for it.
+    obs = Observation()
+    out = enrich(todo.drop("part")).withColumn("run", F.lit(run).cast("long")).withColumn("part", _part(key, dtype))
+    out.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy("part").parquet(target_dir)
+    return int(obs.get["rows"])
 
 
 def incremental_enrich(spark: SparkSession, source_dir: str, source_schema: T.StructType,
-                       target_dir: str, checkpoint_dir: str,
+                       target_dir: str, checkpoint_dir: str, models: Sequence[str],
                        enrich: Callable[[DataFrame], DataFrame], key: str = "doc_id",
                        max_files_per_trigger: int | None = None) -> int:
-    """Run one availableNow pass; returns the number of rows appended."""
+    """Run one availableNow pass; returns the number of rows appended.
+
+    ``enrich`` gets the source's rows with the model to run in ``wanted`` and
+    returns (key, model, ok, ...) rows."""
     added = {"rows": 0}
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        done = _target_or_none(batch.sparkSession, target_dir, key)
-        todo = batch
-        if done is not None:
-            # Only this batch's keys are looked up in the target: its key
-            # column is scanned and probed with the batch's keys (broadcast
-            # when Spark's size check allows), so the growing target is never
-            # shuffled; the few keys found then leave the batch.
-            seen = done.join(batch.select(key), key, "left_semi")
-            todo = batch.join(seen, key, "left_anti")
-        # Written straight to the target (the classifier runs once per row).
-        # The appended row count is observed while the write runs, so neither
-        # the job nor the (growing) target is read again to count it.
-        obs = Observation(f"enrich_batch_{batch_id}")
-        out = enrich(todo).observe(obs, F.count(F.lit(1)).alias("rows"))
-        out.write.mode("append").parquet(target_dir)
-        added["rows"] += int(obs.get["rows"])
+        added["rows"] += _append(batch, target_dir, models, enrich, key, batch_id)
 
     reader = spark.readStream.schema(source_schema)
     if max_files_per_trigger:
@@ -61,3 +89,12 @@ def incremental_enrich(spark: SparkSession, source_dir: str, source_schema: T.St
          .start())
     q.awaitTermination()
     return added["rows"]
+
+
+def retry_failed(spark: SparkSession, source_dir: str, target_dir: str, models: Sequence[str],
+                 enrich: Callable[[DataFrame], DataFrame], key: str = "doc_id", run: int = 1 << 40) -> int:
+    """Classify again the pairs that have failed so far; returns the rows appended."""
+    failed = current_results(spark, target_dir, key).where("not ok").select(F.col(key).alias("_k")).distinct()
+    rows = spark.read.parquet(source_dir)
+    rows = rows.join(failed, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    return _append(rows, target_dir, models, enrich, key, run)

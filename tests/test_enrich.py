@@ -1,52 +1,132 @@
 """Classification: errors as data, retries, validation, resumable streaming."""
 
+import sys
+
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from inkwell.operators import enrich
 from inkwell.session import scratch_path
-from inkwell.streaming.incremental import incremental_enrich
+from inkwell.plans.enrichment import rule_job
+from inkwell.streaming.incremental import current_results, incremental_enrich, retry_failed
 
 from tests.conftest import SF_SMALL
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # workers can't import this module
+
+GOOD = {a: enrich.ENUMS[a][0] for a in enrich.ATTRIBUTES}
+
+
 def _rows(spark):
-    return spark.createDataFrame([(1, "some text", "en", 100), (2, "   ", "fr", 3), (89, "t", "de", 5),
-                                  (97, "t", "es", 7)], "doc_id long, text string, lang string, n_chars long")
+    return spark.createDataFrame([(1, "some text", "en", 100), (2, "   ", "fr", 3), (89, "late", "de", 5),
+                                  (97, "never", "es", 7), (3, None, "en", 0)],
+                                 "doc_id long, text string, lang string, n_chars long")
+
+
+class _Injected(enrich.Classifier):
+    """Fails always on some texts, until the third attempt on others."""
+
+    name = "I"
+    cost_per_call = 0.002
+
+    def classify(self, row, attempt):
+        if row["text"] == "never" or (row["text"] == "late" and attempt < 3):
+            raise RuntimeError("rate limited")
+        return GOOD
 
 
 def test_classify_errors_retries_unknown_model(spark):
-    out = enrich.classify_rows(_rows(spark), ["A", "Z"], enrich.rule_models(), backoff_base=0)
+    out = enrich.classify_rows(_rows(spark), ["I", "Z"], {"I": _Injected()}, backoff_base=0)
     got = {(r.doc_id, r.model): r for r in out.collect()}
-    assert got[(1, "A")].result is not None and got[(1, "A")].attempts == 1
-    assert got[(2, "A")].error.startswith("ERROR: ai_info must be provided") and got[(2, "A")].attempts == 0
-    assert got[(89, "A")].result is not None and got[(89, "A")].attempts == 3
-    assert got[(97, "A")].result is None and "after 3 attempts" in got[(97, "A")].error
-    assert got[(1, "Z")].error.startswith("ERROR: chat must be one of") and got[(1, "Z")].attempts == 0
-    assert abs(got[(89, "A")].cost - 3 * 0.002) < 1e-12
+    assert got[(1, "I")].result is not None and got[(1, "I")].attempts == 1
+    for d in (2, 3):
+        assert got[(d, "I")].error == enrich.ERR_EMPTY_INPUT and got[(d, "I")].attempts == 0
+    assert got[(89, "I")].result is not None and got[(89, "I")].attempts == 3
+    assert got[(97, "I")].result is None and "after 3 attempts" in got[(97, "I")].error
+    assert got[(1, "Z")].error.startswith("ERROR: model must be one of") and got[(1, "Z")].attempts == 0
+    assert abs(got[(89, "I")].cost - 3 * 0.002) < 1e-12
+
+
+def test_rules_read_the_text(spark):
+    texts = ["She was in a haunted house. The ghost! ghost", "He will fly to a forest; vampires, vampires",
+             "qqq", "She was in a haunted house. The vampire! vampire", "", None]
+    rows = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    got = [r.result for r in enrich.classify_by_rule(rows, ["A"]).collect()]
+    assert got[0].primary_sub_genre == "ghost and spirits" and got[0].setting_location == "house"
+    assert (got[0].setting_time, got[1].setting_time, got[2].setting_time) == ("past", "future", "present")
+    assert got[1].primary_sub_genre == got[3].primary_sub_genre == "vampire" and got[1].setting_location == "forest"
+    assert got[2].protagonist_type == "unknown" and got[4] is None and got[5] is None
+    assert got[0] != got[3]                      # same key, other text
+    for r in got[:4]:
+        assert len({r.primary_sub_genre, r.secondary_sub_genre, r.tertiary_sub_genre}) == 3
+    plan = enrich.classify_by_rule(rows, ["A", "B"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_gold_comes_from_labels_only(spark):
+    rows = spark.createDataFrame([(1, 0), (0, 1), (None, None)], "quality int, toxic int").select(
+        "*", enrich.gold_record().alias("g"))
+    got = {(r.quality, r.toxic): r.g for r in rows.collect()}
+    assert tuple(got[(1, 0)]) == ("human", "present") and tuple(got[(0, 1)]) == ("possessed human", "past")
+    assert got[(None, None)] is None
 
 
 def test_validate_flags_values_outside_enum(spark):
-    out = enrich.classify_rows(_rows(spark), ["B"], enrich.rule_models(), backoff_base=0)
-    v = {r.doc_id: r for r in enrich.validate_enums(out).collect()}
-    assert v[89].n_invalid_values == 1 and not v[89].valid          # German row: setting_time 'unknown'
+    rows = spark.createDataFrame([(89, "zzz"), (1, "it was here")], "doc_id long, text string")
+    v = {r.doc_id: r for r in enrich.validate_enums(enrich.classify_by_rule(rows, ["B"])).collect()}
+    assert v[89].n_invalid_values == 1 and not v[89].valid          # no cue: setting_time 'unknown'
     assert v[1].n_invalid_values == 0
 
 
+def _job(classifiers):
+    def job(df):
+        # One model a row: ``wanted``.
+        out = enrich.classify_rows(df, sorted(classifiers), classifiers, backoff_base=0, passthrough=["wanted"])
+        return out.where("model = wanted").select("doc_id", "model", "attempts",
+                                                  F.col("result").isNotNull().alias("ok"), "error")
+    return job
+
+
 def test_incremental_enrich_second_run_adds_nothing(spark):
     src, tgt, ckpt = (scratch_path(spark, n) for n in ("src", "tgt", "ckpt"))
     spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang", "n_chars") \
         .repartition(3).write.parquet(src)
     schema = spark.read.parquet(src).schema
-
-    def job(df):
-        return enrich.classify_rows(df, ["A"], enrich.rule_models(), backoff_base=0).drop("result")
-
-    first = incremental_enrich(spark, src, schema, tgt, ckpt, job)
+    first = incremental_enrich(spark, src, schema, tgt, ckpt, ["A"], rule_job)
     assert first == spark.read.parquet(src).count()
-    assert incremental_enrich(spark, src, schema, tgt, ckpt, job) == 0
-    # a fresh checkpoint re-reads every file, and the anti-join still adds nothing
-    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt2"), job) == 0
-    assert spark.read.parquet(tgt).select("doc_id").distinct().count() == first
+    assert incremental_enrich(spark, src, schema, tgt, ckpt, ["A"], rule_job) == 0
+    # a fresh checkpoint re-reads every file, and the lookup still adds nothing
+    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt2"), ["A"], rule_job) == 0
+    # a second model runs over all rows
+    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt3"), ["A", "B"], rule_job) == first
+    assert current_results(spark, tgt).count() == 2 * first
+
+
+def test_incremental_enrich_null_keys_repeats_and_retry(spark):
+    src, tgt = scratch_path(spark, "src"), scratch_path(spark, "tgt")
+    rows = spark.createDataFrame([(1, "a", "en", 1), (1, "a", "en", 1), (None, "b", "en", 1), (97, "never", "en", 1)],
+                                 "doc_id long, text string, lang string, n_chars long")
+    rows.coalesce(1).write.parquet(src)
+    for _ in range(2):      # twice, with fresh checkpoints
+        added = incremental_enrich(spark, src, rows.schema, tgt, scratch_path(spark, "c"), ["I"], _job({"I": _Injected()}))
+    assert added == 1       # only the failed row again
+    state = {r.doc_id: r.ok for r in current_results(spark, tgt).collect()}
+    assert state == {1: True, None: True, 97: False}
+    healed = _job({"I": _Flaky([GOOD])})
+    assert retry_failed(spark, src, tgt, ["I"], healed) == 1 and retry_failed(spark, src, tgt, ["I"], healed) == 0
+    assert all(r.ok for r in current_results(spark, tgt).collect())
+
+
+def test_unreadable_target_is_an_error(spark, tmp_path):
+    src = scratch_path(spark, "src")
+    rows = _rows(spark)
+    rows.write.parquet(src)
+    (tmp_path / "target").mkdir()
+    (tmp_path / "target" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        incremental_enrich(spark, src, rows.schema, f"file://{tmp_path}/target", scratch_path(spark, "c"), ["A"], rule_job)
 
 
 class _Flaky(enrich.Classifier):
@@ -57,7 +137,7 @@ class _Flaky(enrich.Classifier):
         self.outcomes = list(outcomes)
 
     def classify(self, row, attempt):
-        out = self.outcomes[attempt - 1]
+        out = self.outcomes[min(attempt, len(self.outcomes)) - 1]
         if isinstance(out, Exception):
             raise out
         return out
@@ -65,22 +145,22 @@ class _Flaky(enrich.Classifier):
 
 def test_backoff_is_two_to_the_n_between_attempts():
     slept = []
-    res, err, att, cost = enrich._attempt_row(
-        _Flaky([RuntimeError("a"), RuntimeError("b"), RuntimeError("c")]), "F", ["F"], {"text": "x"}, "text",
-        3, lambda n: 2.0 ** n, slept.append)
+    res, err, att, cost = enrich._attempt_rows(
+        _Flaky([RuntimeError("a"), RuntimeError("b"), RuntimeError("c")]), "F", ["F"], [{"text": "x"}], "text",
+        3, lambda n: 2.0 ** n, slept.append)[0]
     assert res is None and att == 3 and cost == 3.0 and slept == [2.0, 4.0]
     assert err.endswith("after 3 attempts. Last error: c")
 
 
 def test_empty_result_counts_as_an_attempt():
     slept = []
-    res, err, att, _ = enrich._attempt_row(_Flaky([{}, {}, {}]), "F", ["F"], {"text": "x"}, "text",
-                                           3, lambda n: 0.0, slept.append)
+    res, err, att, _ = enrich._attempt_rows(_Flaky([{}, {}, {}]), "F", ["F"], [{"text": "x"}], "text",
+                                            3, lambda n: 0.0, slept.append)[0]
     assert res is None and att == 3 and err.endswith("Last error: " + enrich.ERR_EMPTY_RESULT)
 
 
 def test_success_after_retry_reports_attempts_and_cost():
     good = {a: enrich.ENUMS[a][0] for a in enrich.ATTRIBUTES}
-    res, err, att, cost = enrich._attempt_row(_Flaky([RuntimeError("x"), good]), "F", ["F"], {"text": "x"}, "text",
-                                              3, lambda n: 0.0, lambda s: None)
+    res, err, att, cost = enrich._attempt_rows(_Flaky([RuntimeError("x"), good]), "F", ["F"], [{"text": "x"}], "text",
+                                               3, lambda n: 0.0, lambda s: None)[0]
     assert res == good and err is None and att == 2 and cost == 2.0
