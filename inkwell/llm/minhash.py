@@ -10,8 +10,9 @@ Equal sets are one node. Within a bucket, members are compared with hubs, never
 each round a bucket names hubs (first the one sharing most buckets, then ``GROWTH`` times more each time, of the smallest
 sets), and only members that are not yet in a hub's component and pass the exact filters become
 candidate pairs, which full sets confirm. The filters bound the sizes of linked sets: after the
-first round also by the number of items a set shares with any other open set, since items that
-only one set has can't be in an intersection. Tested hubs and rows without a possible partner leave
+first round also by the number of items a set shares with any other open set (items that only one
+set has can't be in an intersection) and by parity bitmaps (they differ in no more bits than the
+sets in items). Tested hubs and rows without a possible partner leave
 the bucket; a bucket is done once its members lie in one component. So every pair of a bucket that
 could change a component is tested, while a bucket of copies costs about one comparison a member,
 also where many of them lie just below the threshold to each other.
@@ -39,6 +40,9 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 #: Links: ``PART * intersection >= LEAST * union``.
 LEAST, PART = 85, 100
+#: 64-bit words of a set's bitmap.
+WORDS = 8
+BITS = [f"b{i}" for i in range(WORDS)]
 #: A round names so many times more hubs a bucket than the last.
 GROWTH = 32
 
@@ -129,13 +133,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "n", "h1", "h2", "bands"])
 
 
+def parity_bits(items: np.ndarray) -> np.ndarray:
+    """Bitmap of 64 * WORDS bits: whether an odd number of items hash to a bit. The bits in which
+    two sets differ are at most their symmetric difference, which bounds the intersection."""
+    odd = np.bincount((items % K.U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = K.column_bytes(batch.column(1))
         for lo, hi, part, at in K.pieces(raw, off):
+            sets = shingle_sets(part, at)
+            bits = np.stack([parity_bits(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo),
-                 pa.array([s.tobytes() for s in shingle_sets(part, at)], pa.binary())], names=["id", "items"])
+                [batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 *(pa.array(bits[:, i]) for i in range(WORDS))], names=["id", "items", *BITS])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,17 +192,22 @@ def _most(r: str, n: str):
 
 def _rounds(buckets: DataFrame, sets: DataFrame):
     """Component of every node that isn't the smallest of its own: (node, root), or None.
-    ``buckets``: (bucket, id, n, mass). ``most`` bounds the size of a partner."""
-    cols = ["bucket", "id", "n", "most", "rank", "comp"]
+    ``buckets``: (bucket, id, n, mass). ``most`` bounds the size of a partner, the bitmaps the
+    intersection of a pair (they come in after the first round)."""
+    cols = ["bucket", "id", "n", "most", "rank", "comp", *BITS]
+    apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in BITS)
+    both = F.col("n") + F.col("hub_n")
+    may_link = (PART + LEAST) * (both - apart) >= 2 * LEAST * both
     rest = stage(buckets.select("bucket", "id", "n", F.floor(PART * F.col("n") / LEAST).alias("most"),
-                                (-F.col("mass")).alias("rank"), F.col("id").alias("comp")), "rest")
+                                (-F.col("mass")).alias("rank"), F.col("id").alias("comp"),
+                                *[F.lit(0).cast("long").alias(b) for b in BITS]), "rest")
     links, root, hubs_a_bucket = None, None, 1
     while not is_empty(rest):
         salt = F.pmod(F.xxhash64("id", F.lit(hubs_a_bucket)), F.lit(hubs_a_bucket))
         hubs = rest.groupBy("bucket", salt.alias("salt")).agg(
-            F.min(F.struct("rank", "id", "n", "most", "comp")).alias("h")).select(
-                "bucket", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("id", "n", "most", "comp")])
-        pairs = rest.join(hubs, "bucket").where("comp <> hub_comp and n <= hub_most and hub_n <= most")
+            F.min(F.struct("rank", "id", "n", "most", "comp", *BITS)).alias("h")).select(
+                "bucket", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("id", "n", "most", "comp", *BITS)])
+        pairs = rest.join(hubs, "bucket").where("comp <> hub_comp and n <= hub_most and hub_n <= most").where(may_link)
         pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
         left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -210,8 +228,8 @@ def _rounds(buckets: DataFrame, sets: DataFrame):
             # What is still open is bounded by the items that two open sets share at all. The
             # smallest sets are hubs first: they are the last that one with few shared items fits.
             shared = _shared_items(rest, sets)
-            rest = rest.drop("most").join(shared, "id").withColumn("most", _most("r", "n")).withColumn(
-                "rank", F.col("n")).select(*cols)
+            rest = rest.drop("most", *BITS).join(shared, "id").join(sets.select("id", *BITS), "id").withColumn(
+                "most", _most("r", "n")).withColumn("rank", F.col("n")).select(*cols)
             rest = stage(_open(rest), "rest")
         hubs_a_bucket *= GROWTH
     return root
@@ -239,7 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stage(buckets.join(shared, "bucket"), "buckets")
     mass = buckets.groupBy("id").agg(F.sum("size").alias("mass"))
-    sets = stage(rows.join(mass.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, items binary"), "sets")
+    # By a sort-merge join at every size, so the plan's cost is the same share of any input.
+    sets = stage(rows.join(mass.select("id").hint("merge"), "id", "left_semi").mapInArrow(
+        _sets, "id long, items binary, " + ", ".join(f"{b} long" for b in BITS)), "sets")
     root = _rounds(buckets.drop("size").join(mass, "id").select("bucket", "id", "n", "mass"), sets)
     classes = nodes.select("h1", "h2", F.col("rep").alias("comp"))
     if root is not None:
