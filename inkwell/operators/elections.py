@@ -26,6 +26,13 @@ def precinct_enrich_join(runoff: DataFrame, first_round: DataFrame, demographics
     return runoff.join(first_round, key, "left").join(demographics, key, "left")
 
 
+def parse_votes(runoff: DataFrame) -> DataFrame:
+    """Runoff numbers parsed (non-numeric -> 0), with the first-round leader."""
+    return runoff.select("precinct_geo", number_or_zero("gonzalez").alias("gonzalez"),
+                         number_or_zero("higgins").alias("higgins"), number_or_zero("precinct_total").alias("total_votes"),
+                         F.col("winner").alias("first_round_winner"))
+
+
 def normalize_precinct_attrs(df: DataFrame) -> DataFrame:
     """'?' -> empty text, percent suffix, first letter upper-case, numbers
     parsed with non-numeric -> 0."""
@@ -44,7 +51,8 @@ def normalize_precinct_attrs(df: DataFrame) -> DataFrame:
 
 
 def precinct_winner(df: DataFrame, a: str = "gonzalez", b: str = "higgins",
-                    names: tuple[str, str] = ("Gonzalez", "Higgins"), raw: bool = False) -> DataFrame:
+                    names: tuple[str, str] = ("Gonzalez", "Higgins"), raw: bool = False,
+                    keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Winner and margin on shares rounded half-up to integers (``raw=True``
     compares unrounded shares). A tie goes to the second-listed candidate,
     because the comparison is a strict ``>``. No votes -> no winner."""
@@ -57,7 +65,7 @@ def precinct_winner(df: DataFrame, a: str = "gonzalez", b: str = "higgins",
         ra.alias(a + "_rounded"), rb.alias(b + "_rounded"),
         F.when(voted, F.when(a_wins, names[0]).otherwise(names[1])).alias("winner"),
         F.when(voted, F.abs(ra - rb)).alias("margin"),
-        F.when(voted, F.when(a_wins, ra).otherwise(rb)).alias("winner_share"))
+        F.when(voted, F.when(a_wins, ra).otherwise(rb)).alias("winner_share"), *keep)
 
 
 def no_vote_flag(df: DataFrame) -> DataFrame:
@@ -65,10 +73,9 @@ def no_vote_flag(df: DataFrame) -> DataFrame:
                      F.when(F.col("total_votes") == 0, NO_VOTERS).otherwise("voters").alias("state"))
 
 
-def winner_flip(winners: DataFrame, first_round: DataFrame) -> DataFrame:
+def flag_flips(winners: DataFrame) -> DataFrame:
     """First-round leader beside the runoff winner; flipped when both exist and differ."""
-    j = winners.select("precinct_geo", F.col("winner").alias("runoff_winner")).join(
-        first_round.select("precinct_geo", F.col("winner").alias("first_round_winner")), "precinct_geo", "left")
+    j = winners.select("precinct_geo", F.col("winner").alias("runoff_winner"), "first_round_winner")
     known = (F.col("first_round_winner") != "?") & F.col("runoff_winner").isNotNull()
     return j.withColumn("flipped", F.coalesce(known & (F.col("first_round_winner") != F.col("runoff_winner")),
                                               F.lit(False)))

@@ -126,9 +126,19 @@ def pivot_years(long_df: DataFrame, keys: Sequence[str], years: Sequence[int],
     """long ``(keys, year, value)`` -> one column per year (``x1995`` ...).
 
     Years are listed up front, so Spark does not run a job to discover them;
-    the pivot is a single hash aggregation on ``keys``."""
-    return (long_df.groupBy(*keys).pivot("year", list(years)).agg(F.first(value))
-            .withColumnsRenamed({str(y): f"{prefix}{y}" for y in years}))
+    the pivot is a single hash aggregation on ``keys``. Two rows for one cell,
+    or a year that is not listed, are an error."""
+    year, v = F.col("year"), F.col(value)
+    dtype = long_df.schema[value].dataType
+    odd = F.max(F.when(~F.coalesce(year.isin(list(years)), F.lit(False)), F.coalesce(year.cast("string"), F.lit("null"))))
+
+    def cell(y):
+        hit = year == y
+        return (F.when(odd.isNotNull(), F.raise_error(F.concat(F.lit("year not listed: "), odd)).cast(dtype))
+                .when(F.count_if(hit) > 1, F.raise_error(F.lit(f"several rows for one cell of year {y}")).cast(dtype))
+                .otherwise(F.max(F.when(hit, v))).alias(f"{prefix}{y}"))
+
+    return long_df.groupBy(*keys).agg(*[cell(y) for y in years])
 
 
 def index_to_first(df: DataFrame, partition: Sequence[str], order: Sequence[str],
@@ -231,15 +241,3 @@ def ribbon_series(df: DataFrame, keys: Sequence[str], series: Sequence[str],
                               (F.col(s) - F.col(s + margin_suffix)).alias("lower"),
                               (F.col(s) + F.col(s + margin_suffix)).alias("upper")) for s in series])
     return df.select(*keys, F.inline(rows))
-
-
-def normalize_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[clean_name(c) for c in df.columns])
-
-
-def conditional_pivot(df: DataFrame, keys: Sequence[str], pivot_col: str,
-                      values: Mapping[str, object], value: str) -> DataFrame:
-    """Pivot with explicitly named output columns: {out_name: pivot value}."""
-    aggs: list[Column] = [F.max(F.when(F.col(pivot_col) == v, F.col(value))).alias(n)
-                          for n, v in values.items()]
-    return df.groupBy(*keys).agg(*aggs)

@@ -1,38 +1,22 @@
 """Point-in-area join.
 
-Every area is cut into grid cells covering its bounding box; each cell key
-carries the list of areas whose box touches it (with the box and the ring's
-edges). Every point looks up its own cell at each grid level with an
-equi-join - at most one candidate row per level, so the point row is never
-multiplied - and keeps the candidates whose ring contains it (ray casting
-written as Spark higher-order expressions, no UDF). Hits of all levels are
-exploded; a point in no area keeps one row with a null area.
-
-Large areas would explode into many cells, so the grid has levels: an area
-uses the finest level at which it needs at most ``max_cells`` cells (the
-coarsest level takes the rest, uncapped). Nothing is dropped or capped.
-
-The candidate table is broadcast only after a size check (one count over the
-area cells against the session's ``autoBroadcastJoinThreshold``); then the
-points are never shuffled. Beyond the threshold each level is a shuffle join
-on the cell key, and a hot cell is split by AQE's skew-join handling.
+A grid has a level for every power of two of the cell size; an area sits at the
+level whose cells are no smaller than its box, so it touches a few cells
+however large it is. A point looks up its own cell at each level that any area
+uses with one equi-join; a candidate row is one area in one cell, and stays a
+plain row, so any number of areas may share a cell. Candidates whose ring
+contains the point (ray casting as higher-order expressions, no UDF) are hits;
+they meet their points again by row number, so a point in no area keeps one
+row with a null area. Spark broadcasts the candidates by its own size check;
+otherwise AQE splits a hot cell. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from inkwell.session import broadcast_threshold
-
-# Rough in-memory bytes of one candidate row (key, box) and of one edge, for
-# the broadcast size check.
-_ROW_BYTES = 96
-_EDGE_BYTES = 48
 
+from inkwell.session import materialize
 
 def ring_edges(ring: Column) -> Column:
     """array<struct<x1, y1, y2, dxdy>>: each vertex with its predecessor (the
@@ -70,82 +54,34 @@ def _bbox(areas: DataFrame, ring: str) -> DataFrame:
                               "_ymin": F.array_min(ys), "_ymax": F.array_max(ys)})
 
 
-def _with_level(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int) -> DataFrame:
-    """Add ``_level`` (the finest level where the box needs at most
-    ``max_cells`` cells; the coarsest takes the rest), its cell ``_size``
-    and the box's cell count ``_ncells`` at that size."""
-    level = None
-    for i, factor in enumerate(levels):
-        size = cell * factor
-        n = ((F.floor(F.col("_xmax") / size) - F.floor(F.col("_xmin") / size) + 1)
-             * (F.floor(F.col("_ymax") / size) - F.floor(F.col("_ymin") / size) + 1))
-        if i == len(levels) - 1:
-            level = F.lit(i) if level is None else level.otherwise(F.lit(i))
-        else:
-            cond = n <= max_cells
-            level = F.when(cond, F.lit(i)) if level is None else level.when(cond, F.lit(i))
-    sizes = F.element_at(F.array(*[F.lit(float(cell * f)) for f in levels]), F.col("_level") + 1)
-    b = boxed.withColumn("_level", level).withColumn("_size", sizes)
-    z = F.col("_size")
-    return b.withColumn("_ncells", (F.floor(F.col("_xmax") / z) - F.floor(F.col("_xmin") / z) + 1)
-                        * (F.floor(F.col("_ymax") / z) - F.floor(F.col("_ymin") / z) + 1))
-
-
-def _cells(boxed: DataFrame, cell: float, levels: Sequence[int], max_cells: int) -> DataFrame:
-    """Add ``_level`` and explode to one row per grid cell ``(_cx, _cy)`` the box touches."""
-    b = _with_level(boxed, cell, levels, max_cells)
-    z = F.col("_size")
-    cx = F.explode(F.sequence(F.floor(F.col("_xmin") / z), F.floor(F.col("_xmax") / z)))
-    cells = b.select("*", cx.alias("_cx"))
-    cy = F.explode(F.sequence(F.floor(F.col("_ymin") / z), F.floor(F.col("_ymax") / z)))
-    return cells.select("*", cy.alias("_cy")).drop("_size", "_ncells")
-
-
-def area_cells(areas: DataFrame, cell: float, levels: Sequence[int], max_cells: int,
-               ring: str = "ring") -> DataFrame:
-    """(area columns, level, cx, cy) for every grid cell an area's box touches."""
-    return _cells(_bbox(areas, ring), cell, levels, max_cells).drop("_xmin", "_xmax", "_ymin", "_ymax")
-
-
-def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0,
-                       levels: Sequence[int] = (1, 32), max_cells: int = 64,
-                       point_key: str = "point_id", area_key: str = "area_id",
+def area_cells(areas: DataFrame, cell: float, area_key: str = "area_id", ring: str = "ring") -> DataFrame:
+    """(area key, box, edges, level, cx, cy): one row per grid cell an area's
+    box touches at its level."""
+    b = _bbox(areas.select(area_key, ring), ring).withColumn("_edges", ring_edges(F.col(ring))).drop(ring)
+    side = F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin"))
+    b = b.withColumn("_level", F.when(side > cell, F.ceil(F.log2(side / cell))).otherwise(0).cast("int"))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    for axis in ("x", "y"):
+        span = F.sequence(F.floor(F.col(f"_{axis}min") / size), F.floor(F.col(f"_{axis}max") / size))
+        b = b.select("*", F.explode(span).alias(f"_c{axis}"))
+    return b
+
+
+def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0, area_key: str = "area_id",
                        x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
     """Each point with every area containing it; a point in none gets one row
     with a null area. Output: point columns + ``area_key``.
 
-    An area sits at exactly one level, and a point in exactly one cell per
-    level, so each area is a candidate of a point at most once: no
-    de-duplication (and no shuffle of the points) is needed."""
-    boxed = _bbox(areas.select(area_key, ring), ring).withColumn("_edges", ring_edges(F.col(ring)))
-    cells = _cells(boxed.drop(ring), cell, levels, max_cells)
-    cand = (cells.groupBy("_level", "_cx", "_cy")
-            .agg(F.collect_list(F.struct(area_key, "_xmin", "_xmax", "_ymin", "_ymax", "_edges")).alias("_cands")))
-
-    # Size check of the candidate table before any broadcast: cell rows and
-    # their edges follow from each area's box, so the areas are counted
-    # without exploding them.
-    limit = broadcast_threshold(areas.sparkSession)
-    leveled = _with_level(boxed, cell, levels, max_cells)
-    stats = leveled.agg(F.sum("_ncells").alias("rows"),
-                        F.sum(F.col("_ncells") * F.size("_edges")).alias("edges")).first()
-    est = (stats["rows"] or 0) * _ROW_BYTES + (stats["edges"] or 0) * _EDGE_BYTES
-    small = 0 <= est <= limit
-
-    px, py = F.col(x), F.col(y)
-    p = points
-    hits = []
-    for i, factor in enumerate(levels):
-        size = cell * factor
-        ci = cand.where(F.col("_level") == i).select(
-            F.col("_cx").alias(f"_cx{i}"), F.col("_cy").alias(f"_cy{i}"), F.col("_cands").alias(f"_c{i}"))
-        p = (p.withColumns({f"_cx{i}": F.floor(px / size), f"_cy{i}": F.floor(py / size)})
-             .join(F.broadcast(ci) if small else ci, [f"_cx{i}", f"_cy{i}"], "left"))
-
-        def contains(c):
-            in_box = (c["_xmin"] <= px) & (px <= c["_xmax"]) & (c["_ymin"] <= py) & (py <= c["_ymax"])
-            return in_box & inside_edges(c["_edges"], px, py)
-        hits.append(F.transform(F.filter(F.col(f"_c{i}"), contains), lambda c: c[area_key]))
-    none = F.array().cast(T.ArrayType(areas.schema[area_key].dataType))
-    found = F.concat(*[F.coalesce(h, none) for h in hits])
-    return p.select(*points.columns, F.explode_outer(found).alias(area_key))
+    A point is in exactly one cell per level, so each area is a candidate of
+    a point at most once. The points are materialized once for their row
+    numbers; what is looked up per level is (row, x, y) only."""
+    cells = area_cells(areas, cell, area_key, ring)
+    rows = materialize(points.withColumn("_row", F.monotonically_increasing_id()))
+    used = cells.agg(F.sort_array(F.collect_set("_level"))).scalar()      # at most one entry per power of two
+    px, py = F.col("_px"), F.col("_py")
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    look = rows.select("_row", F.col(x).alias("_px"), F.col(y).alias("_py"), F.explode(used).alias("_level"))
+    look = look.withColumns({"_cx": F.floor(px / size), "_cy": F.floor(py / size)})
+    in_box = (F.col("_xmin") <= px) & (px <= F.col("_xmax")) & (F.col("_ymin") <= py) & (py <= F.col("_ymax"))
+    hits = look.join(cells, ["_level", "_cx", "_cy"]).where(in_box & inside_edges(F.col("_edges"), px, py))
+    return rows.join(hits.select("_row", area_key), "_row", "left").select(*points.columns, area_key)

@@ -92,7 +92,7 @@ DICT_SCHEMA = T.StructType([T.StructField("unique_id", T.StringType()), T.Struct
 @query("scan_dictionary", sql=O.with_(O.f2_dictionary()) + "SELECT unique_id, stub, is_leaf FROM f2_dict")
 def scan_dictionary(spark, sf_dir):
     """Staged dictionary file -> drop ``line`` and ``data_release``."""
-    path = io.sink_csv(f2_dictionary(Tables(spark, sf_dir)), scratch_path(spark, "dict"))
+    path = io.sink_csv(f2_dictionary(Tables(spark, sf_dir), as_delivered=True), scratch_path(spark, "dict"))
     return (spark.read.option("header", True).schema(DICT_SCHEMA).csv(path)
             .drop("line", "data_release"))
 
@@ -118,7 +118,7 @@ GEO_ONE = "0500000us7"
 @query("filter_geo_equals", sql=F2 + f"SELECT * FROM f2 WHERE geo_id = '{GEO_ONE}'")
 def filter_geo_equals(spark, sf_dir):
     """The wide row of one geography."""
-    return finish(_wide(spark, sf_dir).where(F.col("geo_id") == GEO_ONE))
+    return finish(f2_wide(Tables(spark, sf_dir), nations=[int(GEO_ONE.removeprefix("0500000us"))]))
 
 
 @query("filter_geo_level", sql=F2 + f"SELECT geo_id, {E[0]}, {E[2]} FROM f2 WHERE starts_with(geo_id, '{NATION}')")
@@ -203,7 +203,7 @@ SLICE = [2, 3, 4, 6]   # a list with a gap
 SELECT geo_id, var, ordinal, {O.r6('e', 'e')} FROM f2_long WHERE ordinal IN ({', '.join(map(str, SLICE))})""")
 def slice_positions(spark, sf_dir):
     """Decoded rows at positions 2-4 and 6 (a list with a gap)."""
-    return finish(ranking.slice_positions(_decoded(spark, sf_dir), SLICE).select("geo_id", "var", "ordinal", "e"))
+    return finish(ranking.slice_positions(reshape.decode_variables(_wide(spark, sf_dir)), SLICE).select("geo_id", "var", "ordinal", "e"))
 
 
 GROUPS = {"first_two": [f"{F2_BASE}_002", f"{F2_BASE}_003"], "last_two": [f"{F2_BASE}_005", f"{F2_BASE}_006"]}
@@ -216,7 +216,7 @@ FROM f2_long WHERE var IN ('{"', '".join(GROUPS['first_two'] + GROUPS['last_two'
 GROUP BY ALL""")
 def group_total_of_selected(spark, sf_dir):
     """Sums of two hand-picked pairs of variables per geography."""
-    return finish(shares.group_total_of_selected(_decoded(spark, sf_dir), GROUPS))
+    return finish(shares.group_total_of_selected(reshape.decode_variables(_wide(spark, sf_dir)), GROUPS))
 
 
 @query("fixed_denominator_share", sql=F2D + f"""
@@ -226,7 +226,7 @@ FROM f2_long l LEFT JOIN f2_long u ON u.geo_id = l.geo_id AND u.var = '{UNIVERSE
 WHERE starts_with(l.geo_id, '{NATION}')""")
 def fixed_denominator_share(spark, sf_dir):
     """Each variable's estimate divided by its geography's universe row, also in percent."""
-    dec = _decoded(spark, sf_dir).where(F.col("geo_id").startswith(NATION))
+    dec = reshape.decode_variables(_wide(spark, sf_dir).where(F.col("geo_id").startswith(NATION)))
     df = shares.fixed_denominator_share(dec, UNIVERSE_VAR)
     df = df.withColumn("share_pct", F.try_divide(F.col("e") * 100.0, F.col("universe")))
     return finish(df.select("geo_id", "var", "e", "universe", "share", "share_pct"))
@@ -243,8 +243,7 @@ FROM s""")
 def sort_desc_share(spark, sf_dir):
     """Leaf variables per geography by estimate descending, with share and position."""
     t = Tables(spark, sf_dir)
-    # One dictionary join brings both the label and the leaf flag (the
-    # dictionary is built once, so ``customer`` is not read a third time).
+    # One dictionary join brings both the label and the leaf flag.
     dim = f2_dictionary(t).select(F.col("unique_id").alias("var"), "stub", "is_leaf")
     dec = reshape.decode_variables(f2_wide(t)).drop("stub").join(dim, "var", "left")
     shared = shares.fixed_denominator_share(dec, UNIVERSE_VAR)

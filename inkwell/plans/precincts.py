@@ -39,6 +39,14 @@ def _normalized(spark, sf_dir) -> DataFrame:
     return elections.normalize_precinct_attrs(_features(spark, sf_dir))
 
 
+def _votes(spark, sf_dir) -> DataFrame:
+    """Parsed runoff numbers of every precinct with its first-round leader, from
+    one projection of the vote aggregate: jobs that need no demographics join
+    nothing."""
+    t = Tables(spark, sf_dir)
+    return elections.parse_votes(f5_runoff(t, first_round=True))
+
+
 @query("precinct_enrich_join", sql=P + "SELECT * FROM f5")
 def precinct_enrich_join(spark, sf_dir):
     """Runoff results joined with the first-round leader and demographics per precinct."""
@@ -82,7 +90,7 @@ SELECT precinct_geo, {r6('total_votes', 'total_votes')}, gonzalez_rounded, higgi
 FROM win""")
 def precinct_winner(spark, sf_dir):
     """Winner, margin and winner's share on shares rounded half-up (ties to the second-listed)."""
-    return finish(elections.precinct_winner(_normalized(spark, sf_dir)))
+    return finish(elections.precinct_winner(_votes(spark, sf_dir)))
 
 
 @query("no_vote_flag", sql=P + f"""
@@ -90,7 +98,7 @@ SELECT precinct_geo, {r6('total_votes', 'total_votes')},
        CASE WHEN total_votes = 0 THEN 'no voters' ELSE 'voters' END AS state FROM f5_norm""")
 def no_vote_flag(spark, sf_dir):
     """Precincts without any vote flagged as 'no voters'."""
-    return finish(elections.no_vote_flag(_normalized(spark, sf_dir)))
+    return finish(elections.no_vote_flag(_votes(spark, sf_dir)))
 
 
 @query("winner_flip", sql=P.rstrip() + WINNER_SQL + """
@@ -99,10 +107,7 @@ SELECT win.precinct_geo, win.winner AS runoff_winner, f.winner AS first_round_wi
 FROM win LEFT JOIN f5_first f ON f.precinct_geo = win.precinct_geo""")
 def winner_flip(spark, sf_dir):
     """First-round leader beside the runoff winner, flagged when they differ."""
-    runoff, first, demo = _sources(spark, sf_dir)
-    winners = elections.precinct_winner(elections.normalize_precinct_attrs(
-        elections.precinct_enrich_join(runoff, first, demo)))
-    return elections.winner_flip(winners, first)
+    return elections.flag_flips(elections.precinct_winner(_votes(spark, sf_dir), keep=["first_round_winner"]))
 
 
 @query("precinct_shares", sql=P + f"""
@@ -125,7 +130,7 @@ SELECT precinct_geo, {r6('gonzalez', 'gonzalez')},
 FROM f5_norm WHERE total_votes > 0""")
 def legend_classes(spark, sf_dir):
     """First candidate's share per voting precinct and its legend class."""
-    df = _normalized(spark, sf_dir).where(F.col("total_votes") > 0)
+    df = _votes(spark, sf_dir).where(F.col("total_votes") > 0)
     return finish(df.select("precinct_geo", "gonzalez", legend_class("gonzalez").alias("class")))
 
 

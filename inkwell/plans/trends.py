@@ -25,24 +25,25 @@ FIRST, LAST = F1_YEARS[0], F1_YEARS[-1]
 r6 = O.r6
 
 
-def _long(spark, sf_dir, shared: bool = True) -> DataFrame:
+def _long(spark, sf_dir, shared: bool = True, **only) -> DataFrame:
     """F1 long. ``shared``: materialized once per job, for jobs that read it
     in several branches with different year filters (each filter would
     otherwise be pushed down into its own scan of ``orders``). Jobs that
-    read it once pass ``shared=False`` and keep one plain pipeline."""
-    long_df = f1_long(Tables(spark, sf_dir))
+    read it once pass ``shared=False`` and keep one plain pipeline. ``only``:
+    years, geos, variables, filtered before the cube is built."""
+    long_df = f1_long(Tables(spark, sf_dir), **only)
     return materialize(long_df) if shared else long_df
 
 
-def _harm(spark, sf_dir) -> DataFrame:
-    long_df = _long(spark, sf_dir)
+def _harm(spark, sf_dir, **only) -> DataFrame:
+    long_df = _long(spark, sf_dir, **only)
     frames = {v: f1_wide(long_df, v) for v, *_ in VINTAGES}
     codes = {v: c for v, _, _, c in VINTAGES}
     return reshape.vintage_harmonize(frames, codes, COMMON_NAMES)
 
 
-def _yearly(spark, sf_dir) -> DataFrame:
-    return shares.yearly_totals(_harm(spark, sf_dir), ["parent", "year"], GROUPS, "total")
+def _yearly(spark, sf_dir, **only) -> DataFrame:
+    return shares.yearly_totals(_harm(spark, sf_dir, **only), ["parent", "year"], GROUPS, "total")
 
 
 L = O.with_(O.f1_long())
@@ -69,10 +70,9 @@ SELECT geo, parent, year, variable, {_cols(['estimate', 'moe'])} FROM f1_long
 WHERE year IN ({', '.join(map(str, SCAN_YEARS))}) AND variable IN ('{"', '".join(SCAN_VARS)}')""")
 def scan_vintages_long(spark, sf_dir):
     """Yearly extract restricted to listed years (one skipped) and variables."""
-    # Shared: the variable filter would be pushed differently into the segment
-    # rows and the universe rows of the cube, reading ``customer`` twice.
-    df = _long(spark, sf_dir).where(F.col("year").isin(SCAN_YEARS) & F.col("variable").isin(SCAN_VARS))
-    return finish(df)
+    # The cube of the years is shared: the variable filter would be pushed differently into the
+    # segment rows and the universe rows, reading ``customer`` twice.
+    return finish(_long(spark, sf_dir, years=SCAN_YEARS).where(F.col("variable").isin(SCAN_VARS)))
 
 
 V3_CODES = next(c for v, _, _, c in VINTAGES if v == "v3")
@@ -88,11 +88,8 @@ def scan_vintages_wide(spark, sf_dir):
 
 @query("scan_catalogue_by_year", sql=LC + "SELECT name, label, year FROM f1_catalogue")
 def scan_catalogue_by_year(spark, sf_dir):
-    """Per-year catalogues stacked with the year as a literal column."""
-    cat = f1_catalogue(_long(spark, sf_dir))
-    frames = [reshape.add_partition_literal(cat.where(F.col("year") == y).select("name", "label"), "year", y)
-              for y in F1_YEARS]
-    return reshape.union_vintages(frames)
+    """Per-year catalogues stacked with their year: the catalogue has it as a column."""
+    return f1_catalogue(_long(spark, sf_dir, shared=False)).select("name", "label", "year")
 
 
 # ------------------------------------------------------------- pivots and trend tables
@@ -289,7 +286,7 @@ SELECT parent, series, {r6('count', 'count')},
 def unpivot_named(spark, sf_dir):
     """Last-year region totals of three groups as (series, count), ordered descending."""
     from inkwell.operators import ranking
-    last = _yearly(spark, sf_dir).where(F.col("year") == LAST)
+    last = _yearly(spark, sf_dir, years=[LAST])
     long_df = reshape.unpivot_named(last, ["parent"], BAND_GROUPS, "series", "count")
     return finish(ranking.sort_desc_share(long_df, ["parent"], "count", "series"))
 
@@ -299,7 +296,7 @@ SELECT parent, {', '.join(r6(f'max(CASE WHEN year = {LAST} THEN {g} END) / nulli
 FROM yt GROUP BY parent""")
 def growth_ratio(spark, sf_dir):
     """Last-year over first-year totals per region and group."""
-    df = _yearly(spark, sf_dir)
+    df = _yearly(spark, sf_dir, years=[FIRST, LAST])
     aggs = [safe_div(F.max(F.when(F.col("year") == LAST, F.col(g))),
                      F.max(F.when(F.col("year") == FIRST, F.col(g)))).alias(g + "_growth") for g in GROUPS]
     return finish(df.groupBy("parent").agg(*aggs))
@@ -315,7 +312,7 @@ s AS ({' UNION ALL '.join(f"SELECT geo, '{a}' AS group_a, '{b}' AS group_b, CAST
 SELECT *, sign_first * sign_last < 0 AS flipped FROM s""")
 def order_flip(spark, sf_dir):
     """Pairs of groups whose order reversed between the first and last year."""
-    harm = _harm(spark, sf_dir)
+    harm = _harm(spark, sf_dir, years=[FIRST, LAST])
     p = harm.groupBy("geo").agg(*[F.max(F.when(F.col("year") == y, safe_div(F.col(g), F.col("total")))).alias(f"{g}_{y}")
                                   for g in GROUPS for y in (FIRST, LAST)])
     rows = F.array(*[F.struct(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"),
@@ -341,7 +338,7 @@ def _bin_sql(p):
 SELECT geo, {', '.join(f'{g}_pct + 0.0 AS {g}_pct, {_bin_sql(g + "_pct")} AS {g}_bin' for g in BIN_GROUPS)} FROM p""")
 def choropleth_bins(spark, sf_dir):
     """Two-digit percent of two groups per nation in the last year and its map class."""
-    harm = _harm(spark, sf_dir).where(F.col("year") == LAST)
+    harm = _harm(spark, sf_dir, years=[LAST])
     cols = []
     for g in BIN_GROUPS:
         pct = pct_round(safe_div(F.col(g), F.col("total")), 2)
@@ -353,13 +350,13 @@ def choropleth_bins(spark, sf_dir):
 @query("filter_compound", sql=H + f"SELECT geo, parent, year, {_cols(HARM_COLS)} FROM f1_harm WHERE geo = 7 AND year = 1999")
 def filter_compound(spark, sf_dir):
     """Harmonized rows of one nation in one year."""
-    return finish(_harm(spark, sf_dir).where((F.col("geo") == 7) & (F.col("year") == 1999)))
+    return finish(_harm(spark, sf_dir, years=[1999], geos=[7]))
 
 
 @query("filter_in_list", sql=YT + f"SELECT parent, year, {_cols(COMMON_NAMES)} FROM yt WHERE year IN ({FIRST}, {LAST})")
 def filter_in_list(spark, sf_dir):
     """Region totals for the first and last year only."""
-    return finish(_yearly(spark, sf_dir).where(F.col("year").isin([FIRST, LAST])).select("parent", "year", *COMMON_NAMES))
+    return finish(_yearly(spark, sf_dir, years=[FIRST, LAST]).select("parent", "year", *COMMON_NAMES))
 
 
 @query("semi_join_variables", sql=LC + f"""

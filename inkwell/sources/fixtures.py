@@ -9,6 +9,9 @@ the tables. The same definitions are restated in SQL for the oracle
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,25 +62,54 @@ def _num(i: int) -> str:
 
 
 def segment_number(seg: Column) -> Column:
-    """'AUTOMOBILE' -> '002' ... 'MACHINERY' -> '006'."""
+    """'AUTOMOBILE' -> '002' ... 'MACHINERY' -> '006'; an unknown segment is an error."""
     m = F.create_map(*[x for i, s in enumerate(SEGMENTS) for x in (F.lit(s), F.lit(_num(i + 2)))])
-    return F.try_element_at(m, seg)
+    return F.coalesce(F.try_element_at(m, seg), F.raise_error(
+        F.concat(F.lit("unknown segment "), F.coalesce(seg, F.lit("null")))).cast("string"))
+
+
+def in_years(date: Column, years: Sequence[int]) -> Column:
+    """``date`` in one of the years, as ranges that reach the Parquet reader."""
+    runs: list[list[int]] = []
+    for y in sorted(set(years)):
+        if runs and y == runs[-1][1] + 1:
+            runs[-1][1] = y
+        else:
+            runs.append([y, y])
+    stamp = lambda y: F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz")
+    return reduce(lambda a, b: a | b, [(date >= stamp(a)) & (date < stamp(b + 1)) for a, b in runs])
 
 
 # ---------------------------------------------------------------- F1
-def f1_long(t: Tables) -> DataFrame:
+def f1_long(t: Tables, years: Sequence[int] | None = None, geos: Sequence[int] | None = None,
+            variables: Sequence[str] | None = None) -> DataFrame:
     """Yearly extract, long: geo, parent, year, variable, estimate, moe.
 
+    ``years``, ``geos`` and ``variables`` restrict the extract before the
+    cube is built: years become date ranges on ``orders``, geographies (and
+    segments, unless the universe is asked for) filters on ``customer``. A
+    year outside ``F1_YEARS`` or an unknown variable is an error.
+
     estimate = orders of the geography's customers in the segment and year,
     moe = distinct ordering customers. Orders are pre-aggregated to one row per
     (customer, year) before the join, so the join shuffles at most customers x
     years rows, a hot customer collapses map-side, and "distinct customers" is
     a plain count (a customer has one segment).
     """
-    per_cust = (t.orders
+    unknown = set(years or ()) - set(F1_YEARS) | set(variables or ()) - {f1_variable(c) for c in COMMON_NAMES}
+    if unknown:
+        raise ValueError(f"not in the yearly extract: {sorted(map(str, unknown))}")
+    orders, customer = t.orders, t.customer
+    if years is not None:
+        orders = orders.where(in_years(F.col("o_orderdate"), years))
+    if geos is not None:
+        customer = customer.where(F.col("c_nationkey").isin(list(geos)))
+    if variables is not None and f1_variable("total") not in variables:
+        customer = customer.where(F.col("c_mktsegment").isin([s for s in SEGMENTS if f1_variable(s.lower()) in variables]))
+    per_cust = (orders
                 .groupBy(F.col("o_custkey"), F.year("o_orderdate").alias("year"))
                 .agg(F.count(F.lit(1)).alias("n")))
-    cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    cust = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     nat = t.nation.select("n_nationkey", "n_regionkey")
     seg = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
            .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -92,7 +124,13 @@ def f1_long(t: Tables) -> DataFrame:
                 .agg(F.sum("estimate").alias("estimate"), F.sum("moe").alias("moe"))
                 .select("geo", "parent", "year", F.lit(F1_BASE + "_001").alias("variable"),
                         "estimate", "moe"))
-    return seg.unionByName(universe)
+    if variables is None:
+        return seg.unionByName(universe)
+    if f1_variable("total") not in variables:
+        return seg
+    if set(variables) == {f1_variable("total")}:
+        return universe
+    return seg.where(F.col("variable").isin(list(variables))).unionByName(universe)
 
 
 def f1_variable(common: str) -> str:
@@ -139,45 +177,51 @@ def f2_columns() -> list[str]:
     return [name for name, _ in _f2_measures()]
 
 
-def f2_wide(t: Tables) -> DataFrame:
-    """Wide survey table: one row per nation (050...) and per region (040...).
+def f2_wide(t: Tables, nations: Sequence[int] | None = None) -> DataFrame:
+    """Wide survey table: one row per nation (050...) and per region (040...);
+    with ``nations`` only those nations' rows, from their customers alone.
 
     Customers are counted once per nation (partial aggregation map-side; the
     shuffle carries at most one row per nation per task); regions are sums of
     their nations, so the customer table is read once.
     """
     meas = _f2_measures()
-    per_nation = (t.customer.groupBy("c_nationkey")
+    customer, nation = t.customer, t.nation
+    if nations is not None:
+        customer = customer.where(F.col("c_nationkey").isin(list(nations)))
+        nation = nation.where(F.col("n_nationkey").isin(list(nations)))
+    per_nation = (customer.groupBy("c_nationkey")
                   .agg(*[F.count_if(ind).alias(name) for name, ind in meas]))
-    nat = t.nation.select("n_nationkey", "n_regionkey").join(
+    nat = nation.select("n_nationkey", "n_regionkey").join(
         per_nation, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     filled = [F.coalesce(F.col(name), F.lit(0)).cast("double").alias(name) for name, _ in meas]
-    nations = nat.select(
+    nation_rows = nat.select(
         F.concat(F.lit("0500000us"), F.col("n_nationkey").cast("string")).alias("geo_id"), *filled)
+    if nations is not None:
+        return nation_rows
     reg_sums = nat.groupBy("n_regionkey").agg(*[F.sum(name).alias(name) for name, _ in meas])
     regions = (t.region.select("r_regionkey")
                .join(reg_sums, F.col("r_regionkey") == F.col("n_regionkey"), "left")
                .select(F.concat(F.lit("0400000us"), F.col("r_regionkey").cast("string")).alias("geo_id"),
                        *filled))
-    return nations.unionByName(regions)
-
-
-def f2_dictionary(t: Tables) -> DataFrame:
-    """Variable dictionary: unique_id, stub, is_leaf, line, data_release.
-
-    Segment rows come from the segments present in ``customer``."""
-    segs = (t.customer.select("c_mktsegment").distinct()
-            .select(F.concat(F.lit(F2_BASE + "_"), segment_number(F.col("c_mktsegment"))).alias("unique_id"),
-                    F.initcap(F.col("c_mktsegment")).alias("stub"),
-                    F.lit(True).alias("is_leaf")))
-    spark = t.spark
-    fixed = literal_table(
-        spark,
-        [(f"{F2_BASE}_001", "Total customers", False),
-         (f"{F2_TRAP}_001", "Balance of 5000 or more", True),
-         (f"{F2_TRAP}_002", "Balance under 5000", True)],
-        "unique_id string, stub string, is_leaf boolean")
-    return (segs.unionByName(fixed)
+    return nation_rows.unionByName(regions)
+
+
+def f2_dictionary(t: Tables, as_delivered: bool = False) -> DataFrame:
+    """Variable dictionary: unique_id, stub, is_leaf, line, data_release;
+    ``as_delivered`` lists the segments that ``customer`` holds.
+
+    A small fixed file in the analyses, so jobs that only
+    label with it read no table."""
+    if as_delivered:
+        held = t.customer.select("c_mktsegment").distinct().select(
+            F.concat(F.lit(F2_BASE + "_"), segment_number(F.col("c_mktsegment"))).alias("unique_id"), F.lit(True).alias("held"))
+        segment = F.col("unique_id").startswith(F2_BASE + "_") & (F.col("line") > 1)
+        return f2_dictionary(t).join(held, "unique_id", "left").where(~segment | F.col("held")).drop("held")
+    rows = [(f"{F2_BASE}_{_num(i + 2)}", s.capitalize(), True) for i, s in enumerate(SEGMENTS)]
+    rows += [(f"{F2_BASE}_001", "Total customers", False), (f"{F2_TRAP}_001", "Balance of 5000 or more", True),
+             (f"{F2_TRAP}_002", "Balance under 5000", True)]
+    return (literal_table(t.spark, rows, "unique_id string, stub string, is_leaf boolean")
             .withColumn("line", F.substring("unique_id", -3, 3).cast("int"))
             .withColumn("data_release", F.lit("2024")))
 
@@ -255,8 +299,9 @@ def precinct_votes(t: Tables) -> DataFrame:
     return _precinct_votes(t)
 
 
-def f5_runoff(t: Tables, votes: DataFrame | None = None) -> DataFrame:
-    """Runoff results as delivered (strings): precinct_geo, gonzalez, higgins, precinct_total.
+def f5_runoff(t: Tables, votes: DataFrame | None = None, first_round: bool = False) -> DataFrame:
+    """Runoff results as delivered (strings): precinct_geo, gonzalez, higgins, precinct_total, and
+    with ``first_round`` the first-round leader ``winner`` of the same vote row.
 
     Shares are percents with one decimal; a precinct without votes carries the
     text ``NaN``, as a failed number parse would."""
@@ -267,16 +312,20 @@ def f5_runoff(t: Tables, votes: DataFrame | None = None) -> DataFrame:
         return F.when(total > 0, F.bround(x * 100.0 / total, 1).cast("string")).otherwise(F.lit("NaN"))
 
     votes = _precinct_votes(t) if votes is None else votes
-    return votes.select("precinct_geo", share(a).alias("gonzalez"),
-                                     share(r).alias("higgins"), total.cast("string").alias("precinct_total"))
+    return votes.select("precinct_geo", share(a).alias("gonzalez"), share(r).alias("higgins"),
+                        total.cast("string").alias("precinct_total"), *([first_leader().alias("winner")] if first_round else []))
+
+
+def first_leader() -> Column:
+    """First-round leader of a vote row; '?' if none."""
+    a, r = F.col("fa"), F.col("fr")
+    return F.when(a > r, CANDIDATES[0]).when(r > a, CANDIDATES[1]).otherwise("?")
 
 
 def f5_first_round(t: Tables, votes: DataFrame | None = None) -> DataFrame:
     """First-round leader per precinct (status F lines, no quantity filter); '?' if none."""
-    a, r = F.col("fa"), F.col("fr")
     votes = _precinct_votes(t) if votes is None else votes
-    return votes.select(
-        "precinct_geo", F.when(a > r, CANDIDATES[0]).when(r > a, CANDIDATES[1]).otherwise("?").alias("winner"))
+    return votes.select("precinct_geo", first_leader().alias("winner"))
 
 
 def f5_demographics(t: Tables) -> DataFrame:

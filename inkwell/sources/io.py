@@ -38,12 +38,14 @@ def scan_pipe_delimited(spark: SparkSession, path: str, schema: T.StructType | N
     """Pipe-delimited table with header -> normalized names and string case.
 
     The schema is explicit (derived from the header when not given): no
-    inference pass over the data.
+    inference pass over the data. Every file's header is checked against it;
+    a file whose columns differ in name or order is an error, never read by
+    position.
     """
     if schema is None:
         schema = wide_survey_schema(header_of(spark, path, "|"))
     df = (spark.read.option("header", True).option("sep", "|")
-          .option("enforceSchema", True).schema(schema).csv(path))
+          .option("enforceSchema", False).schema(schema).csv(path))
     return normalize_names_values(df)
 
 

@@ -1,8 +1,10 @@
 """Hand-made edge rows per operator (FIXTURES.md §3)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import choropleth_bin, legend_class, percent_round, title_strip_year, title_year, trim_all, recode
+from tests.conftest import SF_SMALL
 from inkwell.operators import elections, ranking, reshape, shares, spatial, verify
 from inkwell.sources.fixtures import STATE_FIXES
 
@@ -118,13 +120,62 @@ def test_point_in_area_corners_and_notch(spark):
 def test_point_in_area_large_area_uses_coarse_level(spark):
     big = [{"x": 0.0, "y": 0.0}, {"x": 1000.0, "y": 0.0}, {"x": 1000.0, "y": 1000.0}, {"x": 0.0, "y": 1000.0}]
     areas = spark.createDataFrame([(9, big)], "area_id long, ring array<struct<x:double,y:double>>")
-    cells = spatial.area_cells(areas, 5.0, (1, 32), 64)
-    assert cells.count() < 200 ** 2           # not exploded at the fine level
+    assert spatial.area_cells(areas, 5.0).count() <= 9        # not exploded at the fine level
     pts = spark.createDataFrame([(1, 999.0, 999.0), (2, 1000.0, 10.0)], "point_id long, x double, y double")
     got = {r.point_id: r.area_id for r in spatial.point_in_area_join(pts, areas, cell=5.0).collect()}
     assert got == {1: 9, 2: None}
 
 
+def test_point_in_area_country_sized_and_crowded_cells(spark):
+    """A 1,000 km square (in metres) takes a few cells; 100,000 areas in one cell are all kept."""
+    from pyspark.sql import functions as F
+
+    def ring(x0, y0, w):
+        return F.array(*[F.struct(F.lit(float(a)).alias("x") if not hasattr(a, "cast") else a.alias("x"), b.alias("y"))
+                         for a, b in ((x0, y0), (x0 + w, y0), (x0 + w, y0 + w), (x0, y0 + w))])
+
+    zero = F.lit(0.0)
+    big = spark.range(1).select(F.lit(-1).cast("long").alias("area_id"), ring(zero, zero, F.lit(1e6)).alias("ring"))
+    assert spatial.area_cells(big, 5.0).count() <= 9
+    small = spark.range(100_000).select(F.col("id").alias("area_id"), ring(zero + 1, zero + 1, F.lit(2.0)).alias("ring"))
+    pts = spark.createDataFrame([(1, 2.0, 2.0), (2, 9e5, 9e5), (3, -5.0, 1.0)], "point_id long, x double, y double")
+    got = spatial.point_in_area_join(pts, big.union(small), cell=5.0).groupBy("point_id").agg(
+        F.count("area_id").alias("n")).collect()
+    assert {r.point_id: r.n for r in got} == {1: 100_001, 2: 1, 3: 0}
+
+
+def test_pivot_years_reports_duplicates_and_unlisted_years(spark):
+    df = spark.createDataFrame([(1, 1999, 1.0), (1, 2000, 2.0), (2, 1999, None)], "geo int, year int, estimate double")
+    got = {r.geo: (r.x1999, r.x2000) for r in reshape.pivot_years(df, ["geo"], [1999, 2000]).collect()}
+    assert got == {1: (1.0, 2.0), 2: (None, None)}
+    with pytest.raises(Exception, match="several rows"):
+        reshape.pivot_years(df.union(df), ["geo"], [1999, 2000]).collect()
+    with pytest.raises(Exception, match="not listed"):
+        reshape.pivot_years(df, ["geo"], [1999]).collect()
+
+
+def test_unknown_years_variables_and_segments_are_errors(spark):
+    from pyspark.sql import functions as F
+    from inkwell.sources import fixtures
+    from inkwell.sources.tables import Tables
+    t = Tables(spark, SF_SMALL)
+    for only in ({"years": [2002]}, {"variables": ["b90002_999"]}):
+        with pytest.raises(ValueError, match="not in the yearly extract"):
+            fixtures.f1_long(t, **only)
+    with pytest.raises(Exception, match="unknown segment"):
+        spark.range(1).select(fixtures.segment_number(F.lit("ROCKETS"))).collect()
+
+
+def test_pipe_files_with_other_column_order_are_errors(spark, tmp_path):
+    from inkwell.sources import io
+    (tmp_path / "a.csv").write_text("GEO_ID|E001|E002\n0500|1|2\n")
+    ok = io.scan_pipe_delimited(spark, f"file://{tmp_path}").collect()
+    assert (ok[0].geo_id, ok[0].e001, ok[0].e002) == ("0500", 1.0, 2.0)
+    (tmp_path / "b.csv").write_text("GEO_ID|E002|E001\n0501|20|2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        io.scan_pipe_delimited(spark, f"file://{tmp_path}").collect()
+
+
 def test_share_of_group_total_null_group_and_hot_key(spark):
     rows = [("a", 1.0)] * 30 + [("b", 2.0), ("b", 6.0), (None, 1.0), (None, 3.0), ("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -139,7 +190,7 @@ def test_share_of_group_total_null_group_and_hot_key(spark):
 
 
 def test_point_in_area_without_broadcast_gives_the_same_rows(spark):
-    """Beyond the size check each grid level is a shuffle join; same result."""
+    """Without any broadcast the lookups are shuffle joins; same result."""
     def square(x0, y0, w):
         return [{"x": x0, "y": y0}, {"x": x0 + w, "y": y0}, {"x": x0 + w, "y": y0 + w}, {"x": x0, "y": y0 + w}]
 

@@ -3,29 +3,27 @@ pruned reads, shuffle-free decode, bounded per-group top-k."""
 
 import pytest
 
-import __spark_entry__ as E
+from inkwell.plans import QUERIES
 
 from tests.conftest import SF_SMALL
 
 PY_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas")
-ENRICH = {"classify_rows", "flatten_struct", "validate_enums", "compare_models", "model_scorecard",
-          "enum_schema", "classify_batches", "union_batches", "incremental_enrich"}
+STAGED = {"scan_pipe_delimited", "scan_dictionary", "sink_csv", "scan_headerless_csv", "scan_precincts",
+          "incremental_enrich"}
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - ENRICH - {"scan_pipe_delimited", "scan_dictionary",
-                                                                  "sink_csv", "scan_headerless_csv",
-                                                                  "trim_recode_category", "scan_precincts"}))
-def test_no_python_outside_enrichment(spark, key):
-    plan = _plan(E.queries()[key](spark, SF_SMALL))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) - STAGED))
+def test_no_python_in_any_job(spark, key):
+    plan = _plan(QUERIES[key](spark, SF_SMALL))
     assert not any(n in plan for n in PY_NODES)
 
 
 def test_topk_uses_window_group_limit(spark):
-    df = E.queries()["topk_per_group"](spark, SF_SMALL)
+    df = QUERIES["topk_per_group"](spark, SF_SMALL)
     assert "WindowGroupLimit" in _plan(df)
 
 
@@ -37,7 +35,7 @@ def test_decode_is_shuffle_free_after_the_fixture(spark):
 
 
 def test_title_scan_is_pruned(spark):
-    plan = _plan(E.queries()["title_year_split"](spark, SF_SMALL))
+    plan = _plan(QUERIES["title_year_split"](spark, SF_SMALL))
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
 
 
@@ -66,12 +64,26 @@ def test_decode_pushes_key_and_prunes_columns_on_staged_table(spark):
     assert {r.var for r in df.collect()} == {"b90001_001", "b90001_002"}
 
 
-def test_point_in_area_never_shuffles_points_when_areas_are_small(spark):
-    """Small candidate table (size-checked): broadcast lookups per grid level,
-    no window or shuffle join over the points."""
-    plan = _plan(E.queries()["point_in_area_join"](spark, SF_SMALL))
-    assert plan.count("BroadcastHashJoin") == 2
-    assert "SortMergeJoin" not in plan and "Window" not in plan
+YEARLY = {"scan_vintages_long": 0, "filter_compound": 1, "filter_in_list": 0, "choropleth_bins": 0,
+          "unpivot_named": 0, "growth_ratio": 0, "order_flip": 0}
+
+
+@pytest.mark.parametrize("key", sorted(YEARLY))
+def test_year_and_nation_filters_reach_the_scans(spark, key, monkeypatch):
+    """The cube is built from the asked years (and nation) only."""
+    from inkwell.plans import trends
+    plans = []
+    monkeypatch.setattr(trends, "materialize", lambda df: plans.append(_plan(df)) or df)
+    QUERIES[key](spark, SF_SMALL)
+    orders = [line for plan in plans for line in plan.splitlines() if "o_orderdate" in line and "PushedFilters" in line]
+    assert orders and all("GreaterThanOrEqual(o_orderdate" in line for line in orders)
+    if YEARLY[key]:
+        assert any("EqualTo(c_nationkey,7)" in line or "In(c_nationkey" in line for plan in plans for line in plan.splitlines())
+
+
+def test_precinct_jobs_read_the_votes_once_without_a_join_of_views(spark):
+    for key in ("precinct_winner", "no_vote_flag", "legend_classes", "winner_flip"):
+        assert _plan(QUERIES[key](spark, SF_SMALL)).count("lineitem.parquet") <= 1
 
 
 def test_literal_tables_are_sized_at_plan_time(spark):
