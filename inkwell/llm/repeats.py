@@ -44,6 +44,7 @@ BLOCK = 400_000
 #: A gram with more unsure segments is split by id into parts of about so many.
 HOT = 20_000
 FOUND = "kind int, lead long, id long, place long, stop long, k1 long, k2 long"
+SORTED = FOUND + ", spans array<struct<lo:long,hi:long>>"
 REPEATED, UNSURE, BORDER = 0, 1, 2
 
 
@@ -200,15 +201,26 @@ def _sort_block(lead, ids, place, items, split: bool) -> Iterator[pa.RecordBatch
     again = np.zeros(len(seg), bool)
     again[order] = (w_id[order] != w_id[own]) | (w_at[order] != w_at[own])
     hit = np.flatnonzero(again)
-    if len(hit):
+    if len(hit):                    # one row per text of the block
         cut = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (seg[hit[1:]] != seg[hit[:-1]])])
         lo, hi = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
-        yield _rows(REPEATED, lead[seg[lo]], w_id[lo], w_at[lo], w_at[hi] + WIDTH)
+        o = np.argsort(w_id[lo], kind="stable")
+        lo, hi = lo[o], hi[o]
+        first = np.flatnonzero(np.concatenate([[True], w_id[lo[1:]] != w_id[lo[:-1]]]))
+        spans = pa.StructArray.from_arrays([pa.array(w_at[lo]), pa.array(w_at[hi] + WIDTH)], names=["lo", "hi"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(lo)).astype(np.int32)), spans)
+        zero = np.zeros(len(first), np.int64)
+        yield _with_spans(_rows(REPEATED, zero, w_id[lo[first]], zero), lists)
     if split:
-        edge = order[first]
+        edge = order[np.flatnonzero(new)]
         s = start[edge]
         k = [K.span_hash(K.prefix(raw, b), s, s + WIDTH, b).astype(np.int64) for b in (K.BASE, K.BASE2)]
-        yield _rows(BORDER, lead[seg[edge]], w_id[edge], w_at[edge], w_at[edge] + WIDTH, *k)
+        rows = _rows(BORDER, lead[seg[edge]], w_id[edge], w_at[edge], w_at[edge] + WIDTH, *k)
+        yield _with_spans(rows, pa.nulls(len(edge), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))))
+
+
+def _with_spans(rows: pa.RecordBatch, spans: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, spans], names=[*rows.schema.names, "spans"])
 
 
 def _sorted_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +283,7 @@ def _release(spark: SparkSession) -> None:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(id, lo, hi) spans to remove from ``rows`` (id, text), not yet united."""
+    """(id, spans): arrays of spans (lo, hi) to remove from ``rows`` (id, text), not yet united."""
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.where("id is not null")
@@ -290,21 +302,22 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         _segment_task, "lead long, part int, split boolean, id long, place long, item binary"), "segments")
     _release(spark)
     fine = stage(segments.repartitionByRange(n, "lead", "part").sortWithinPartitions("lead", "part", "id", "place")
-                 .mapInArrow(_sorted_segments, FOUND), "windows")
+                 .mapInArrow(_sorted_segments, SORTED), "windows")
     drop_staged(spark, segments)
     border = fine.where(F.col("kind") == BORDER)
     first = border.groupBy("k1", "k2").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
     across = border.join(first.where("n > 1"), ["k1", "k2"]).where(
         "id <> first.id or place <> first.place").select("id", "place", "stop")
-    spans = [x.where(F.col("kind") == REPEATED).select("id", "place", "stop") for x in (found, fine)]
-    return spans[0].union(spans[1]).union(across).toDF("id", "lo", "hi")
+    whole = found.where(F.col("kind") == REPEATED).select("id", "place", "stop").union(across)
+    whole = whole.select("id", F.array(F.struct(F.col("place").alias("lo"), F.col("stop").alias("hi"))).alias("spans"))
+    return whole.union(fine.where(F.col("kind") == REPEATED).select("id", "spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; ``kept``, the remaining
     bytes, is null unless ``texts``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = stage(spans, "spans")
     _release(docs.sparkSession)
     return rows.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(
