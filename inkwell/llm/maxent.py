@@ -38,7 +38,7 @@ FEATURES = 8192
 ROUNDS = 2
 FREQUENT = 1 << 18
 BATCH = 8192
-RATE = 0.3
+RATE = 0.1
 #: Tasks' weights are merged by so many at once.
 FAN_IN = 16
 END = CLASSES - 1

@@ -151,7 +151,8 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its source's size and target and the words the mix takes of it."""
+    """Every document with its source's size and target, the words the mix takes of it, and the
+    output shards of its copies."""
     out = mix(stage(sized(table(spark, sf_dir, "documents")), "sized"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
-                      F.to_json("draws").alias("draws"))
+                      F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))

@@ -11,6 +11,7 @@ from inkwell.llm.lines import OP1_SQL, op1_line_templates
 from inkwell.llm.maxent import op8_maxent_scores
 from inkwell.llm.minhash import op2_superminhash
 from inkwell.llm.mixing import op5_mix_sources
+from inkwell.llm.oracle import OP2_SQL, OP5_SQL, OP9_SQL
 from inkwell.llm.quality import op9_repetition_rules
 from inkwell.llm.repeats import op7_suffix_repeats
 from inkwell.llm.secrets import op4_secret_spans
@@ -30,7 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op10_spaced_seeds,
 )}
 ORACLE: dict[str, str] = {
+    "op2_superminhash": OP2_SQL,
     "op3_warc_zstd": OP3_SQL,
+    "op5_mix_sources": OP5_SQL,
+    "op9_repetition_rules": OP9_SQL,
     "op1_line_templates": OP1_SQL,
     "op10_spaced_seeds": OP10_SQL,
 }
