@@ -89,7 +89,7 @@ def scan_vintages_wide(spark, sf_dir):
 @query("scan_catalogue_by_year", sql=LC + "SELECT name, label, year FROM f1_catalogue")
 def scan_catalogue_by_year(spark, sf_dir):
     """Per-year catalogues stacked with their year: the catalogue has it as a column."""
-    return f1_catalogue(_long(spark, sf_dir, shared=False)).select("name", "label", "year")
+    return f1_catalogue(_long(spark, sf_dir)).select("name", "label", "year")
 
 
 # ------------------------------------------------------------- pivots and trend tables
