@@ -56,11 +56,14 @@ def pivot_estimate_margin(long_df: DataFrame, keys: Sequence[str] = ("geo_id", "
     """type rows -> columns ``e`` and ``m`` (values listed: no discovery job).
 
     Conditional aggregation over the keys; ``ordinal`` keeps the first position.
+    Two rows for one cell are an error.
     """
-    return (long_df.groupBy(*keys)
-            .agg(F.min("ordinal").alias("ordinal"),
-                 F.max(F.when(F.col("type") == "e", F.col(value))).alias("e"),
-                 F.max(F.when(F.col("type") == "m", F.col(value))).alias("m")))
+    def cell(t):
+        hit = F.col("type") == t
+        return F.when(F.count_if(hit) > 1, F.raise_error(F.lit(f"several rows for one cell of type {t}")).cast(
+            long_df.schema[value].dataType)).otherwise(F.max(F.when(hit, F.col(value)))).alias(t)
+
+    return long_df.groupBy(*keys).agg(F.min("ordinal").alias("ordinal"), cell("e"), cell("m"))
 
 
 def code_pairs(columns: Iterable[str]) -> list[tuple[str, str | None, str | None]]:

@@ -251,6 +251,30 @@ def sort_desc_share(spark, sf_dir):
     return finish(ranking.sort_desc_share(df, ["geo_id"], "e", "var").select("geo_id", "var", "stub", "e", "share", "pos"))
 
 
+@query("sort_desc_two_shares", sql=F2D + f"""
+, s AS (SELECT l.geo_id, l.var, d.stub, l.e, l.e / nullif(u.e, 0) AS share,
+               l.e / nullif((SELECT sum(e) FROM f2_long WHERE var = '{UNIVERSE_VAR}' AND starts_with(geo_id, '{NATION}')), 0)
+               AS share_of_all
+        FROM f2_long l JOIN f2_dict d ON l.var = d.unique_id AND d.is_leaf
+        LEFT JOIN f2_long u ON u.geo_id = l.geo_id AND u.var = '{UNIVERSE_VAR}'
+        WHERE starts_with(l.var, '{F2_BASE}_') AND starts_with(l.geo_id, '{NATION}'))
+SELECT geo_id, var, stub, {O.r6('e', 'e')}, {O.r6('share', 'share')}, {O.r6('share_of_all', 'share_of_all')},
+       CAST(row_number() OVER (PARTITION BY geo_id ORDER BY e DESC NULLS LAST, var) AS INTEGER) AS pos
+FROM s""")
+def sort_desc_two_shares(spark, sf_dir):
+    """Leaf variables per nation by estimate descending, as share of the nation and share of everyone."""
+    t = Tables(spark, sf_dir)
+    dim = f2_dictionary(t).select(F.col("unique_id").alias("var"), "stub", "is_leaf")
+    wide = f2_wide(t).where(F.col("geo_id").startswith(NATION))
+    everyone = wide.agg(F.sum(E[0])).scalar()       # one number, as a scalar subquery
+    shared = shares.fixed_denominator_share(
+        reshape.decode_variables(wide).drop("stub").join(dim, "var", "left"), UNIVERSE_VAR)
+    df = shared.where(F.col("is_leaf") & F.col("var").startswith(F2_BASE + "_")).withColumn(
+        "share_of_all", F.try_divide(F.col("e"), everyone))
+    return finish(ranking.sort_desc_share(df, ["geo_id"], "e", "var").select(
+        "geo_id", "var", "stub", "e", "share", "share_of_all", "pos"))
+
+
 @query("share_of_group_total", sql=F2 + f"""
 , nat AS (SELECT geo_id, n_regionkey AS region, {E[0]} AS e
           FROM f2 JOIN nation ON geo_id = '0500000us' || CAST(n_nationkey AS VARCHAR))

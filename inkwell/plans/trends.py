@@ -110,7 +110,7 @@ def normalize_names_values(spark, sf_dir):
     """Raw year names ('1995') and upper-case codes -> x1995 and lower case."""
     raw = (_long(spark, sf_dir, shared=False).select(F.col("geo").alias("Geo"), F.upper("variable").alias("VARIABLE"),
                                        "year", "estimate"))
-    wide = raw.groupBy("Geo", "VARIABLE").pivot("year", F1_YEARS).agg(F.first("estimate"))
+    wide = reshape.pivot_years(raw, ["Geo", "VARIABLE"], F1_YEARS, prefix="")
     return finish(io.normalize_names_values(wide))
 
 
