@@ -278,7 +278,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nothing names them."""
     rows = stage(near_duplicates(docs, id_col, text_col).select("id", "kept"), "kept")
     gone = rows.where(~F.col("kept")).select(F.col("id").alias(id_col)).distinct()
-    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
     repeated = rows.where("kept and id is not null").groupBy("id").count().where("count > 1")
     return out if is_empty(repeated) else out.dropDuplicates([id_col]).where(F.col(id_col).isNotNull()).union(
         out.where(F.col(id_col).isNull()))

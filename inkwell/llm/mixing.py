@@ -146,7 +146,8 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     packed = docs.select(key.alias("id"), F.struct(*docs.columns).alias("doc"))
     if copies.where("n > 1").limit(1).count():
         packed = packed.dropDuplicates(["id"])
-    out = packed.join(copies, "id").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    # By a sort-merge join at every size, as the near-duplicates are.
+    out = packed.join(copies.hint("merge"), "id").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     return out.select("doc.*")
 
 
