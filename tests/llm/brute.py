@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -117,6 +118,8 @@ def contaminated(text, items, window=13, misses=2):
         if len(q) < 7:
             continue
         size, need = (window, window - misses) if len(q) >= window else (len(q), len(q))
+        if sum((Counter(w) & Counter(q)).values()) < need:      # equal places are equal words
+            continue
         for i in range(len(w) - size + 1):
             for j in range(len(q) - size + 1):
                 if sum(a == b for a, b in zip(w[i:i + size], q[j:j + size])) >= need:
