@@ -53,10 +53,11 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leaves = classes.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where(
         F.col("docs") >= MIN_DOCS)
     classes = stage(classes.join(leaves, "leaf"), "line_classes")
-    # Tokens of one instance of each distinct line, where a leaf has several.
+    # Tokens of one instance of each distinct line, where a leaf has several. Texts are met by
+    # sort-merge joins at every size, so the plan's cost is the same share of any input.
     wanted = classes.where("kinds > 1").select("leaf", "lh", "n", "one.id", "one.no").groupBy("id").agg(
         F.collect_list(F.struct("no", "leaf", "lh", "n")).alias("wanted"))
-    got = docs.join(wanted, "id").select(F.split("text", "\n").alias("l"), F.explode("wanted").alias("w")).select(
+    got = docs.join(wanted.hint("merge"), "id").select(F.split("text", "\n").alias("l"), F.explode("wanted").alias("w")).select(
         F.get("l", F.col("w.no")).alias("raw"), F.col("w.leaf").alias("leaf0"), F.col("w.lh").alias("lh0"),
         F.col("w.n").alias("n"))
     got = _parsed(got, F.col("raw"), "leaf0", "lh0", "n").where("leaf = leaf0 and lh = lh0")
@@ -79,7 +80,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dropped = placed.join(recurring.select("template", "first"), "template").where(
         (F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
     dropped = dropped.groupBy("id").agg(F.collect_set("no").alias("gone"))
-    out = docs.join(dropped, "id", "left").select(
+    out = docs.join(dropped.hint("merge"), "id", "left").select(
         "id", F.split("text", "\n").alias("l"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # What stays are the runs between neighbouring dropped lines: one slice each.
     out = out.withColumn("cut", F.concat(F.array(F.lit(-1)), F.sort_array("gone"), F.array(F.size("l"))))
