@@ -1,13 +1,16 @@
 """Language-model scores: hashed maximum-entropy model with class-factored softmax.
 
 Words fall into ``CLASSES`` - 1 classes by their ending; the end of a text is a class of its own.
-P(token) = P(class | context) * P(word | class). The first factor is a softmax over hashed features
-of the context: the previous word, the two before it, their pair (n-grams), and the second and
-third words back alone (skips). The second is the add-one estimate within the class, from counts
-over all training texts.
-
-The softmax learns by distributed gradient updates in ``ROUNDS`` rounds, each over its own share of
-all training texts: every task starts from the broadcast weights (1 MB at any input size), makes
+P(token) = P(class | context) * P(second-level class | class, context) * P(word | both classes).
+The first two factors are softmaxes over hashed features of the context: the previous word, the two
+before it, their pair (n-grams), and the second and third words back alone (skips). A class's words
+fall by hash into ``CLASSES`` second-level classes; there the features are hashed with the class,
+and the softmax starts from the counts of the second-level classes, so what it learns is how the
+context changes them. The last factor is the add-one estimate within the second-level class, from
+counts over all training texts: only words that share both classes are told apart by counts alone.
+
+The softmaxes learn by distributed gradient updates in ``ROUNDS`` rounds, each over its own share of
+all training texts: every task starts from the broadcast weights (2 MB at any input size), makes
 Adagrad steps on minibatches of its texts, and the tasks' weights are averaged by tokens in a
 tree, so each training token is used once. Texts are scored in sparse numpy batches.
 
@@ -63,8 +66,14 @@ def tokens(raw: np.ndarray, off: np.ndarray):
     return h, cls, row, first
 
 
-def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(tokens x 5) feature numbers of each token's context within its text."""
+def second(h: np.ndarray) -> np.ndarray:
+    """The second-level class of words, by their hash."""
+    return (K.mix(h.astype(K.U) + K.U(CLASSES)) % K.U(CLASSES)).astype(np.int64)
+
+
+def features(h: np.ndarray, first: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
+    """(tokens x 5) feature numbers of each token's context within its text, together with its
+    class if ``cls`` is given."""
     n = len(h)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     back = []
@@ -74,26 +83,33 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         prev[place < k] = K.U(7)
         back.append(prev)
     cols = [np.zeros(n, K.U), back[0], back[1] * K.U(3), back[2] * K.U(5), back[0] * K.U(K.BASE) + back[1] * K.U(11)]
+    if cls is not None:
+        node = K.mix(cls.astype(K.U) + K.U(101))
+        cols = [c + node for c in cols]
     out = np.empty((n, len(cols)), np.int32)
     for i, c in enumerate(cols):
         out[:, i] = (K.mix(c + K.U(i + 1)) % K.U(FEATURES - 1)).astype(np.int32) + 1 if i else 0
     return out
 
 
-def log_probs(weights: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Natural logarithm of P(class | features), in batches."""
+def log_probs(weights: np.ndarray, feats: np.ndarray, cls: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of P(class | features), in batches; ``prior``: what each token's scores
+    start from."""
     out = np.empty(len(cls))
     for lo in range(0, len(cls), BATCH):
         f, c = feats[lo:lo + BATCH], cls[lo:lo + BATCH]
         z = weights[f[:, 0]]
         for i in range(1, f.shape[1]):
             z = z + weights[f[:, i]]
+        if prior is not None:
+            z = z + prior[lo:lo + BATCH]
         z -= z.max(1, keepdims=True)
         out[lo:lo + BATCH] = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
     return out
 
 
-def steps(weights: np.ndarray, grown: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None:
+def steps(weights: np.ndarray, grown: np.ndarray, feats: np.ndarray, cls: np.ndarray,
+          prior: np.ndarray | None = None) -> None:
     """Adagrad steps in place; ``grown``: the sums of squared gradients so far."""
     columns = np.arange(CLASSES)
     for lo in range(0, len(cls), BATCH):
@@ -101,6 +117,8 @@ def steps(weights: np.ndarray, grown: np.ndarray, feats: np.ndarray, cls: np.nda
         z = weights[f[:, 0]]
         for i in range(1, f.shape[1]):
             z = z + weights[f[:, i]]
+        if prior is not None:
+            z = z + prior[lo:lo + BATCH]
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
@@ -137,16 +155,28 @@ def _counts(have: np.ndarray) -> pa.RecordBatch:
     first = np.flatnonzero(np.concatenate([[True], have[1:, 0] != have[:-1, 0]]))
     return pa.RecordBatch.from_arrays(
         [pa.array(have[first, 0]), pa.array(have[first, 1].astype(np.int32)),
-         pa.array(np.add.reduceat(have[:, 2], first))], names=["h", "cls", "c"])
+         pa.array(second(have[first, 0]).astype(np.int32)), pa.array(np.add.reduceat(have[:, 2], first))],
+        names=["h", "cls", "sub", "c"])
+
+
+def _levels(raw: np.ndarray, off: np.ndarray, prior: np.ndarray):
+    """(hash, class, row, first) of ``tokens``, and what each softmax takes: (features, class, prior,
+    tokens it is for)."""
+    h, cls, row, first = tokens(raw, off)
+    word = np.flatnonzero(cls != END)
+    return h, cls, row, first, (
+        (features(h, first), cls, None, slice(None)),
+        (features(h, first, cls)[word], second(h[word]), prior[cls[word]], word))
 
 
-def _learner(start: np.ndarray):
+def _learner(start: np.ndarray, prior: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, grown, seen = start.copy(), np.zeros_like(start), 0
         for batch in batches:
             for _, _, raw, off in _pieces(batch, 0):
-                h, cls, _, first = tokens(raw, off)
-                steps(weights, grown, features(h, first), cls)
+                h, _, _, _, levels = _levels(raw, off, prior)
+                for i, (f, c, start_at, _) in enumerate(levels):
+                    steps(weights[i], grown[i], f, c, start_at)
                 seen += len(h)
         if seen:
             yield pa.RecordBatch.from_arrays(
@@ -156,7 +186,7 @@ def _learner(start: np.ndarray):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(FEATURES * CLASSES), 0
+    total, seen = np.zeros(2 * FEATURES * CLASSES), 0
     for batch in batches:
         for w, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             total += np.frombuffer(w.as_buffer(), np.float32)
@@ -166,31 +196,37 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["w", "n"])
 
 
-def train(texts: DataFrame, part: Column) -> np.ndarray:
-    """Weights learnt from ``texts`` (text); round r takes the rows with ``part`` r."""
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
+def train(texts: DataFrame, part: Column, prior: np.ndarray) -> np.ndarray:
+    """Weights of both softmaxes learnt from ``texts`` (text); round r takes the rows with ``part``
+    r. ``prior``: for each class the scores its second-level classes start from."""
+    weights = np.zeros((2, FEATURES, CLASSES), np.float32)
     for r in range(ROUNDS):
-        got = stage(texts.where(part == r).select("text").mapInArrow(_learner(weights), "w binary, n long"), "weights")
+        got = stage(texts.where(part == r).select("text").mapInArrow(_learner(weights, prior), "w binary, n long"), "weights")
         rows = got.count()
         while rows > 4:
             rows = -(-rows // FAN_IN)
             got = stage(got.repartition(rows).mapInArrow(_merge, "w binary, n long"), "weights")
-        parts = got.collect()                       # at most four rows of 1 MB
+        parts = got.collect()                       # at most four rows of 2 MB
         if parts:
             total = sum(np.frombuffer(p["w"], np.float32).astype(np.float64) for p in parts)
-            weights = (total / sum(p["n"] for p in parts)).astype(np.float32).reshape(FEATURES, CLASSES)
+            weights = (total / sum(p["n"] for p in parts)).astype(np.float32).reshape(2, FEATURES, CLASSES)
     return weights
 
 
-def _scorer(weights: np.ndarray, frequent: np.ndarray, logs: np.ndarray, class_logs: np.ndarray):
-    """frequent: sorted hashes with the log10 of their count + 1; class_logs: log10 of each word
-    class's denominator."""
+def _scorer(weights: np.ndarray, frequent: np.ndarray, logs: np.ndarray, prior: np.ndarray):
+    """frequent: sorted hashes with the log10 of their count + 1; prior: for each class the natural
+    logarithms of its second-level classes' denominators."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, off in _pieces(batch, 1):
-                h, cls, row, first = tokens(raw, off)
+                h, cls, row, first, levels = _levels(raw, off, prior)
                 rows = hi - lo
-                model = log_probs(weights, features(h, first), cls) / math.log(10) - class_logs[cls]
+                model = np.zeros(len(h))
+                for i, (f, c, start_at, which) in enumerate(levels):
+                    model[which] += log_probs(weights[i], f, c, start_at)
+                    if start_at is not None:
+                        model[which] -= start_at[np.arange(len(c)), c]
+                model /= math.log(10)
                 key = h.astype(np.int64)
                 word = cls != END
                 at = np.minimum(np.searchsorted(frequent, key), max(0, len(frequent) - 1))
@@ -218,22 +254,22 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     are not ``held_out`` train the model."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     training = rows.where(~F.col("held_out"))
-    counts = stage(training.select("text").mapInArrow(_count, "h long, cls int, c long").groupBy("h", "cls").agg(
+    counts = stage(training.select("text").mapInArrow(_count, "h long, cls int, sub int, c long").groupBy("h", "cls", "sub").agg(
         F.sum("c").alias("c")), "counts")
-    classes = counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    classes = counts.groupBy("cls", "sub").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     total, kinds = sum(r["c"] for r in classes), sum(r["v"] for r in classes)
     ends = sum(r["c"] for r in classes if r["cls"] == END)
-    class_logs = np.zeros(CLASSES)
+    prior = np.zeros((CLASSES, CLASSES), np.float32)
     for r in classes:
         if r["cls"] != END:
-            class_logs[r["cls"]] = math.log10(r["c"] + r["v"] + 1)
+            prior[r["cls"], r["sub"]] = math.log(r["c"] + r["v"] + 1)
     top = counts.where(F.col("cls") != END).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "c").toArrow()
     order = np.argsort(top["h"].to_numpy())
     frequent, logs = top["h"].to_numpy()[order], np.log10(top["c"].to_numpy()[order] + 1.0)
     part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("round")), F.lit(ROUNDS))
-    weights = train(training, part)
+    weights = train(training, part, prior)
     parts = rows.select("id", "text", "held_out").mapInArrow(
-        _scorer(weights, frequent, logs, class_logs),
+        _scorer(weights, frequent, logs, prior),
         "id long, held_out boolean, n_tokens long, n_frequent long, common double, model double, rare array<struct<h:long,times:long>>")
     parts = stage(parts.withColumn("rid", F.monotonically_increasing_id()), "scored")
     rare = parts.select("rid", F.explode("rare").alias("x")).select("rid", "x.h", "x.times").join(

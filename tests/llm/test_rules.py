@@ -161,6 +161,17 @@ def test_base_scores_match_brute_force_and_the_model_learns(spark, edges, empty,
     assert {(x.id, x.n_tokens, x.n_known, x.train_tokens, x.base_score) for x in none} == {(1, 3, 0, 0, 0), (2, 1, 0, 0, 0)}
 
 
+def test_words_of_one_class_with_equal_counts_are_told_apart_by_context(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "BATCH", 64)
+    one, other = "k0zzz", "k1zzz"                     # one class: the last three bytes agree
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = {d: (f"left {one}", f"right {other}")[i % 2] for i, d in enumerate(ids[:2000])}
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = scores(spark, docs | {held[0]: f"left {one}", held[1]: f"left {other}"})
+    assert rows[held[0]].base_score == rows[held[1]].base_score
+    assert rows[held[0]].score > rows[held[1]].score + 0.5
+
+
 def test_class_probabilities_sum_to_one():
     w = np.random.default_rng(1).normal(size=(maxent.FEATURES, maxent.CLASSES)).astype(np.float32)
     f = np.tile(np.array([[0, 5, 9, 3, 100]], np.int32), (maxent.CLASSES, 1))
