@@ -75,6 +75,19 @@ def test_base_findings_match_brute_force(spark, edges, empty):
     assert np.mean([rows[d].n_model > 0 for d in docs if d < 1000 and d % 10 == 5]) < 0.2
 
 
+def test_frequent_formats_that_no_pattern_knows_are_found(spark):
+    r, mixed = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(r.choice(mixed) for _ in range(n))
+    docs = secret_texts()
+    for i in range(300):
+        value = [f"ghp_{key(36)}", f"sk_live_{key(24)}", f"eyJhbGciOiJIUzI1NiJ9.{key(40)}.{key(43)}",
+                 f"{r.randrange(10**14):014d}", f"www.example.com/page{i}/view", f"order_item_{i}_7"][i % 6]
+        docs[1000 + i] = f"{prose(i, 10)} {value} {prose(i, 8)}"
+    rows = {x.id: x for x in secrets.scan(frame(spark, docs)).collect()}
+    found = [np.mean([rows[d].n_model > 0 for d in docs if d >= 1000 and (d - 1000) % 6 == k]) for k in range(6)]
+    assert min(found[:3]) > 0.5 and max(found[3:]) < 0.1, found
+
+
 def test_network_separates_held_out_findings():
     r = random.Random(2)
     sample = []
