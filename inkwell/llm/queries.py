@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.llm.alignment import op13_shared_cuts
+from inkwell.llm.covertree import OP11_SQL, op11_cover_tree_negatives
 from inkwell.llm.decontaminate import OP10_SQL, op10_spaced_seeds
 from inkwell.llm.lines import OP1_SQL, op1_line_templates
 from inkwell.llm.maxent import op8_maxent_scores
@@ -16,6 +18,7 @@ from inkwell.llm.quality import op9_repetition_rules
 from inkwell.llm.repeats import op7_suffix_repeats
 from inkwell.llm.secrets import op4_secret_spans
 from inkwell.llm.shards import op6_minimax_shards
+from inkwell.llm.tokencount import op12_whole_token_counts
 from inkwell.llm.warc import OP3_SQL, op3_warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_maxent_scores,
     op9_repetition_rules,
     op10_spaced_seeds,
+    op11_cover_tree_negatives,
+    op12_whole_token_counts,
+    op13_shared_cuts,
 )}
 ORACLE: dict[str, str] = {
     "op2_superminhash": OP2_SQL,
@@ -37,4 +43,5 @@ ORACLE: dict[str, str] = {
     "op9_repetition_rules": OP9_SQL,
     "op1_line_templates": OP1_SQL,
     "op10_spaced_seeds": OP10_SQL,
+    "op11_cover_tree_negatives": OP11_SQL,
 }
