@@ -1,25 +1,28 @@
 """Enrichment of text rows with a closed set of labels through a pluggable
 classifier (SURVEY §2.11).
 
-Two kinds of classifier give the same output. The built-in rule models read
-the whole text by cue counts and are column expressions (``classify_by_rule``):
-no Python, no shuffle. A client class for a remote model runs inside
+Two kinds of classifier give the same output. The trained models read the
+whole text in column expressions (``classify_by_model``, ``textmodel``): no
+Python, no shuffle of texts. A client class for a remote model runs inside
 ``mapInPandas`` (``classify_rows``): each task opens its client once and passes
 it batches of rows; a failure becomes data (an error text in place of the
 record), never a task failure. Everything around it (validation, comparison,
-scoring) is plain DataFrame work.
+scoring) is plain DataFrame work and holds for any closed label set.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.operators import textmodel
+from inkwell.operators.textmodel import CLASSES, LANGUAGES, MODELS
 from inkwell.sources.io import literal_table
 
 # ----------------------------------------------------------------- fixed values
@@ -65,19 +68,44 @@ ERR_EMPTY_INPUT = "ERROR: text must be provided and cannot be empty"
 ERR_FAILED = "ERROR: Failed to get valid response from {model} API after {attempts} attempts. Last error: {last}"
 ERR_EMPTY_RESULT = "Empty result received from API"
 
-RESULT_TYPE = T.StructType([T.StructField(a, T.StringType()) for a in ATTRIBUTES])
 
 
-def output_schema(key: str, key_type: T.DataType, extra: Sequence[T.StructField] = ()) -> T.StructType:
+class LabelSet(NamedTuple):
+    """A closed label set: allowed values by attribute, and the attributes that must differ in turn
+    (the second from the first, the third from both)."""
+
+    enums: dict[str, list[str]]
+    ranked: tuple[str, str, str]
+
+    @property
+    def attributes(self) -> list[str]:
+        return list(self.enums)
+
+    @property
+    def result_type(self) -> T.StructType:
+        return T.StructType([T.StructField(a, T.StringType()) for a in self.enums])
+
+
+PUBLISHED = LabelSet(ENUMS, ("primary_sub_genre", "secondary_sub_genre", "tertiary_sub_genre"))
+#: What the tables hold gold for.
+DOCUMENT = LabelSet({"primary_language": LANGUAGES, "secondary_language": LANGUAGES, "tertiary_language": LANGUAGES,
+                     "quality": CLASSES["quality"], "toxicity": CLASSES["toxicity"]},
+                    ("primary_language", "secondary_language", "tertiary_language"))
+#: The class target behind each attribute that has gold.
+GOLD = {"primary_language": "language", "quality": "quality", "toxicity": "toxicity"}
+
+
+def output_schema(key: str, key_type: T.DataType, extra: Sequence[T.StructField] = (),
+                  labels: LabelSet = PUBLISHED) -> T.StructType:
     return T.StructType([
         T.StructField(key, key_type), *extra, T.StructField("model", T.StringType()),
-        T.StructField("result", RESULT_TYPE), T.StructField("error", T.StringType()),
+        T.StructField("result", labels.result_type), T.StructField("error", T.StringType()),
         T.StructField("attempts", T.IntegerType()), T.StructField("cost", T.DoubleType())])
 
 
-def allowed_values(spark) -> DataFrame:
+def allowed_values(spark, labels: LabelSet = PUBLISHED) -> DataFrame:
     """The enum set as data: (attribute, value, position). ~100 rows, fixed."""
-    rows = [(a, v, i + 1) for a, vals in ENUMS.items() for i, v in enumerate(vals)]
+    rows = [(a, v, i + 1) for a, vals in labels.enums.items() for i, v in enumerate(vals)]
     return literal_table(spark, rows, "attribute string, value string, position int")
 
 
@@ -107,100 +135,40 @@ class Classifier:
         return out
 
 
-# ----------------------------------------------------------------- rule models
-# A label's cue is a three-letter stem counted anywhere in the lower-cased text, or a word between
-# blanks; the label with the most cue characters wins, the earlier one of a tie (model B: the later).
-def genre_stem(label: str) -> str:
-    """First three letters of a sub-genre's first word."""
-    return label.lower()[:3]
-
-
-CUES: dict[str, dict[str, list[str]]] = {
-    "protagonist_type": {"human": ["hum"], "human with extra powers": ["pow"], "possessed human": ["dem"],
-                         "non-human entity": ["ent"]},
-    "antagonist_type": {"human": ["man"], "human with extra powers": ["ext"], "possessed human": ["dis"],
-                        "non-human entity": ["non"]},
-    "protagonist_gender": {"male": [" he ", " er "], "female": [" she ", " elle "]},
-    "antagonist_gender": {"male": [" him ", " der "], "female": [" her ", " die "], "androgynous": [" they "]},
-    "protagonist_age": {"under 18": ["chi"], "18-30": ["you"], "30-50": ["mid"], "50+": ["old"]},
-    "antagonist_age": {"under 18": ["kid"], "18-30": ["tee"], "30-50": ["adu"], "50+": ["age"]},
-    "setting_time": {"past": [" was "], "present": [" is ", " est "], "future": [" will "]},
-    "setting_location": {"house": ["hou"], "forest": ["for"], "big city": ["cit"], "small town": ["tow"],
-                         "rural": ["rur"], "outer space": ["spa"]},
-}
-#: Label without any cue. B leaves the setting time open, which is off the list.
-NO_CUE = {a: "unknown" for a in CUES} | {"setting_time": "present"}
-NO_CUE_B = NO_CUE | {"setting_time": "unknown"}
-RULE_PRICES = {"A": 0.002, "B": 0.0005}
-
-
-def rule_scores() -> dict[str, list[list[str]]]:
-    """Per attribute (the sub-genres share one entry), the cues of each label in list order."""
-    return {"sub_genre": [[genre_stem(g)] for g in SUB_GENRES]} | {a: list(x.values()) for a, x in CUES.items()}
-
-
-def place(model: str, i: int, n: int) -> int:
-    """What label i of n adds to 100 times its score: the larger place wins a tie."""
-    return i + 1 if model == "B" else n - i
-
-
-def rule_labels(model: str) -> dict[str, list[str]]:
-    """Per attribute, the labels by place."""
-    lists = {"sub_genre": SUB_GENRES} | {a: list(x) for a, x in CUES.items()}
-    return {a: x if model == "B" else x[::-1] for a, x in lists.items()}
-
-
-def with_rule_results(df: DataFrame, models: Sequence[str], text: str = "text") -> DataFrame:
-    """``df`` with one struct column ``_result_<model>`` per rule model (null for an empty text). All
-    cues are counted once, in one array over the lower-cased text."""
-    scores = rule_scores()
-    cues = list(dict.fromkeys(c for labels in scores.values() for cs in labels for c in cs))
-    t = F.lower(F.col(text))
-    out = df.withColumn("_t", t).withColumn("_n", F.length("_t")).withColumn("_cues", F.transform(
-        F.array(*[F.lit(c) for c in cues]), lambda c: F.col("_n") - F.length(F.replace(F.col("_t"), c, F.lit("")))))
-    at = {c: F.get("_cues", F.lit(i)) for i, c in enumerate(cues)}
-    keep = list(df.columns)
-    for m in models:
-        ranked, labels = {}, rule_labels(m)
-        for a, per_label in scores.items():
-            n = len(per_label)
-            ranked[a] = F.sort_array(F.array(*[
-                sum((at[c] for c in cs), F.lit(0)) * 100 + place(m, i, n) for i, cs in enumerate(per_label)]), asc=False)
-        names = {a: f"_rank_{m}_{a}" for a in ranked}
-        out = out.withColumns({names[a]: r for a, r in ranked.items()})
-
-        def label(a, k=0):
-            return F.element_at(F.array(*[F.lit(x) for x in labels[a]]), F.get(names[a], F.lit(k)) % 100)  # noqa: B023
-
-        record = {"primary_sub_genre": label("sub_genre"), "secondary_sub_genre": label("sub_genre", 1),
-                  "tertiary_sub_genre": label("sub_genre", 2)}
-        for a in CUES:
-            record[a] = F.when(F.get(names[a], F.lit(0)) < 100, F.lit((NO_CUE_B if m == "B" else NO_CUE)[a])).otherwise(
-                label(a))
-        empty = F.col(text).isNull() | (F.btrim(F.col(text)) == "")
-        out = out.withColumn(f"_result_{m}", F.when(~empty, F.struct(*[record[a].alias(a) for a in ATTRIBUTES])))
-        keep.append(f"_result_{m}")
-    return out.select(*keep)
-
-
-def classify_by_rule(df: DataFrame, models: Sequence[str], key: str = "doc_id", text: str = "text",
-                     passthrough: Sequence[str] = ()) -> DataFrame:
-    """The rule models' output in the schema of ``classify_rows``: every row is read once for all
-    models, in its scan split."""
-    known = [m for m in models if m in RULE_PRICES]
-    wide = with_rule_results(df.select(*dict.fromkeys([key, text, *passthrough])), known, text)
-    none = F.lit(None).cast(RESULT_TYPE)
+# ----------------------------------------------------------------- trained models
+def with_model_results(df: DataFrame, models: Sequence[str], trained: DataFrame, keep: Sequence[str],
+                       text: str = "text") -> DataFrame:
+    """``keep`` columns with one struct ``_result_<model>`` per model (null for an empty text)."""
+    empty = F.col(text).isNull() | (F.btrim(F.col(text)) == "")
+    rows = df.select(*keep, text).withColumn("_empty", empty)
+    ranked = textmodel.score(rows, trained, {m: MODELS[m] for m in models}, [*keep, "_empty"], text)
+
+    def record(m: str) -> Column:
+        r = F.col(f"_ranked_{m}")
+        best = [F.get(r["language"], F.lit(i)) for i in range(3)] + [F.get(r[t], F.lit(0)) for t in ("quality", "toxicity")]
+        return F.when(~F.col("_empty"), F.struct(*[x.alias(a) for x, a in zip(best, DOCUMENT.attributes)]))
+
+    return ranked.select(*keep, *[record(m).alias(f"_result_{m}") for m in models])
+
+
+def classify_by_model(df: DataFrame, models: Sequence[str], trained: DataFrame, key: str = "doc_id",
+                      text: str = "text", passthrough: Sequence[str] = ()) -> DataFrame:
+    """The trained models' output in the schema of ``classify_rows`` with the ``DOCUMENT`` labels:
+    every text is read once for all models, in its scan split."""
+    known = [m for m in models if m in MODELS]
+    wide = with_model_results(df, known, trained, list(dict.fromkeys([key, *passthrough])), text)
+    none = F.lit(None).cast(DOCUMENT.result_type)
 
     def output(m: str) -> Column:
-        if m not in RULE_PRICES:
+        if m not in MODELS:
             return F.struct(F.lit(m).alias("model"), none.alias("result"),
-                            F.lit(ERR_UNKNOWN_MODEL.format(models=", ".join(RULE_PRICES))).alias("error"),
+                            F.lit(ERR_UNKNOWN_MODEL.format(models=", ".join(MODELS))).alias("error"),
                             F.lit(0).alias("attempts"), F.lit(0.0).alias("cost"))
         r = F.col(f"_result_{m}")
-        return F.struct(F.lit(m).alias("model"), r.cast(RESULT_TYPE).alias("result"),
+        return F.struct(F.lit(m).alias("model"), r.cast(DOCUMENT.result_type).alias("result"),
                         F.when(r.isNull(), F.lit(ERR_EMPTY_INPUT)).alias("error"),
                         F.when(r.isNull(), 0).otherwise(1).alias("attempts"),
-                        F.when(r.isNull(), 0.0).otherwise(RULE_PRICES[m]).alias("cost"))
+                        F.when(r.isNull(), 0.0).otherwise(MODELS[m].price).alias("cost"))
 
     return wide.select(key, *passthrough, F.inline(F.array(*[output(m) for m in models])))
 
@@ -239,7 +207,7 @@ def _attempt_rows(client: Classifier | None, model: str, known: Sequence[str], r
 def classify_rows(df: DataFrame, models: Sequence[str], classifiers: Mapping[str, Classifier],
                   key: str = "doc_id", text: str = "text", fields: Sequence[str] = ("doc_id", "text", "lang", "n_chars"),
                   max_attempts: int = MAX_ATTEMPTS, backoff_base: float = 2.0,
-                  passthrough: Sequence[str] = ()) -> DataFrame:
+                  passthrough: Sequence[str] = (), labels: LabelSet = PUBLISHED) -> DataFrame:
     """One structured result per (row, model): key, model, result, error, attempts, cost.
 
     Unknown model or empty input -> error row with 0 attempts. Up to
@@ -251,7 +219,7 @@ def classify_rows(df: DataFrame, models: Sequence[str], classifiers: Mapping[str
     known = sorted(classifiers)
     clients = dict(classifiers)
     cols = list(dict.fromkeys([key, text, *fields, *passthrough]))
-    schema = output_schema(key, df.schema[key].dataType, [df.schema[c] for c in passthrough])
+    schema = output_schema(key, df.schema[key].dataType, [df.schema[c] for c in passthrough], labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = {}
@@ -282,22 +250,22 @@ def classify_rows(df: DataFrame, models: Sequence[str], classifiers: Mapping[str
     return df.select(*cols).mapInPandas(run, schema)
 
 
-def results_long(classified: DataFrame, key: str = "doc_id") -> DataFrame:
+def results_long(classified: DataFrame, key: str = "doc_id", labels: LabelSet = DOCUMENT) -> DataFrame:
     """(key, model, attribute, value) for successful rows."""
-    rows = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col("result")[a].alias("value")) for a in ATTRIBUTES])
+    rows = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col("result")[a].alias("value")) for a in labels.attributes])
     return classified.where(F.col("result").isNotNull()).select(key, "model", F.inline(rows))
 
 
-def validate_enums(classified: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per successful (row, model): values outside the enum, and the sub-genre
-    dependency rules (secondary != primary; tertiary not in {primary, secondary}).
+def validate_enums(classified: DataFrame, key: str = "doc_id", labels: LabelSet = DOCUMENT) -> DataFrame:
+    """Per successful (row, model): values outside the enum, and the dependency rules of the ranked
+    attributes (the second repeats the first; the third repeats either).
 
     The enum set is a fixed literal, so membership is an ``array_contains``
     in one projection: no join, no shuffle, the classifier output is read once."""
     r = F.col("result")
     bad = sum((~F.coalesce(F.array_contains(F.array(*[F.lit(v) for v in vals]), r[a]), F.lit(False))).cast("int")
-              for a, vals in ENUMS.items())
-    p, s, t = r["primary_sub_genre"], r["secondary_sub_genre"], r["tertiary_sub_genre"]
+              for a, vals in labels.enums.items())
+    p, s, t = (r[a] for a in labels.ranked)
     out = classified.where(r.isNotNull()).select(
         key, "model", bad.cast("int").alias("n_invalid_values"),
         (s == p).alias("secondary_repeats_primary"), ((t == p) | (t == s)).alias("tertiary_repeats"))
@@ -305,62 +273,44 @@ def validate_enums(classified: DataFrame, key: str = "doc_id") -> DataFrame:
                           & ~F.col("tertiary_repeats"))
 
 
-def summary(result: Column) -> Column:
-    """The 11 attributes as one ``|``-joined text (null for a failed row)."""
-    return F.when(result.isNotNull(), F.concat_ws("|", *[result[a] for a in ATTRIBUTES]))
+def summary(result: Column, labels: LabelSet = DOCUMENT) -> Column:
+    """The attributes as one ``|``-joined text (null for a failed row)."""
+    return F.when(result.isNotNull(), F.concat_ws("|", *[result[a] for a in labels.attributes]))
 
 
-def compare_models(df: DataFrame, models: Sequence[str] = ("A", "B"), key: str = "doc_id",
+def compare_models(df: DataFrame, trained: DataFrame, models: Sequence[str] = ("A", "B"), key: str = "doc_id",
                    text: str = "text") -> DataFrame:
-    """Two rule models side by side: one column per model (result summary and
+    """Two trained models side by side: one column per model (result summary and
     per-row cost) plus the number of attributes on which they agree. Both read
-    a row in the same projection, so nothing is shuffled."""
-    wide = with_rule_results(df.select(key, text), models, text)
+    a text in the same pass."""
+    wide = with_model_results(df, models, trained, [key], text)
     a, b = (F.col(f"_result_{m}") for m in models)
     cols = []
     for m, r in zip(models, (a, b)):
         cols += [summary(r).alias(f"{m.lower()}_result"),
-                 F.when(r.isNull(), 0.0).otherwise(RULE_PRICES[m]).alias(f"{m.lower()}_cost")]
-    agree = sum((F.coalesce(a[x] == b[x], F.lit(False))).cast("int") for x in ATTRIBUTES)
+                 F.when(r.isNull(), 0.0).otherwise(MODELS[m].price).alias(f"{m.lower()}_cost")]
+    agree = sum((F.coalesce(a[x] == b[x], F.lit(False))).cast("int") for x in DOCUMENT.attributes)
     return wide.select(key, *cols, agree.cast("int").alias("n_agree"))
 
 
-# What a label row says about the two attributes it can speak to.
-GOLD = {"antagonist_type": ("toxic", {1: "possessed human", 0: "human"}),
-        "setting_time": ("quality", {1: "present", 0: "past"})}
-
-
-def gold_record() -> Column:
-    """Gold values from the label columns alone, independent of any rule: a
-    struct of the ``GOLD`` attributes, null for rows without labels."""
-    known = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
-    fields = []
-    for a, (c, values) in GOLD.items():
-        v = F.when(F.col(c) == next(iter(values)), F.lit(next(iter(values.values()))))
-        for k, x in list(values.items())[1:]:
-            v = v.when(F.col(c) == k, F.lit(x))
-        fields.append(v.alias(a))
-    return F.when(known, F.struct(*fields))
-
-
 def model_scorecard(classified: DataFrame) -> DataFrame:
-    """Correct gold attributes per row and model, accuracy per model, the
-    winner and total cost. ``classified`` carries the label columns (joined to
-    the classifier's small output, never to the texts). Every gold-labelled
-    row counts (a failed classification scores 0); the cost covers every
-    classified row. One aggregation by model."""
-    j = classified.withColumn("gold", gold_record())
-    r, g = F.col("result"), F.col("gold")
-    score = sum(F.coalesce(r[a] == g[a], F.lit(False)).cast("int") for a in GOLD)
-    has_gold = g.isNotNull()
-    per_model = (j.select("model", "cost", has_gold.alias("has_gold"), score.alias("n_correct"))
-                 .groupBy("model").agg(
-                     F.count_if("has_gold").cast("bigint").alias("n_rows"),
-                     F.sum(F.when(F.col("has_gold"), F.col("n_correct"))).cast("bigint").alias("n_correct"),
-                     F.count_if(F.col("has_gold") & (F.col("n_correct") == len(GOLD))).cast("bigint")
-                      .alias("n_perfect"),
-                     F.sum(F.col("cost").cast("decimal(18,6)")).cast("double").alias("total_cost")))
-    per_model = per_model.withColumn("accuracy", F.try_divide(F.col("n_correct"), F.col("n_rows") * len(GOLD)))
-    from pyspark.sql import Window
+    """Correct gold attributes per model on the held-out rows, accuracy (of each attribute, too), the
+    winner and total cost. ``classified`` carries ``held_out`` and a column of gold for each class
+    target (joined to the classifier's small output, never to the texts). A failed classification
+    scores 0; the cost covers every classified row. One aggregation by model."""
+    r, held = F.col("result"), F.col("held_out")
+    known = {a: (held & F.col(t).isNotNull()) for a, t in GOLD.items()}
+    right = {a: known[a] & F.coalesce(r[a] == F.col(t), F.lit(False)) for a, t in GOLD.items()}
+    n_known = sum(k.cast("int") for k in known.values())
+    n_right = sum(x.cast("int") for x in right.values())
+    per_model = classified.select("model", "cost", n_known.alias("k"), n_right.alias("c"),
+                                  *[known[a].alias(f"k_{a}") for a in GOLD], *[right[a].alias(f"c_{a}") for a in GOLD])
+    per_model = per_model.groupBy("model").agg(
+        F.count_if(F.col("k") > 0).cast("bigint").alias("n_rows"), F.sum("k").cast("bigint").alias("n_gold"),
+        F.sum("c").cast("bigint").alias("n_correct"),
+        F.count_if((F.col("k") > 0) & (F.col("c") == F.col("k"))).cast("bigint").alias("n_perfect"),
+        *[F.try_divide(F.count_if(f"c_{a}"), F.count_if(f"k_{a}")).alias(f"{a}_accuracy") for a in GOLD],
+        F.sum(F.col("cost").cast("decimal(18,6)")).cast("double").alias("total_cost"))
+    per_model = per_model.withColumn("accuracy", F.try_divide("n_correct", "n_gold"))
     w = Window.orderBy(F.col("accuracy").desc(), F.col("model"))   # one row per model
     return per_model.withColumn("is_winner", F.row_number().over(w) == 1)

@@ -7,12 +7,15 @@ comes from the launcher; the jobs only read settings from it.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings that matter for every job in this package:
 # - AQE re-plans joins and coalesces shuffle partitions at runtime and splits
@@ -107,6 +110,54 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Identifies the present contents of source paths: sizes, file counts and change times."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = hashlib.sha256()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        total, status = fs.getContentSummary(path), fs.getFileStatus(path)
+        seen.update(f"{name}|{total.getLength()}|{total.getFileCount()}|{status.getModificationTime()}\n".encode())
+    return seen.hexdigest()[:16]
+
+
+def stored_once(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame],
+                partition_by: list[str] | None = None) -> DataFrame:
+    """A table derived from ``sources`` that many jobs read: written once per application to the
+    shared folder, and again only if a source has changed. An unfinished write is never read."""
+    path = f"{_stage_root(spark)}/{name}-{_fingerprint(spark, sources)}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df = build()
+        _SCHEMAS[path] = df.schema
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    schema = _SCHEMAS.get(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """``df`` dealt out over the cluster's cores where its file has too few splits to feed them (a
+    shuffle of at most ``maxPartitionBytes`` a core); as it is otherwise."""
+    spark = df.sparkSession
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    total = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(name)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    cores = spark.sparkContext.defaultParallelism
+    if total.getLength() < SMALL_INPUT or total.getFileCount() >= cores or total.getLength() >= cores * split:
+        return df
+    return df.repartition(cores)
+
+
+#: Bytes under which dealing rows out costs more than it gains.
+SMALL_INPUT = 1 << 22
+
+
 def broadcast_threshold(spark: SparkSession) -> int:
     """The session's ``autoBroadcastJoinThreshold`` in bytes (-1: never)."""
     return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

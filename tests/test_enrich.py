@@ -1,14 +1,16 @@
-"""Classification: errors as data, retries, validation, resumable streaming."""
+"""Classification: errors as data, retries, trained models, validation, resumable streaming."""
 
+import random
 import sys
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from inkwell.operators import enrich
-from inkwell.session import scratch_path
-from inkwell.plans.enrichment import rule_job
+from inkwell.operators import enrich, textmodel
+from inkwell.session import scratch_path, stored_once
+from inkwell.plans.enrichment import model_job, trained
 from inkwell.streaming.incremental import current_results, incremental_enrich, retry_failed
 
 from tests.conftest import SF_SMALL
@@ -49,35 +51,111 @@ def test_classify_errors_retries_unknown_model(spark):
     assert abs(got[(89, "I")].cost - 3 * 0.002) < 1e-12
 
 
-def test_rules_read_the_text(spark):
-    texts = ["She was in a haunted house. The ghost! ghost", "He will fly to a forest; vampires, vampires",
-             "qqq", "She was in a haunted house. The vampire! vampire", "", None]
-    rows = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
-    got = [r.result for r in enrich.classify_by_rule(rows, ["A"]).collect()]
-    assert got[0].primary_sub_genre == "ghost and spirits" and got[0].setting_location == "house"
-    assert (got[0].setting_time, got[1].setting_time, got[2].setting_time) == ("past", "future", "present")
-    assert got[1].primary_sub_genre == got[3].primary_sub_genre == "vampire" and got[1].setting_location == "forest"
-    assert got[2].protagonist_type == "unknown" and got[4] is None and got[5] is None
-    assert got[0] != got[3]                      # same key, other text
-    for r in got[:4]:
-        assert len({r.primary_sub_genre, r.secondary_sub_genre, r.tertiary_sub_genre}) == 3
-    plan = enrich.classify_by_rule(rows, ["A", "B"])._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+WORDS = {"en": "the and of this with", "de": "der und ist ein mit", "fr": "le et de est avec", "es": "el y los con por"}
+
+
+def _labelled(n=400, seed=3):
+    """Texts in four languages; toxic ones hold an insult, low ones symbols on every word."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang = r.choice(list(WORDS))
+        words = [r.choice(WORDS[lang].split(" ")) if r.random() < 0.4 else f"w{r.choice('abcdefghij')}{r.choice('klmnop')}"
+                 for _ in range(r.randrange(20, 60))]
+        toxic, low = r.random() < 0.2, r.random() < 0.2
+        if toxic:
+            words.insert(r.randrange(len(words)), r.choice(["Idiot", "clown!"]))
+        if low:
+            words = [w + "###" for w in words]
+        out.append((i, " ".join(words), lang, None if i % 3 == 0 else int(not low), None if i % 3 == 0 else int(toxic)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def small_model(spark):
+    rows = spark.createDataFrame(_labelled(), "doc_id long, text string, lang string, quality int, toxic int")
+    gold = textmodel.gold(F.col("lang"), F.col("quality"), F.col("toxic"))
+    model = textmodel.train(rows.where(~textmodel.held_out(F.col("doc_id"))).select("text", *[g.alias(t) for t, g in gold.items()]), 512)
+    path = scratch_path(spark, "model")
+    model.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_trained_classes_on_held_out_texts(spark, small_model):
+    rows = spark.createDataFrame(_labelled(), "doc_id long, text string, lang string, quality int, toxic int")
+    cls = enrich.classify_by_model(rows, ["A", "B"], small_model, passthrough=["lang", "quality", "toxic"])
+    gold = textmodel.gold(F.col("lang"), F.col("quality"), F.col("toxic"))
+    card = {r.model: r for r in enrich.model_scorecard(cls.withColumns(
+        {**gold, "held_out": textmodel.held_out(F.col("doc_id"))})).collect()}
+    held = [r.doc_id for r in rows.where(textmodel.held_out(F.col("doc_id"))).collect()]
+    assert card["A"].n_rows == len(held) and 60 < len(held) < 120 and card["A"].is_winner
+    assert card["A"].primary_language_accuracy > 0.95 and card["A"].quality_accuracy > 0.95
+    assert card["A"].toxicity_accuracy > 0.95 and card["A"].n_gold > card["A"].n_rows
+    top = {r.token for r in small_model.where("target = 'toxicity' and place between 1 and 2").collect()}
+    assert top == {"idiot", "clown"}
+
+
+def test_model_edges(spark, small_model):
+    texts = ["The idiot and the clown of this", "", None, "   ", "der und", "zzz", "der und", "x " * 20000]
+    rows = spark.createDataFrame([(7 if t == "der und" else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = rows.withColumn("token", F.lit("clash")).withColumn("weight", F.lit(0))
+    got = enrich.classify_by_model(rows, ["A"], small_model).collect()
+    assert len(got) == len(texts)                      # repeated rows stay apart
+    by = {r.doc_id: r for r in got}
+    assert by[0].result.toxicity == "toxic" and by[0].result.primary_language == "en"
+    assert [by[i].error for i in (1, 2, 3)] == [enrich.ERR_EMPTY_INPUT] * 3 and by[1].attempts == 0
+    assert sum(r.doc_id == 7 and r.result.primary_language == "de" for r in got) == 2
+    for r in got:
+        if r.result:
+            assert len({r.result.primary_language, r.result.secondary_language, r.result.tertiary_language}) == 3
+    assert enrich.classify_by_model(rows.limit(0), ["A"], small_model).count() == 0
+    unknown = enrich.classify_by_model(rows, ["A", "Z"], small_model).where("model = 'Z'").collect()
+    assert len(unknown) == len(texts) and all(r.error.startswith("ERROR: model must be one of") for r in unknown)
+
+
+def test_classification_shuffles_no_text(spark, small_model):
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    plan = enrich.classify_by_model(rows, ["A", "B"], small_model)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert "Python" not in plan and "Pandas" not in plan and "BroadcastHashJoin" in plan
+    assert exchanges and not any("text" in x for x in exchanges) and plan.count("documents.parquet") == 1
+
+
+def test_gold_comes_from_the_rows_own_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "en"), (0, 1, "xx"), (None, None, None)], "quality int, toxic int, lang string")
+    gold = textmodel.gold(F.col("lang"), F.col("quality"), F.col("toxic"))
+    got = {r[0]: tuple(r)[1:] for r in rows.select("quality", *[g.alias(t) for t, g in gold.items()]).collect()}
+    assert got == {1: ("en", "high", "clean"), 0: (None, "low", "toxic"), None: (None, None, None)}
 
 
-def test_gold_comes_from_labels_only(spark):
-    rows = spark.createDataFrame([(1, 0), (0, 1), (None, None)], "quality int, toxic int").select(
-        "*", enrich.gold_record().alias("g"))
-    got = {(r.quality, r.toxic): r.g for r in rows.collect()}
-    assert tuple(got[(1, 0)]) == ("human", "present") and tuple(got[(0, 1)]) == ("possessed human", "past")
-    assert got[(None, None)] is None
+def test_validate_flags_values_outside_enum(spark):
+    def check(values, labels):
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("model", T.StringType()),
+                               T.StructField("result", labels.result_type)])
+        row = spark.createDataFrame([(1, "A", tuple(values))], schema)
+        return enrich.validate_enums(row, labels=labels).first()
 
+    good = ["en", "de", "fr", "high", "clean"]
+    assert check(good, enrich.DOCUMENT).valid
+    bad = check(["en", "en", "en", "medium", None], enrich.DOCUMENT)
+    assert bad.n_invalid_values == 2 and bad.secondary_repeats_primary and bad.tertiary_repeats and not bad.valid
+    published = [enrich.ENUMS[a][min(i, len(enrich.ENUMS[a]) - 1)] for i, a in enumerate(enrich.ATTRIBUTES)]
+    assert check(published, enrich.PUBLISHED).valid
+    assert check(["no genre", *published[1:]], enrich.PUBLISHED).n_invalid_values == 1
 
-def test_validate_flags_values_outside_enum(spark):
-    rows = spark.createDataFrame([(89, "zzz"), (1, "it was here")], "doc_id long, text string")
-    v = {r.doc_id: r for r in enrich.validate_enums(enrich.classify_by_rule(rows, ["B"])).collect()}
-    assert v[89].n_invalid_values == 1 and not v[89].valid          # no cue: setting_time 'unknown'
-    assert v[1].n_invalid_values == 0
+
+def test_stored_table_is_written_once_and_again_when_its_source_changes(spark, tmp_path):
+    src, built = f"file://{tmp_path}/src", []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(src)
+
+    spark.range(3).write.parquet(src)
+    first = [stored_once(spark, "t", [src], build).count() for _ in range(2)]
+    spark.range(3, 8).write.mode("append").parquet(src)
+    assert first == [3, 3] and len(built) == 1
+    assert stored_once(spark, "t", [src], build).count() == 8 and len(built) == 2
 
 
 def _job(classifiers):
@@ -90,17 +168,18 @@ def _job(classifiers):
 
 
 def test_incremental_enrich_second_run_adds_nothing(spark):
+    job = model_job(trained(spark, SF_SMALL))
     src, tgt, ckpt = (scratch_path(spark, n) for n in ("src", "tgt", "ckpt"))
     spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang", "n_chars") \
         .repartition(3).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    first = incremental_enrich(spark, src, schema, tgt, ckpt, ["A"], rule_job)
+    first = incremental_enrich(spark, src, schema, tgt, ckpt, ["A"], job)
     assert first == spark.read.parquet(src).count()
-    assert incremental_enrich(spark, src, schema, tgt, ckpt, ["A"], rule_job) == 0
+    assert incremental_enrich(spark, src, schema, tgt, ckpt, ["A"], job) == 0
     # a fresh checkpoint re-reads every file, and the lookup still adds nothing
-    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt2"), ["A"], rule_job) == 0
+    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt2"), ["A"], job) == 0
     # a second model runs over all rows
-    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt3"), ["A", "B"], rule_job) == first
+    assert incremental_enrich(spark, src, schema, tgt, scratch_path(spark, "ckpt3"), ["A", "B"], job) == first
     assert current_results(spark, tgt).count() == 2 * first
 
 
@@ -120,13 +199,14 @@ def test_incremental_enrich_null_keys_repeats_and_retry(spark):
 
 
 def test_unreadable_target_is_an_error(spark, tmp_path):
+    job = _job({"A": _Injected()})
     src = scratch_path(spark, "src")
     rows = _rows(spark)
     rows.write.parquet(src)
     (tmp_path / "target").mkdir()
     (tmp_path / "target" / "part-0.parquet").write_bytes(b"not parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
-        incremental_enrich(spark, src, rows.schema, f"file://{tmp_path}/target", scratch_path(spark, "c"), ["A"], rule_job)
+        incremental_enrich(spark, src, rows.schema, f"file://{tmp_path}/target", scratch_path(spark, "c"), ["A"], job)
 
 
 class _Flaky(enrich.Classifier):
