@@ -13,9 +13,8 @@ from inkwell.functions.numeric import percent_round as pct_round, safe_div
 from inkwell.operators import reshape, shares, verify
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
-from inkwell.session import materialize
 from inkwell.sources import io
-from inkwell.sources.fixtures import COMMON_NAMES, F1_YEARS, VINTAGES, f1_catalogue, f1_long, f1_variable, f1_wide
+from inkwell.sources.fixtures import COMMON_NAMES, F1_YEARS, VINTAGES, f1_catalogue, f1_variable, f1_wide, yearly_extract
 from inkwell.sources.tables import Tables
 
 GROUPS = COMMON_NAMES[1:]            # automobile ... machinery
@@ -25,14 +24,9 @@ FIRST, LAST = F1_YEARS[0], F1_YEARS[-1]
 r6 = O.r6
 
 
-def _long(spark, sf_dir, shared: bool = True, **only) -> DataFrame:
-    """F1 long. ``shared``: materialized once per job, for jobs that read it
-    in several branches with different year filters (each filter would
-    otherwise be pushed down into its own scan of ``orders``). Jobs that
-    read it once pass ``shared=False`` and keep one plain pipeline. ``only``:
-    years, geos, variables, filtered before the cube is built."""
-    long_df = f1_long(Tables(spark, sf_dir), **only)
-    return materialize(long_df) if shared else long_df
+def _long(spark, sf_dir, **only) -> DataFrame:
+    """F1 long from the stored yearly extract. ``only``: years, geos, variables."""
+    return yearly_extract(Tables(spark, sf_dir), **only)
 
 
 def _harm(spark, sf_dir, **only) -> DataFrame:
@@ -70,9 +64,8 @@ SELECT geo, parent, year, variable, {_cols(['estimate', 'moe'])} FROM f1_long
 WHERE year IN ({', '.join(map(str, SCAN_YEARS))}) AND variable IN ('{"', '".join(SCAN_VARS)}')""")
 def scan_vintages_long(spark, sf_dir):
     """Yearly extract restricted to listed years (one skipped) and variables."""
-    # The cube of the years is shared: the variable filter would be pushed differently into the
-    # segment rows and the universe rows, reading ``customer`` twice.
-    return finish(_long(spark, sf_dir, years=SCAN_YEARS).where(F.col("variable").isin(SCAN_VARS)))
+    df = _long(spark, sf_dir, years=SCAN_YEARS, variables=SCAN_VARS)
+    return finish(df.select("geo", "parent", "year", "variable", "estimate", "moe"))
 
 
 V3_CODES = next(c for v, _, _, c in VINTAGES if v == "v3")
@@ -83,7 +76,7 @@ V3_COLS = [c + s for c in V3_CODES for s in ("E", "M")]
        ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in V3_COLS) + " FROM f1_v3")
 def scan_vintages_wide(spark, sf_dir):
     """The last vintage of the yearly extract in wide code form."""
-    return finish(f1_wide(_long(spark, sf_dir, shared=False), "v3"))
+    return finish(f1_wide(_long(spark, sf_dir), "v3"))
 
 
 @query("scan_catalogue_by_year", sql=LC + "SELECT name, label, year FROM f1_catalogue")
@@ -101,14 +94,14 @@ def _pivot_sql(years, prefix="x", src="f1_long", keys="geo, variable"):
 @query("pivot_years", sql=L + _pivot_sql(F1_YEARS))
 def pivot_years(spark, sf_dir):
     """Yearly estimates pivoted to one column per year."""
-    return finish(reshape.pivot_years(_long(spark, sf_dir, shared=False), ["geo", "variable"], F1_YEARS))
+    return finish(reshape.pivot_years(_long(spark, sf_dir), ["geo", "variable"], F1_YEARS))
 
 
 @query("normalize_names_values", sql=L + _pivot_sql(F1_YEARS, keys="geo, variable").replace(
     "SELECT geo, variable,", "SELECT geo, lower(variable) AS variable,"))
 def normalize_names_values(spark, sf_dir):
     """Raw year names ('1995') and upper-case codes -> x1995 and lower case."""
-    raw = (_long(spark, sf_dir, shared=False).select(F.col("geo").alias("Geo"), F.upper("variable").alias("VARIABLE"),
+    raw = (_long(spark, sf_dir).select(F.col("geo").alias("Geo"), F.upper("variable").alias("VARIABLE"),
                                        "year", "estimate"))
     wide = reshape.pivot_years(raw, ["Geo", "VARIABLE"], F1_YEARS, prefix="")
     return finish(io.normalize_names_values(wide))
@@ -167,7 +160,7 @@ SELECT geo, year, variable, {r6('estimate', 'estimate')},
 FROM f1_long""")
 def index_to_first(spark, sf_dir):
     """Each variable's estimate divided by the universe row of its geography and year."""
-    df = _long(spark, sf_dir, shared=False).select("geo", "year", "variable", "estimate")
+    df = _long(spark, sf_dir).select("geo", "year", "variable", "estimate")
     return finish(reshape.index_to_first(df, ["geo", "year"], ["variable"], ["estimate"]))
 
 
@@ -186,7 +179,7 @@ SELECT geo, year, band, {r6('sum(estimate)', 'estimate')}, {r6('sum(estimate_sca
 FROM s JOIN b USING (variable) GROUP BY geo, year, band""")
 def band_totals(spark, sf_dir):
     """Segments folded into named bands (one band non-contiguous), estimates and indexed shares summed per geography and year."""
-    long_df = _long(spark, sf_dir, shared=False).select("geo", "year", "variable", "estimate")
+    long_df = _long(spark, sf_dir).select("geo", "year", "variable", "estimate")
     scaled = reshape.index_to_first(long_df, ["geo", "year"], ["variable"], ["estimate"])
     band_map = io.literal_table(spark, BANDS.items(), "variable string, band string")
     return finish(shares.band_totals(scaled, band_map, ["geo", "year"], ["estimate", "estimate_scaled"]))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.numeric import decade
 from inkwell.functions.text import recode, title_strip_year, title_year, trim_all
+from inkwell.session import stored_once
 from inkwell.sources.io import literal_table
 from inkwell.sources.tables import Tables
 
@@ -80,7 +81,38 @@ def in_years(date: Column, years: Sequence[int]) -> Column:
     return reduce(lambda a, b: a | b, [(date >= stamp(a)) & (date < stamp(b + 1)) for a, b in runs])
 
 
+def listed_year(year: Column) -> Column:
+    """``year`` if a vintage lists it; any other year (or none) is an error, never a dropped row."""
+    return F.when(year.isin(F1_YEARS), year).otherwise(F.raise_error(F.concat(
+        F.lit("order year in no vintage: "), F.coalesce(year.cast("string"), F.lit("none")))).cast("int"))
+
+
 # ---------------------------------------------------------------- F1
+def yearly_fact(t: Tables) -> DataFrame:
+    """The whole yearly extract on disk, a folder a year: built once from ``orders``, ``customer`` and
+    ``nation`` and read by every trend job, so a filter on years reads only those folders and one on
+    geographies or variables reaches the Parquet reader. Large years are split over files."""
+    sources = [f"{t.sf_dir}/{name}.parquet" for name in ("orders", "customer", "nation")]
+    return stored_once(t.spark, "yearly-extract", sources, lambda: f1_long(t).hint("rebalance", "year"), ["year"])
+
+
+def yearly_extract(t: Tables, years: Sequence[int] | None = None, geos: Sequence[int] | None = None,
+                   variables: Sequence[str] | None = None) -> DataFrame:
+    """The stored extract for some years, geographies and variables; unknown ones are an error."""
+    check_asked(years, variables)
+    df = yearly_fact(t)
+    for column, values in (("year", years), ("geo", geos), ("variable", variables)):
+        if values is not None:
+            df = df.where(F.col(column).isin(list(values)))
+    return df
+
+
+def check_asked(years: Sequence[int] | None, variables: Sequence[str] | None) -> None:
+    unknown = set(years or ()) - set(F1_YEARS) | set(variables or ()) - {f1_variable(c) for c in COMMON_NAMES}
+    if unknown:
+        raise ValueError(f"not in the yearly extract: {sorted(map(str, unknown))}")
+
+
 def f1_long(t: Tables, years: Sequence[int] | None = None, geos: Sequence[int] | None = None,
             variables: Sequence[str] | None = None) -> DataFrame:
     """Yearly extract, long: geo, parent, year, variable, estimate, moe.
@@ -96,9 +128,7 @@ def f1_long(t: Tables, years: Sequence[int] | None = None, geos: Sequence[int] |
     years rows, a hot customer collapses map-side, and "distinct customers" is
     a plain count (a customer has one segment).
     """
-    unknown = set(years or ()) - set(F1_YEARS) | set(variables or ()) - {f1_variable(c) for c in COMMON_NAMES}
-    if unknown:
-        raise ValueError(f"not in the yearly extract: {sorted(map(str, unknown))}")
+    check_asked(years, variables)
     orders, customer = t.orders, t.customer
     if years is not None:
         orders = orders.where(in_years(F.col("o_orderdate"), years))
@@ -107,7 +137,7 @@ def f1_long(t: Tables, years: Sequence[int] | None = None, geos: Sequence[int] |
     if variables is not None and f1_variable("total") not in variables:
         customer = customer.where(F.col("c_mktsegment").isin([s for s in SEGMENTS if f1_variable(s.lower()) in variables]))
     per_cust = (orders
-                .groupBy(F.col("o_custkey"), F.year("o_orderdate").alias("year"))
+                .groupBy(F.col("o_custkey"), listed_year(F.year("o_orderdate")).alias("year"))
                 .agg(F.count(F.lit(1)).alias("n")))
     cust = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     nat = t.nation.select("n_nationkey", "n_regionkey")

@@ -166,6 +166,20 @@ def test_unknown_years_variables_and_segments_are_errors(spark):
         spark.range(1).select(fixtures.segment_number(F.lit("ROCKETS"))).collect()
 
 
+@pytest.mark.parametrize("day", ["2002-03-01", None])
+def test_an_order_of_an_unlisted_year_is_an_error(spark, tmp_path, day):
+    from pyspark.sql import functions as F
+    from inkwell.plans import QUERIES
+    for t in ("customer", "nation"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(f"file://{tmp_path}/{t}.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    late = orders.limit(1).withColumn("o_orderdate", F.lit(day).cast(orders.schema["o_orderdate"].dataType))
+    orders.unionByName(late).write.parquet(f"file://{tmp_path}/orders.parquet")
+    for key in ("vintage_harmonize", "yearly_totals", "pivot_years"):
+        with pytest.raises(Exception, match="order year in no vintage: " + (day or "none")[:4]):
+            QUERIES[key](spark, f"file://{tmp_path}").collect()
+
+
 def test_pipe_files_with_other_column_order_are_errors(spark, tmp_path):
     from inkwell.sources import io
     (tmp_path / "a.csv").write_text("GEO_ID|E001|E002\n0500|1|2\n")

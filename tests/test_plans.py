@@ -1,6 +1,8 @@
 """Plan properties: no Python outside enrichment, pushed predicates and
 pruned reads, shuffle-free decode, bounded per-group top-k."""
 
+import re
+
 import pytest
 
 from inkwell.plans import QUERIES
@@ -64,21 +66,36 @@ def test_decode_pushes_key_and_prunes_columns_on_staged_table(spark):
     assert {r.var for r in df.collect()} == {"b90001_001", "b90001_002"}
 
 
-YEARLY = {"scan_vintages_long": 0, "filter_compound": 1, "filter_in_list": 0, "choropleth_bins": 0,
-          "unpivot_named": 0, "growth_ratio": 0, "order_flip": 0}
+YEARLY = {"scan_vintages_long": False, "filter_compound": True, "filter_in_list": False, "choropleth_bins": False,
+          "unpivot_named": False, "growth_ratio": False, "order_flip": False}
 
 
 @pytest.mark.parametrize("key", sorted(YEARLY))
-def test_year_and_nation_filters_reach_the_scans(spark, key, monkeypatch):
-    """The cube is built from the asked years (and nation) only."""
-    from inkwell.plans import trends
-    plans = []
-    monkeypatch.setattr(trends, "materialize", lambda df: plans.append(_plan(df)) or df)
-    QUERIES[key](spark, SF_SMALL)
-    orders = [line for plan in plans for line in plan.splitlines() if "o_orderdate" in line and "PushedFilters" in line]
-    assert orders and all("GreaterThanOrEqual(o_orderdate" in line for line in orders)
+def test_year_filters_are_partition_filters(spark, key):
+    """Trend jobs read the stored extract, only the folders of the asked years, and no raw table."""
+    df = QUERIES[key](spark, SF_SMALL)
+    scans = [line for line in _plan(df).splitlines() if "FileScan parquet" in line]
+    assert scans and all("/yearly-extract-" in f and "/year=" in f for f in df.inputFiles())
+    assert all(re.search(r"PartitionFilters: \[[^]]*year", s) for s in scans)
     if YEARLY[key]:
-        assert any("EqualTo(c_nationkey,7)" in line or "In(c_nationkey" in line for plan in plans for line in plan.splitlines())
+        assert all("(geo,7)" in s for s in scans)
+
+
+def test_yearly_extract_is_built_from_filtered_scans(spark):
+    """Built for some years and nations alone, the cube reads only those."""
+    from inkwell.sources.fixtures import f1_long
+    from inkwell.sources.tables import Tables
+    plan = _plan(f1_long(Tables(spark, SF_SMALL), years=[1999], geos=[7]))
+    assert "GreaterThanOrEqual(o_orderdate" in plan and ("EqualTo(c_nationkey,7)" in plan or "In(c_nationkey" in plan)
+
+
+def test_vintages_read_each_year_once(spark):
+    """Three vintages, each its own years: no folder of the extract is read twice."""
+    df = QUERIES["vintage_harmonize"](spark, SF_SMALL)
+    scans = [line for line in _plan(df).splitlines() if "FileScan parquet" in line]
+    bounds = sorted(tuple(map(int, re.findall(r"year#\d+ [<>]= (\d+)", s.split("PartitionFilters")[1].split("PushedFilters")[0])))
+                    for s in scans)
+    assert bounds == [(1995, 1997), (1998, 1999), (2000, 2001)]
 
 
 def test_precinct_jobs_read_the_votes_once_without_a_join_of_views(spark):
