@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from inkwell.operators import enrich, textmodel
 from inkwell.session import scratch_path, stored_once
 from inkwell.plans.enrichment import model_job, trained
-from inkwell.streaming.incremental import current_results, incremental_enrich, retry_failed
+from inkwell.streaming.incremental import current_results, incremental_enrich, retry_failed, writer_of
 
 from tests.conftest import SF_SMALL
 
@@ -198,6 +198,69 @@ def test_incremental_enrich_null_keys_repeats_and_retry(spark):
     assert all(r.ok for r in current_results(spark, tgt).collect())
 
 
+def _files(spark, path, *batches):
+    for b in batches:
+        spark.createDataFrame(b, "doc_id long, text string, lang string, n_chars long").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stream_admits_a_pair_once_without_reading_its_target(spark):
+    src, tgt, ckpt = (scratch_path(spark, n) for n in ("src", "tgt", "ckpt"))
+    job = _job({"I": _Injected()})
+    schema = "doc_id long, text string, lang string, n_chars long"
+    schema = spark.createDataFrame([], schema).schema
+    run = lambda: incremental_enrich(spark, src, schema, tgt, ckpt, ["I"], job, max_files_per_trigger=1)
+    _files(spark, src, [(1, "a", "en", 1), (2, "b", "en", 1)], [(2, "b", "en", 1), (None, "c", "en", 1)])
+    assert run() == 3                       # the key of both files once
+    # The target unreadable for its own stream's next run: the state alone knows what was admitted.
+    hidden = f"{tgt}/writer={writer_of(ckpt)}"
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(tgt).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = jvm.org.apache.hadoop.fs.Path
+    assert fs.rename(path(hidden), path(f"{tgt}-away"))
+    _files(spark, src, [(1, "a", "en", 1), (3, "d", "en", 1), (None, "c", "en", 1)])
+    assert run() == 1
+    assert [r.doc_id for r in spark.read.parquet(tgt).collect()] == [3]
+
+
+def test_a_replayed_batch_overwrites_its_folder(spark):
+    src, tgt, ckpt = (scratch_path(spark, n) for n in ("src", "tgt", "ckpt"))
+    _files(spark, src, [(1, "a", "en", 1), (2, "b", "en", 1)])
+    schema = spark.read.parquet(src).schema
+    job, calls = _job({"I": _Injected()}), []
+
+    def dies_after_writing(df):
+        calls.append(1)
+        return job(df)
+
+    def run(enrich_job):
+        return incremental_enrich(spark, src, schema, tgt, ckpt, ["I"], enrich_job)
+
+    import inkwell.streaming.incremental as incremental
+    write = incremental._write
+
+    def crash(*args):
+        write(*args)
+        raise RuntimeError("lost after the write")
+
+    incremental._write = crash
+    try:
+        with pytest.raises(Exception, match="lost after the write"):
+            run(dies_after_writing)
+    finally:
+        incremental._write = write
+    assert spark.read.parquet(tgt).count() == 2 and run(dies_after_writing) == 2 and len(calls) == 2
+    assert sorted(r.doc_id for r in spark.read.parquet(tgt).collect()) == [1, 2]
+
+
+def test_an_unfinished_first_write_is_no_target(spark, tmp_path):
+    src, tgt = scratch_path(spark, "src"), f"file://{tmp_path}/target"
+    _files(spark, src, [(1, "a", "en", 1)])
+    (tmp_path / "target" / "writer=x" / "batch=0" / "_temporary" / "0").mkdir(parents=True)
+    (tmp_path / "target" / "writer=x" / "batch=0" / "_temporary" / "0" / "part-0.parquet").write_bytes(b"half")
+    assert incremental_enrich(spark, src, spark.read.parquet(src).schema, tgt, scratch_path(spark, "c"), ["I"],
+                              _job({"I": _Injected()})) == 1
+
+
 def test_unreadable_target_is_an_error(spark, tmp_path):
     job = _job({"A": _Injected()})
     src = scratch_path(spark, "src")
