@@ -12,6 +12,7 @@ Texts whose key falls in the held-out fold never train, and the scorecard counts
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -65,6 +66,14 @@ def features(text: Column, words: Column) -> Column:
     return F.array_distinct(F.concat(shape, words))
 
 
+def features_of(text: str) -> set[str]:
+    """``features`` of one text in Python, for clients that run inside a task."""
+    words = re.split(APART, text.translate(str.maketrans(UPPER, LOWER)))
+    symbols, lines = sum(map(text.count, SYMBOLS)), 1 + text.count("\n")
+    return {*words, f"#{max(1, (symbols * 1000 // max(len(text), 1)).bit_length())}",
+            f"|{max(1, (len(words) // lines).bit_length())}"}
+
+
 def _tokens(rows: DataFrame, text: str, keep: Sequence[str], extra: str) -> DataFrame:
     """``keep`` columns and each distinct ``token`` of the text, with ``extra`` as one more."""
     cut = rows.withColumn("_words", words(F.col(text)))         # split once, used twice

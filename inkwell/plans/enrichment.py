@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators import enrich, reshape, textmodel
+from inkwell.operators import enrich, request_queue, reshape, textmodel
 from inkwell.operators.enrich import DOCUMENT, GOLD
 from inkwell.operators.textmodel import CLASSES, MODELS
 from inkwell.plans import oracle_fixtures as O
@@ -207,3 +207,35 @@ def model_job(model: DataFrame):
             "doc_id", "model", "attempts", F.col("result").isNotNull().alias("ok"), "error")
 
     return job
+
+
+# Limits of the client: characters that an attempt's deadline allows, a word that its policy refuses.
+DEADLINE_CHARS, REFUSED = 3000, "scum"
+_FAILED = enrich.ERR_FAILED.format(model="' || model || '", attempts=enrich.MAX_ATTEMPTS, last="' || last || '")
+
+
+@query("client_retry_queue", sql=CLS + f""",
+sent AS (
+  SELECT cls.*, length(text) AS chars, list_contains(words, '{REFUSED}') AS refused,
+    greatest(1, CAST(ceil(length(text) / {DEADLINE_CHARS}.0) AS INTEGER)) AS needed
+  FROM cls JOIN cut USING (doc_id)),
+done AS (
+  SELECT *, ok AND NOT refused AND needed <= {enrich.MAX_ATTEMPTS} AS got,
+    CASE WHEN needed > {enrich.MAX_ATTEMPTS} THEN 'deadline exceeded' ELSE 'refused by content policy' END AS last
+  FROM sent)
+SELECT doc_id, model, got AS ok,
+  CASE WHEN NOT ok THEN 0 WHEN got THEN needed ELSE {enrich.MAX_ATTEMPTS} END AS attempts,
+  CASE WHEN NOT ok THEN error WHEN NOT got THEN '{_FAILED}' END AS error,
+  {r6(f'cost * CASE WHEN got THEN needed ELSE {enrich.MAX_ATTEMPTS} END', 'cost')},
+  {', '.join(f'CASE WHEN got THEN {a} END AS {a}' for a in GOLD)}
+FROM done""")
+def client_retry_queue(spark, sf_dir):
+    """Every document through the batched client of both models: long texts need several attempts or
+    miss every deadline, refused texts fail after the last; one outcome a request."""
+    model = trained(spark, sf_dir)
+    clients = {m: request_queue.LocalModelClient(m, request_queue.model_weights(model, x.terms), x.price,
+                                                 DEADLINE_CHARS, [REFUSED]) for m, x in MODELS.items()}
+    done = request_queue.run_queue(_rows(spark, sf_dir), list(MODELS), clients, scratch_path(spark, "queue"),
+                                   backoff_base=0)
+    return finish(done.select("doc_id", "model", F.col("result").isNotNull().alias("ok"), "attempts", "error", "cost",
+                              *[F.col(f"result.{a}").alias(a) for a in GOLD]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.operators import enrich, textmodel
+from inkwell.operators.request_queue import LocalModelClient, model_weights, run_queue
 from inkwell.session import scratch_path, stored_once
 from inkwell.plans.enrichment import model_job, trained
 from inkwell.streaming.incremental import current_results, incremental_enrich, retry_failed, writer_of
@@ -272,6 +273,72 @@ def test_unreadable_target_is_an_error(spark, tmp_path):
         incremental_enrich(spark, src, rows.schema, f"file://{tmp_path}/target", scratch_path(spark, "c"), ["A"], job)
 
 
+class _Service(_Injected):
+    """Counts its calls; refuses a whole batch that holds 'poison'."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def classify_batch(self, rows, attempt):
+        with open(self.log, "a") as f:
+            f.writelines(f"{attempt} {r['doc_id']}\n" for r in rows)
+        if any(r["text"] == "poison" for r in rows):
+            raise RuntimeError("batch refused")
+        return super().classify_batch(rows, attempt)
+
+
+def _queue(spark, rows, log, folder, **more):
+    return run_queue(rows, ["I", "Z"], {"I": _Service(str(log))}, folder, backoff_base=0, labels=enrich.PUBLISHED, **more)
+
+
+def test_queue_rounds_errors_and_costs(spark, tmp_path):
+    rows = _rows(spark).union(spark.createDataFrame([(None, "null key", "en", 1), (5, "poison", "en", 1), (1, "some text", "en", 100)],
+                                                    "doc_id long, text string, lang string, n_chars long"))
+    slept = []
+    out = run_queue(rows, ["I", "Z"], {"I": _Service(str(tmp_path / "log"))}, scratch_path(spark, "q"), labels=enrich.PUBLISHED,
+                    sleep=slept.append, request_rows=1)
+    got = {(r.doc_id, r.model): r for r in out.collect()}
+    assert len(got) == out.count() == 2 * 7
+    assert {k[0]: r.attempts for k, r in got.items() if k[1] == "I"} == {1: 1, 2: 0, 3: 0, 89: 3, 97: 3, None: 1, 5: 3}
+    assert got[(97, "I")].error == enrich.ERR_FAILED.format(model="I", attempts=3, last="rate limited")
+    assert got[(5, "I")].error.endswith("Last error: batch refused") and got[(3, "I")].error == enrich.ERR_EMPTY_INPUT
+    assert got[(1, "Z")].error.startswith("ERROR: model must be one of: I") and got[(1, "Z")].attempts == 0
+    assert abs(got[(89, "I")].cost - 0.006) < 1e-12 and got[(89, "I")].result is not None
+    assert slept == [2.0, 4.0]
+    sent = (tmp_path / "log").read_text().split("\n")
+    assert sum(x.startswith("1 ") for x in sent) == 5 and sum(x.startswith("3 ") for x in sent) == 3
+
+
+def test_queue_goes_on_after_its_last_committed_round(spark, tmp_path):
+    rows, folder, log = _rows(spark), scratch_path(spark, "q"), tmp_path / "log"
+
+    def stop(seconds):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        _queue(spark, rows, log, folder, sleep=stop)
+    first = log.read_text()
+    assert sorted(first.split("\n")) == ["", "1 1", "1 89", "1 97"]
+    done = {(r.doc_id, r.attempts) for r in _queue(spark, rows, log, folder).where("model = 'I'").collect()}
+    assert done == {(1, 1), (89, 3), (97, 3), (2, 0), (3, 0)}
+    assert log.read_text().count("1 1\n") == 1              # round 1 was not sent again
+    assert _queue(spark, rows, log, folder).count() == 10 and log.read_text().count("3 97\n") == 1
+
+
+def test_queue_of_no_rows_and_no_clients(spark, tmp_path):
+    assert _queue(spark, _rows(spark).limit(0), tmp_path / "log", scratch_path(spark, "q")).count() == 0
+    out = run_queue(_rows(spark), ["Z"], {}, scratch_path(spark, "q"), backoff_base=0)
+    assert {r.attempts for r in out.collect()} == {0} and out.count() == 5
+
+
+def test_client_in_python_agrees_with_the_columns(spark, small_model):
+    texts = [t for _, t, *_ in _labelled(60, 9)] + ["a\nb", " x", "ünï é", "###", "0", "x" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    client = LocalModelClient("A", model_weights(small_model, 512), 0.1)
+    want = {r.doc_id: r.result.asDict() for r in enrich.classify_by_model(rows, ["A"], small_model).collect()}
+    assert {i: client.classify({"text": t}, 1) for i, t in enumerate(texts)} == want
+
+
 class _Flaky(enrich.Classifier):
     name = "F"
     cost_per_call = 1.0

@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 
 PY_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas")
 STAGED = {"scan_pipe_delimited", "scan_dictionary", "sink_csv", "scan_headerless_csv", "scan_precincts",
-          "incremental_enrich"}
+          "incremental_enrich", "client_retry_queue"}
 
 
 def _plan(df):
