@@ -24,7 +24,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -87,6 +86,19 @@ def leaf_ends(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.sort(np.concatenate(out_j)), np.sort(np.concatenate(out_m))
 
 
+#: Marks a piece whose tokens don't spell it.
+MISSPELT = -1
+
+
+def packed(ids, known: dict[int, bytes], text: bytes) -> bytes:
+    """Ids as 32-bit numbers, or the mark. Tokens that spell more than their piece would be an error:
+    as they never do, a text is spelt right only if all its pieces are."""
+    spelt = b"".join([known.get(i, b"") for i in ids])
+    if len(spelt) > len(text):
+        raise ValueError("a tokenizer that adds bytes is not supported")
+    return np.array(ids if spelt == text else [MISSPELT], np.int32).tobytes()
+
+
 class PieceModel:
     """The sentencepiece model inside a task, run by blank-led words: no entry has a blank after
     another character, so no merge crosses the start of a run of blanks."""
@@ -102,11 +114,20 @@ class PieceModel:
         self.bytes = {i: bytes([int(n[3:-1], 16)]) if m.is_byte(i) else n.replace(BLANK, " ").encode()
                       for i, n in enumerate(names) if not m.is_control(i) and not m.is_unknown(i)}
         self._lead = len(m.encode("x"))
-        self._ids = bpe.Remembered({}, lambda w: m.encode("x" + w)[self._lead:]).__getitem__
-
-    def encode(self, spaced: str) -> list[int]:
-        """The ids of a text, given with the blank that the model adds."""
-        return list(chain.from_iterable(map(self._ids, self.WORD.findall(spaced))))
+        self._known: dict[str, bytes] = {}
+
+    def encode(self, spaced: str) -> bytes:
+        """The packed ids of a text, given with the blank that the model adds."""
+        words, known = self.WORD.findall(spaced), self._known
+        new = list(set(words).difference(known))
+        got = self._model.encode(["x" + w for w in new], num_threads=1)
+        for w, ids in zip(new, got, strict=True):
+            known[w] = packed(ids[self._lead:], self.bytes, w.encode())
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:       # a bounded memory
+            if len(w) > bpe.SHORT or len(known) > bpe.REMEMBERED:
+                del known[w]
+        return out
 
 
 class Aligner:
@@ -115,12 +136,12 @@ class Aligner:
     def __init__(self, proof: bpe.Proof, model: bytes) -> None:
         pieces = bpe.Pieces(proof, plain_special=True)
         a_bytes = bpe.token_bytes(json.loads(proof.spec))
-        self._ids = bpe.Remembered({p: (i,) for p, i in proof.whole.items()}, pieces.merge).__getitem__
+        self._ids = bpe.Remembered({p: packed([i], a_bytes, p.encode()) for p, i in proof.whole.items()},
+                                   lambda p: packed(pieces.merge(p), a_bytes, p.encode())).__getitem__
         self._split = pieces.split
         self._b = PieceModel(model)
-        self._bytes = a_bytes, self._b.bytes
-        self._sizes = [np.zeros(max(t) + 1, np.int64) for t in self._bytes]
-        for size, known in zip(self._sizes, self._bytes, strict=True):
+        self._sizes = [np.zeros(max(t) + 1, np.int64) for t in (a_bytes, self._b.bytes)]
+        for size, known in zip(self._sizes, (a_bytes, self._b.bytes), strict=True):
             size[list(known)] = [len(x) for x in known.values()]
         # A's numbers end with a comma or, last of a group, a bar; B's with a comma or a semicolon.
         self._names = [[np.array([f"{i}{end}" for i in range(len(size))], object) for end in ends]
@@ -128,17 +149,13 @@ class Aligner:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of A and B; none if either doesn't spell a blank and the text."""
-        spaced = " " + text
-        a: list[int] = []
-        b: list[int] = []
-        for block in bpe.blocks(spaced):
-            a += chain.from_iterable(map(self._ids, self._split(block)))
-            b += self._b.encode(block)
-        want = spaced.encode()
-        for ids, known in zip((a, b), self._bytes, strict=True):
-            if b"".join([known.get(i, b"") for i in ids]) != want:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.array(a, np.int64), np.array(b, np.int64)
+        a, b = [], []
+        for block in bpe.blocks(" " + text):
+            a.append(b"".join(map(self._ids, self._split(block))))
+            b.append(self._b.encode(block))
+        a, b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (a, b))
+        right = a.min(initial=0) >= 0 and b.min(initial=0) >= 0
+        return (a, b) if right else (a[:0], b[:0])
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text."""
