@@ -128,47 +128,75 @@ class CoverTree:
         return rows[order], np.bincount(child, minlength=len(first)).tolist()
 
     def search(self, asks: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, k: int,
-               same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each ask (scores, ids) of its first k points of the same label (or of others) with a
-        score in [low, high], by falling score and rising id."""
-        norms = np.sqrt((asks ** 2).sum(1))
+               same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ask, window, score, id) of the first k points of the same label (or of others) for each ask
+        and each of its windows, a column of ``low`` and ``high`` (an empty window has low > high)."""
+        floor, top = np.where(low <= high, low, np.inf).min(1), np.where(low <= high, high, -np.inf).max(1)
+        scale = np.sqrt((asks ** 2).sum(1))[:, None] * self.norm
         alive = np.ones((len(asks), 1), bool)
-        spans, bounds, owners = [], [], []
+        found = []
         for level in self.levels:
-            alive = alive[:, level.parent]
-            angle = _angle(asks @ level.centre.T, norms[:, None] * self.norm)
-            scale = norms[:, None] * self.norm
+            angle = _angle(asks @ level.centre.T, scale)
             upper = scale * np.cos(np.maximum(angle - level.radius, 0)) + SLACK
             lower = scale * np.cos(np.minimum(angle + level.radius, np.pi)) - SLACK
-            alive = alive & (upper >= low[:, None]) & (lower <= high[:, None])
+            alive = alive[:, level.parent] & (upper >= floor[:, None]) & (lower <= top[:, None])
             if same:
                 alive &= (level.low <= labels[:, None]) & (level.high >= labels[:, None])
             else:
                 alive &= (level.low != labels[:, None]) | (level.high != labels[:, None])
             who, leaf = np.nonzero(alive & level.leaf)
-            owners.append(who)
-            spans.append(np.stack([level.start[leaf], level.end[leaf]], 1))
-            bounds.append(np.minimum(upper, high[:, None])[who, leaf])
-        who, span, bound = np.concatenate(owners), np.concatenate(spans), np.concatenate(bounds)
+            found.append((who, level.start[leaf], level.end[leaf], upper[who, leaf]))
+        who, start, end, bound = map(np.concatenate, zip(*found, strict=True))
         order = np.lexsort((-bound, who))
-        who, span, bound = who[order], span[order], bound[order]
-        at = np.searchsorted(who, np.arange(len(asks) + 1))
-        return [self._descend(asks[i], labels[i], low[i], high[i], k, same, span[x:y], bound[x:y])
-                for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))]
-
-    def _descend(self, ask, label, low, high, k, same, span, bound) -> tuple[np.ndarray, np.ndarray]:
-        score, ident = np.empty(0, np.float64), np.empty(0, np.int64)
-        done, step = 0, 1
-        while done < len(span) and (len(score) < k or bound[done] >= score[-1]):
-            rows = np.concatenate([np.arange(s, e) for s, e in span[done:done + step]])
-            done, step = done + step, step * 2
-            rows = rows[(self.labels[rows] == label) == same]
-            got = self.points[rows] @ ask
-            fits = (got >= low) & (got <= high)
-            score, ident = np.concatenate([score, got[fits]]), np.concatenate([ident, self.ids[rows[fits]]])
-            order = np.lexsort((ident, -score))[:k]
-            score, ident = score[order], ident[order]
-        return score, ident
+        who, start, end, bound = who[order], start[order], end[order], bound[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        best = _Best(low, high, k)
+        step = 1        # the best leaf of every ask, then the next 2, 4, 8, ...
+        while (place >= step - 1).any():
+            some = np.flatnonzero((place >= step - 1) & (place < 2 * step - 1))
+            some = some[best.may_enter(who[some], bound[some])]
+            step *= 2
+            some = some[np.argsort(start[some], kind="stable")]
+            cuts = np.flatnonzero(np.diff(start[some])) + 1
+            for group in np.split(some, cuts) if len(some) else ():
+                lo, hi, ask = start[group[0]], end[group[0]], who[group]
+                score = self.points[lo:hi] @ asks[ask].T
+                fits = (self.labels[lo:hi, None] == labels[ask]) == same
+                best.offer(ask, score, fits, self.ids[lo:hi])
+            best.settle()
+        return best.rows()
+
+
+class _Best:
+    """The first k of each ask and window so far, and the score that another must reach."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, k: int) -> None:
+        self._high, self._k, self._windows = high, k, low.shape[1]
+        self._least = np.where(low <= high, low, np.inf)
+        self._new: list[tuple] = []
+        self._kept = [np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]     # slot, score, id
+
+    def may_enter(self, ask: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        return (np.minimum(bound[:, None], self._high[ask]) >= self._least[ask]).any(1)
+
+    def offer(self, ask: np.ndarray, score: np.ndarray, fits: np.ndarray, ids: np.ndarray) -> None:
+        for w in range(self._windows):
+            row, col = np.nonzero(fits & (score >= self._least[ask, w]) & (score <= self._high[ask, w]))
+            self._new.append((ask[col] * self._windows + w, score[row, col], ids[row]))
+
+    def settle(self) -> None:
+        slot, score, ident = map(np.concatenate, zip(self._kept, *self._new, strict=True))
+        order = np.lexsort((ident, -score, slot))
+        slot, score, ident = slot[order], score[order], ident[order]
+        place = np.arange(len(slot)) - np.searchsorted(slot, slot)
+        first = place < self._k
+        self._kept, self._new = [slot[first], score[first], ident[first]], []
+        last = place == self._k - 1
+        self._least.ravel()[slot[last]] = score[last]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        slot, score, ident = self._kept
+        return slot // self._windows, slot % self._windows, score, ident
 
 
 # ------------------------------------------------------------------------------------------ Spark
@@ -205,6 +233,18 @@ def _matrix(col) -> np.ndarray:
     return np.stack(rows).astype(np.float64) if rows else np.empty((0, 0))
 
 
+def _windows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``lows`` and ``highs`` as matrices, filled up with empty windows."""
+    out = []
+    for name, fill in (("lows", np.inf), ("highs", -np.inf)):
+        col = part.column(name)
+        size = np.diff(col.offsets.to_numpy())
+        full = np.full((len(part), max(1, size.max(initial=0))), fill)
+        full[np.arange(full.shape[1]) < size[:, None]] = col.flatten().to_numpy(zero_copy_only=False)
+        out.append(full)
+    return out[0], out[1]
+
+
 class Net(NamedTuple):
     """The top level: centres, their covering radii and the number of parts of each."""
 
@@ -271,7 +311,7 @@ def _blocks(net: Net):
 
 
 def _routed(net: Net):
-    """An ask for each block that its window may meet: (block, ask, label, v, low, high, slot)."""
+    """An ask for each block that its windows may meet: (block, id, label, v, lows, highs)."""
     block = np.cumsum(net.parts) - net.parts
     some = max(1, min(ASKS, (1 << 16) // int(net.parts.sum())))
 
@@ -280,7 +320,8 @@ def _routed(net: Net):
             for lo in range(0, len(batch), some):
                 part = batch.slice(lo, some)
                 q = _matrix(part.column("v"))
-                low, high = (part.column(c).to_numpy() for c in ("low", "high"))
+                low, high = _windows(part)
+                low, high = np.where(low <= high, low, np.inf).min(1), np.where(low <= high, high, -np.inf).max(1)
                 scale = np.sqrt((q ** 2).sum(1))[:, None] * net.norm
                 angle = _angle(q @ net.centre.T, scale)
                 meets = scale * np.cos(np.maximum(angle - net.radius, 0)) + SLACK >= low[:, None]
@@ -316,26 +357,25 @@ def _searched(k: int, same: bool):
                     items = []
                 for i in range(0, len(part) if tree else 0, ASKS):
                     some = part.slice(i, ASKS)
-                    found = tree.search(_matrix(some.column("v")), some.column("label").to_numpy(),
-                                        *(some.column(c).to_numpy().astype(np.float64) for c in ("low", "high")), k, same)
-                    sizes = [len(s) for s, _ in found]
-                    take = pa.array(np.repeat(np.arange(len(found)), sizes))
+                    low, high = _windows(some)
+                    ask, window, score, ident = tree.search(
+                        _matrix(some.column("v")), some.column("label").to_numpy(), low, high, k, same)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("id").take(take), some.column("high").take(take),
-                         pa.array(np.concatenate([s for s, _ in found]).astype(np.int64)),
-                         pa.array(np.concatenate([i for _, i in found]))], names=["ask", "high", "score", "id"])
+                        [some.column("id").take(pa.array(ask)), pa.array(high[ask, window].astype(np.int64)),
+                         pa.array(score.astype(np.int64)), pa.array(ident)], names=["ask", "high", "score", "id"])
 
     return task
 
 
 def _best(placed: DataFrame, net: Net, asks: DataFrame, k: int, same: bool) -> DataFrame:
-    """(ask, high, score, id): the first k candidates of every ask. ``asks``: id, label, v, low, high."""
-    none = F.lit(0).cast("long")
+    """(ask, high, score, id): the first k candidates of every ask and window. ``asks``: id, label, v, and
+    the windows as lists ``lows`` and ``highs``."""
+    none = F.array().cast("array<long>")
     items = placed.mapInArrow(_blocks(net), "block long, id long, label long, v binary").select(
-        "block", F.lit(0).alias("kind"), "id", "label", "v", none.alias("low"), none.alias("high"))
-    routed = asks.select("id", "label", "v", "low", "high").mapInArrow(
-        _routed(net), "block long, id long, label long, v binary, low long, high long")
-    both = items.union(routed.select("block", F.lit(1).alias("kind"), "id", "label", "v", "low", "high"))
+        "block", F.lit(0).alias("kind"), "id", "label", "v", none.alias("lows"), none.alias("highs"))
+    routed = asks.select("id", "label", "v", "lows", "highs").mapInArrow(
+        _routed(net), "block long, id long, label long, v binary, lows array<long>, highs array<long>")
+    both = items.union(routed.select("block", F.lit(1).alias("kind"), "id", "label", "v", "lows", "highs"))
     found = both.repartition(max(1, int(net.parts.sum())), "block").sortWithinPartitions("block", "kind").mapInArrow(
         _searched(k, same), "ask long, high long, score long, id long")
     order = Window.partitionBy("ask", "high").orderBy(F.desc("score"), "id")
@@ -364,12 +404,13 @@ def hard_negatives(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     # Anchors with equal vector and label ask once, by their smallest id.
     asks = stage(chosen.groupBy(*kind).agg(F.min("id").alias("id")), "asks")
     far = 1 << 62
-    searched = asks.select("id", "label", "v", F.lit(-far).alias("low"), F.lit(far).alias("high"))
+    searched = asks.select("id", "label", "v", F.array(F.lit(-far)).alias("lows"), F.array(F.lit(far)).alias("highs"))
     positives = stage(_best(placed, net, searched, POSITIVES + 1, True).select("ask", "rank", "score", "id"), "positives")
     # A window for each positive's score: 80 * score <= 100 * negative <= 100 * score.
-    windows = positives.select(F.col("ask").alias("id"), F.col("score").alias("high")).distinct().where("high >= 0")
-    windows = windows.join(asks.select("id", "label", "v"), "id").withColumn(
-        "low", -F.floor(-F.col("high") * LEAST / 100)).select("id", "label", "v", "low", "high")
+    windows = positives.where("score >= 0").groupBy(F.col("ask").alias("id")).agg(
+        F.collect_set("score").alias("highs")).withColumn(          # six at most
+            "lows", F.transform("highs", lambda h: -F.floor(-h * LEAST / 100)))
+    windows = windows.join(asks, "id")
     listed = F.sort_array(F.collect_list(F.struct("rank", "score", "id")))      # five at most
     negatives = _best(placed, net, windows, NEGATIVES, False).groupBy("ask", F.col("high").alias("score")).agg(
         listed.alias("negatives"))
