@@ -2,19 +2,23 @@
 
 Words are lower-cased runs of non-space. A text is contaminated by an item if some ``WINDOW``
 consecutive words of the item stand in the text with at most ``MISSES`` of them substituted (an
-item of fewer words must stand there whole and unchanged; items shorter than the first mask, 7
-words, are not searched). Two fixed masks of six positions hash the words at every place of items
-and texts, ignoring the positions between; whatever two words of thirteen are substituted, one of
-the masks lies clear of them, so every such passage has a hit (tests/llm checks all 78 pairs).
-Each hit is verified on the words along its diagonal.
+item of fewer words must stand there whole and unchanged). Two fixed masks of six positions hash the
+words at every place of items and texts, ignoring the positions between; whatever two words of
+thirteen are substituted, one of the masks lies clear of them, so every such passage has a hit
+(tests/llm checks all 78 pairs). An item shorter than the first mask, 1 to 6 words, is hashed whole,
+and texts at every place for the lengths that such items have. Each hit is verified on the words
+along its diagonal.
 
 The hashes and words of the benchmark are broadcast if they are at most ``MAX_SEEDS`` and
 ``MAX_WORDS``; then texts are neither shuffled nor joined. A larger benchmark is joined by hash with
-a shuffle of (id, place, hash), and hits are verified after joining texts and items back. Both ways
-give the same rows.
+a shuffle of (key, place, hash), and hits are verified after joining texts and items back. Texts are
+told apart by two hashes of id and text, items by their place in the staged table, so both ways give
+the same rows.
 
-Null and empty texts have no words and are clean. Equal rows give equal results. Empty tables give
-an empty result. Columns other than id and text are not read."""
+Null and empty texts have no words: they are clean, and as items match nothing. A null id is a value
+like any other on both sides (in ``item_ids`` it has no text). Equal rows give equal results; rows
+that share an id are reported together. Empty tables give an empty result. Columns other than id and
+text are not read."""
 
 from __future__ import annotations
 
@@ -27,23 +31,29 @@ WINDOW, MISSES = 13, 2
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
 MAX_SEEDS = 1_000_000
 MAX_WORDS = 1_000_000
+#: Words of the first mask: shorter items are hashed whole.
+SHORT = MASKS[0][-1] + 1
 
 
 def _words(text: Column) -> Column:
     return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACE_CLASS)
 
 
-def _seed(words: str, at: str, mask: int) -> Column:
-    """Hash of the masked words from place ``at`` on, null where the mask sticks out."""
-    places = MASKS[mask]
+def _seed(words: str, at: str, name: int, places: tuple[int, ...]) -> Column:
+    """Hash of the words at ``places`` from place ``at`` on, null where they stick out."""
     taken = ", ".join(f"get({words}, {at} + {p})" for p in places)
-    return F.expr(f"CASE WHEN {at} + {places[-1]} < size({words}) THEN xxhash64({mask}, {taken}) END")
+    return F.expr(f"CASE WHEN {at} + {places[-1]} < size({words}) THEN xxhash64({name}, {taken}) END")
 
 
-def _seeds(df: DataFrame, words: str, *cols: str) -> DataFrame:
-    """One row per place and mask: cols, at, seed."""
+def _seeds(df: DataFrame, words: str, lengths: list[int], *cols: str, whole: bool = False) -> DataFrame:
+    """One row per place and mask: cols, at, seed. ``lengths``: those of the short items. ``whole``:
+    short rows only as wholes (items), else all runs of their lengths (texts)."""
     at = df.select(*cols, words, F.posexplode(words).alias("at", "w"))
-    hashed = at.select(*cols, words, "at", F.array(*[_seed(words, "at", m) for m in range(len(MASKS))]).alias("s"))
+    seeds = [_seed(words, "at", m, places) for m, places in enumerate(MASKS)]
+    for n in lengths:
+        run = _seed(words, "at", -n, tuple(range(n)))
+        seeds.append(F.when((F.size(words) == n) & (F.col("at") == 0), run) if whole else run)
+    hashed = at.select(*cols, words, "at", F.array(*seeds).alias("s"))
     return hashed.select(*cols, words, "at", F.explode("s").alias("seed")).where("seed is not null")
 
 
@@ -60,35 +70,53 @@ def _overlap(text_words: Column, item_words: Column, shift: Column) -> tuple[Col
     return total(equal), whole | enough
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             item_col: str = "item_id", item_text_col: str = "text", shuffle: bool | None = None) -> DataFrame:
-    """(id, item, equal_words) of every contaminated text and item. ``shuffle`` picks the way;
-    by default the benchmark's size does."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), _words(F.col(text_col)).alias("words"))
-    bench = stage(items.select(F.col(item_col).cast("long").alias("item"), _words(F.col(item_text_col)).alias("iw"))
-                  .where("iw is not null and size(iw) >= 7"), "items")
-    seeds = stage(_seeds(bench, "iw", "item").select(
-        "item", F.col("at").alias("j"), "seed", F.size("iw").alias("n")), "seeds")
+KEY = ("k1", "k2")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """Two hashes of id and text: rows that share them are equal here."""
+    return {"k1": F.xxhash64(id_col, text_col), "k2": F.xxhash64(F.lit(1), text_col, id_col)}
+
+
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+          shuffle: bool | None) -> DataFrame:
+    """(k1, k2, id, item, equal) of every verified hit."""
+    keyed = _keyed(docs, id_col, text_col)
+    texts = docs.select(*[c.alias(k) for k, c in keyed.items()], F.col(id_col).cast("long").alias("id"),
+                        _words(F.col(text_col)).alias("words"))
+    bench = items.select(F.col(item_col).cast("long").alias("item"), _words(F.col(item_text_col)).alias("iw"))
+    bench = stage(bench.where("iw is not null and iw[0] <> ''").withColumn("row", F.monotonically_increasing_id()), "items")
+    short = bench.where(F.size("iw") < SHORT).select(F.size("iw").alias("n")).distinct().collect()     # six at most
+    lengths = sorted(r["n"] for r in short)
+    seeds = stage(_seeds(bench, "iw", lengths, "row", whole=True).select(
+        "row", F.col("at").alias("j"), "seed", F.size("iw").alias("n")), "seeds")
     if shuffle is None:
         size = bench.agg(F.sum(F.size("iw")).alias("w")).first()["w"] or 0
         shuffle = size > MAX_WORDS or seeds.count() > MAX_SEEDS
-    found = _seeds(texts, "words", "id")
     start = F.greatest(F.col("at") - F.col("j"), F.lit(0))
     if shuffle:
-        hits = found.select("id", "at", "seed").join(seeds, "seed").select(
-            "id", "item", (F.col("at") - F.col("j")).alias("diagonal")).distinct()
-        hits = hits.join(texts, "id").join(bench, "item")
+        found = _seeds(texts, "words", lengths, *KEY).select(*KEY, "at", "seed")
+        hits = found.join(seeds, "seed").select(*KEY, "row", (F.col("at") - F.col("j")).alias("diagonal")).distinct()
+        hits = hits.join(texts, list(KEY)).join(bench, "row")
         hits = hits.withColumn("shift", F.greatest(-F.col("diagonal"), F.lit(0)))
         hits = hits.withColumn("tw", F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1,
                                              F.size("iw") - F.col("shift")))
     else:
+        found = _seeds(texts, "words", lengths, *KEY, "id")
         hits = found.join(F.broadcast(seeds), "seed").select(
-            "id", "item", (start - F.col("at") + F.col("j")).alias("shift"),
+            *KEY, "id", "row", (start - F.col("at") + F.col("j")).alias("shift"),
             F.slice("words", start + 1, F.col("n") - (start - F.col("at") + F.col("j"))).alias("tw"))
-        hits = hits.join(F.broadcast(bench), "item")
+        hits = hits.join(F.broadcast(bench), "row")
     equal, passes = _overlap(F.col("tw"), F.col("iw"), F.col("shift"))
-    return hits.where(passes).select("id", "item", equal.alias("equal")).groupBy("id", "item").agg(
-        F.max("equal").cast("long").alias("equal_words"))
+    return hits.where(passes).select(*KEY, "id", "item", equal.alias("equal"))
+
+
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             item_col: str = "item_id", item_text_col: str = "text", shuffle: bool | None = None) -> DataFrame:
+    """(id, item, equal_words) of every contaminated text and item. ``shuffle`` picks the way;
+    by default the benchmark's size does."""
+    hits = _hits(docs, items, id_col, text_col, item_col, item_text_col, shuffle)
+    return hits.groupBy("id", "item").agg(F.max("equal").cast("long").alias("equal_words"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:
@@ -98,13 +126,12 @@ def contaminated(docs: DataFrame, items: DataFrame, **cols) -> DataFrame:
         F.max("equal_words").alias("equal_words"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated rows. Rows are matched by a hash of id and text, so null
-    and repeated ids are told apart."""
-    key = F.xxhash64(id_col, text_col)
-    hits = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, id_col="key")
-    packed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("doc"))
-    return packed.join(hits.select(F.col("id").alias("key")).distinct(), "key", "left_anti").select("doc.*")
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               item_col: str = "item_id", item_text_col: str = "text", shuffle: bool | None = None) -> DataFrame:
+    """``docs`` without the contaminated rows."""
+    hits = _hits(docs, items, id_col, text_col, item_col, item_text_col, shuffle).select(*KEY).distinct()
+    packed = docs.select(*[c.alias(k) for k, c in _keyed(docs, id_col, text_col).items()], F.struct(*docs.columns).alias("doc"))
+    return packed.join(hits, list(KEY), "left_anti").select("doc.*")
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,18 +141,20 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = rf"""
-WITH d AS (SELECT doc_id, string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                                             '[\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                                         '[\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
-dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
-iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i WHERE len(w) >= 7),
-same AS (SELECT doc_id, item_id, p - q AS diagonal, q, iw.n AS n,
+WITH d AS (SELECT row_number() OVER () AS dk, doc_id,
+             string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                '[\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS ik, item_id,
+        string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                           '[\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT dk, doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+iw AS (SELECT ik, item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM i WHERE w[1] <> ''),
+same AS (SELECT dk, doc_id, ik, item_id, p - q AS diagonal, q, iw.n AS n,
                 least(iw.n, dw.n - (p - q)) - greatest(0, q - p) AS room
          FROM dw JOIN iw ON dw.word = iw.word),
-near AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q
+near AS (SELECT *, count(*) OVER (PARTITION BY dk, ik, diagonal ORDER BY q
                                   RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS c,
-                count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS equal_words FROM same),
+                count(*) OVER (PARTITION BY dk, ik, diagonal) AS equal_words FROM same),
 hit AS (SELECT doc_id, item_id, max(equal_words) AS equal_words FROM near
         WHERE (n >= {WINDOW} AND room >= {WINDOW} AND c >= {WINDOW - MISSES}) OR (n < {WINDOW} AND equal_words = n)
         GROUP BY ALL)

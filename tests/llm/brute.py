@@ -115,7 +115,7 @@ def contaminated(text, items, window=13, misses=2):
     w, found = words((text or "").lower()), set()
     for item, t in items.items():
         q = words((t or "").lower())
-        if len(q) < 7:
+        if not q:
             continue
         size, need = (window, window - misses) if len(q) >= window else (len(q), len(q))
         if sum((Counter(w) & Counter(q)).values()) < need:      # equal places are equal words

@@ -130,6 +130,26 @@ def test_contamination_matches_brute_force(spark, edges, empty, shuffle):
     assert decontaminate.overlaps(frame(spark, docs), bench.limit(0), shuffle=shuffle).count() == 0
 
 
+def test_both_ways_agree_on_nulls_short_items_and_repeated_ids(spark):
+    short = {n: " ".join(f"q{n}{i}" for i in range(n)) for n in range(1, 8)}
+    long = prose(77, 20)
+    bench = spark.createDataFrame([*short.items(), (None, long), (None, "only this"), (9, "only this"), (9, "other words here"),
+                                   (10, ""), (11, None), (12, " \n")], "item_id long, text string")
+    texts = [(n, "a " + t.upper() + "\tb") for n, t in short.items()] + [
+        (20, short[5] + " x " + short[2]), (21, "q50 q51 q52 q53"), (22, "q21 q20"), (None, "z " + long), (None, long + " z"),
+        (None, "clean"), (23, "only this other words here"), (23, "only q10"), (24, "only  this"), (25, ""), (26, None)]
+    df = frame(spark, texts + texts[:3])
+    want = {(n, n, n) for n in short} | {(20, 5, 5), (20, 2, 2), (None, None, 20), (23, None, 2), (23, 9, 3), (23, 1, 1),
+                                         (24, None, 2), (24, 9, 2)}
+    for shuffle in (False, True):
+        rows = [tuple(r) for r in decontaminate.overlaps(df, bench, shuffle=shuffle).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        left = decontaminate.keep_clean(df, bench, shuffle=shuffle)
+        assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id) == [
+            (21, "q50 q51 q52 q53"), (22, "q21 q20"), (25, ""), (26, None)]
+        assert [r.text for r in left.where("doc_id is null").collect()] == ["clean"]
+
+
 def test_only_contaminated_rows_go(spark):
     item = prose(1, 20)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
