@@ -110,7 +110,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{SP
       FROM t LEFT JOIN l USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c{quality.MIN_REPEAT} USING (doc_id)
              LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND covered_words <= {quality.MAX_COVERED} * n_words
-          AND (longest_repeat <= {quality.MAX_LONGEST} OR longest_repeat <= {quality.MAX_LONGEST_SHARE} * n_words) AS kept
+SELECT *, NOT base_failed AND 100 * covered_words <= {quality.MAX_COVERED} * n_words
+          AND longest_repeat <= {quality.MAX_LONGEST} AS kept
 FROM v
 """

@@ -107,7 +107,7 @@ def quality(text, least=10):
 
 def quality_kept(text):
     n, _, _, _, again, span, longest = quality(text)
-    return n >= 50 and 100 * again <= 50 * n and span <= 0.5 * n and (longest <= 200 or longest <= 0.25 * n)
+    return n >= 50 and 100 * again <= 50 * n and 100 * span <= 20 * n and longest <= 100
 
 
 def contaminated(text, items, window=13, misses=2):

@@ -48,6 +48,19 @@ def test_quality_of_edges_and_pipeline_filter(spark, edges, empty):
     assert {r.doc_id for r in left.collect()} == {d for d in docs if rows[d].kept}
 
 
+def test_the_suffix_array_rejects_what_the_plain_rules_pass(spark):
+    fresh = lambda seed, n: prose(seed, n, 10**9)
+    docs = {1: fresh(1, 900) + " " + fresh(2, 101) + " " + fresh(3, 900) + " " + fresh(2, 101),      # one long passage twice
+            2: fresh(1, 900) + " " + fresh(2, 100) + " " + fresh(3, 900) + " " + fresh(2, 100),
+            3: fresh(4, 79) + " " + " ".join([fresh(5, 10)] * 2) + " x",                             # 20 words of 100 covered
+            4: fresh(4, 78) + " " + " ".join([fresh(5, 10)] * 2) + " x",                             # 20 of 99
+            5: fresh(6, 4000) + " " + fresh(7, 2400) + " " + fresh(8, 1200) + " " + fresh(7, 2400)}
+    rows = {r.id: r for r in quality.quality(frame(spark, docs)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {d: r.kept for d, r in rows.items()} == {1: False, 2: True, 3: True, 4: False, 5: False}
+    assert {r.doc_id for r in quality.keep_good(frame(spark, docs)).collect()} == {2, 3}
+
+
 def secret_texts(n=400):
     r, out = random.Random(8), {}
     for i in range(n):
