@@ -9,6 +9,13 @@ contains the point (ray casting as higher-order expressions, no UDF) are hits;
 they meet their points again by row number, so a point in no area keeps one
 row with a null area. Spark broadcasts the candidates by its own size check;
 otherwise AQE splits a hot cell. Nothing is dropped or capped.
+
+An area may have several parts and holes: inside means inside an odd number of
+its rings. A large ring is cut into slabs: its cells are halved in height until
+a slab holds about ``SLAB_EDGES`` edges, and a point tests the edges of its own
+slab only (an edge counts for every slab it passes; halving stops before the
+copies exceed ``COPIES`` times the edges, so a comb of long teeth keeps thicker
+slabs, with the same result).
 """
 
 from __future__ import annotations
@@ -18,6 +25,10 @@ from pyspark.sql import functions as F
 
 from inkwell.session import materialize
 
+#: Edges of a slab, about; rows of edges for each edge, at most about.
+SLAB_EDGES, COPIES = 64, 8
+
+
 def ring_edges(ring: Column) -> Column:
     """array<struct<x1, y1, y2, dxdy>>: each vertex with its predecessor (the
     ring closes implicitly, so the first vertex pairs with the last), and
@@ -47,41 +58,62 @@ def ray_cast(ring: str, px: str, py: str) -> Column:
     return inside_edges(ring_edges(F.col(ring)), F.col(px), F.col(py))
 
 
-def _bbox(areas: DataFrame, ring: str) -> DataFrame:
-    xs = F.transform(F.col(ring), lambda p: p["x"])
-    ys = F.transform(F.col(ring), lambda p: p["y"])
-    return areas.withColumns({"_xmin": F.array_min(xs), "_xmax": F.array_max(xs),
-                              "_ymin": F.array_min(ys), "_ymax": F.array_max(ys)})
+def area_edges(shape: Column, parts: bool) -> Column:
+    """The edges of all rings: ``shape`` is a ring or, with ``parts``, polygons of rings."""
+    return F.flatten(F.transform(F.flatten(shape), ring_edges)) if parts else ring_edges(shape)
 
 
-def area_cells(areas: DataFrame, cell: float, area_key: str = "area_id", ring: str = "ring") -> DataFrame:
-    """(area key, box, edges, level, cx, cy): one row per grid cell an area's
-    box touches at its level."""
-    b = _bbox(areas.select(area_key, ring), ring).withColumn("_edges", ring_edges(F.col(ring))).drop(ring)
+def area_cells(areas: DataFrame, cell: float, area_key: str = "area_id", ring: str = "ring",
+               polygons: str | None = None) -> DataFrame:
+    """(area key, box, edges, level, cut, cx, cy, slab): one row per grid cell that an area's box
+    touches at its level and slab of the cell, which is cut into 2^cut of them."""
+    shape = F.col(polygons or ring)
+    vertices = F.flatten(F.flatten(shape)) if polygons else shape
+    xs, ys = F.transform(vertices, lambda p: p["x"]), F.transform(vertices, lambda p: p["y"])
+    b = areas.select(area_key, F.array_min(xs).alias("_xmin"), F.array_max(xs).alias("_xmax"), F.array_min(ys).alias("_ymin"),
+                     F.array_max(ys).alias("_ymax"), area_edges(shape, polygons is not None).alias("_edges"))
     side = F.greatest(F.col("_xmax") - F.col("_xmin"), F.col("_ymax") - F.col("_ymin"))
     b = b.withColumn("_level", F.when(side > cell, F.ceil(F.log2(side / cell))).otherwise(0).cast("int"))
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
-    for axis in ("x", "y"):
-        span = F.sequence(F.floor(F.col(f"_{axis}min") / size), F.floor(F.col(f"_{axis}max") / size))
-        b = b.select("*", F.explode(span).alias(f"_c{axis}"))
-    return b
+    n = F.size("_edges")
+    rise = F.aggregate("_edges", F.lit(0.0), lambda s, e: s + F.abs(e["y1"] - e["y2"]))
+    most = F.floor(F.log2(F.greatest((COPIES - 1) * n * size / F.nullif(rise, F.lit(0.0)), F.lit(1.0))))
+    cut = F.when(n > SLAB_EDGES, F.least(F.ceil(F.log2(n / SLAB_EDGES)), F.coalesce(most, F.lit(0)))).otherwise(0)
+    b = b.withColumn("_cut", cut.cast("int"))
+    high = size / F.pow(F.lit(2.0), F.col("_cut"))
+    columns = [area_key, "_xmin", "_xmax", "_ymin", "_ymax", "_edges", "_level", "_cut", "_slab"]
+    plain = b.where("_cut = 0").withColumn("_slab", F.explode(F.sequence(F.floor(F.col("_ymin") / size), F.floor(F.col("_ymax") / size))))
+    boxes = b.where("_cut > 0")
+    edges = boxes.select(area_key, "_xmin", "_xmax", "_ymin", "_ymax", "_level", "_cut", high.alias("_high"),
+                         F.explode("_edges").alias("e")).where("e.y1 <> e.y2")
+    edges = edges.withColumn("_slab", F.explode(F.sequence(F.floor(F.least("e.y1", "e.y2") / F.col("_high")),
+                                                           F.floor(F.greatest("e.y1", "e.y2") / F.col("_high")))))
+    keys = [area_key, "_xmin", "_xmax", "_ymin", "_ymax", "_level", "_cut", "_slab"]
+    slabs = edges.groupBy(*keys).agg(F.collect_list("e").alias("_edges"))
+    rows = plain.select(*columns).unionByName(slabs.select(*columns))
+    span = F.sequence(F.floor(F.col("_xmin") / size), F.floor(F.col("_xmax") / size))
+    return rows.select("*", F.explode(span).alias("_cx"))
 
 
 def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0, area_key: str = "area_id",
-                       x: str = "x", y: str = "y", ring: str = "ring") -> DataFrame:
+                       x: str = "x", y: str = "y", ring: str = "ring", polygons: str | None = None) -> DataFrame:
     """Each point with every area containing it; a point in none gets one row
-    with a null area. Output: point columns + ``area_key``.
+    with a null area. Output: point columns + ``area_key``. Areas have a ``ring``
+    or, if named, ``polygons``: parts of rings, the first an outline, the others holes.
 
-    A point is in exactly one cell per level, so each area is a candidate of
-    a point at most once. The points are materialized once for their row
+    A point is in exactly one cell and slab per level, so each area is a candidate
+    of a point at most once. The points are materialized once for their row
     numbers; what is looked up per level is (row, x, y) only."""
-    cells = area_cells(areas, cell, area_key, ring)
+    cells = area_cells(areas, cell, area_key, ring, polygons)
+    if polygons:
+        cells = materialize(cells)          # large rings are cut once
     rows = materialize(points.withColumn("_row", F.monotonically_increasing_id()))
-    used = cells.agg(F.sort_array(F.collect_set("_level"))).scalar()      # at most one entry per power of two
+    # At most one entry per power of two of the level and of the cut.
+    used = cells.agg(F.sort_array(F.collect_set(F.struct("_level", "_cut")))).scalar()
     px, py = F.col("_px"), F.col("_py")
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
-    look = rows.select("_row", F.col(x).alias("_px"), F.col(y).alias("_py"), F.explode(used).alias("_level"))
-    look = look.withColumns({"_cx": F.floor(px / size), "_cy": F.floor(py / size)})
+    look = rows.select("_row", F.col(x).alias("_px"), F.col(y).alias("_py"), F.inline(used))
+    look = look.withColumns({"_cx": F.floor(px / size), "_slab": F.floor(py / (size / F.pow(F.lit(2.0), F.col("_cut"))))})
     in_box = (F.col("_xmin") <= px) & (px <= F.col("_xmax")) & (F.col("_ymin") <= py) & (py <= F.col("_ymax"))
-    hits = look.join(cells, ["_level", "_cx", "_cy"]).where(in_box & inside_edges(F.col("_edges"), px, py))
+    hits = look.join(cells, ["_level", "_cut", "_cx", "_slab"]).where(in_box & inside_edges(F.col("_edges"), px, py))
     return rows.join(hits.select("_row", area_key), "_row", "left").select(*points.columns, area_key)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from inkwell.operators.spatial import point_in_area_join
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
-from inkwell.sources.fixtures import F8_CELL, F8_L_RING, f8_l_ring, f8_points, f8_rectangles
+from inkwell.session import scratch_path
+from inkwell.sources import geojson
+from inkwell.sources.fixtures import (
+    F8_CELL, F8_L_RING, F9_COLS, F9_SIDE, F9_STEP, F10_RISE, F10_STEPS, f8_l_ring, f8_points, f8_rectangles, f9_features,
+    f10_areas,
+)
 from inkwell.sources.tables import Tables
 
 r6 = O.r6
@@ -40,3 +47,47 @@ def point_in_ring(spark, sf_dir):
     """Every event point tested against a concave (L-shaped) ring."""
     points = f8_points(Tables(spark, sf_dir))
     return finish(point_in_area_join(points, f8_l_ring(spark), cell=F8_CELL))
+
+
+@query("point_in_multipolygon", sql=S + f"""
+, a AS (SELECT n_nationkey AS k, 1 + n_nationkey % 5 * 6 AS x0, n_nationkey // 5 * 100 AS y0 FROM nation),
+hit AS (
+  SELECT point_id, CAST(k AS BIGINT) AS area_id FROM f8_points JOIN a
+    ON (x >= x0 AND x < x0 + 5.5 AND y >= y0 AND y < y0 + 90
+        AND NOT (k % 2 = 0 AND x >= x0 + 1 AND x < x0 + 3 AND y >= y0 + 20 AND y < y0 + 60))
+    OR (k % 3 = 0 AND x >= x0 + 5.625 AND x < x0 + 5.875 AND y >= y0 AND y < y0 + 95)
+  UNION ALL
+  SELECT point_id, 1000 FROM f8_points
+  WHERE x >= 1 AND y >= 0 AND y < {F10_STEPS * F10_RISE} AND x < 2 + floor(y / {F10_RISE}) % 100 * 0.25)
+SELECT p.point_id, {r6('p.x', 'x')}, {r6('p.y', 'y')}, h.area_id FROM f8_points p LEFT JOIN hit h ON h.point_id = p.point_id""")
+def point_in_multipolygon(spark, sf_dir):
+    """Every event point with the areas under it: holes, several parts and a ring of 8,002 positions."""
+    t = Tables(spark, sf_dir)
+    return finish(point_in_area_join(f8_points(t), f10_areas(t), cell=F8_CELL, polygons="polygons"))
+
+
+@query("scan_geojson_features", sql=f"""
+WITH f AS (
+  SELECT p_partkey AS k, p_partkey % {F9_COLS} * {F9_STEP} AS x0, p_partkey // {F9_COLS} * {F9_STEP} AS y0,
+    CASE WHEN p_partkey % 23 = 0 THEN '?' ELSE lower(p_type) END AS race,
+    CASE WHEN p_partkey % 50 = 30 THEN 'unparsable feature' WHEN p_partkey % 5 IN (1, 2) THEN NULL
+      WHEN p_partkey % 50 = 10 THEN 'no geometry' WHEN p_partkey % 50 = 20 THEN 'ring not closed' END AS error
+  FROM part)
+SELECT CASE WHEN error = 'unparsable feature' THEN NULL ELSE k END AS precinct_geo,
+  CASE WHEN error = 'unparsable feature' THEN NULL ELSE race END AS race, error,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 5 = 2 THEN 2 ELSE 1 END END AS n_parts,
+  CASE WHEN error IS NULL THEN CASE WHEN k % 5 IN (1, 2) THEN 2 ELSE 1 END END AS n_rings,
+  {r6(f"CASE WHEN error IS NULL THEN {F9_SIDE * F9_SIDE} + CASE k % 5 WHEN 1 THEN -1 WHEN 2 THEN 0.25 ELSE 0 END END", 'area')},
+  {r6("CASE WHEN error IS NULL THEN x0 END", 'x0')}, {r6("CASE WHEN error IS NULL THEN y0 END", 'y0')}
+FROM f""")
+def scan_geojson_features(spark, sf_dir):
+    """Precinct features read from a feature sequence: properties, parts, rings and area; bad features
+    kept apart by their error."""
+    path = scratch_path(spark, "features")
+    f9_features(Tables(spark, sf_dir)).write.text(path)
+    df = geojson.read_feature_sequence(spark, path, "precinct_geo bigint, race string, immigrant_prop string")
+    first = F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(0))
+    return finish(df.select("precinct_geo", "race", "error", F.when(F.col("polygons").isNotNull(), F.size("polygons")).alias("n_parts"),
+                            F.when(F.col("polygons").isNotNull(), F.size(F.flatten("polygons"))).alias("n_rings"),
+                            F.when(F.col("polygons").isNotNull(), geojson.area(F.col("polygons"))).alias("area"),
+                            first["x"].alias("x0"), first["y"].alias("y0")))

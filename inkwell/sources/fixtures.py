@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.numeric import decade
 from inkwell.functions.text import recode, title_strip_year, title_year, trim_all
 from inkwell.session import stored_once
+from inkwell.sources.geojson import feature_text
 from inkwell.sources.io import literal_table
 from inkwell.sources.tables import Tables
 
@@ -419,6 +420,56 @@ def f8_l_ring(spark) -> DataFrame:
     return literal_table(spark, [(100000, ring)], "area_id long, ring array<struct<x:double,y:double>>")
 
 
+# Side of a precinct square and of the grid that it stands in.
+F9_SIDE, F9_STEP, F9_COLS = 3.0, 4.0, 1000
+
+
+def _square(x0: Column, y0: Column, side: float | Column, high: float | Column | None = None) -> Column:
+    """A closed rectangular ring."""
+    x1, y1 = x0 + side, y0 + (side if high is None else high)
+    return F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+                     for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+
+
+def f9_features(t: Tables) -> DataFrame:
+    """Precinct features as delivered, one JSON text a precinct: squares, some with a hole or a second
+    part, and some without geometry, with an open ring or cut short."""
+    k = F.col("precinct_geo")
+    x0, y0 = k % F9_COLS * F9_STEP, F.floor(k / F9_COLS) * F9_STEP
+    outline = _square(x0, y0, F9_SIDE)
+    polygons = (F.when(k % 5 == 1, F.array(F.array(outline, _square(x0 + 1, y0 + 1, 1.0))))
+                .when(k % 5 == 2, F.array(F.array(outline), F.array(_square(x0 + 3.25, y0, 0.5))))
+                .when(k % 50 == 20, F.array(F.array(F.slice(outline, 1, 4))))
+                .when(k % 50 != 10, F.array(F.array(outline))))
+    rows = f5_demographics(t).withColumn("polygons", polygons)
+    text = feature_text(F.struct("precinct_geo", "race", "immigrant_prop"), F.col("polygons"))
+    return rows.select(F.when(k % 50 == 30, F.substring(text, 1, 60)).otherwise(text).alias("value"))
+
+
+# Steps of the long staircase ring and their height (exact in binary).
+F10_STEPS, F10_RISE = 4000, 0.125
+
+
+def f10_areas(t: Tables) -> DataFrame:
+    """Areas with holes and several parts, one a nation, and a staircase ring of 8,002 positions."""
+    k = F.col("n_nationkey")
+    x0, y0 = 1 + k % 5 * 6, F.floor(k / 5) * 100
+    first = F.when(k % 2 == 0, F.array(_square(x0, y0, 5.5, 90.0), _square(x0 + 1, y0 + 20, 2.0, 40.0))).otherwise(
+        F.array(_square(x0, y0, 5.5, 90.0)))
+    areas = t.nation.select(k.cast("long").alias("area_id"), F.when(k % 3 == 0, F.array(
+        first, F.array(_square(x0 + 5.625, y0, 0.25, 95.0)))).otherwise(F.array(first)).alias("polygons"))
+
+    def corner(x, y):
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    stairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(F10_STEPS - 1)), lambda j: F.array(
+        corner(2 + j % 100 * 0.25, j * F10_RISE), corner(2 + j % 100 * 0.25, (j + 1) * F10_RISE))))
+    zero = F.lit(1.0)
+    ring = F.concat(F.array(corner(zero, F.lit(0))), stairs, F.array(corner(zero, F.lit(F10_STEPS * F10_RISE)), corner(zero, F.lit(0))))
+    long_ring = t.spark.range(1).select(F.lit(1000).cast("long").alias("area_id"), F.array(F.array(ring)).alias("polygons"))
+    return areas.unionByName(long_ring)
+
+
 def f5_vote_counts(t: Tables) -> DataFrame:
     """Runoff vote counts per precinct: precinct_geo, votes_a, votes_total (A + R)."""
     return _precinct_votes(t).select("precinct_geo", F.col("a").cast("bigint").alias("votes_a"),
