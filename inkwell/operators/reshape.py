@@ -177,6 +177,28 @@ def left_join_catalogue(long_df: DataFrame, catalogue: DataFrame, year: int,
     return long_df.join(cat, on, "left")
 
 
+def label_intervals(catalogue: DataFrame) -> DataFrame:
+    """(name, label, from_year, to_year): the years for which a variable's label holds. A label holds
+    from the catalogue year that brings it to the one before the next wording (null: it still holds), so
+    a skipped catalogue year splits nothing. Of two labels in one year the smaller counts."""
+    one = catalogue.groupBy("name", "year").agg(F.min("label").alias("label"))
+    by_year = Window.partitionBy("name").orderBy("year")        # a variable's catalogue years
+    new = ~F.col("label").eqNullSafe(F.lag("label").over(by_year)) | (F.row_number().over(by_year) == 1)
+    first = one.withColumn("_new", new).where("_new").select("name", "label", F.col("year").alias("from_year"))
+    return first.withColumn("to_year", F.lead("from_year").over(Window.partitionBy("name").orderBy("from_year")) - 1)
+
+
+def join_label_intervals(long_df: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Each row with the ``label`` of its own year and ``label_now``, the newest wording: a pivot by
+    variable and ``label_now`` keeps one row however often a label was reworded."""
+    year = F.col("year")
+    spans = intervals.select(F.col("name").alias("_name"), "label", "from_year", "to_year")
+    now = intervals.where("to_year is null").select(F.col("name").alias("_now"), F.col("label").alias("label_now"))
+    joined = long_df.join(spans, (F.col("variable") == F.col("_name")) & (year >= F.col("from_year"))
+                          & (F.col("to_year").isNull() | (year <= F.col("to_year"))), "left")
+    return joined.join(now, F.col("variable") == F.col("_now"), "left").select(*long_df.columns, "label", "label_now")
+
+
 def left_join_new_vintage(df: DataFrame, newest: DataFrame, keys: Sequence[str],
                           value: str, new_name: str) -> DataFrame:
     """Add the newest year's value as column ``new_name``."""

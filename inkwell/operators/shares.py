@@ -44,6 +44,25 @@ def margin_bounds(df: DataFrame, groups: Sequence[str], margin_suffix: str = "_m
     return df.withColumns(cols)
 
 
+def total_margins(df: DataFrame, keys: Sequence[str], groups: Sequence[str], universe: str,
+                  margin_suffix: str = "_margin", share_suffix: str = "_percent") -> DataFrame:
+    """Totals of small areas with their margins of error: the margin of a sum is the root of the
+    summed squares; that of a share p = e / u is the root of m_e^2 - p^2 m_u^2 over u, with a plus where
+    that is negative (the rule for ratios). Strict: a null estimate or margin leaves its total null."""
+    cols = [universe, *groups]
+    agg = df.groupBy(*keys).agg(*[strict_sum(c).alias(c) for c in cols], *[
+        F.sqrt(strict_sum(F.col(c + margin_suffix) * F.col(c + margin_suffix))).alias(c + margin_suffix) for c in cols])
+    u, mu = F.col(universe), F.col(universe + margin_suffix)
+    out = {}
+    for g in groups:
+        m, p = F.col(g + margin_suffix), safe_div(F.col(g), u)
+        under = m * m - p * p * mu * mu
+        out[g + share_suffix] = p
+        out[g + share_suffix + margin_suffix] = safe_div(
+            F.sqrt(F.when(under < 0, m * m + p * p * mu * mu).otherwise(under)), u)
+    return agg.withColumns(out)
+
+
 def fixed_denominator_share(long_df: DataFrame, universe_var: str, partition: Sequence[str] = ("geo_id",),
                             value: str = "e", var: str = "var", name: str = "share") -> DataFrame:
     """value / the universe row's value in the same geography, read from the data.

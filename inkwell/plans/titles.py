@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.numeric import mix64_sql, safe_div
-from inkwell.operators import ranking, shares
+from inkwell.functions.text import trim_all
+from inkwell.operators import ranking, shares, spelling
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
 from inkwell.session import materialize, scratch_path
+from inkwell.sources import io
 from inkwell.sources.fixtures import clean_titles, f3_raw, f3_titles
 from inkwell.sources.tables import Tables
 
@@ -48,6 +50,50 @@ def scan_headerless_csv(spark, sf_dir):
     return finish(_staged_raw(spark, sf_dir))
 
 
+# The list with flaws: some lines lack their last field, have one too many or a rating that is none.
+FLAWED = "title_id % 11"
+
+
+@query("scan_rejects", sql=T3 + f"""
+, r AS (SELECT *, CASE {FLAWED} WHEN 3 THEN 'short' WHEN 5 THEN 'long' WHEN 7 THEN 'unparsable value' END AS flaw FROM f3_raw)
+SELECT coalesce(flaw, 'good') AS flaw, count(*) AS n_rows, {r6("sum(CASE WHEN flaw IS NULL THEN rating END)", 'rating_sum')},
+  count(DISTINCT CASE WHEN flaw IS NULL THEN title_id END) AS n_titles FROM r GROUP BY ALL""")
+def scan_rejects(spark, sf_dir):
+    """The title list with flawed lines, read with a reject channel: rows and rating sum by flaw."""
+    raw, kind = f3_raw(Tables(spark, sf_dir)), F.expr(FLAWED)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("title_id").cast("string"), quoted("title"), quoted("state"),
+                       F.when(kind == 7, "n/a").otherwise(F.coalesce(F.col("rating").cast("string"), F.lit(""))),
+                       F.col("multiple_locations"), F.when(kind != 3, F.col("description")), F.when(kind == 5, "extra"))
+    path = scratch_path(spark, "flawed-titles")
+    raw.select(line.alias("value")).write.text(path)
+    df = io.scan_delimited_checked(spark, path, RAW_SCHEMA)
+    good = F.col("flaw").isNull()
+    return finish(df.select(F.coalesce("flaw", F.lit("good")).alias("flaw"), F.when(good, F.col("rating")).alias("rating"),
+                            F.when(good, F.col("title_id")).alias("title_id"), io.REJECT).groupBy("flaw").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("rating").alias("rating_sum"), F.countDistinct("title_id").alias("n_titles")))
+
+
+@query("misspelt_categories", sql=T3 + f"""
+, seen AS (SELECT state_t AS value, count(*) AS n_rows FROM f3_trim GROUP BY ALL),
+names AS (SELECT DISTINCT p_brand AS name FROM part),
+near AS (SELECT value, name, levenshtein(value, name) AS distance FROM seen, names
+         WHERE value NOT IN (SELECT name FROM names)
+           AND levenshtein(value, name) <= CASE WHEN length(value) <= {spelling.SHORT} THEN {spelling.SHORT_EDITS} ELSE {spelling.EDITS} END),
+best AS (SELECT value, min(distance) AS distance FROM near GROUP BY value),
+f AS (SELECT b.value, CAST(b.distance AS INTEGER) AS distance, count(*) AS n_nearest,
+             CASE WHEN count(*) = 1 THEN min(n.name) END AS fix
+      FROM best b JOIN near n ON n.value = b.value AND n.distance = b.distance GROUP BY ALL)
+SELECT s.value, s.n_rows, f.fix, f.distance, coalesce(f.n_nearest, 0) AS n_nearest
+FROM seen s LEFT JOIN f ON f.value = s.value WHERE s.value NOT IN (SELECT name FROM names)""")
+def misspelt_categories(spark, sf_dir):
+    """State names that the list of right names lacks, with the one right name within two edits."""
+    t = Tables(spark, sf_dir)
+    seen = f3_raw(t).groupBy(trim_all("state").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = spelling.corrections(seen, t.part.select(F.col("p_brand").alias("name")))
+    return found.join(seen, "value").select("value", "n_rows", "fix", "distance", "n_nearest")
+
+
 @query("trim_recode_category", sql=T3 + "SELECT title_id, state FROM f3")
 def trim_recode_category(spark, sf_dir):
     """State names trimmed of all edge whitespace and misspellings recoded."""

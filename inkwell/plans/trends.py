@@ -118,6 +118,18 @@ def left_join_catalogue(spark, sf_dir):
     return finish(df)
 
 
+@query("catalogue_interval_join", sql=LC + f"""
+SELECT l.geo, l.year, l.variable, {r6('l.estimate', 'estimate')}, c.label, n.label AS label_now, c.label <> n.label AS reworded
+FROM f1_long l LEFT JOIN f1_catalogue c ON c.name = l.variable AND c.year = l.year
+LEFT JOIN f1_catalogue n ON n.name = l.variable AND n.year = {LAST}""")
+def catalogue_interval_join(spark, sf_dir):
+    """Yearly extract with the label that held in each row's year and the newest one, from label intervals."""
+    long_df = _long(spark, sf_dir)
+    spans = reshape.label_intervals(f1_catalogue(long_df))
+    df = reshape.join_label_intervals(long_df.select("geo", "year", "variable", "estimate"), spans)
+    return finish(df.withColumn("reworded", F.col("label") != F.col("label_now")))
+
+
 OLD_YEARS = F1_YEARS[:-1]
 
 
@@ -264,6 +276,22 @@ def margin_bounds(spark, sf_dir):
     return finish(df.select("geo", "year", *[c for g in BAND_GROUPS for c in (g + "_lower", g + "_upper")]))
 
 
+MARGIN_OUT = [c for g in BAND_GROUPS for c in (g, g + "_margin", g + "_percent", g + "_percent_margin")]
+
+
+@query("yearly_total_margins", sql=H.rstrip() + f""",
+s AS (SELECT parent, year, {', '.join(f"CASE WHEN count(*) = count({c}) THEN sum({c}) END AS {c}, sqrt(CASE WHEN count(*) = count({c}_margin) THEN sum({c}_margin * {c}_margin) END) AS {c}_margin" for c in ['total', *BAND_GROUPS])}
+      FROM f1_harm GROUP BY parent, year),
+p AS (SELECT *, {', '.join(f"{g} / nullif(total, 0) AS {g}_percent" for g in BAND_GROUPS)} FROM s),
+u AS (SELECT *, {', '.join(f"{g}_margin * {g}_margin - {g}_percent * {g}_percent * total_margin * total_margin AS {g}_under" for g in BAND_GROUPS)} FROM p),
+q AS (SELECT *, {', '.join(f"sqrt(CASE WHEN {g}_under < 0 THEN {g}_margin * {g}_margin + {g}_percent * {g}_percent * total_margin * total_margin ELSE {g}_under END) / nullif(total, 0) AS {g}_percent_margin" for g in BAND_GROUPS)} FROM u)
+SELECT parent, year, {_cols(MARGIN_OUT)} FROM q""")
+def yearly_total_margins(spark, sf_dir):
+    """Region totals and shares of three groups with the margins of sums and ratios."""
+    df = shares.total_margins(_harm(spark, sf_dir), ["parent", "year"], BAND_GROUPS, "total")
+    return finish(df.select("parent", "year", *MARGIN_OUT))
+
+
 @query("ribbon_series", sql=H + " UNION ALL ".join(
     f"SELECT geo, year, '{g}' AS series, {r6(g, 'estimate')}, {r6(f'{g} - {g}_margin', 'lower')}, "
     f"{r6(f'{g} + {g}_margin', 'upper')} FROM f1_harm" for g in BAND_GROUPS))

@@ -54,6 +54,37 @@ def scan_headerless_csv(spark: SparkSession, path: str, schema: T.StructType) ->
     return spark.read.option("header", False).schema(schema).csv(path)
 
 
+REJECT = "_line"
+
+
+def scan_delimited_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
+                           header: bool = False) -> DataFrame:
+    """A delimited file with its bad rows kept: the columns of ``schema``, ``_line`` (the raw text of a
+    bad row, null for a good one) and ``flaw``: 'short', 'long' or 'unparsable value'. Every line that
+    isn't blank gives a row, so good and bad rows add up to the lines. A line is a row (no line breaks
+    inside quotes); with ``header`` lines equal to the first one are headers."""
+    lines = spark.read.text(path).where(F.btrim("value") != "")
+    if header:
+        first = header_of(spark, path, "\n")
+        lines = lines.where(F.col("value") != first[0]) if first else lines
+    with_line = T.StructType([*schema.fields, T.StructField(REJECT, T.StringType())])
+    row = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_line.fields), {
+        "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT})
+    df = lines.select(row.alias("r")).select("r.*")
+    # Separators outside quotes.
+    bare = F.regexp_replace(F.col(REJECT), '"([^"]|"")*"', "")
+    fields = 1 + F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+    flaw = F.when(F.col(REJECT).isNull(), None).when(fields < len(schema), "short").when(
+        fields > len(schema), "long").otherwise("unparsable value")
+    return df.withColumn("flaw", flaw)
+
+
+def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows with the file's columns, bad rows as (line, flaw)) of a checked scan."""
+    good = df.where(F.col(REJECT).isNull()).drop(REJECT, "flaw")
+    return good, df.where(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("line"), "flaw")
+
+
 def sink_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     """Write with a header; no row-name column. Returns the path."""
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

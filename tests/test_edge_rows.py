@@ -312,3 +312,69 @@ def test_large_ring_with_a_hole_and_many_parts(spark):
     for i, (x, y) in enumerate(pts):
         want = ({7} if inside(x, y) else set()) | ({8} if 0 <= y < 5 and 0 <= x < 2000 and x % 10 < 5 else set())
         assert got[i] == (want or {None})
+
+
+# ----------------------------------------------------------------- spelling, intervals, rejects, margins
+# The names of the states.
+STATES = """Alabama, Alaska, Arizona, Arkansas, California, Colorado, Connecticut, Delaware, District of Columbia, Florida,
+Georgia, Hawaii, Idaho, Illinois, Indiana, Iowa, Kansas, Kentucky, Louisiana, Maine, Maryland, Massachusetts, Michigan,
+Minnesota, Mississippi, Missouri, Montana, Nebraska, Nevada, New Hampshire, New Jersey, New Mexico, New York,
+North Carolina, North Dakota, Ohio, Oklahoma, Oregon, Pennsylvania, Rhode Island, South Carolina, South Dakota,
+Tennessee, Texas, Utah, Vermont, Virginia, Washington, West Virginia, Wisconsin, Wyoming""".replace("\n", " ").split(", ")
+
+
+def test_spelling_finds_the_listed_corrections_and_changes_no_right_name(spark):
+    from inkwell.operators import spelling
+    names = spark.createDataFrame([(s,) for s in STATES], "name string")
+    seen = [*STATES, *STATE_FIXES, *STATE_FIXES, "Nowhere", "", None, "Xhio", "Dakota", "North Dakot", "South Dakotaa"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seen)], "id int, value string")
+    found = {r.value: r for r in spelling.corrections(df, names).collect()}
+    assert {v: found[v].fix for v in STATE_FIXES} == STATE_FIXES and not set(found) & set(STATES)
+    assert (found["Nowhere"].fix, found["Nowhere"].n_nearest, found["Nowhere"].distance) == (None, 0, None)
+    assert found["Xhio"].fix == "Ohio" and found["North Dakot"].fix == "North Dakota"
+    tie = spelling.corrections(spark.createDataFrame([("cat",)], "value string"),
+                               spark.createDataFrame([("bat",), ("rat",), ("horse",)], "name string")).first()
+    assert (tie.fix, tie.distance, tie.n_nearest) == (None, 1, 2)
+    fixed = {r.id: r.value for r in spelling.respell(df, "value", spelling.corrections(df, names)).collect()}
+    assert len(fixed) == len(seen) and [fixed[i] for i in range(len(STATES))] == STATES
+    assert all(fixed[i] == STATE_FIXES.get(s, fixed[i]) for i, s in enumerate(seen))
+
+
+def test_label_intervals_bridge_skipped_years_and_keep_the_pivot_whole(spark):
+    cat = spark.createDataFrame([("v1", "Old", 2015), ("v1", "Old", 2016), ("v1", "New", 2018), ("v1", "New", 2021), ("v1", "Old", 2022),
+                                 ("v2", "Same", 2015), ("v2", "Same", 2022), ("v3", None, 2015), ("v1", "Old", 2015)],
+                                "name string, label string, year int")
+    spans = {(r.name, r.from_year): (r.label, r.to_year) for r in reshape.label_intervals(cat).collect()}
+    assert spans == {("v1", 2015): ("Old", 2017), ("v1", 2018): ("New", 2021), ("v1", 2022): ("Old", None),
+                     ("v2", 2015): ("Same", None), ("v3", 2015): (None, None)}
+    facts = spark.createDataFrame([("v1", y, 1.0) for y in (2014, 2015, 2017, 2020, 2023)] + [("v9", 2015, 1.0), ("v2", 2020, 1.0)],
+                                  "variable string, year int, estimate double")
+    rows = {(r.variable, r.year): (r.label, r.label_now) for r in reshape.join_label_intervals(
+        facts, reshape.label_intervals(cat)).collect()}
+    assert rows == {("v1", 2014): (None, "Old"), ("v1", 2015): ("Old", "Old"), ("v1", 2017): ("Old", "Old"), ("v1", 2020): ("New", "Old"),
+                    ("v1", 2023): ("Old", "Old"), ("v9", 2015): (None, None), ("v2", 2020): ("Same", "Same")}
+
+
+def test_checked_scan_keeps_every_line(spark, tmp_path):
+    from inkwell.sources import io
+    lines = ['1,"a,b",2.5', "2,short", '3,"x ""q"" , y",1,extra', "four,b,1", "5,c,nope", "6,d,", "", "7,e,7"]
+    (tmp_path / "f.csv").write_text("id,name,v\n" + "\n".join(lines) + "\n")
+    schema = "id int, name string, v double"
+    df = io.scan_delimited_checked(spark, f"file://{tmp_path}", spark.createDataFrame([], schema).schema, header=True)
+    good, bad = io.split_rejects(df)
+    assert sorted(map(tuple, good.collect())) == [(1, "a,b", 2.5), (6, "d", None), (7, "e", 7.0)]
+    assert sorted(map(tuple, bad.collect())) == sorted([
+        ("2,short", "short"), ('3,"x ""q"" , y",1,extra', "long"), ("four,b,1", "unparsable value"), ("5,c,nope", "unparsable value")])
+    assert good.count() + bad.count() == len([x for x in lines if x])
+
+
+def test_margins_of_sums_and_shares(spark):
+    df = spark.createDataFrame([(1, 30.0, 3.0, 100.0, 8.0), (1, 20.0, 4.0, 100.0, 6.0), (2, 90.0, 1.0, 100.0, 50.0),
+                                (3, 1.0, None, 10.0, 1.0), (4, 0.0, 0.0, 0.0, 0.0)],
+                               "p int, a double, a_margin double, total double, total_margin double")
+    r = {x.p: x for x in shares.total_margins(df, ["p"], ["a"], "total").collect()}
+    assert (r[1].a, r[1].a_margin, r[1].total_margin, r[1].a_percent) == (50.0, 5.0, 10.0, 0.25)
+    assert r[1].a_percent_margin == pytest.approx((25 - 0.0625 * 100) ** 0.5 / 200)
+    assert r[2].a_percent_margin == pytest.approx((1 + 0.81 * 2500) ** 0.5 / 100)      # the ratio rule
+    assert r[3].a_margin is None and r[3].a_percent_margin is None and r[3].a_percent == 0.1
+    assert r[4].a_percent is None and r[4].a_percent_margin is None
