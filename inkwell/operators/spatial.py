@@ -117,3 +117,129 @@ def point_in_area_join(points: DataFrame, areas: DataFrame, cell: float = 5.0, a
     in_box = (F.col("_xmin") <= px) & (px <= F.col("_xmax")) & (F.col("_ymin") <= py) & (py <= F.col("_ymax"))
     hits = look.join(cells, ["_level", "_cut", "_cx", "_slab"]).where(in_box & inside_edges(F.col("_edges"), px, py))
     return rows.join(hits.select("_row", area_key), "_row", "left").select(*points.columns, area_key)
+
+
+# ----------------------------------------------------------------- areas against areas
+def _side(a: Column, b: Column, p: Column) -> Column:
+    """Positive left of a -> b."""
+    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+
+def _once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _closed_pairs(ring: Column) -> Column:
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(ring, 1, n).alias("p"), F.slice(ring, 2, n).alias("q"))
+
+
+def _clip(ring: Column, edge: Column) -> Column:
+    """The closed ring's part left of an edge, closed again (empty if there is none)."""
+    def piece(z: Column) -> Column:
+        p, q, sp, sq = z["p"]["v"], z["q"]["v"], z["p"]["s"], z["q"]["s"]
+        t = F.try_divide(sp, sp - sq)
+        cross = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        return (F.when((sp >= 0) & (sq >= 0), F.array(q)).when((sp >= 0) & (sq < 0), F.array(cross))
+                .when((sp < 0) & (sq >= 0), F.array(cross, q)).otherwise(F.slice(F.array(q), 1, 0)))
+
+    sided = F.transform(ring, lambda v: F.struct(v.alias("v"), _side(edge["a"], edge["b"], v).alias("s")))
+    kept = _once(sided, lambda r: F.flatten(F.transform(_closed_pairs(r), piece)))
+    return _once(kept, lambda k: F.concat(F.slice(k, -1, 1), k))
+
+
+def _ring_area(ring: Column) -> Column:
+    return _once(ring, lambda r: F.abs(F.aggregate(
+        _closed_pairs(r), F.lit(0.0), lambda s, z: s + z["p"]["x"] * z["q"]["y"] - z["q"]["x"] * z["p"]["y"])) / 2)
+
+
+def polygons_area(polygons: Column, within: Column | None = None) -> Column:
+    """Area of polygons (outlines minus holes), all of it or that inside a convex polygon given by its
+    edges, left turns."""
+    def ring_area(ring: Column) -> Column:
+        return _ring_area(ring if within is None else F.aggregate(within, ring, _clip))
+
+    def one(p: Column) -> Column:
+        return ring_area(F.get(p, F.lit(0))) - F.aggregate(F.slice(p, 2, F.size(p)), F.lit(0.0), lambda s, r: s + ring_area(r))
+
+    return F.aggregate(polygons, F.lit(0.0), lambda s, p: s + one(p))
+
+
+def signed_triangles(areas: DataFrame, key: str, polygons: str = "polygons") -> DataFrame:
+    """(key, sign, edges, box): triangles whose signed sum is the area: a fan over each ring, holes
+    negative. Triangles turn left; flat ones are left out."""
+    rings = areas.select(key, F.posexplode(F.flatten(F.transform(polygons, lambda p: F.transform(
+        p, lambda r, i: F.struct(F.when(i == 0, 1).otherwise(-1).alias("sign"), r.alias("r")))))).alias("_i", "_ring"))
+    r = F.col("_ring.r")
+    twice = F.aggregate(_closed_pairs(r), F.lit(0.0), lambda s, z: s + z["p"]["x"] * z["q"]["y"] - z["q"]["x"] * z["p"]["y"])
+    rings = rings.select(key, F.col("_ring.sign").alias("_sign"), r.alias("_r"), F.signum(twice).alias("_turn"))
+    fan = rings.select(key, "_sign", "_turn", F.get("_r", F.lit(0)).alias("a"), F.explode(F.slice(
+        _closed_pairs(F.col("_r")), 2, F.size("_r"))).alias("_e")).select(key, "_sign", "_turn", "a", F.col("_e.p").alias("b"), F.col("_e.q").alias("c"))
+    turn = F.signum(_side(F.col("a"), F.col("b"), F.col("c")))
+    fan = fan.withColumn("_t", turn).where("_t <> 0")
+    b, c = (F.when(F.col("_t") > 0, F.col(x)).otherwise(F.col(y)) for x, y in (("b", "c"), ("c", "b")))
+    fan = fan.select(key, (F.col("_sign") * F.col("_turn") * F.col("_t")).alias("sign"), "a", b.alias("b"), c.alias("c"))
+    edge = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"))
+    return fan.select(key, "sign", F.array(edge("a", "b"), edge("b", "c"), edge("c", "a")).alias("edges"),
+                      *[f("a." + x, "b." + x, "c." + x).alias(n) for f, x, n in (
+                          (F.least, "x", "xmin"), (F.greatest, "x", "xmax"), (F.least, "y", "ymin"), (F.greatest, "y", "ymax"))])
+
+
+BOX = ["xmin", "xmax", "ymin", "ymax"]
+
+
+def _levelled(boxes: DataFrame, cell: float) -> DataFrame:
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return boxes.withColumn("_own", F.when(side > cell, F.ceil(F.log2(side / cell))).otherwise(0).cast("int"))
+
+
+def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Rows of ``left`` and ``right`` (other columns disjoint, each with a box) whose boxes touch, once a
+    pair. Boxes sit at the grid level of their own size and meet at the coarser level of the two, where
+    each touches four cells at most; the cell of the lower left corner of what they share counts."""
+    l, r = _levelled(left, cell), _levelled(right, cell)
+    own = F.sort_array(F.collect_set("_own"))
+    used = F.array_union(l.agg(own).scalar(), r.agg(own).scalar())      # an entry for each power of two
+
+    def cells(df: DataFrame, tag: str) -> DataFrame:
+        df = df.select("*", F.explode(used).alias("_level")).where(F.col("_level") >= F.col("_own"))
+        size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+        for axis in ("x", "y"):
+            df = df.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(F.col(axis + "min") / size), F.floor(F.col(axis + "max") / size))))
+        return df.withColumnsRenamed({c: f"{tag}{c}" for c in [*BOX, "_own"]})
+
+    j = cells(l, "l_").join(cells(r, "r_"), ["_level", "_cx", "_cy"])
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    j = j.where((F.col("_level") == F.greatest("l__own", "r__own"))
+                & (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax"))
+                & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
+                & (F.col("_cx") == F.floor(F.greatest("l_xmin", "r_xmin") / size))
+                & (F.col("_cy") == F.floor(F.greatest("l_ymin", "r_ymin") / size)))
+    keep = [c for c in left.columns if c not in BOX] + [c for c in right.columns if c not in BOX]
+    return j.select(*keep)
+
+
+def area_weights(sources: DataFrame, targets: DataFrame, cell: float, source_key: str = "source_id",
+                 target_key: str = "target_id", polygons: str = "polygons") -> DataFrame:
+    """(source, target, area, weight): the area that each pair shares and its part of the source's
+    area, for pairs that share any. Where the targets cover a source without overlap, its weights sum to
+    one. Both sides may have parts and holes; a source without area has no rows."""
+    vertices = F.flatten(F.flatten(F.col(polygons)))
+    xs, ys = F.transform(vertices, lambda p: p["x"]), F.transform(vertices, lambda p: p["y"])
+    left = sources.select(source_key, F.col(polygons).alias("_shape"), polygons_area(F.col(polygons)).alias("_whole"),
+                          F.array_min(xs).alias("xmin"), F.array_max(xs).alias("xmax"), F.array_min(ys).alias("ymin"),
+                          F.array_max(ys).alias("ymax")).where("_whole > 0")
+    right = signed_triangles(targets, target_key, polygons).withColumnsRenamed({"sign": "_sign", "edges": "_within"})
+    pairs = box_pairs(left, right, cell).withColumn("_part", F.col("_sign") * polygons_area(F.col("_shape"), F.col("_within")))
+    # A shared border is no shared area; rounding in its triangles is far below this part of the source.
+    shared = pairs.groupBy(source_key, target_key).agg(F.sum("_part").alias("area"), F.max("_whole").alias("_whole")).where(
+        F.col("area") > F.col("_whole") * 1e-9)
+    return shared.select(source_key, target_key, "area", (F.col("area") / F.col("_whole")).alias("weight"))
+
+
+def interpolate(values: DataFrame, weights: DataFrame, columns: list[str], source_key: str = "source_id",
+                target_key: str = "target_id") -> DataFrame:
+    """Source counts dealt out to targets by weight and summed (partial per task)."""
+    j = values.select(source_key, *columns).join(weights.select(source_key, target_key, "weight"), source_key)
+    return j.groupBy(target_key).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns], F.count(F.lit(1)).alias("n_sources"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.operators.spatial import point_in_area_join
+from inkwell.operators.spatial import area_weights, interpolate, point_in_area_join
 from inkwell.plans import oracle_fixtures as O
 from inkwell.plans.registry import finish, query
-from inkwell.session import scratch_path
+from inkwell.session import materialize, scratch_path
 from inkwell.sources import geojson
 from inkwell.sources.fixtures import (
-    F8_CELL, F8_L_RING, F9_COLS, F9_SIDE, F9_STEP, F10_RISE, F10_STEPS, f8_l_ring, f8_points, f8_rectangles, f9_features,
-    f10_areas,
+    F8_CELL, F8_L_RING, F9_COLS, F9_DISTRICT, F9_SIDE, F9_STEP, F10_RISE, F10_STEPS, f8_l_ring, f8_points, f8_rectangles,
+    f9_districts, f9_features, f9_precincts, f10_areas,
 )
 from inkwell.sources.tables import Tables
 
@@ -91,3 +91,28 @@ def scan_geojson_features(spark, sf_dir):
                             F.when(F.col("polygons").isNotNull(), F.size(F.flatten("polygons"))).alias("n_rings"),
                             F.when(F.col("polygons").isNotNull(), geojson.area(F.col("polygons"))).alias("area"),
                             first["x"].alias("x0"), first["y"].alias("y0")))
+
+
+def _overlap_sql(x: str, y: str, wide: float, high: float) -> str:
+    """Area that the rectangle from (x, y) shares with the district from (dx, dy)."""
+    dw, dh = F9_DISTRICT
+    return (f"greatest(0, least({x} + {wide}, dx + {dw}) - greatest({x}, dx)) * "
+            f"greatest(0, least({y} + {high}, dy + {dh}) - greatest({y}, dy))")
+
+
+@query("area_weighted_join", sql=O.with_(O.f5()) + f"""
+, s AS (SELECT p_partkey AS k, a, a + r AS total, p_partkey % {F9_COLS} * {F9_STEP} AS x0, p_partkey // {F9_COLS} * {F9_STEP} AS y0,
+          {F9_SIDE * F9_SIDE} + CASE p_partkey % 5 WHEN 1 THEN -1 WHEN 2 THEN 0.25 ELSE 0 END AS whole FROM f5_votes),
+d AS (SELECT s.*, floor(x0 / {F9_DISTRICT[0]}) + di AS i, floor(y0 / {F9_DISTRICT[1]}) + dj AS j
+      FROM s, (VALUES (0), (1)) g(di), (VALUES (0), (1)) h(dj)),
+o AS (SELECT *, i * {F9_DISTRICT[0]} AS dx, j * {F9_DISTRICT[1]} AS dy FROM d),
+w AS (SELECT *, ({_overlap_sql('x0', 'y0', F9_SIDE, F9_SIDE)}
+          - CASE WHEN k % 5 = 1 THEN {_overlap_sql('(x0 + 1)', '(y0 + 1)', 1.0, 1.0)} ELSE 0 END
+          + CASE WHEN k % 5 = 2 THEN {_overlap_sql('(x0 + 3.25)', 'y0', 0.5, 0.5)} ELSE 0 END) / whole AS weight FROM o)
+SELECT CAST(i * 100000 + j AS BIGINT) AS district, {r6('sum(a * weight)', 'votes_a')}, {r6('sum(total * weight)', 'votes_total')},
+  count(*) AS n_sources FROM w WHERE weight > 0 GROUP BY ALL""")
+def area_weighted_join(spark, sf_dir):
+    """Precinct votes dealt out to the districts that cut through their shapes, by shared area."""
+    precincts = materialize(f9_precincts(Tables(spark, sf_dir)))      # read four times
+    weights = area_weights(precincts, f9_districts(precincts), cell=8.0, source_key="precinct_geo", target_key="district")
+    return finish(interpolate(precincts, weights, ["votes_a", "votes_total"], "precinct_geo", "district"))

@@ -431,21 +431,43 @@ def _square(x0: Column, y0: Column, side: float | Column, high: float | Column |
                      for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
 
 
-def f9_features(t: Tables) -> DataFrame:
-    """Precinct features as delivered, one JSON text a precinct: squares, some with a hole or a second
-    part, and some without geometry, with an open ring or cut short."""
-    k = F.col("precinct_geo")
+def f9_polygons(k: Column) -> Column:
+    """The shape of a precinct: a square, some with a hole or a second part."""
     x0, y0 = k % F9_COLS * F9_STEP, F.floor(k / F9_COLS) * F9_STEP
     outline = _square(x0, y0, F9_SIDE)
-    polygons = (F.when(k % 5 == 1, F.array(F.array(outline, _square(x0 + 1, y0 + 1, 1.0))))
-                .when(k % 5 == 2, F.array(F.array(outline), F.array(_square(x0 + 3.25, y0, 0.5))))
-                .when(k % 50 == 20, F.array(F.array(F.slice(outline, 1, 4))))
-                .when(k % 50 != 10, F.array(F.array(outline))))
-    rows = f5_demographics(t).withColumn("polygons", polygons)
+    return (F.when(k % 5 == 1, F.array(F.array(outline, _square(x0 + 1, y0 + 1, 1.0))))
+            .when(k % 5 == 2, F.array(F.array(outline), F.array(_square(x0 + 3.25, y0, 0.5))))
+            .otherwise(F.array(F.array(outline))))
+
+
+def f9_features(t: Tables) -> DataFrame:
+    """Precinct features as delivered, one JSON text a precinct; some have no geometry, an open ring or
+    are cut short."""
+    k, whole = F.col("precinct_geo"), f9_polygons(F.col("precinct_geo"))
+    opened = F.transform(whole, lambda p: F.transform(p, lambda r: F.slice(r, 1, 4)))
+    rows = f5_demographics(t).withColumn("polygons", F.when(k % 50 == 20, opened).when(k % 50 != 10, whole))
     text = feature_text(F.struct("precinct_geo", "race", "immigrant_prop"), F.col("polygons"))
     return rows.select(F.when(k % 50 == 30, F.substring(text, 1, 60)).otherwise(text).alias("value"))
 
 
+# Sides of a district, which cut through precincts.
+F9_DISTRICT = (10.0, 7.0)
+
+
+def f9_precincts(t: Tables) -> DataFrame:
+    """Precinct shapes with their votes: precinct_geo, polygons, votes_a, votes_total."""
+    return f5_vote_counts(t).withColumn("polygons", f9_polygons(F.col("precinct_geo")))
+
+
+def f9_districts(precincts: DataFrame) -> DataFrame:
+    """The districts that precincts lie in, as polygons of one grid: district = 100000 * column + row."""
+    wide, high = F9_DISTRICT
+    points = precincts.select(F.explode(F.flatten(F.flatten("polygons"))).alias("p"))
+    grid = points.select(F.floor(F.col("p.x") / wide).alias("i"), F.floor(F.col("p.y") / high).alias("j")).distinct()
+    return grid.select((F.col("i") * 100_000 + F.col("j")).alias("district"),
+                       F.array(F.array(_square(F.col("i") * wide, F.col("j") * high, wide, high))).alias("polygons"))
+
+
 # Steps of the long staircase ring and their height (exact in binary).
 F10_STEPS, F10_RISE = 4000, 0.125
 

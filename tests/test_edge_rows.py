@@ -378,3 +378,47 @@ def test_margins_of_sums_and_shares(spark):
     assert r[2].a_percent_margin == pytest.approx((1 + 0.81 * 2500) ** 0.5 / 100)      # the ratio rule
     assert r[3].a_margin is None and r[3].a_percent_margin is None and r[3].a_percent == 0.1
     assert r[4].a_percent is None and r[4].a_percent_margin is None
+
+
+SHAPE = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def test_area_weights_of_concave_shapes_sum_to_one(spark):
+    """Targets that divide a square: a concave ring with a hole, the hole, the rest in two parts."""
+    import numpy as np
+
+    def ring(*points):
+        return [(float(x), float(y)) for x, y in (*points, points[0])]
+
+    concave = ring((0, 0), (10, 0), (10, 10), (6, 10), (6, 4), (3, 4), (3, 10), (0, 10))       # a U
+    hole = ring((1, 1), (1, 3), (2, 3), (2, 1))                                                # turned the other way
+    notch = ring((3, 4), (6, 4), (6, 10), (3, 10))
+    targets = spark.createDataFrame([(1, [[concave, hole]]), (2, [[hole]]), (3, [[notch]]),
+                                     (4, [[ring((10, 0), (40, 0), (40, 10), (10, 10))], [ring((0, 10), (40, 10), (40, 40), (0, 40))]])],
+                                    f"target_id long, polygons {SHAPE}")
+    r = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        n = int(r.integers(3, 12))
+        a = np.sort(r.uniform(0, 2 * np.pi, n))
+        d = r.uniform(0.5, 6, n)
+        c = r.uniform(7, 13, 2)
+        rows.append((i, [[ring(*zip(c[0] + d * np.cos(a), c[1] + d * np.sin(a)))]]))
+    rows += [(100, [[ring((2, 2), (7, 2), (7, 8), (2, 8))]]), (101, [[ring((1.2, 1.5), (1.8, 1.5), (1.8, 2.5))]]),
+             (102, [[ring((0, 0), (12, 0), (12, 12), (0, 12)), ring((3, 4), (6, 4), (6, 10), (3, 10))]]),
+             (103, [[ring((0, 0), (1, 0), (2, 0))]])]
+    sources = spark.createDataFrame(rows, f"source_id long, polygons {SHAPE}")
+    got = {}
+    for x in spatial.area_weights(sources, targets, cell=4.0).collect():
+        got.setdefault(x.source_id, {})[x.target_id] = (x.area, x.weight)
+    assert set(got) == {*range(60), 100, 101, 102}                  # 103 has no area
+    inside = [i for i in range(60) if min(min(p) for p in rows[i][1][0][0]) >= 0]
+    assert len(inside) > 40
+    assert all(sum(w for _, w in got[i].values()) == pytest.approx(1, abs=1e-9) for i in [*inside, 100, 101, 102])
+    assert {t: round(a, 9) for t, (a, _) in got[100].items()} == {1: 18.0, 3: 12.0}
+    assert {t: round(a, 9) for t, (a, _) in got[101].items()} == {2: 0.3}
+    assert {t: round(a, 9) for t, (a, _) in got[102].items()} == {1: 80.0, 2: 2.0, 4: 44.0}
+    values = spark.createDataFrame([(100, 30.0), (102, 126.0)], "source_id long, n double")
+    dealt = {x.target_id: round(x.n, 6) for x in spatial.interpolate(
+        values, spatial.area_weights(sources, targets, cell=4.0), ["n"]).collect()}
+    assert dealt == {1: 98.0, 2: 2.0, 3: 12.0, 4: 44.0}
