@@ -2,16 +2,19 @@
 
 A line of at least ``MIN_TOKENS`` tokens goes down a tree of fixed depth: by its token count, then
 by its first ``DEPTH`` tokens, where a token with a digit counts as ``<*>``. Within a leaf, a later
-token is kept in the template if at least ``MIN_DOCS`` documents have it at that place (summed
-over the leaf's distinct lines), else it is generalised to ``<*>``. If at least half of the tokens
-are kept, lines with equal templates are instances of one; otherwise a line is its own template. A
-template found in ``MIN_DOCS`` documents or more recurs: all its lines are dropped but the first
-(smallest id, then line).
-
-Only (id, line, two hashes) of each line is shuffled, pre-aggregated to distinct lines, so a line
-that a third of all documents share is one row early on; tokens are fetched for one instance
-of each distinct line, and only in leaves with several of them. Null texts stay null with no lines;
-empty ones have one empty line; short and blank lines stay. Repeated rows with equal ids lose
+token is kept in the template if at least ``MIN_DOCS`` documents and one in ``SHARE`` of the leaf's
+have it at that place (summed over the leaf's distinct lines), else it is generalised to ``<*>``.
+Lines with equal templates are instances of one if at least half of the tokens beyond the head, and
+one at least, are kept words (``<*>`` is none). Failing that, a line stands for itself with its
+digits generalised, if half of its own tokens beyond the head are words; else for its exact words,
+so rows of figures recur only where all figures do. A template found in ``MIN_DOCS`` documents or
+more recurs: all its lines are dropped but the first (smallest id, then line).
+
+Only (id, line, hashes) of each line is shuffled, and pre-aggregated to distinct lines; tokens are
+fetched for one instance of each distinct line, and only in leaves with several of them. Templates
+are staged, so that joins with lines are plain shuffle joins whose hot keys Spark splits. A text is
+split into lines once in each step, so its cost is linear in its lines. Null texts stay null with no
+lines; empty ones have one empty line; short and blank lines stay. Repeated rows with equal ids lose
 the same lines. An empty table gives an empty result. Columns other than id and text are not read."""
 
 from __future__ import annotations
@@ -24,23 +27,56 @@ from inkwell.llm.common import SPACE_CLASS, stage, table
 DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
+SHARE = 20
+ANY = "<*>"
 TRIM = " \t\x0b\x0c\r"
 
 
 def _masked(line: Column) -> Column:
-    """The line trimmed, with every token that has a digit as ``<*>``."""
-    line = F.btrim(line, F.lit(TRIM))
+    """The line with every token that has a digit as ``<*>``."""
     return F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, "[^\\x20\\x09-\\x0D0-9]*[0-9][^\\x20\\x09-\\x0D]*", "<*>")).otherwise(line)
+        line, "[^\\x20\\x09-\\x0D0-9]*[0-9][^\\x20\\x09-\\x0D]*", ANY)).otherwise(line)
 
 
 def _parsed(df: DataFrame, line: Column, *cols) -> DataFrame:
-    """cols, tokens, leaf and line hash of the lines with enough tokens."""
-    df = df.select(*cols, _masked(line).alias("line"))
-    df = df.select(*cols, F.split("line", SPACE_CLASS).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    """cols, tokens, leaf, the hashes of the tokens and of the exact words, and whether enough tokens
+    are words, of the lines with enough tokens."""
+    df = df.select(*cols, F.btrim(line, F.lit(TRIM)).alias("line"))
+    df = df.select(*cols, "line", F.split(_masked(F.col("line")), SPACE_CLASS).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
     head = [F.get("tokens", F.lit(i)) for i in range(DEPTH)]
-    return df.select(*cols, "tokens", F.xxhash64(F.size("tokens"), *head).alias("leaf"),
-                     F.xxhash64("tokens").alias("lh"))
+    words = F.size(F.filter(F.slice("tokens", DEPTH + 1, F.size("tokens")), lambda t: t != ANY))
+    return df.select(*cols, "tokens", F.xxhash64(F.size("tokens"), *head).alias("leaf"), F.xxhash64("tokens").alias("lh"),
+                     F.xxhash64(F.split("line", SPACE_CLASS)).alias("rh"),
+                     _enough(words, F.size("tokens")).alias("wordy"))
+
+
+def _enough(words: Column, size: Column) -> Column:
+    return (words >= 1) & (2 * words >= size - DEPTH)
+
+
+def _templates(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(leaf, lh, template) of the distinct lines that are instances of a general template."""
+    wanted = classes.where("kinds > 1").select("leaf", "lh", "n", "docs", "one.id", "one.no").groupBy("id").agg(
+        F.collect_list(F.struct("no", "leaf", "lh", "n", "docs")).alias("wanted"))
+    # Texts are met by sort-merge joins at every size, so the plan's cost is the same share of any
+    # input. The text is split once (a lambda's argument is computed once) and its lines picked.
+    picked = F.transform(F.array(F.split("text", "\n")), lambda l: F.transform("wanted", lambda w: F.struct(
+        F.get(l, w["no"]).alias("raw"), w["leaf"].alias("leaf0"), w["lh"].alias("lh0"), w["n"].alias("n"), w["docs"].alias("docs"))))
+    got = docs.join(wanted.hint("merge"), "id").select(F.explode(F.flatten(picked)).alias("p")).select("p.*")
+    got = _parsed(got, F.col("raw"), "leaf0", "lh0", "n", "docs").where("leaf = leaf0 and lh = lh0")
+    tokens = stage(got.select("leaf", "lh", "n", "docs", F.size("tokens").alias("size"),
+                              F.posexplode("tokens").alias("at", "token")).distinct(), "tokens")
+    usual = tokens.where((F.col("at") >= DEPTH) & (F.col("token") != ANY)).groupBy("leaf", "at", "token").agg(
+        F.sum("n").alias("have"), F.max("docs").alias("docs")).where(
+            (F.col("have") >= MIN_DOCS) & (SHARE * F.col("have") >= F.col("docs"))).select(
+                "leaf", "at", "token", F.lit(1).alias("fixed"))
+    general = tokens.join(usual, ["leaf", "at", "token"], "left").select(
+        "leaf", "lh", "size", "at", F.coalesce("fixed", F.lit(0)).alias("fixed"),
+        F.when((F.col("at") < DEPTH) | F.col("fixed").isNotNull(), F.col("token")).alias("token"))
+    return general.groupBy("leaf", "lh").agg(
+        F.xxhash64(F.sort_array(F.collect_list(F.struct("at", "token")))).alias("t"),
+        F.sum("fixed").alias("fixed"), F.first("size").alias("size")).where(_enough(F.col("fixed"), F.col("size"))).select(
+            "leaf", "lh", F.xxhash64("leaf", "t").alias("template"))
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,35 +84,18 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     each = docs.where("id is not null").select("id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     lines = stage(_parsed(each, F.col("raw"), "id", "no").drop("tokens"), "lines")
-    classes = lines.groupBy("leaf", "lh", "id").agg(F.min("no").alias("no")).groupBy("leaf", "lh").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "no")).alias("one"))
+    classes = lines.groupBy("leaf", "lh", "id").agg(F.min("no").alias("no"), F.first("wordy").alias("wordy")).groupBy(
+        "leaf", "lh").agg(F.count("*").alias("n"), F.min(F.struct("id", "no")).alias("one"), F.first("wordy").alias("wordy"))
     leaves = classes.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("kinds")).where(
         F.col("docs") >= MIN_DOCS)
     classes = stage(classes.join(leaves, "leaf"), "line_classes")
-    # Tokens of one instance of each distinct line, where a leaf has several. Texts are met by
-    # sort-merge joins at every size, so the plan's cost is the same share of any input.
-    wanted = classes.where("kinds > 1").select("leaf", "lh", "n", "one.id", "one.no").groupBy("id").agg(
-        F.collect_list(F.struct("no", "leaf", "lh", "n")).alias("wanted"))
-    got = docs.join(wanted.hint("merge"), "id").select(F.split("text", "\n").alias("l"), F.explode("wanted").alias("w")).select(
-        F.get("l", F.col("w.no")).alias("raw"), F.col("w.leaf").alias("leaf0"), F.col("w.lh").alias("lh0"),
-        F.col("w.n").alias("n"))
-    got = _parsed(got, F.col("raw"), "leaf0", "lh0", "n").where("leaf = leaf0 and lh = lh0")
-    tokens = stage(got.select("leaf", "lh", "n", F.size("tokens").alias("size"),
-                              F.posexplode("tokens").alias("at", "token")).distinct(), "tokens")
-    usual = tokens.where(F.col("at") >= DEPTH).groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(
-        F.col("docs") >= MIN_DOCS).select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    kept = F.when(F.col("at") < DEPTH, 1).otherwise(F.coalesce("fixed", F.lit(0)))
-    general = tokens.join(usual, ["leaf", "at", "token"], "left").select(
-        "leaf", "lh", "size", "at", kept.alias("fixed"), F.when(kept == 1, F.col("token")).alias("token"))
-    templates = general.groupBy("leaf", "lh").agg(
-        F.xxhash64(F.sort_array(F.collect_list(F.struct("at", "token")))).alias("t"),
-        F.sum("fixed").alias("fixed"), F.first("size").alias("size")).where("2 * fixed >= size").select(
-            "leaf", "lh", F.xxhash64("leaf", "t").alias("template"))
-    named = classes.select("leaf", "lh").join(templates, ["leaf", "lh"], "left").select(
-        "leaf", "lh", F.coalesce("template", F.xxhash64("leaf", "lh", F.lit("own"))).alias("template"))
-    placed = stage(lines.join(named, ["leaf", "lh"]).select("id", "no", "template"), "placed")
+    named = stage(classes.select("leaf", "lh", "wordy").join(_templates(docs, classes), ["leaf", "lh"], "left").select(
+        "leaf", "lh", F.coalesce("template", F.when(F.col("wordy"), F.xxhash64("leaf", "lh", F.lit("own")))).alias("template")), "named")
+    placed = stage(lines.join(named, ["leaf", "lh"]).select(
+        "id", "no", F.coalesce("template", F.xxhash64("leaf", "rh", F.lit("exact"))).alias("template")), "placed")
     recurring = placed.groupBy("template", "id").agg(F.min("no").alias("no")).groupBy("template").agg(
         F.count("*").alias("docs"), F.min(F.struct("id", "no")).alias("first")).where(F.col("docs") >= MIN_DOCS)
+    recurring = stage(recurring, "recurring")
     dropped = placed.join(recurring.select("template", "first"), "template").where(
         (F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
     dropped = dropped.groupBy("id").agg(F.collect_set("no").alias("gone"))
@@ -99,21 +118,25 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-m AS (SELECT doc_id, no, regexp_replace(trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
-             '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS line FROM l),
-p AS (SELECT doc_id, no, line, string_split_regex(line, '[\x20\x09-\x0D]+') AS w FROM m),
-q AS (SELECT doc_id, no, array_to_string(w, ' ') AS lh, w, [len(w)::VARCHAR, w[1], w[2], w[3]] AS leaf
+m AS (SELECT doc_id, no, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS exact FROM l),
+p AS (SELECT doc_id, no, string_split_regex(exact, '[\x20\x09-\x0D]+') AS e,
+             string_split_regex(regexp_replace(exact, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '{ANY}', 'g'),
+                                '[\x20\x09-\x0D]+') AS w FROM m),
+q AS (SELECT doc_id, no, array_to_string(w, ' ') AS lh, array_to_string(e, ' ') AS rh, w,
+             len(list_filter(w[{DEPTH + 1}:], lambda x: x <> '{ANY}')) AS words, [len(w)::VARCHAR, w[1], w[2], w[3]] AS leaf
       FROM p WHERE len(w) >= {MIN_TOKENS}),
 c AS (SELECT leaf, lh, any_value(w) AS w, count(DISTINCT doc_id) AS n FROM q GROUP BY leaf, lh),
 v AS (SELECT leaf, sum(n) AS docs, count(*) AS kinds FROM c GROUP BY leaf HAVING sum(n) >= {MIN_DOCS}),
-t AS (SELECT c.leaf, c.lh, c.n, len(w) AS size, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
+t AS (SELECT c.leaf, c.lh, c.n, v.docs, len(w) AS size, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
       FROM c JOIN v ON c.leaf = v.leaf WHERE kinds > 1),
-u AS (SELECT leaf, pos, token FROM t WHERE pos >= {DEPTH} GROUP BY ALL HAVING sum(n) >= {MIN_DOCS}),
-g AS (SELECT t.leaf, t.lh, size, t.pos, (t.pos < {DEPTH} OR u.token IS NOT NULL) AS fixed, t.token
+u AS (SELECT leaf, pos, token FROM t WHERE pos >= {DEPTH} AND token <> '{ANY}'
+      GROUP BY ALL HAVING sum(n) >= {MIN_DOCS} AND {SHARE} * sum(n) >= max(docs)),
+g AS (SELECT t.leaf, t.lh, size, t.pos, u.token IS NOT NULL AS fixed, CASE WHEN t.pos < {DEPTH} OR u.token IS NOT NULL THEN t.token END AS token
       FROM t LEFT JOIN u ON t.leaf = u.leaf AND t.pos = u.pos AND t.token = u.token),
-r AS (SELECT leaf, lh, list(CASE WHEN fixed THEN token END ORDER BY pos) AS template
-      FROM g GROUP BY leaf, lh, size HAVING 2 * count(*) FILTER (fixed) >= size),
-k AS (SELECT doc_id, no, q.leaf, coalesce(r.template, ['own', q.lh]) AS template
+r AS (SELECT leaf, lh, list(token ORDER BY pos) AS template FROM g GROUP BY leaf, lh, size
+      HAVING count(*) FILTER (fixed) >= 1 AND 2 * count(*) FILTER (fixed) >= size - {DEPTH}),
+k AS (SELECT doc_id, no, q.leaf, coalesce(r.template, CASE WHEN words >= 1 AND 2 * words >= len(q.w) - {DEPTH}
+             THEN ['own', q.lh] ELSE ['exact', q.rh] END) AS template
       FROM q JOIN v ON q.leaf = v.leaf LEFT JOIN r ON q.leaf = r.leaf AND q.lh = r.lh),
 f AS (SELECT leaf, template, min({{'d': doc_id, 'n': no}}) AS first FROM k GROUP BY leaf, template
       HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),

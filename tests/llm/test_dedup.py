@@ -126,3 +126,32 @@ def test_templates_generalise_variable_fields(spark, edges, empty):
     assert (rows[30].n_lines, rows[30].n_dropped, rows[30].text) == (3, 2, "")
     assert rows[0].text is None and rows[0].n_lines == 0 and rows[1].text == "" and rows[1].n_lines == 1
     assert rows[9].text == docs[9]
+
+
+def test_prose_with_a_common_head_and_rows_of_figures_stay(spark):
+    prose_lines = ["This is the dog barking", "This is the cat sleeping", "This is the sun rising"]
+    figures = ["12 30 44 5.1", "13 31 45 5.2", "14 32 46 5.3", "15 33 47 5.4"]
+    docs = {i: t for i, t in enumerate(prose_lines)} | {10 + i: t for i, t in enumerate(figures)}
+    docs |= {20 + i: "1 2 3 4" for i in range(3)} | {30 + i: "Total of page 7 is here" for i in range(3)}
+    docs |= {40 + i: f"Printed on page {i} of the report" for i in range(3)}
+    rows = got(lines.drop_recurring(frame(spark, docs)))
+    assert all(rows[i].n_dropped == 0 for i in (0, 1, 2, 10, 11, 12, 13, 20, 30, 40))
+    assert all(rows[i].n_dropped == 1 for i in (21, 22, 31, 32, 41, 42))
+
+
+def test_frequent_values_of_variable_fields_are_generalised(spark):
+    """Two fields with frequent values: support is a share of the leaf's documents."""
+    people, towns = [f"name{c}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"], [f"town{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = {i: f"order sent to {people[i % 36]} living near {towns[i % 26]} with best regards" for i in range(400)}
+    rows = got(lines.drop_recurring(frame(spark, docs)))
+    assert sum(r.n_dropped for r in rows.values()) == 399 and rows[0].n_dropped == 0
+
+
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    import time
+    r = random.Random(1)
+    text = "\n".join(f"event {r.choice('abc')} of run {r.randrange(10**6)} {alpha(i, 2)} done" for i in range(100_000))
+    docs = {i: text[i:50_000 + i] for i in range(1, 4)} | {0: text}
+    t = time.time()
+    row = lines.drop_recurring(frame(spark, docs)).where("id = 0").first()
+    assert row.n_lines == 100_000 and time.time() - t < 60
