@@ -42,7 +42,7 @@ HEAD = 1 << 18
 #: Bytes of text that a task aligns together, about.
 PIECE = 1 << 20
 #: An id pair is one number: A's id above so many bits of B's.
-SHIFT = 32
+SHIFT = 18
 BLANK = "▁"
 
 ROW = "row long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
@@ -81,8 +81,9 @@ def leaf_ends(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
         out_j.append(j[~found])
         out_m.append(m[~found])
         i, j, k, m, cut, at = (x[found] for x in (i, j, k, m, cut, at))
-        i, j = np.concatenate([i, cut + 1]), np.concatenate([cut + 1, j])
-        k, m = np.concatenate([k, at + 1]), np.concatenate([at + 1, m])
+        # Halves side by side, so probes rise and bisect near each other.
+        i, j = np.stack([i, cut + 1], 1).ravel(), np.stack([cut + 1, j], 1).ravel()
+        k, m = np.stack([k, at + 1], 1).ravel(), np.stack([at + 1, m], 1).ravel()
     return np.sort(np.concatenate(out_j)), np.sort(np.concatenate(out_m))
 
 
@@ -113,16 +114,35 @@ class PieceModel:
             raise ValueError("entries with a blank inside are not supported")
         self.bytes = {i: bytes([int(n[3:-1], 16)]) if m.is_byte(i) else n.replace(BLANK, " ").encode()
                       for i, n in enumerate(names) if not m.is_control(i) and not m.is_unknown(i)}
-        self._lead = len(m.encode("x"))
+        self._sizes = np.zeros(m.piece_size(), np.int64)
+        self._sizes[list(self.bytes)] = [len(x) for x in self.bytes.values()]
         self._known: dict[str, bytes] = {}
 
+    def _one(self, word: str) -> bytes:
+        return packed(self._model.encode("x" + word)[len(self._model.encode("x")):], self.bytes, word.encode())
+
+    def _many(self, words: list[str]) -> Iterator[bytes]:
+        """Packed ids of blank-led words: encoded as one text, as each stands for itself, and cut at
+        their ends; one by one if the text isn't spelt right."""
+        whole = "".join(words)
+        ids = np.array(self._model.encode(whole[1:]), np.int32)     # the model adds the first blank
+        ends = np.cumsum(self._sizes[ids])
+        stops = np.cumsum([len(w.encode()) for w in words])
+        if b"".join([self.bytes.get(i, b"") for i in ids.tolist()]) != whole.encode():
+            return map(self._one, words)
+        cuts = [0, *(np.searchsorted(ends, stops) + 1).tolist()]
+        return (ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+
     def encode(self, spaced: str) -> bytes:
         """The packed ids of a text, given with the blank that the model adds."""
         words, known = self.WORD.findall(spaced), self._known
-        new = list(set(words).difference(known))
-        got = self._model.encode(["x" + w for w in new], num_threads=1)
-        for w, ids in zip(new, got, strict=True):
-            known[w] = packed(ids[self._lead:], self.bytes, w.encode())
+        out = list(map(known.get, words))
+        if None not in out:
+            return b"".join(out)
+        new = list({w for w, x in zip(words, out, strict=True) if x is None})
+        led = [w for w in new if w[0] == " " and w[-1] != " "]
+        known.update(zip(led, self._many(led) if led else (), strict=True))
+        known.update((w, self._one(w)) for w in new if w not in known)
         out = b"".join(map(known.__getitem__, words))
         for w in new:       # a bounded memory
             if len(w) > bpe.SHORT or len(known) > bpe.REMEMBERED:
@@ -140,6 +160,8 @@ class Aligner:
                                    lambda p: packed(pieces.merge(p), a_bytes, p.encode())).__getitem__
         self._split = pieces.split
         self._b = PieceModel(model)
+        if max(*a_bytes, *self._b.bytes) >> SHIFT:
+            raise ValueError(f"ids of {SHIFT} bits at most")
         self._sizes = [np.zeros(max(t) + 1, np.int64) for t in (a_bytes, self._b.bytes)]
         for size, known in zip(self._sizes, (a_bytes, self._b.bytes), strict=True):
             size[list(known)] = [len(x) for x in known.values()]
@@ -197,7 +219,7 @@ class Aligner:
         single = (a_size == 1) & (b_size == 1)
         one = np.flatnonzero(single)
         text, pair = [text_of[one]], [(a[a_last[one] - 1] << SHIFT) | b[b_last[one] - 1]]
-        times = [np.ones(len(one), np.int64)]
+        times = [np.empty(0, np.int64)]
         in_a, in_b = np.repeat(~single, a_size), np.repeat(~single, b_size)
         many = np.flatnonzero(~single)
         ga, ia, ta = counted(a[in_a], a_size[many])
@@ -216,15 +238,22 @@ class Aligner:
             pair.append((ia[left] << SHIFT) | ib[right])
             times.append(ta[left] * tb[right])
             lo = hi
-        text, pair, times = map(np.concatenate, (text, pair, times))
-        order = np.lexsort((pair, text))
-        text, pair, times = text[order], pair[order], times[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])
-        start = np.flatnonzero(new)
+        # Sorted as one number, text above pair; the many single links by themselves first.
+        bits = int(max((x.max(initial=0) for x in pair), default=0)).bit_length()
+        if bits + n_texts.bit_length() > 62:
+            raise ValueError("too many texts in a piece")
+        first, rest = (text[0] << bits) | pair[0], [(t << bits) | p for t, p in zip(text[1:], pair[1:], strict=True)]
+        first.sort()
+        start = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(first) else np.empty(0, np.int64)
+        key = np.concatenate([first[start], *rest])
+        times = np.concatenate([np.diff(np.append(start, len(first))), *times[1:]])
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         total = np.add.reduceat(times, start) if len(start) else times
-        bound = np.searchsorted(text[start], np.arange(n_texts + 1))
-        pair = pair[start]
+        key = key[start]
+        bound = np.searchsorted(key, np.arange(n_texts + 1) << bits)
+        pair = key & ((1 << bits) - 1)
         return [(pair[x:y].tobytes(), total[x:y].tobytes()) for x, y in zip(bound[:-1], bound[1:], strict=True)]
 
 

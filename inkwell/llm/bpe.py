@@ -131,6 +131,17 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _latin_pattern() -> str:
+    """``PATTERN`` for texts of code points below 256, its classes spelt out: the plain engine is
+    faster on them."""
+    def spelt(kind: str) -> str:
+        return "".join(f"\\x{c:02x}" for c in range(256) if regex.match(kind, chr(c)))
+
+    letter, number, space = spelt(r"\p{L}"), spelt(r"\p{N}"), spelt(r"\s")
+    return (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
+            rf"|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class Pieces:
     """The tokenizer inside a task."""
 
@@ -141,6 +152,7 @@ class Pieces:
         self._pre, self._model = tok.pre_tokenizer, tok.model
         self._letters = alphabet()
         self._find = regex.compile(PATTERN).findall
+        self._find_latin = re.compile(_latin_pattern()).findall
         self._odd = re.compile(proof.odd)
         added = {} if plain_special else {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
@@ -152,7 +164,9 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a stretch without added tokens."""
-        if _latin(text) or not self._odd.search(text):
+        if _latin(text):
+            return self._find_latin(text)
+        if not self._odd.search(text):
             return self._find(text)
         return [text[i:j] for _, (i, j) in self._pre.pre_tokenize_str(text)]
 
