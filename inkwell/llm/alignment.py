@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe
-from inkwell.llm.common import stage, table
+from inkwell.llm.common import count_threshold, stage, table
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
@@ -295,17 +295,6 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
         "pair", "texts", (F.col("texts") == F.col("most")).alias("best")), "counted")
 
 
-def threshold(counts: DataFrame, most: int = HEAD) -> int:
-    """The smallest power of two such that at most ``most`` pairs have a count of it or more."""
-    sizes = counts.groupBy(F.floor(F.log2("texts")).cast("int").alias("b")).count().collect()     # 64 rows at most
-    total = 0
-    for b, n in sorted(((r["b"], r["count"]) for r in sizes), reverse=True):
-        total += n
-        if total > most:
-            return 1 << (b + 1)
-    return 1
-
-
 def _scored(pair: np.ndarray, texts: np.ndarray, best: np.ndarray):
     """Per row the sums over the pairs in the head, and its other pairs."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +325,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col))
     encoded = stage(rows.mapInArrow(_encoded(proof, model), ROW), "encoded")
     counts = pair_counts(encoded)
-    least = threshold(counts, head)
+    least = count_threshold(counts, "texts", head)
     known = counts.where(F.col("texts") >= least).orderBy("pair").toArrow()       # at most ``head`` rows
     top = [known.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "texts", "best")]
     scored = stage(encoded.select("row", "pairs", "times").mapInArrow(

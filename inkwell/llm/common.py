@@ -68,6 +68,28 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def smallest(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows with the smallest ``key``, a hash in [0, 2^63). Rows that can't be among them
+    are left out first (by a share of the hash range that holds about 2n), so that tasks don't each
+    send n rows to the driver."""
+    rows = df.count()
+    if rows > 4 * n:
+        df = df.where(F.col(key) < int((1 << 63) * (2 * n / rows)))
+    return df.orderBy(key, *ties).limit(n)
+
+
+def count_threshold(df: DataFrame, column: str, most: int) -> int:
+    """A count such that at most ``most`` rows have it or more, from a histogram of eighths of
+    powers of two (512 rows at most)."""
+    sizes = df.groupBy(F.floor(8 * F.log2(column)).cast("int").alias("b")).count().collect()
+    total = 0
+    for b, n in sorted(((r["b"], r["count"]) for r in sizes), reverse=True):
+        total += n
+        if total > most:
+            return int(2 ** ((b + 1) / 8)) + 1
+    return 1
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and wordless texts give an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
