@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import shared_path, stage, table
+from inkwell.llm.common import shared_path, smallest, stage, table
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
@@ -156,9 +156,9 @@ def read_archive(file, chunk: int = 1 << 20) -> Iterator[tuple]:
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
     """From the heads of at most ``DICT_PAGES`` pages, the smallest by hash: a bounded sample."""
-    rows = pages.where(F.octet_length(html_col) > 0).select(
-        F.xxhash64(id_col, html_col).alias("k"), F.substring(html_col, 1, DICT_SAMPLE).alias("h")
-    ).orderBy("k").limit(DICT_PAGES).collect()
+    rows = smallest(pages.where(F.octet_length(html_col) > 0).select(
+        F.xxhash64(id_col, html_col).bitwiseAND((1 << 63) - 1).alias("k"), F.substring(html_col, 1, DICT_SAMPLE).alias("h")),
+        "k", DICT_PAGES, "h").collect()
     samples = [r["h"].encode() for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
