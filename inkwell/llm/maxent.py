@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import kernel as K
-from inkwell.llm.common import stage, table
+from inkwell.llm.common import count_threshold, stage, table
 
 CLASSES = 32
 FEATURES = 8192
@@ -263,7 +263,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     for r in classes:
         if r["cls"] != END:
             prior[r["cls"], r["sub"]] = math.log(r["c"] + r["v"] + 1)
-    top = counts.where(F.col("cls") != END).orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "c").toArrow()
+    known = counts.where(F.col("cls") != END)
+    top = known.where(F.col("c") >= count_threshold(known, "c", FREQUENT)).select("h", "c").toArrow()
     order = np.argsort(top["h"].to_numpy())
     frequent, logs = top["h"].to_numpy()[order], np.log10(top["c"].to_numpy()[order] + 1.0)
     part = F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit("round")), F.lit(ROUNDS))
