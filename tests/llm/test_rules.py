@@ -116,6 +116,13 @@ def test_network_separates_held_out_findings():
     assert secrets.train([]) is None and secrets.train(sample[1:400:2]) is None
 
 
+def test_spans_do_not_depend_on_the_order_or_layout_of_rows(spark):
+    docs = list(secret_texts(700).items())
+    one = {r.id: r.spans for r in secrets.scan(frame(spark, docs).coalesce(1)).collect()}
+    two = {r.id: r.spans for r in secrets.scan(frame(spark, docs[::-1]).repartition(5)).collect()}
+    assert one == two and any(one.values())
+
+
 def test_every_two_substitutions_leave_a_seed():
     for gone in itertools.combinations(range(decontaminate.WINDOW), decontaminate.MISSES):
         assert any(not {at + p for p in mask} & set(gone) for mask in decontaminate.MASKS
