@@ -118,7 +118,7 @@ SELECT 'city', NULL, CAST(sum(votes) AS BIGINT), CAST(sum(total_votes) AS BIGINT
        {r6('sum(votes) * 100.0 / nullif(sum(total_votes), 0)', 'share')} FROM v""")
 def precinct_shares(spark, sf_dir):
     """First candidate's vote share per precinct plus one citywide row from summed counts."""
-    votes = f5_vote_counts(Tables(spark, sf_dir))
+    votes = materialize(f5_vote_counts(Tables(spark, sf_dir)))      # precinct rows and the city's
     return finish(elections.precinct_shares(votes, "precinct_geo", "votes_a", "votes_total"))
 
 
