@@ -32,22 +32,25 @@ ANY = "<*>"
 TRIM = " \t\x0b\x0c\r"
 
 
-def _masked(line: Column) -> Column:
+def _masked(line: Column, digits: Column) -> Column:
     """The line with every token that has a digit as ``<*>``."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, "[^\\x20\\x09-\\x0D0-9]*[0-9][^\\x20\\x09-\\x0D]*", ANY)).otherwise(line)
+    return F.when(digits, F.regexp_replace(line, "[^\\x20\\x09-\\x0D0-9]*[0-9][^\\x20\\x09-\\x0D]*", ANY)).otherwise(line)
 
 
 def _parsed(df: DataFrame, line: Column, *cols) -> DataFrame:
     """cols, tokens, leaf, the hashes of the tokens and of the exact words, and whether enough tokens
     are words, of the lines with enough tokens."""
     df = df.select(*cols, F.btrim(line, F.lit(TRIM)).alias("line"))
-    df = df.select(*cols, "line", F.split(_masked(F.col("line")), SPACE_CLASS).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    df = df.select(*cols, "line", F.col("line").rlike("[0-9]").alias("digits"))
+    df = df.select(*cols, "line", "digits", F.split(_masked(F.col("line"), F.col("digits")), SPACE_CLASS).alias("tokens"))
+    df = df.where(F.size("tokens") >= MIN_TOKENS)
     head = [F.get("tokens", F.lit(i)) for i in range(DEPTH)]
-    words = F.size(F.filter(F.slice("tokens", DEPTH + 1, F.size("tokens")), lambda t: t != ANY))
+    # Only a line with digits differs from its exact words, or has tokens that are no words.
+    words = F.when(F.col("digits"), F.size(F.array_remove(F.slice("tokens", DEPTH + 1, F.size("tokens")), ANY))).otherwise(
+        F.size("tokens") - DEPTH)
+    exact = F.when(F.col("digits"), F.xxhash64(F.split("line", SPACE_CLASS))).otherwise(F.xxhash64("tokens"))
     return df.select(*cols, "tokens", F.xxhash64(F.size("tokens"), *head).alias("leaf"), F.xxhash64("tokens").alias("lh"),
-                     F.xxhash64(F.split("line", SPACE_CLASS)).alias("rh"),
-                     _enough(words, F.size("tokens")).alias("wordy"))
+                     exact.alias("rh"), _enough(words, F.size("tokens")).alias("wordy"))
 
 
 def _enough(words: Column, size: Column) -> Column:
