@@ -156,7 +156,9 @@ class Aligner:
     def __init__(self, proof: bpe.Proof, model: bytes) -> None:
         pieces = bpe.Pieces(proof, plain_special=True)
         a_bytes = bpe.token_bytes(json.loads(proof.spec))
-        self._ids = bpe.Remembered({p: packed([i], a_bytes, p.encode()) for p, i in proof.whole.items()},
+        # A whole string is its token's bytes, so it is spelt right.
+        whole = np.array(list(proof.whole.values()), np.int32).tobytes()
+        self._ids = bpe.Remembered({p: whole[4 * n:4 * n + 4] for n, p in enumerate(proof.whole)},
                                    lambda p: packed(pieces.merge(p), a_bytes, p.encode())).__getitem__
         self._split = pieces.split
         self._b = PieceModel(model)
