@@ -229,3 +229,17 @@ def test_class_probabilities_sum_to_one():
     w = np.random.default_rng(1).normal(size=(maxent.FEATURES, maxent.CLASSES)).astype(np.float32)
     f = np.tile(np.array([[0, 5, 9, 3, 100]], np.int32), (maxent.CLASSES, 1))
     assert np.exp(maxent.log_probs(w, f, np.arange(maxent.CLASSES))).sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_every_labelled_value_trains_the_network(spark):
+    """More harmless values than any sample held, one form with the smallest hashes, another with the largest."""
+    from pyspark.sql import functions as F
+
+    ids = [x.id for x in spark.range(1 << 15).orderBy(F.xxhash64("id", F.lit(4).cast("long")).bitwiseAND((1 << 63) - 1)).collect()]
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    odd = lambda: "/".join(f"{letters(1).upper()}{letters(1)}{r.randrange(1000)}" for _ in range(5))
+    docs = {d: f"at  {r.randrange(10**15):015d} ok" for d in ids[:6000]} | {d: f"at  {odd()} ok" for d in ids[-6000:]}
+    docs |= {10**6 + d: t for d, t in secret_texts().items()}
+    rows = {x.id: x for x in secrets.scan(frame(spark, docs)).collect()}
+    assert np.mean([rows[d].n_model > 0 for d in ids[-6000:]]) < 0.02
