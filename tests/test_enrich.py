@@ -374,3 +374,17 @@ def test_success_after_retry_reports_attempts_and_cost():
     res, err, att, cost = enrich._attempt_rows(_Flaky([RuntimeError("x"), good]), "F", ["F"], [{"text": "x"}], "text",
                                                3, lambda n: 0.0, lambda s: None)[0]
     assert res == good and err is None and att == 2 and cost == 2.0
+
+
+def test_training_cuts_texts_once_and_ranks_before_the_shuffle(spark, capsys):
+    rows = spark.createDataFrame([("Ä B c# É\n d", "en", "high", "clean"), ("x Y é", "de", None, "toxic")] * 40,
+                                 "text string, language string, quality string, toxicity string")
+    model = textmodel.train(rows, 4)
+    model.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Generate explode") == 1 and "WindowGroupLimit" in plan
+    got = {r.token for r in rows.select(F.explode(textmodel.features(F.col("text"), textmodel.words(F.col("text")), "")).alias(
+        "token")).collect()}
+    assert got == {"Ä", "É", "b", "c", "d", "x", "y", "é", "", *(f for t in ("Ä B c# É\n d", "x Y é") for f in textmodel.features_of(t))}
+    assert {r.label for r in model.where("place = 0").collect()} == {c for cs in textmodel.CLASSES.values() for c in cs}
+    assert textmodel.train(rows.limit(0), 4).count() == 0
