@@ -185,54 +185,74 @@ class CharCNN:
         return np.where((x >= 32) & (x < 127), x - np.uint8(31), np.where(x == 0, np.uint8(0), np.uint8(96)))
 
     def _forward(self, x, places=False):
-        p, length = self.p, x.shape[1] - WIDTH + 1
+        p = self.p
         # An embedding times a row of the convolution, once for each code and place in the window.
         tables = np.matmul(p["emb"], p["conv"].reshape(WIDTH, DIM, FILTERS)).astype(np.float32)
-        a = tables[0][x[:, :length]]
-        for w in range(1, WIDTH):
-            a += tables[w][x[:, w:w + length]]
-        lo, hi = BEFORE - 2, BEFORE + 2 * HALF - 2
-        parts = [a[:, lo:hi], np.concatenate([a[:, :lo], a[:, hi:]], 1)]
-        at = []
-        if places:
-            at = [part.argmax(1) for part in parts]
-            best = [np.take_along_axis(part, i[:, None, :], 1)[:, 0] for part, i in zip(parts, at, strict=True)]
-            at = [at[0] + lo, np.where(at[1] < lo, at[1], at[1] + hi - lo)]
-        else:
-            best = [part.max(1) for part in parts]
-        pooled = np.maximum(np.concatenate(best, 1) + np.tile(p["bias"], 2), 0)
+        best, at = np.empty((len(x), 2 * FILTERS), np.float32), np.empty((len(x), 2 * FILTERS), np.intp)
+        tail = x[:, BEFORE + HALF:BEFORE + 2 * HALF].any(1)
+        # The windows within an empty tail are all alike: the first of them stands for all.
+        for rows, gap in ((np.flatnonzero(tail), 0), (np.flatnonzero(~tail), HALF - WIDTH)):
+            if len(rows):
+                best[rows], at[rows] = self._pooled(tables, x[rows].T.astype(np.intp), gap, places)
+        pooled = np.maximum(best + np.tile(p["bias"], 2), 0)
         return at, pooled, pooled @ p["out"] + p["b"]
 
+    @staticmethod
+    def _pooled(tables, x, gap, places):
+        """Maxima over the candidate and over its context of every filter, and the first window that has each
+        (``x``: a column a row; ``gap``: windows left out after the first that is all tail)."""
+        first, size = BEFORE + HALF + 1, len(x) - WIDTH + 1
+        a = np.empty((size - gap, x.shape[1], FILTERS), np.float32)
+        for w in range(WIDTH):
+            for to, lo, hi in ((0, 0, first), (first, first + gap, size)):
+                part, got = a[to:to + hi - lo], tables[w].take(x[lo + w:hi + w], 0)
+                if w:
+                    part += got
+                else:
+                    part[:] = got
+        lo, hi = BEFORE - 2, BEFORE + 2 * HALF - 2 - gap
+        body, context = a[lo:hi].max(0), np.maximum(a[:lo].max(0), a[hi:].max(0))
+        if not places:
+            return np.concatenate([body, context], 1), 0
+        rank = np.arange(len(a), 0, -1, dtype=np.uint8)[:, None, None]
+        seen = lambda lo, hi, best: ((a[lo:hi] == best) * rank[lo:hi]).max(0)
+        at = len(a) - np.concatenate([seen(lo, hi, body), np.maximum(seen(0, lo, context), seen(hi, len(a), context))],
+                                     1).astype(np.intp)
+        return np.concatenate([body, context], 1), np.where(at < first, at, at + gap)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[lo:lo + 512].astype(np.intp))[2] for lo in range(0, max(1, len(x)), 512)])
+        return np.concatenate([self._forward(x[lo:lo + 512])[2] for lo in range(0, max(1, len(x)), 512)])
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, size: int = 128,
             seed: int = 7) -> None:
         r = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(w) for k, w in self.p.items()}
+        flat = self.flat()
+        self._lay(flat)
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         t = 0
+        # Cells of the sums below, but for the code: place in the window, then filter.
+        cells = (np.arange(WIDTH) * 97 * FILTERS)[:, None, None] + np.tile(np.arange(FILTERS), 2)
+        conv = self.p["conv"].reshape(WIDTH, DIM, FILTERS)
         for _ in range(epochs):
             for part in np.array_split(r.permutation(len(y)), max(1, len(y) // size)):
-                own = x[part].astype(np.intp)
+                own = x[part]
                 at, pooled, z = self._forward(own, True)
                 dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
-                g = {"out": pooled.T @ dz, "b": dz.sum(keepdims=True)}
                 dp = np.outer(dz, self.p["out"]) * (pooled > 0)
                 # What each code at each place of the window under each filter gets back.
-                rows, filters = np.arange(len(part))[:, None], np.tile(np.arange(FILTERS), 2)
-                cell = [(w * 97 + own[rows, np.concatenate(at, 1) + w]) * FILTERS + filters for w in range(WIDTH)]
-                back = sum(np.bincount(c.ravel(), dp.ravel(), WIDTH * 97 * FILTERS) for c in cell).reshape(WIDTH, 97, FILTERS)
-                conv = self.p["conv"].reshape(WIDTH, DIM, FILTERS)
-                g |= {"conv": np.matmul(self.p["emb"].T, back).reshape(WIDTH * DIM, FILTERS),
-                      "bias": dp.sum(0).reshape(2, FILTERS).sum(0),
-                      "emb": np.matmul(back, conv.transpose(0, 2, 1)).sum(0)}
+                at += np.arange(len(part))[:, None] * own.shape[1]
+                codes = own.ravel().take(at + np.arange(WIDTH)[:, None, None]).astype(np.intp)
+                back = np.bincount((codes * FILTERS + cells).ravel(), np.broadcast_to(dp, codes.shape).ravel(),
+                                   WIDTH * 97 * FILTERS).reshape(WIDTH, 97, FILTERS)
+                g = {"emb": np.matmul(back, conv.transpose(0, 2, 1)).sum(0),
+                     "conv": np.matmul(self.p["emb"].T, back).reshape(WIDTH * DIM, FILTERS),
+                     "bias": dp.sum(0).reshape(2, FILTERS).sum(0), "out": pooled.T @ dz, "b": dz.sum(keepdims=True)}
+                g = np.concatenate([g[k].ravel() for k in self.p])
                 t += 1
-                for k in self.p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-8)
+                m = 0.9 * m + 0.1 * g
+                v = 0.999 * v + 0.001 * g ** 2
+                flat -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling by Newton steps, then the highest threshold with that recall."""
@@ -261,12 +281,17 @@ class CharCNN:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
+    def _lay(self, flat: np.ndarray) -> None:
+        """The parameters as views of one array."""
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at:at + v.size].reshape(v.shape)
+            at += v.size
+
     @classmethod
     def of(cls, flat: np.ndarray) -> CharCNN:
-        model, at = cls(), 0
-        for k, v in model.p.items():
-            model.p[k] = flat[at:at + v.size].reshape(v.shape).astype(float)
-            at += v.size
+        model = cls()
+        model._lay(flat.astype(float))
         return model
 
 

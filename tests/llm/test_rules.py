@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -116,6 +117,66 @@ def test_network_separates_held_out_findings():
     assert secrets.train([]) is None and secrets.train(sample[1:400:2]) is None
 
 
+class PlainCNN(secrets.CharCNN):
+    """The network by plain indexing: every window of every row, every sum by itself."""
+
+    def _forward(self, x, places=False):
+        p, length = self.p, x.shape[1] - secrets.WIDTH + 1
+        lo, hi, x = secrets.BEFORE - 2, secrets.BEFORE + 2 * secrets.HALF - 2, x.astype(np.intp)
+        tables = np.matmul(p["emb"], p["conv"].reshape(secrets.WIDTH, secrets.DIM, secrets.FILTERS)).astype(np.float32)
+        a = tables[0][x[:, :length]]
+        for w in range(1, secrets.WIDTH):
+            a += tables[w][x[:, w:w + length]]
+        parts = [a[:, lo:hi], np.concatenate([a[:, :lo], a[:, hi:]], 1)]
+        at = [part.argmax(1) for part in parts] if places else []
+        at = [at[0] + lo, np.where(at[1] < lo, at[1], at[1] + hi - lo)] if places else []
+        pooled = np.maximum(np.concatenate([part.max(1) for part in parts], 1) + np.tile(p["bias"], 2), 0)
+        return at, pooled, pooled @ p["out"] + p["b"]
+
+    def fit(self, x, y, epochs, rate=0.01, size=128, seed=7):
+        r, width, filters = np.random.default_rng(seed), secrets.WIDTH, secrets.FILTERS
+        m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
+        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
+        t = 0
+        for part in (p for _ in range(epochs) for p in np.array_split(r.permutation(len(y)), len(y) // size)):
+            own = x[part].astype(np.intp)
+            at, pooled, z = self._forward(own, True)
+            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
+            dp = np.outer(dz, self.p["out"]) * (pooled > 0)
+            cell = [(w * 97 + own[np.arange(len(part))[:, None], np.concatenate(at, 1) + w]) * filters
+                    + np.tile(np.arange(filters), 2) for w in range(width)]
+            back = sum(np.bincount(c.ravel(), dp.ravel(), width * 97 * filters) for c in cell).reshape(width, 97, filters)
+            conv = self.p["conv"].reshape(width, secrets.DIM, filters)
+            g = {"out": pooled.T @ dz, "b": dz.sum(keepdims=True), "bias": dp.sum(0).reshape(2, filters).sum(0),
+                 "conv": np.matmul(self.p["emb"].T, back).reshape(width * secrets.DIM, filters),
+                 "emb": np.matmul(back, conv.transpose(0, 2, 1)).sum(0)}
+            t += 1
+            for k in self.p:
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
+                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-8)
+
+
+def test_the_network_equals_plain_indexing_at_less_cost():
+    r = random.Random(12)
+    values = [lambda: "plainword", lambda: f"{r.randrange(10**15):015d}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
+              lambda: "x" * 26, lambda: "\0" * 30, lambda: "z" * 24, lambda: "", lambda: "ñ" * 20]
+    near = [b"\0" * 80, b"z" * 80]
+    for i in range(2400):
+        value, before, after = values[i % 8]().encode(), prose(i, i % 7).encode(), prose(i, i % 3).encode()
+        near.append(secrets.surroundings(before + value + after, len(before), len(before + value)))
+    x, y = secrets.CharCNN.codes(near), np.arange(len(near)) % 8 == 4
+    assert 100 < x[:, secrets.BEFORE + secrets.HALF:-secrets.AFTER].any(1).sum() < 2000
+    took, nets, scores = {}, [], []
+    for kind in (PlainCNN, secrets.CharCNN) * 3:
+        model, begun = kind(), time.process_time()
+        model.fit(x, y, 2)
+        scores.append(model.logit(x))
+        took[kind] = min(took.get(kind, 1e9), time.process_time() - begun)
+        nets.append(model.flat())
+    assert all(np.array_equal(nets[0], n) for n in nets) and all(np.array_equal(scores[0], z) for z in scores)
+    assert took[secrets.CharCNN] < 0.8 * took[PlainCNN], took
+
+
 def test_spans_do_not_depend_on_the_order_or_layout_of_rows(spark):
     docs = list(secret_texts(700).items())
     one = {r.id: r.spans for r in secrets.scan(frame(spark, docs).coalesce(1)).collect()}
